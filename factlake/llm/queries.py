@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.llm.common import stored
+from factlake.llm.ngram_join import ngram_join
 from factlake.llm.packing import token_pieces, with_slots
 from factlake.llm.token_counts import count_tokens
 
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"), width=3, share=90)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     digests = stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
@@ -30,7 +35,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_token_counts,)}
+    return {f.__name__: f for f in (op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts,)}
 
 
 def oracle_sql() -> dict[str, str]:
