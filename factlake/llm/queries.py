@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.llm.common import stored
+from factlake.llm.language_id import held_out, identify, language_model
 from factlake.llm.ngram_join import ngram_join
 from factlake.llm.packing import token_pieces, with_slots
 from factlake.llm.token_counts import count_tokens
@@ -34,8 +35,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, language_model(docs))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts,)}
+    return {f.__name__: f for f in (op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
