@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factlake.llm import quality
 from factlake.llm.common import stored
 from factlake.llm.language_id import held_out, identify, language_model
 from factlake.llm.ngram_join import ngram_join
@@ -21,6 +22,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, F.coalesce(~held_out(F.col("doc_id")), F.lit(False)))
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), width=3, share=90)
 
@@ -42,7 +52,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op9_language_id)}
+    return {f.__name__: f for f in (op2_quality_classifier, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
