@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import quality
+from factlake.llm import quality, secrets
 from factlake.llm.common import stored
 from factlake.llm.language_id import held_out, identify, language_model
 from factlake.llm.ngram_join import ngram_join
@@ -22,6 +22,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.scan_secrets(docs, secrets.log_ratios(docs))
+    base = F.filter("spans", lambda s: s.kind != "random")
+    count = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans")
+    )
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.train(docs, labels, F.coalesce(~held_out(F.col("doc_id")), F.lit(False)))
@@ -52,7 +62,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op9_language_id)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_quality_classifier, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
