@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import quality, secrets
+from factlake.llm import mixing, quality, secrets, url_filter
 from factlake.llm.common import stored
 from factlake.llm.language_id import held_out, identify, language_model
 from factlake.llm.ngram_join import ngram_join
@@ -41,6 +41,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), width=3, share=90)
 
@@ -55,6 +59,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = identify(docs, language_model(docs))
@@ -62,8 +70,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_quality_classifier, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op9_language_id)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_quality_classifier, op3_mixing_sources, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op8_url_filters, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing_sources": mixing.ORACLE, "op8_url_filters": url_filter.ORACLE}
