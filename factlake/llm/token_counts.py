@@ -18,20 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.common import TwoGenerationCache
+from factlake.llm.common import TwoGenerationCache, byte_letters
 
 #: Chunks that one worker remembers (two generations of this many).
 CACHE = 300_000
 
 
-def _byte_letters() -> list[str]:
-    """The letter of each byte in byte-level vocabularies: printable bytes stand for themselves,
-    the others for the letters from 256 on, in order."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-
 class MergeCounter:
     """Counts tokens as a ``tokenizers`` BPE file with word ends defines them.
 
@@ -52,7 +44,7 @@ class MergeCounter:
         self.ranks = {pair: rank for rank, pair in enumerate(ranks)}
         self.words = regex.compile(split["pattern"]["Regex"])
         self.space = regex.compile(spec["normalizer"]["normalizers"][1]["pattern"]["Regex"])
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.chunks = TwoGenerationCache(CACHE)
