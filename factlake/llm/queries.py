@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import mixing, quality, secrets, url_filter
+from factlake.llm import fingerprints, mixing, quality, secrets, url_filter
 from factlake.llm.common import stored
 from factlake.llm.language_id import held_out, identify, language_model
 from factlake.llm.ngram_join import ngram_join
@@ -69,8 +69,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_halves(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_quality_classifier, op3_mixing_sources, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op8_url_filters, op9_language_id)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_quality_classifier, op3_mixing_sources, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op8_url_filters, op9_language_id, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
