@@ -6,58 +6,35 @@ word draws ``r`` and ``c`` from Gamma(2, 1) and ``b`` from (0, 1) by its hash, r
 and ``t`` of the least ``a`` are the sample. Two bags share a sample with a probability equal to their
 generalised Jaccard similarity (sum of minima over sum of maxima of the weights).
 
-The gamma variates are read from a table of quantiles at 12 bits of the hash each, so the inner loop
-has one hash, two look-ups and a few multiplications, all in generated code.
+The gamma variates are sums of two exponentials, drawn from 24 bits of hash each, all in generated code.
 """
 
 from __future__ import annotations
 
-import functools
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.llm.common import stored
 
 #: Samples of a signature.
-SAMPLES = 64
-#: Entries of the table of quantiles.
-QUANTILES = 4096
+SAMPLES = 32
 #: Documents of a stretch of ids that are put in order together, on the average.
 STRETCH = 2000
 
 
-@functools.cache
-def gamma_quantiles(n: int = QUANTILES) -> list[float]:
-    """Quantiles of Gamma(2, 1) at the midpoints of ``n`` equal parts: its distribution is ``1 - (1 + x) exp(-x)``."""
-    found, x = [], 0.0
-    for i in range(n):
-        p = (i + 0.5) / n
-        x = max(x, math.sqrt(2 * p))  # near 0 the distribution is x * x / 2
-        for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x = max(x - step, x / 2)
-            if abs(step) < 1e-13 * x:
-                break
-        found.append(x)
-    return found
-
-
-def _table(values: list[float]) -> Column:
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")  # folded into a literal array
-
-
 def _sample(term: Column, log_weight: Column, place: int) -> Column:
     """``a`` in the upper 31 bits, in an order-keeping form, and a hash of the word and ``t`` in the lower 32."""
-    h = F.xxhash64(term, F.lit(place))
-    r = F.element_at(_table(gamma_quantiles()), (h.bitwiseAND(F.lit(QUANTILES - 1).cast("long")) + 1).cast("int"))
-    log_c = F.element_at(_table([math.log(x) for x in gamma_quantiles()]), (F.shiftrightunsigned(h, 12).bitwiseAND(F.lit(QUANTILES - 1).cast("long")) + 1).cast("int"))
-    b = F.shiftrightunsigned(h, 24).cast("double") / float(1 << 40)
+    g = F.xxhash64(term, F.lit(place))
+    h = F.xxhash64(g)
+    # 24 bits from a place of a hash, inside (0, 1)
+    u = lambda x, at: (F.shiftrightunsigned(x, at).bitwiseAND(F.lit(0xFFFFFF).cast("long")).cast("double") + 0.5) * (1.0 / (1 << 24))
+    r = -F.log(u(g, 40) * u(g, 16))
+    log_c = F.log(-F.log(u(h, 40) * u(h, 16)))
+    b = h.bitwiseAND(F.lit(0xFFFF).cast("long")).cast("double") * (1.0 / (1 << 16))
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + 1)
     ordered = F.least(F.greatest((log_a + 64.0) * float(1 << 24), F.lit(0.0)), F.lit(float((1 << 31) - 1))).cast("long")
-    return F.shiftleft(ordered, 32).bitwiseOR(F.hash(h, t).cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    return F.shiftleft(ordered, 32).bitwiseOR(F.hash(g, t).cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
 
 
 def signatures(words: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
