@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlake.llm import fingerprints, mixing, quality, secrets, url_filter
+from factlake.llm.cover_tree import near_pairs
 from factlake.llm.common import stored
 from factlake.llm.language_id import held_out, identify, language_model
 from factlake.llm.ngram_join import ngram_join
@@ -59,6 +60,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -74,7 +79,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_quality_classifier, op3_mixing_sources, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op8_url_filters, op9_language_id, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_quality_classifier, op3_mixing_sources, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op7_embedding_near_dedup, op8_url_filters, op9_language_id, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
