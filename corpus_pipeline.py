@@ -1,8 +1,81 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages from raw documents to packed sequences.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the
+columns of ``documents`` (doc_id, text, lang, source, n_chars), so a stage can be left out or run alone.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factlake.llm import mixing, secrets
+from factlake.llm.common import stored
+from factlake.llm.language_id import identify, language_model
+from factlake.llm.ngram_join import ngram_join
+from factlake.llm.packing import pack
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text whose leading language has a smaller share of the posteriors is rejected; even a text in two languages has more.
+LEAST_SHARE = 0.3
+#: Near-duplicates: n-grams of so many words, at least so similar (per cent).
+WORDS, SHARE = 5, 80
+#: Tokenizer of the packed sequences, and their length.
+TOKENIZER, SEQUENCE = "word_bpe_49k.json", 2048
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language that the labelled ones teach; texts without letters go."""
+    found = identify(docs.select(*COLUMNS), language_model(docs), COLUMNS)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near-duplicates, once.
+
+    Blank texts link with nothing and stay, as do rows that no id names.
+    """
+    groups = ngram_join(docs, width=WORDS, share=SHARE)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    return named.unionAll(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets by ``[REDACTED]``; documents without any stay as they are."""
+    ratios = secrets.log_ratios(docs)
+    found = secrets.scan_secrets(docs, ratios, keep=["doc_id", "lang", "source", "n_chars"])
+    text = secrets.redacted(F.col("text"), F.col("spans"))
+    n_chars = F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    return found.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw each source to an equal share of the mix; a document may stand in it several times."""
+    return mixing.mix_sources(docs).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenise and pack into sequences: one row for each piece, with its identifiers and its place."""
+    return pack(docs, public_tokenizers.path(TOKENIZER), SEQUENCE)
+
+
+STAGES = [
+    ("language", language_stage),
+    ("ngram_dedup", dedup_stage),
+    ("secrets", secret_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Neither the language model nor packing is SQL; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over ``documents``, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

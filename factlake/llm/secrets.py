@@ -9,6 +9,7 @@ of log ratios has a bounded size (alphabet squared) and is applied as a literal
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,8 +101,8 @@ def log_ratios(docs: DataFrame, documents: int = 3000, random_strings: int = 400
     return table
 
 
-def scan_secrets(docs: DataFrame, ratios: list[float], threshold: float = 12.0) -> DataFrame:
-    """``(doc_id, text, spans)`` of every row of ``docs(doc_id, text)``.
+def scan_secrets(docs: DataFrame, ratios: list[float], threshold: float = 12.0, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``(*keep, text, spans)`` of every row of ``docs(*keep, text)``.
 
     ``spans`` is an array of ``(begin, end, kind)`` in code points with the end exclusive, by begin and
     then kind in the order of :data:`KINDS`. Base spans are always there; a token that touches one is
@@ -110,7 +111,7 @@ def scan_secrets(docs: DataFrame, ratios: list[float], threshold: float = 12.0)
     give repeated results; other columns are ignored.
     """
     table = F.array(*map(F.lit, ratios))
-    rows = base_matches(docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("__text")))
+    rows = base_matches(docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text")))
 
     def judged(token: Column) -> Column:
         n = len(ALPHABET)
@@ -127,7 +128,7 @@ def scan_secrets(docs: DataFrame, ratios: list[float], threshold: float = 12.0)
     named = [ranked(c, k) for k, c in enumerate((F.col("__assign"), F.col("__access"), F.col("__hex"), likely))]
     kind = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1)
     spans = F.transform(F.array_sort(F.concat(*named)), lambda s: F.struct(s.begin.alias("begin"), s.end.alias("end"), kind(s).alias("kind")))
-    return rows.select("doc_id", F.col("__text").alias("text"), spans.alias("spans"))
+    return rows.select(*keep, F.col("__text").alias("text"), spans.alias("spans"))
 
 
 def joined(spans: Column) -> Column:
