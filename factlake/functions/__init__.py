@@ -1,0 +1 @@
+"""Column expressions used by the operators."""
