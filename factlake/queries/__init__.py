@@ -1,3 +1,3 @@
 """Registered queries of the engine's operators. Importing a module here registers its queries."""
 
-from factlake.queries import analytics, bitemporal, governance, text  # noqa: F401
+from factlake.queries import analytics, bitemporal, governance, retrieval, text  # noqa: F401
