@@ -46,9 +46,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Replace secrets by ``[REDACTED]``; documents without any stay as they are."""
     ratios = secrets.log_ratios(docs)
     found = secrets.scan_secrets(docs, ratios, keep=["doc_id", "lang", "source", "n_chars"])
-    text = secrets.redacted(F.col("text"), F.col("spans"))
-    n_chars = F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
+    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ class LanguageModel:
         """The language and its share of the posteriors for each of a few texts."""
         words = [t.lower().split() for t in texts]
         flat = [w for ws in words for w in ws]
-        if not flat:
+        if not flat or not self.labels:
             return [("und", 0.0)] * len(texts)
         if len(self.known) > CACHE:
             self.known = {}

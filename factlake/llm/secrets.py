@@ -92,11 +92,16 @@ def log_ratios(docs: DataFrame, documents: int = 3000, random_strings: int = 400
     made = spark.range(random_strings).select(F.explode(F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 40), F.upper(F.substring(F.base64(F.unhex(digest)), 1, 24)))).alias("token"))
     labelled = random.unionAll(made).withColumn("random", F.lit(True)).unionAll(ordinary.withColumn("random", F.lit(False)))
     counts = {(r["random"], r["pair"]): r["n"] for r in _pairs(labelled).collect()}
+    # letters by themselves smooth the pairs, so a letter that identifiers hardly use is unlikely after any other
+    single = {}
+    for kind in (True, False):
+        n = {b: sum(counts.get((kind, a + b), 0) for a in ALPHABET) for b in ALPHABET}
+        single[kind] = {b: (n[b] + 0.5) / (sum(n.values()) + 0.5 * len(ALPHABET)) for b in ALPHABET}
     table = []
     for a in ALPHABET:
         sums = {kind: sum(counts.get((kind, a + b), 0) for b in ALPHABET) for kind in (True, False)}
         for b in ALPHABET:
-            p, q = ((counts.get((kind, a + b), 0) + 0.5) / (sums[kind] + 0.5 * len(ALPHABET)) for kind in (True, False))
+            p, q = ((counts.get((kind, a + b), 0) + 4 * single[kind][b]) / (sums[kind] + 4) for kind in (True, False))
             table.append(math.log(p / q))
     return table
 
