@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -134,3 +135,18 @@ class TwoGenerationCache(dict):
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
+
+
+_HELD: dict = {}
+
+
+def held_by_worker(key: tuple, make: Callable):
+    """What this Python worker keeps from task to task: one object at a time.
+
+    Workers are used again for other operators, whose caches must not add up in their memory.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]

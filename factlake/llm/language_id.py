@@ -8,16 +8,19 @@ word. A document's language is the one with the largest sum of posteriors.
 
 from __future__ import annotations
 
+import hashlib
 import string
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.llm.common import held_by_worker
+
 #: Buckets of hashed features.
 BUCKETS = 1 << 15
 #: A longer word is seen by its first and last halves of this many letters.
@@ -80,6 +83,11 @@ class LanguageModel:
     scores: np.ndarray | None = None
     letters: np.ndarray | None = None
 
+    @property
+    def name(self) -> str:
+        """Equal for equal models, so that a worker keeps what it has learned of words."""
+        return hashlib.sha256(self.weights.tobytes() + self.moves.tobytes()).hexdigest()
+
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "scores": None, "letters": None}
 
@@ -287,16 +295,17 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
+        found_at = held.value
+        own = held_by_worker(("languages", found_at.name), lambda: replace(found_at, known={}, scores=None, letters=None))
         for batch in batches:
             found: list[tuple[str, float]] = []
             few: list[str] = []
             letters = 0
-            for text in batch.column("__text"):
-                few.append(text.as_py())
+            for text in batch.column("text"):
+                few.append(text.as_py() or "")
                 letters += len(few[-1])
                 if letters > 6 * AT_ONCE:
                     found += own.label(few)

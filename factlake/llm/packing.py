@@ -8,7 +8,6 @@ then take planned slots by their rank within their length.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import struct
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.common import TwoGenerationCache, byte_letters, stored
+from factlake.llm.common import TwoGenerationCache, byte_letters, held_by_worker, stored
 
 #: Chunks between blanks whose identifiers one worker remembers (two generations of this many).
 CACHE = 400_000
@@ -88,10 +87,9 @@ class ChunkEncoder:
         return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
-@functools.lru_cache(maxsize=1)
 def encoder_of(path: str) -> ChunkEncoder:
     """The encoder of this worker; what it has cached serves the tasks that follow."""
-    return ChunkEncoder(path)
+    return held_by_worker(("encoder", path), lambda: ChunkEncoder(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int = 0) -> DataFrame:

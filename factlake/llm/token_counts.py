@@ -7,7 +7,6 @@ Counts of chunks between blanks are cached, as chunks do not influence one anoth
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import unicodedata
@@ -18,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factlake.llm.common import TwoGenerationCache, byte_letters
+from factlake.llm.common import TwoGenerationCache, byte_letters, held_by_worker
 
 #: Chunks that one worker remembers (two generations of this many).
 CACHE = 300_000
@@ -115,10 +114,9 @@ class MergeCounter:
         return total
 
 
-@functools.lru_cache(maxsize=1)
 def counter_of(path: str) -> MergeCounter:
     """The counter of this worker; what it has cached serves the tasks that follow."""
-    return MergeCounter(path)
+    return held_by_worker(("counter", path), lambda: MergeCounter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
