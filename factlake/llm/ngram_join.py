@@ -3,7 +3,8 @@
 Documents with equal sets form a class, and classes are joined. Candidates come from *size-banded
 tiles*: band ``b`` of sizes meets itself and band ``b + 1``, sets that can link lie in one such tile,
 and within a tile two sets of at most ``d`` differing elements, cut into more than ``d`` segments by
-hash range, have at least one segment in common. Classes that share a segment form a *cluster*.
+hash range, have the other segments in common. Classes that share a segment, the most frequent ones
+aside, form a *cluster*.
 Inside clusters, blocks of bounded size ordered by set size are compared: *hashed bitmap signatures*
 bound each overlap from above by bit counts, and pairs that pass are settled by intersecting sorted
 arrays. Pairs that are already connected are skipped, so a group of near copies takes about as many
@@ -13,19 +14,21 @@ exact comparisons as it has members.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.common import TwoGenerationCache, connected_components, sorted_groups, stored
+from factlake.llm.common import TwoGenerationCache, connected_components, held_by_worker, sorted_groups, stored
 
 #: Words whose hashes one worker remembers (two generations of this many).
-CACHE = 500_000
+CACHE = 400_000
 #: Classes in a block of a cluster.
 BLOCK = 512
 #: N-grams in a block at most, on the average.
@@ -45,9 +48,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
 def _word_hashes() -> TwoGenerationCache:
-    return TwoGenerationCache(CACHE)
+    return held_by_worker(("word hashes",), lambda: TwoGenerationCache(CACHE))
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -98,23 +100,34 @@ def band_top(band: int, share: int) -> int:
 
 @functools.lru_cache(maxsize=4096)
 def _segments(band: int, share: int) -> tuple[int, int]:
-    """How many segments a tile's sets are cut into, and how many more there are than can differ."""
+    """How many segments a tile's sets are cut into, and how many of them two linked sets have in common at least."""
     d = most_differing(band_top(band, share), share)
-    return (0, 0) if d == 0 else (d + 2, 2)
-
-
-def signatures(sh: np.ndarray, share: int) -> list[int]:
-    """Keys of which two linked, unequal sets have at least one in common.
-
-    For each of the two tiles that the set lies in: a key for each non-empty segment. An empty segment
-    gives none, as very many sets may have it; with ``spare`` segments more than can differ, two sets
-    whose common segments are all empty have ``spare`` of those, and the few sets with so many get a
-    key for each ``spare`` of them.
+    if not d:
+        return 0, 0
+    low = band_top(band - 1, share) + 1 if band else 1
+    common = 2
+    for _ in range(12):  # room for the segments that are likely to be empty, and for frequent ones
+        empty = (d + common) * math.exp(-low / (d + common))
+        common = 2 + math.ceil(empty + 4 * math.sqrt(empty) + d / 12)
+        common = min(common, 3 * d + 8)
+    return d + common, common
+
+
+def signatures(sh: np.ndarray, share: int) -> tuple[list[int], list[int]]:
+    """Keys of which two linked, unequal sets have at least one in common, also after each set has left
+    out some of its most frequent ones; and for each key its lot.
+
+    A lot is a tile times 4096 plus how many of its keys may be left out. Two linked sets have ``common``
+    segments alike. Let every set leave out ``common - 1`` segments, the most frequent first by one order
+    for all: the least frequent one that two sets have in common stays in both. Empty segments count as
+    the most frequent ones and give no key; where a set has ``common`` of them or more, each choice of
+    ``common`` gives a key, which is never left out.
     """
     keys: list[int] = []
+    lots: list[int] = []
     own = band_of(len(sh), share)
     for tile in (own - 1, own):
-        n, spare = _segments(tile, share) if tile >= 0 else (0, 0)
+        n, common = _segments(tile, share) if tile >= 0 else (0, 0)
         if not n:
             continue
         # top 32 bits scaled to a segment: ranges of the sorted hashes
@@ -123,11 +136,16 @@ def signatures(sh: np.ndarray, share: int) -> list[int]:
         sums = np.add.reduceat(_mix(sh * _M3), at[full])
         keys += _mix(sums * _M1 + _mix(np.full(1, tile, np.uint64) * _M2 + full.astype(np.uint64))).astype(np.int64).tolist()
         empty = np.flatnonzero(at[1:] == at[:-1]).tolist()
-        if len(empty) >= spare:
-            pairs = [(a, b) for i, a in enumerate(empty) for b in empty[i + 1 :]]
-            codes = np.array([a * 2**20 + b for a, b in pairs], np.uint64)
-            keys += _mix(_mix(codes + np.full(1, tile, np.uint64) * _M3) ^ _M1).astype(np.int64).tolist()
-    return keys
+        lots += [tile * 4096 + max(0, min(4095, common - 1 - len(empty)))] * len(full)
+        if len(empty) >= common:
+            chosen = [hash_of(tile, *some) for some in combinations(empty, common)]
+            keys += chosen
+            lots += [-1] * len(chosen)
+    return keys, lots
+
+
+def hash_of(*numbers: int) -> int:
+    return xxhash.xxh3_64_intdigest(",".join(map(str, numbers)).encode()) - 2**63
 
 
 def bitmap(sh: np.ndarray) -> np.ndarray:
@@ -177,16 +195,40 @@ def spanning_links(sizes: np.ndarray, maps: np.ndarray, sets: list[np.ndarray],
     return found
 
 
-def _candidates(digested: DataFrame) -> DataFrame:
+def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` whose id is not among ``ids``, which are broadcast if they are few."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+
+
+def _candidates(rows: DataFrame, width: int, share: int) -> DataFrame:
     """Edges ``(a, b)`` from each class to the smallest class that shares a key with it.
 
-    A class is named by its smallest document. The keys are dealt out once; both sides of the join
-    read that exchange. Keys of a single class, by far the most, end in the aggregation.
+    ``rows`` holds one document of each class, which names it. The keys are dealt out once; both sides
+    of the join read that exchange. Keys of a single class, by far the most, end in the aggregation. Of
+    the others each class leaves out as many of the most frequent as :func:`signatures` allows, so that
+    passages that many documents share do not tie them together.
     """
-    keyed = digested.select(F.explode("keys").alias("key"), F.xxhash64("digest").alias("set"), "doc_id").repartition("key")
-    held = keyed.groupBy("key", "set").agg(F.min("doc_id").alias("cls"))
-    low = held.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
-    return held.join(low.hint("shuffle_hash"), "key").where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, lots, n = [], [], []
+            for text in batch.column(1):
+                sh = shingles(text.as_py(), width)
+                own = signatures(sh, share) if len(sh) else ([], [])
+                found += own[0]
+                lots += own[1]
+                n.append(len(found))
+            cls = np.repeat(np.array(batch.column(0)), np.diff(n, prepend=0))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(cls, pa.int64()), pa.array(lots, pa.int32())], ["key", "cls", "lot"])
+
+    keyed = rows.mapInArrow(keys_of, "key long, cls long, lot int").repartition("key")
+    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
+    shared = keyed.join(often.select("key", "n").hint("shuffle_hash"), "key")
+    rank = F.row_number().over(Window.partitionBy("cls", "lot").orderBy(F.desc("n"), "key"))
+    kept = stored(shared.withColumn("rank", rank).where("lot < 0 or rank > lot % 4096").select("key", "cls"))
+    low = kept.groupBy("key").agg(F.min("cls").alias("low"))
+    return kept.join(low, "key").where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
 
 
 def _members(rows: DataFrame, clusters: DataFrame, width: int, share: int) -> DataFrame:
@@ -276,22 +318,18 @@ def ngram_join(docs: DataFrame, width: int = 3, share: int = 90) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digests, keys = [], [], []
-            for text in batch.column(1):
-                sh = shingles(text.as_py(), width)
-                n.append(len(sh))
-                digests.append(xxhash.xxh3_128_digest(sh.tobytes()) if len(sh) else None)
-                keys.append(signatures(sh, share) if len(sh) else [])
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "keys"])
+            sets = [shingles(text.as_py(), width) for text in batch.column(1)]
+            digests = [xxhash.xxh3_128_digest(sh.tobytes()) if len(sh) else None for sh in sets]
+            columns = [batch.column(0), pa.array([len(sh) for sh in sets], pa.int64()), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest"])
 
-    digested = stored(rows.mapInArrow(digest, "doc_id long, n_shingles long, digest binary, keys array<long>"))
+    digested = stored(rows.mapInArrow(digest, "doc_id long, n_shingles long, digest binary"))
     classes = digested.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("cls"))
-    clusters = connected_components(_candidates(digested))
+    copies = stored(digested.join(classes, "digest").where("doc_id <> cls").select("doc_id").distinct())
+    clusters = connected_components(_candidates(_without(rows, copies), width, share))
     labels = connected_components(_links(_members(rows, clusters, width, share), share))
     return (
-        digested.drop("keys")
-        .join(classes, "digest", "left")
+        digested.join(classes, "digest", "left")
         .join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "cls", "doc_id").alias("component_id"))
     )
