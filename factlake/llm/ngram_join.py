@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from factlake.llm.common import TwoGenerationCache, connected_components, held_by_worker, sorted_groups, stored
 
 #: Words whose hashes one worker remembers (two generations of this many).
-CACHE = 400_000
+CACHE = 200_000
 #: Classes in a block of a cluster.
 BLOCK = 512
 #: N-grams in a block at most, on the average.
@@ -195,6 +195,13 @@ def spanning_links(sizes: np.ndarray, maps: np.ndarray, sets: list[np.ndarray],
     return found
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of a few documents, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The ``rows`` whose id is not among ``ids``, which are broadcast if they are few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -211,16 +218,16 @@ def _candidates(rows: DataFrame, width: int, share: int) -> DataFrame:
     """
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found, lots, n = [], [], []
             for text in batch.column(1):
                 sh = shingles(text.as_py(), width)
                 own = signatures(sh, share) if len(sh) else ([], [])
-                found += own[0]
-                lots += own[1]
-                n.append(len(found))
-            cls = np.repeat(np.array(batch.column(0)), np.diff(n, prepend=0))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(cls, pa.int64()), pa.array(lots, pa.int32())], ["key", "cls", "lot"])
+                found.append(np.array(own[0], np.int64))
+                lots.append(np.array(own[1], np.int32))
+                n.append(len(own[0]))
+            cls = np.repeat(np.array(batch.column(0)), n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(cls), pa.array(np.concatenate(lots))], ["key", "cls", "lot"])
 
     keyed = rows.mapInArrow(keys_of, "key long, cls long, lot int").repartition("key")
     often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
@@ -235,7 +242,7 @@ def _members(rows: DataFrame, clusters: DataFrame, width: int, share: int) -> Da
     """The clusters' classes with all that a comparison needs, in blocks of bounded size."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(t.as_py(), width) for t in batch.column(2)]
             columns = [
                 batch.column(0),
@@ -317,7 +324,7 @@ def ngram_join(docs: DataFrame, width: int = 3, share: int = 90) -> DataFrame:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(text.as_py(), width) for text in batch.column(1)]
             digests = [xxhash.xxh3_128_digest(sh.tobytes()) if len(sh) else None for sh in sets]
             columns = [batch.column(0), pa.array([len(sh) for sh in sets], pa.int64()), pa.array(digests, pa.binary())]
