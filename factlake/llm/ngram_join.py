@@ -230,7 +230,9 @@ def _candidates(rows: DataFrame, width: int, share: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(cls), pa.array(np.concatenate(lots))], ["key", "cls", "lot"])
 
     keyed = rows.mapInArrow(keys_of, "key long, cls long, lot int").repartition("key")
-    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
+    # the lot is asked for so that both sides need the same columns, and so the same exchange
+    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.max("lot").alias("top"))
+    often = often.where("low < high and top is not null")
     shared = keyed.join(often.select("key", "n").hint("shuffle_hash"), "key")
     rank = F.row_number().over(Window.partitionBy("cls", "lot").orderBy(F.desc("n"), "key"))
     kept = stored(shared.withColumn("rank", rank).where("lot < 0 or rank > lot % 4096").select("key", "cls"))
