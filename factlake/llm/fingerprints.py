@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from factlake.llm.common import stored
 
 #: Samples of a signature.
-SAMPLES = 32
+SAMPLES = 64
 #: Documents of a stretch of ids that are put in order together, on the average.
 STRETCH = 2000
 
@@ -70,6 +70,24 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return signatures(words.select("doc_id", F.xxhash64("word").alias("term")), ["doc_id"], samples)
 
 
+def quantiles(docs: DataFrame, parts: int) -> list[int]:
+    """The ids, each once and in order, that cut ``docs`` into about ``parts`` parts of as many rows."""
+    if parts < 2:
+        return []
+    at = F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))
+    return sorted(set(docs.agg(at).first()[0] or []))
+
+
+def stretch_of(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of ``cuts`` are not above an id, found by halving; -1 for a null id."""
+    if not cuts:
+        return F.when(doc_id.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # folded into a literal array
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    up = lambda n, step: F.when((n + step <= len(cuts)) & (F.get(table, n + step - 1) <= doc_id), n + step).otherwise(n)
+    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(F.aggregate(steps, F.lit(0), up)).cast("long")
+
+
 def edited_halves(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of all texts and of their edited forms, and how alike they are.
 
@@ -80,15 +98,14 @@ def edited_halves(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     another by a hash of their texts; null ids come last. A null text counts as empty. A document that
     is alone is its own successor.
 
-    Ids are cut into stretches of equal width with some :data:`STRETCH` documents each. All that is
+    Ids are cut into stretches at their quantiles, with some :data:`STRETCH` documents each. All that is
     done to a document happens in the partition of its stretch, so texts are shuffled once; the first
     document of each stretch is fetched for the last one of the stretch above.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    span = rows.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, high = span["low"] or 0, span["high"] or 0
-    width = max(1, -(-(high - low + 1) // max(1, span["n"] // STRETCH)))
-    rows = rows.withColumn("__stretch", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long"))
+    span = rows.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("low")).first()
+    low = span["low"] or 0
+    rows = rows.withColumn("__stretch", stretch_of(F.col("doc_id"), quantiles(rows, span["n"] // STRETCH)))
     # the first document of each stretch, as successor of the last one of the stretch above
     heads = rows.groupBy("__stretch").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(low - 1)).alias("id"), F.xxhash64("text").alias("h"))).alias("head"))
     down, top = Window.orderBy(F.desc("__stretch")), Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -48,3 +48,25 @@ def test_empty_single_nulls_and_repeats(spark):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"ab ab").hexdigest()
     rows = [(5, "ab cd", None), (5, "ab cd", None), (None, None, None), (None, "x y", None)]
     assert fp.edited_halves(spark.createDataFrame(rows, SCHEMA)).count() == 4
+
+
+def test_signature_has_64_samples(spark):
+    assert fp.SAMPLES == 64
+    row = fp.edited_halves(spark.createDataFrame([(5, "ab cd", None), (6, "ab ef", None)], SCHEMA)).first()
+    assert len(row["fingerprint"]) == len(row["edited_fingerprint"]) == 512
+
+
+def test_outlying_ids_leave_stretches_even(spark, monkeypatch):
+    monkeypatch.setattr(fp, "STRETCH", 50)
+    ids = [*range(1000), 10**15, -(10**15)]
+    docs = spark.createDataFrame([(i,) for i in [*ids, None]], "doc_id long")
+    cuts = fp.quantiles(docs, len(ids) // fp.STRETCH)
+    found = {r["doc_id"]: r["s"] for r in docs.select("doc_id", fp.stretch_of(docs.doc_id, cuts).alias("s")).collect()}
+    assert found.pop(None) == -1 and found == {i: sum(c <= i for c in cuts) for i in ids}
+    assert len(set(found.values())) >= 18 and max(Counter(found.values()).values()) <= 100
+
+    made = []
+    real = fp.stretch_of
+    monkeypatch.setattr(fp, "stretch_of", lambda doc_id, cuts: made.append(cuts) or real(doc_id, cuts))
+    rows = [(i, f"text {i}", None) for i in ids]
+    assert fp.edited_halves(spark.createDataFrame(rows, SCHEMA)).count() == len(ids) and len(made[0]) >= 17
