@@ -91,7 +91,7 @@ def e6_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.consolidate(t.facts(spark, sf_dir))
 
 
-_DOCS = """SELECT 'src:' || source AS namespace, CAST(doc_id AS VARCHAR) AS source, '# Rules' || chr(10) || '* ' || text || ' It MUST hold. You may not know. Code SHALL NOT fail!' AS text FROM documents WHERE length(text) < 3000"""
+_DOCS = """SELECT 'src:' || source AS namespace, CAST(doc_id AS VARCHAR) AS source, '# Rules' || chr(10) || '* ' || text || ' It MUST hold. You may not know. Code SHALL NOT fail!' AS text FROM documents"""
 
 
 @query(
