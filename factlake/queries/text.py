@@ -133,11 +133,11 @@ def f20_constraint_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT page_id, '<peer_memory author="' || url || '" trust="untrusted">' || replace(replace(replace(substr(html, 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</peer_memory>' AS envelope
+    """SELECT page_id, '<peer_memory author="' || url || '" trust="untrusted">' || replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</peer_memory>' AS envelope
 FROM (SELECT page_id, html, replace(url, '&', '&amp;') AS url FROM pages)"""
 )
 def f21_peer_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.table(spark, sf_dir, "pages").select("page_id", x.peer_envelope(F.substring("html", 1, 200), F.col("url")).alias("envelope"))
+    return t.table(spark, sf_dir, "pages").select("page_id", x.peer_envelope(F.col("html"), F.col("url")).alias("envelope"))
 
 
 @query()

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from factlake.queries import episodes
+from factlake.queries import text as text_queries
 
 
 def test_long_documents_give_constraints(spark, tmp_path):
@@ -11,3 +12,9 @@ def test_long_documents_give_constraints(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": [1], "text": [text], "lang": ["en"], "source": ["a"], "n_chars": [len(text)]}), tmp_path / "documents.parquet")
     found = {r["statement"] for r in episodes.a11_ingest_constraints(spark, str(tmp_path)).collect()}
     assert found == {"The last one SHALL count.", "It MUST hold.", "You may not know.", "Code SHALL NOT fail!"}
+
+
+def test_whole_pages_are_wrapped(spark, tmp_path):
+    pq.write_table(pa.table({"page_id": [1], "url": ["http://a/"], "html": ["<p>" + "x" * 500 + "</p>"]}), tmp_path / "pages.parquet")
+    found = text_queries.f21_peer_envelope(spark, str(tmp_path)).first()["envelope"]
+    assert found == '<peer_memory author="http://a/" trust="untrusted">&lt;p&gt;' + "x" * 500 + "&lt;/p&gt;</peer_memory>"
