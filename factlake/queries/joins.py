@@ -83,9 +83,9 @@ def j3_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.provenance_of(t.facts(spark, sf_dir), t.turns(spark, sf_dir)).select("id", F.size("turns").cast("long").alias("n"), F.element_at("turns", 1).turn_id.alias("first_turn"))
 
 
-@query("SELECT l_suppkey AS entity, list_sort(list(DISTINCT l_orderkey)) AS memories FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY l_suppkey HAVING count(DISTINCT l_orderkey) >= 12")
+@query("SELECT l_suppkey AS entity, list_sort(list(DISTINCT l_orderkey)) AS memories FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_orderkey) >= 12")
 def j17_entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.entity_clusters(t.table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").selectExpr("l_suppkey as entity", "l_orderkey as memory"), 12)
+    return op.entity_clusters(t.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as entity", "l_orderkey as memory"), 12)
 
 
 @query("SELECT n_nationkey AS role_id, (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 2 = 0) AS members, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS grants FROM nation")

@@ -82,13 +82,13 @@ def v6_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        """, q AS (SELECT 'q' || user_id AS query_id, 'team:' || (user_id % 4) AS namespace, 'User_' || user_id AS entity FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0))
+        """, q AS (SELECT 'q' || user_id AS query_id, 'team:' || (user_id % 4) AS namespace, 'User_' || user_id AS entity FROM (SELECT DISTINCT user_id FROM events))
 SELECT query_id, id, observed_at, statement, CAST(row_number() OVER (PARTITION BY query_id ORDER BY observed_at DESC, id DESC) AS INTEGER) AS rank FROM q JOIN facts f ON f.namespace = q.namespace AND lower(f.subject) = lower(q.entity) QUALIFY rank <= 12""",
         "facts",
     )
 )
 def v8_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = t.table(spark, sf_dir, "events").where("user_id % 3 = 0").select("user_id").distinct()
+    users = t.table(spark, sf_dir, "events").select("user_id").distinct()
     queries = users.selectExpr("concat('q', user_id) as query_id", "concat('team:', user_id % 4) as namespace", "array(concat('User_', user_id)) as entities")
     return op.timeline(queries, t.facts(spark, sf_dir), 12)
 

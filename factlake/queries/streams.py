@@ -92,7 +92,7 @@ def h12_nudges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     oracle(
-        """, s AS (SELECT sender_session AS session_name, max(created_at) AS last_seen FROM messages WHERE id % 40 = 0 GROUP BY 1), u AS (SELECT DISTINCT sender_session AS session_name, channel || (id % 3) AS channel FROM messages WHERE id % 40 = 0),
+        """, s AS (SELECT sender_session AS session_name, max(created_at) AS last_seen FROM messages GROUP BY 1), u AS (SELECT DISTINCT sender_session AS session_name, channel || (id % 3) AS channel FROM messages),
 i AS (SELECT session_name FROM s WHERE last_seen < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 3 DAY), o AS (SELECT * FROM messages WHERE created_at < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 10 DAY),
 k AS (SELECT channel FROM messages WHERE created_at >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 10 DAY UNION SELECT channel FROM u WHERE session_name NOT IN (SELECT session_name FROM i))
 SELECT 'messages' AS kind, count(*) AS n FROM o UNION ALL SELECT 'sessions', count(*) FROM i UNION ALL SELECT 'subscriptions', count(*) FROM u WHERE session_name IN (SELECT session_name FROM i)
@@ -102,7 +102,6 @@ UNION ALL SELECT 'channels', count(*) FROM (SELECT channel FROM messages UNION S
 )
 def h11_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = t.messages(spark, sf_dir)
-    some = messages.where("id % 40 = 0")
-    sessions = some.groupBy(F.col("sender_session").alias("session_name")).agg(F.max("created_at").alias("last_seen"))
-    subs = some.selectExpr("sender_session as session_name", "concat(channel, id % 3) as channel").distinct()
+    sessions = messages.groupBy(F.col("sender_session").alias("session_name")).agg(F.max("created_at").alias("last_seen"))
+    subs = messages.selectExpr("sender_session as session_name", "concat(channel, id % 3) as channel").distinct()
     return op.retention(messages, subs, sessions, F.expr("timestamp_ntz'2024-02-01 00:00:00'"), 10, 3)
