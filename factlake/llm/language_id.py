@@ -23,7 +23,7 @@ from factlake.llm.common import held_by_worker
 
 #: Buckets of hashed features.
 BUCKETS = 1 << 15
-#: A longer word is seen by its first and last halves of this many letters.
+#: A longer word is cut into pieces of this many letters, which are labelled like words.
 LETTERS = 32
 #: Words whose scores one worker remembers.
 CACHE = 400_000
@@ -35,11 +35,17 @@ _EDGES = string.punctuation + string.digits + "«»¿¡…–—“”„‘’
 
 
 def core(word: str) -> str:
-    """A word without the punctuation and digits around it, bounded in length; empty without letters."""
+    """A word of :func:`words_of` without the punctuation and digits around it; empty without letters."""
     word = word.strip(_EDGES)
-    if not any(map(str.isalpha, word)):
-        return ""
-    return word if len(word) <= LETTERS else word[: LETTERS // 2] + word[-LETTERS // 2 :]
+    return word if any(map(str.isalpha, word)) else ""
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, lower-cased, between white space; a long one in consecutive pieces, so that none of it is lost."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= LETTERS:
+        return words
+    return [w[at : at + LETTERS] for w in words for at in range(0, len(w), LETTERS)]
 
 
 def _hash(kind: int, *letters: np.ndarray) -> np.ndarray:
@@ -114,7 +120,7 @@ class LanguageModel:
 
     def label(self, texts: list[str]) -> list[tuple[str, float]]:
         """The language and its share of the posteriors for each of a few texts."""
-        words = [t.lower().split() for t in texts]
+        words = [words_of(t) for t in texts]
         flat = [w for ws in words for w in ws]
         if not flat or not self.labels:
             return [("und", 0.0)] * len(texts)
@@ -210,7 +216,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, stretch: int = 64
     k = len(labels)
     pieces, seen = [], [Counter() for _ in labels]
     for text, lang in zip(texts, langs):
-        own = [c for w in text.lower().split() if (c := core(w))]
+        own = [c for w in words_of(text) if (c := core(w))]
         seen[labels.index(lang)].update(own)
         at = 0
         while at < len(own):

@@ -85,3 +85,12 @@ def test_words_beyond_the_cache(monkeypatch):
     fresh = li.LanguageModel(model.labels, model.weights, model.lexicon, model.moves)
     assert [a for a, _ in one] == [a for a, _ in fresh.label(texts)]
     assert F is not None
+
+
+def test_text_without_white_space_is_read_whole():
+    model = li.train([t for _, t, _, _ in corpus()], [lang for *_, lang in corpus()])
+    rng = random.Random(4)
+    end, inside = "schungeichschung", ",".join("".join(rng.choices(SYLLABLES["en"], k=3)) for _ in range(300))
+    assert len(end) == li.LETTERS // 2 and "".join(li.words_of(end + inside + end)) == end + inside + end
+    (lang, share), = model.label([end + inside + end])
+    assert lang == "en" and share > 0.8
