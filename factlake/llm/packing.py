@@ -10,33 +10,49 @@ from __future__ import annotations
 
 import json
 import os
-import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.common import TwoGenerationCache, byte_letters, held_by_worker, stored
-
-#: Chunks between blanks whose identifiers one worker remembers (two generations of this many).
-CACHE = 400_000
-#: Letters of text that are encoded together.
-AT_ONCE = 300_000
-#: Marks that are split from a word before them whatever they are; not those that begin a special token or a contraction.
-_TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
-#: Rows of one length that are ranked together; a length with more is ranked in parts.
+from factlake.llm.common import byte_letters, held_by_worker, stored
+
+#: Words and other chunks whose identifiers one worker remembers.
+CACHE = 700_000
+#: Bytes of text that are encoded together.
+AT_ONCE = 3_000_000
+#: Identifiers in one Arrow column at most.
+MOST_IDS = 1 << 28
+#: A plain word and the marks after it. The letters (Latin up to U+017F) are in normal form and change case one by
+#: one, but for the dotted I; the marks are split from a word whatever they are, but for those that begin a special
+#: token or a contraction.
+_PLAIN = r"""^(?P<word>[A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+)(?P<marks>[!"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*)$"""
+#: Rows of one length that are ranked together at most; a length with more is ranked in parts.
 RANK_ROWS = 200_000
 
 
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches ``values[start : start + length]``, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return values.take(at)
+
+
 class ChunkEncoder:
-    """Identifiers of whole texts, as little-endian unsigned 32-bit integers.
+    """Identifiers of whole texts, as unsigned 32-bit integers.
 
-    Chunks between blanks do not influence one another, so each is encoded once and cached. A plain
-    word before punctuation, by far the commonest chunk, goes straight to the library's merges.
+    Chunks between blanks do not influence one another, so the distinct ones among many texts are
+    encoded once, and Arrow and numpy lay their identifiers out. A plain word before marks, by far the
+    commonest chunk, goes straight to the library's merges. What a word or another chunk gives is
+    remembered as a stretch of one array.
     """
 
     def __init__(self, path: str):
@@ -52,39 +68,68 @@ class ChunkEncoder:
         # the short way holds for byte-level vocabularies that lower-case and take runs of letters and of marks apart
         self.short = "Lowercase" in str(spec["normalizer"]) and "ByteLevel" in str(spec["pre_tokenizer"]) and r"|[\p{L}]+|" in split
         self.letters = dict(enumerate(byte_letters()))
-        self.chunks = TwoGenerationCache(CACHE)
-
-    def _long(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        word = chunk.rstrip(_TAIL)
-        # Latin letters up to U+024F are in normal form and change case one by one, but for the dotted I
-        if not self.short or not word.isalpha() or not (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
-            return self._long(chunk)
-        known = self.chunks
-        low = word.lower()
-        ids = known.get(low) or known.old.get(low)
-        if ids is None:
-            plain = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(self.letters)
-            found = [t.id for t in self.merge(plain)]
-            ids = known[low] = struct.pack(f"<{len(found)}I", *found)
-        if len(word) == len(chunk):
-            return ids
-        tail = chunk[len(word) :]
-        end = known.get(tail) or known.old.get(tail)
-        if end is None:
-            end = known[tail] = self._long(tail)
-        return ids + end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Identifiers of a few texts."""
-        known = self.chunks
-        known.age()
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        for w in known.recall({*chain.from_iterable(words)}.difference(known)):
-            known[w] = self._chunk(w)
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # the number of a word or chunk; its stretch is starts[number] to starts[number + 1]
+        self.starts, self.ids = np.zeros(1 << 16, np.int64), np.empty(1 << 18, np.uint32)
+
+    def _word(self, low: str) -> list[int]:
+        plain = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(self.letters)
+        return [t.id for t in self.merge(plain)]
+
+    def _long(self, chunk: str) -> list[int]:
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def _numbers(self, parts: pa.Array, encode: Callable[[str], list[int]]) -> np.ndarray:
+        """The numbers of ``parts``, all different; those that are new are encoded."""
+        names = parts.to_numpy(zero_copy_only=False).tolist()
+        first, used = len(self.known), int(self.starts[len(self.known)])
+        found = []
+        for p in names:
+            if p not in self.known:
+                self.known[p] = len(self.known)
+                found.append(encode(p))
+        if found:
+            ends = used + np.cumsum([len(x) for x in found])
+            while len(self.known) >= len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            while ends[-1] > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.starts[first + 1 : first + 1 + len(found)] = ends
+            self.ids[used : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]) - used)
+        return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many identifiers each text has, none of them null, and the identifiers of all, one text after the other."""
+        if len(self.known) > CACHE:
+            self.forget()
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        chunks = split.flatten().dictionary_encode()
+        code = chunks.indices.to_numpy(zero_copy_only=False)
+        distinct = chunks.dictionary
+        parts = pc.extract_regex(distinct, _PLAIN)
+        plain = parts.is_valid() if self.short else pa.array(np.zeros(len(distinct), bool))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        # each chunk is up to two stretches: a word and the marks after it, or the chunk as it is and nothing
+        number = np.zeros((len(distinct), 2), np.int64)
+        there = np.ones((len(distinct), 2), bool)
+        number[~is_plain, 0] = self._numbers(distinct.filter(pc.invert(plain)), self._long)
+        words = pc.utf8_lower(pc.struct_field(parts, "word").filter(plain)).dictionary_encode()
+        marks = pc.struct_field(parts, "marks").filter(plain).dictionary_encode()
+        for column, of, how in ((0, words, self._word), (1, marks, self._long)):
+            known = self._numbers(of.dictionary, how)
+            number[is_plain, column] = known[of.indices.to_numpy(zero_copy_only=False)]
+        there[~is_plain, 1] = False
+        starts = self.starts[number]
+        lengths = np.where(there, self.starts[number + 1] - starts, 0)
+        own = _gather(self.ids, starts.ravel(), lengths.ravel())
+        size = lengths.sum(axis=1)
+        begin = np.cumsum(size) - size
+        ids = _gather(own, begin[code], size[code])
+        at = np.concatenate([[0], np.cumsum(size[code])])
+        edges = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return np.diff(at[edges]), ids
 
 
 def encoder_of(path: str) -> ChunkEncoder:
@@ -100,30 +145,37 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_
     and gives one piece that holds ``end_id`` alone. Repeated rows give repeated pieces; other columns
     are ignored.
     """
-    end, width = np.array([end_id], "<u4").tobytes(), 4 * max_len
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
         for batch in batches:
-            docs, texts, letters = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                docs.append(doc)
-                texts.append(text.as_py())
-                letters += len(texts[-1])
-                if letters >= AT_ONCE:
-                    yield as_batch(docs, encoder.encode(texts))
-                    docs, texts, letters = [], [], 0
-            yield as_batch(docs, encoder.encode(texts))
-
-    def as_batch(docs: list, encoded: list[bytes]) -> pa.RecordBatch:
-        rows = [
-            (doc, k, at // 4, len(ids[at : at + width]) // 4, ids[at : at + width])
-            for doc, ids in zip(docs, (x + end for x in encoded))
-            for k, at in enumerate(range(0, len(ids), width))
-        ]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        columns = zip(*rows) if rows else [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids"])
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:  # a text longer than AT_ONCE is encoded by itself
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE)))
+                some = batch.slice(at, to - at)
+                yield from as_batches(some.column(0), *encoder.encode(some.column(1)))
+                at = to
+
+    def as_batches(docs: pa.Array, n: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids = np.insert(ids, np.cumsum(n), end_id).astype("<u4", copy=False)
+        n = n + 1
+        pieces = -(-n // max_len)
+        first = np.cumsum(pieces) - pieces
+        owner = np.repeat(np.arange(len(n)), pieces)
+        piece = np.arange(len(owner)) - first[owner]
+        start = piece * max_len
+        length = np.minimum(n[owner] - start, max_len)
+        ends = np.cumsum(length)
+        row = 0
+        while row < len(piece):
+            to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + MOST_IDS, side="right")))
+            low = int(ends[row - 1]) if row else 0
+            edges = np.concatenate([[0], ends[row:to] - low]).astype(np.int32) * 4
+            binary = pa.Array.from_buffers(pa.binary(), to - row, [None, pa.py_buffer(edges), pa.py_buffer(ids[low : ends[to - 1]])])
+            columns = [docs.take(pa.array(owner[row:to])), pa.array(piece[row:to], pa.int32()), pa.array(start[row:to]), pa.array(length[row:to]), binary]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
+            row = to
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
@@ -170,9 +222,13 @@ def with_slots(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = np.array(best_fit_plan(counts, max_len), dtype=np.int64).reshape(-1, 5)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
-    parts = max(1, -(-sum(counts.values()) // RANK_ROWS))
-    spread = pieces.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
-    # where each part of a length begins; at most max_len x parts rows
+    # a length that has more than a task's share of the rows is ranked in parts
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = min(RANK_ROWS, max(200, sum(counts.values()) // tasks))
+    parts = F.lit(",".join(str(-(-counts.get(n, 1) // each)) for n in range(1, max_len + 1)))
+    of_length = F.element_at(F.split(parts, ",").cast("array<bigint>"), F.col("length").cast("int"))
+    spread = pieces.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece"), of_length))
+    # where each part of a length begins; a few rows for each task, and one for each length
     begins = (
         spread.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__begin", F.sum("__n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
