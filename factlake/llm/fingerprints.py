@@ -6,47 +6,69 @@ word draws ``r`` and ``c`` from Gamma(2, 1) and ``b`` from (0, 1) by its hash, r
 and ``t`` of the least ``a`` are the sample. Two bags share a sample with a probability equal to their
 generalised Jaccard similarity (sum of minima over sum of maxima of the weights).
 
-The gamma variates are sums of two exponentials, drawn from 24 bits of hash each, all in generated code.
+The gamma variates are sums of two exponentials, drawn from 24 bits of hash each, all in generated code. A text
+and its edited form share the draws of their words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.llm.common import stored
 
-#: Samples of a signature.
+#: Samples of a signature. A likeness has a standard error of at most 0.5 / sqrt(SAMPLES), here 0.0625.
 SAMPLES = 64
+#: Samples that one row draws: so few that generated code stays small enough to be compiled to machine code.
+TOGETHER = 4
 #: Documents of a stretch of ids that are put in order together, on the average.
 STRETCH = 2000
+#: Stretches at most; beyond, they grow. Bounds the cuts in the plan and the rows that are ordered in one task.
+MOST_STRETCHES = 65_536
 
 
-def _sample(term: Column, log_weight: Column, place: int) -> Column:
-    """``a`` in the upper 31 bits, in an order-keeping form, and a hash of the word and ``t`` in the lower 32."""
-    g = F.xxhash64(term, F.lit(place))
+def _draws(term: Column, place: Column) -> dict[str, Column]:
+    """What a word draws at a place: a hash, and from it ``r``, ``ln c`` and ``b``."""
+    g = F.xxhash64(term, place)
     h = F.xxhash64(g)
     # 24 bits from a place of a hash, inside (0, 1)
     u = lambda x, at: (F.shiftrightunsigned(x, at).bitwiseAND(F.lit(0xFFFFFF).cast("long")).cast("double") + 0.5) * (1.0 / (1 << 24))
-    r = -F.log(u(g, 40) * u(g, 16))
-    log_c = F.log(-F.log(u(h, 40) * u(h, 16)))
     b = h.bitwiseAND(F.lit(0xFFFF).cast("long")).cast("double") * (1.0 / (1 << 16))
+    return {"g": g, "r": -F.log(u(g, 40) * u(g, 16)), "c": F.log(-F.log(u(h, 40) * u(h, 16))), "b": b}
+
+
+def _sample(g: Column, r: Column, log_c: Column, b: Column, log_weight: Column) -> Column:
+    """``a`` in the upper 31 bits, in an order-keeping form, and a hash of the word and ``t`` in the lower 32."""
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + 1)
     ordered = F.least(F.greatest((log_a + 64.0) * float(1 << 24), F.lit(0.0)), F.lit(float((1 << 31) - 1))).cast("long")
-    return F.shiftleft(ordered, 32).bitwiseOR(F.hash(g, t).cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    packed = F.shiftleft(ordered, 32).bitwiseOR(F.hash(g, t).cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    return F.when(log_weight.isNotNull(), packed)
 
 
-def signatures(words: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``(*keys, fingerprint)`` of ``words(*keys, term)``, with a row for each word as often as it stands in a text.
+def signatures(words: DataFrame, keys: list[str], names: Sequence[str] = ("fingerprint",), samples: int = SAMPLES) -> DataFrame:
+    """``(*keys, *names)`` of ``words(*keys, side, term)``, with a row for each word as often as it stands in a text.
 
-    ``term`` is a 64-bit hash of the word. Both aggregations group by ``keys``; where ``words`` is
-    partitioned by some of them, nothing is shuffled.
+    ``term`` is a 64-bit hash of the word. The texts of a key, one for each of ``names``, are told apart
+    by ``side``, the place of the name; they share their draws. A text without words gets null. All
+    aggregations group by ``keys`` first; where ``words`` is partitioned by some of them, nothing is shuffled.
     """
-    weighted = words.groupBy(*keys, "term").agg(F.log(F.count(F.lit(1)).cast("double")).alias("log_weight"))
-    least = weighted.groupBy(*keys).agg(*(F.min(_sample(F.col("term"), F.col("log_weight"), i)).alias(f"__m{i}") for i in range(samples)))
-    low = lambda i: F.lpad(F.lower(F.hex(F.col(f"__m{i}").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), 8, "0")
-    return least.select(*keys, F.concat(*map(low, range(samples))).alias("fingerprint"))
+    sides, each = range(len(names)), range(min(TOGETHER, samples))
+    # the logarithm of 0 is null: nothing is sampled there
+    weights = [F.log(F.count_if(F.col("side") == k).cast("double")).alias(f"__w{k}") for k in sides]
+    rows = words.groupBy(*keys, "term").agg(*weights)
+    rows = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // len(each)) - 1))))
+    for j in each:
+        rows = rows.withColumns({f"__{k}{j}": v for k, v in _draws(F.col("term"), F.col("__block") * len(each) + j).items()})
+    sample = lambda k, j: _sample(*(F.col(f"__{x}{j}") for x in "grcb"), F.col(f"__w{k}"))
+    least = rows.groupBy(*keys, "__block").agg(*(F.min(sample(k, j)).alias(f"__m{k}_{j}") for k in sides for j in each))
+    low = lambda k, j: F.lpad(F.lower(F.hex(F.col(f"__m{k}_{j}").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), 8, "0")
+    part = lambda k: F.struct("__block", F.concat(*(low(k, j) for j in each)).alias("part"))
+    parts = least.groupBy(*keys).agg(*(F.collect_list(part(k)).alias(f"__p{k}") for k in sides))
+    whole = lambda k: F.substring(F.array_join(F.transform(F.array_sort(f"__p{k}"), lambda p: p.part), ""), 1, 8 * samples)
+    return parts.select(*keys, *(F.when(F.element_at(f"__p{k}", 1).part.isNotNull(), whole(k)).alias(n) for k, n in enumerate(names)))
 
 
 def words_of(text: Column) -> Column:
@@ -67,7 +89,7 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     ignored. Equal bags have equal fingerprints.
     """
     words = docs.select("doc_id", F.explode(words_of(F.coalesce("text", F.lit("")))).alias("word"))
-    return signatures(words.select("doc_id", F.xxhash64("word").alias("term")), ["doc_id"], samples)
+    return signatures(words.select("doc_id", F.lit(0).alias("side"), F.xxhash64("word").alias("term")), ["doc_id"], samples=samples)
 
 
 def quantiles(docs: DataFrame, parts: int) -> list[int]:
@@ -105,7 +127,7 @@ def edited_halves(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     span = rows.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("low")).first()
     low = span["low"] or 0
-    rows = rows.withColumn("__stretch", stretch_of(F.col("doc_id"), quantiles(rows, span["n"] // STRETCH)))
+    rows = rows.withColumn("__stretch", stretch_of(F.col("doc_id"), quantiles(rows, min(span["n"] // STRETCH, MOST_STRETCHES))))
     # the first document of each stretch, as successor of the last one of the stretch above
     heads = rows.groupBy("__stretch").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(low - 1)).alias("id"), F.xxhash64("text").alias("h"))).alias("head"))
     down, top = Window.orderBy(F.desc("__stretch")), Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -123,11 +145,11 @@ def edited_halves(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("__lead", "__head"), F.lit(1), half))
     placed = placed.withColumn("__edited", edited)
 
-    both = placed.select("__stretch", "__at", F.explode(F.array(F.struct(F.lit(False).alias("e"), F.col("text").alias("t")), F.struct(F.lit(True).alias("e"), F.col("__edited").alias("t")))).alias("x"))
-    words = both.select("__stretch", "__at", F.col("x.e").alias("__e"), F.explode(words_of(F.col("x.t"))).alias("word"))
-    signed = signatures(words.select("__stretch", "__at", "__e", F.xxhash64("word").alias("term")), ["__stretch", "__at", "__e"], samples)
-    of = lambda e: F.max(F.when(F.col("__e") == e, F.col("fingerprint")))
-    signed = signed.groupBy("__stretch", "__at").agg(of(False).alias("fingerprint"), of(True).alias("edited_fingerprint"))
+    halves = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("__edited").alias("t")))
+    both = placed.select("__stretch", "__at", F.explode(halves).alias("x"))
+    words = both.select("__stretch", "__at", F.col("x.side").alias("side"), F.explode(words_of(F.col("x.t"))).alias("word"))
+    words = words.select("__stretch", "__at", "side", F.xxhash64("word").alias("term"))
+    signed = signatures(words, ["__stretch", "__at"], ["fingerprint", "edited_fingerprint"], samples)
     facts = placed.select(
         "__stretch", "__at", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"),
         F.when(F.col("__lead").isNull(), F.col("__below")).otherwise(F.col("__stretch")).alias("__next_stretch"),
