@@ -38,6 +38,11 @@ BITMAP = 16
 #: Ids up to this many are broadcast to fetch the texts of clustered classes; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
+#: Classes, about, among which hot keys are looked for, and how many of these there may be.
+HOT_SAMPLE, HOT_KEYS = 6_000, 2_000
+#: Tasks that a hot key is dealt to.
+SALTS = 32
+
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -202,41 +207,67 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _without(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The ``rows`` whose id is not among ``ids``, which are broadcast if they are few."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+def _without(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """The ``rows`` that are not among ``copies(doc_id, print)``, which are broadcast if they are few."""
+    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(copies) if few else copies, ["doc_id", "print"], "left_anti")
 
 
-def _candidates(rows: DataFrame, width: int, share: int) -> DataFrame:
-    """Edges ``(a, b)`` from each class to the smallest class that shares a key with it.
+def _hot_keys(rows: DataFrame, n: int, width: int, share: int) -> np.ndarray:
+    """Keys that so many of the ``n`` classes have that they should not meet in one task, in order.
 
-    ``rows`` holds one document of each class, which names it. The keys are dealt out once; both sides
-    of the join read that exchange. Keys of a single class, by far the most, end in the aggregation. Of
-    the others each class leaves out as many of the most frequent as :func:`signatures` allows, so that
-    passages that many documents share do not tie them together.
+    They are those of a thousandth of about :data:`HOT_SAMPLE` classes drawn by hash, at most
+    :data:`HOT_KEYS`. What a sample misses or adds changes how the work is dealt out, never the result.
     """
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(min(1.0, HOT_SAMPLE / max(n, 1)) * (1 << 40)))
+    often = _keyed(drawn, width, share, np.empty(0, np.int64)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = often.where(F.col("n") > HOT_SAMPLE / 1000).orderBy(F.desc("n"), "key").limit(HOT_KEYS)
+    return np.array(sorted(r["key"] for r in found.collect()), np.int64)
+
+
+def _keyed(rows: DataFrame, width: int, share: int, hot: np.ndarray) -> DataFrame:
+    """``(key, cls, lot, salt)`` of all keys of ``rows``; the salt is -1 but for keys among ``hot``."""
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            found, lots, n = [], [], []
+            found, lots, n = [np.empty(0, np.int64)], [np.empty(0, np.int32)], []
             for text in batch.column(1):
                 sh = shingles(text.as_py(), width)
                 own = signatures(sh, share) if len(sh) else ([], [])
                 found.append(np.array(own[0], np.int64))
                 lots.append(np.array(own[1], np.int32))
                 n.append(len(own[0]))
-            cls = np.repeat(np.array(batch.column(0)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(cls), pa.array(np.concatenate(lots))], ["key", "cls", "lot"])
-
-    keyed = rows.mapInArrow(keys_of, "key long, cls long, lot int").repartition("key")
-    # the lot is asked for so that both sides need the same columns, and so the same exchange
-    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.max("lot").alias("top"))
-    often = often.where("low < high and top is not null")
-    shared = keyed.join(often.select("key", "n").hint("shuffle_hash"), "key")
+            key, cls = np.concatenate(found), np.repeat(np.array(batch.column(0), np.int64), n)
+            salt = np.full(len(key), -1, np.int32)
+            if len(hot):
+                at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key)
+                salt[at] = _mix(cls[at].astype(np.uint64)) % np.uint64(SALTS)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), pa.array(np.concatenate(lots)), pa.array(salt)], ["key", "cls", "lot", "salt"])
+
+    return rows.select("doc_id", "text").mapInArrow(keys_of, "key long, cls long, lot int, salt int")
+
+
+def _candidates(rows: DataFrame, n: int, width: int, share: int) -> DataFrame:
+    """Edges ``(a, b)`` from each class to the smallest class that shares a key with it.
+
+    ``rows`` holds one document of each of the ``n`` classes, which names it. The keys are dealt out once,
+    hot ones over :data:`SALTS` tasks; both sides of the join read that exchange. Keys of a single class,
+    by far the most, end in the aggregation. Of the others each class leaves out as many of the most
+    frequent as :func:`signatures` allows, so that passages that many documents share do not tie them together.
+    """
+    keyed = _keyed(rows, width, share, _hot_keys(rows, n, width, share)).where("key is not null and salt is not null").repartition("key", "salt")
+    # all columns are asked for, and hot keys are told by an aggregate, so that all readers need the same exchange
+    parts = keyed.groupBy("key", "salt").agg(
+        F.count(F.lit(1)).alias("n"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.max("lot").alias("top"), F.max("salt").alias("hot")
+    )
+    parts = parts.where("top is not null")
+    hot = parts.where("hot >= 0").groupBy("key").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    hot = hot.where("low < high").select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "n")
+    often = parts.where("hot < 0 and low < high").select("key", "salt", "n").unionAll(hot)
+    shared = keyed.join(often.hint("shuffle_hash"), ["key", "salt"])
     rank = F.row_number().over(Window.partitionBy("cls", "lot").orderBy(F.desc("n"), "key"))
     kept = stored(shared.withColumn("rank", rank).where("lot < 0 or rank > lot % 4096").select("key", "cls"))
-    low = kept.groupBy("key").agg(F.min("cls").alias("low"))
+    low = stored(kept.groupBy("key").agg(F.min("cls").alias("low")))  # a scan, so that Spark can split skewed keys of the join
     return kept.join(low, "key").where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
 
 
@@ -319,26 +350,30 @@ def ngram_join(docs: DataFrame, width: int = 3, share: int = 90) -> DataFrame:
     Two documents link when ``100 * |common| >= share * |union|`` of their distinct word n-grams
     (lower-cased A-Z, words between ASCII blanks; with fewer words the whole sequence is one n-gram).
     ``component_id`` is the smallest ``doc_id`` that links reach. A text that is null, empty or blank
-    has no n-grams and links with nothing. Repeated rows are equal documents. Rows whose ``doc_id`` is
-    null are left out, as they can't be named. Other columns are ignored. N-grams are compared by
-    64-bit hashes.
+    has no n-grams and links with nothing. Repeated rows are equal documents; rows that share an id but
+    not a text are judged each by its own text. Rows whose ``doc_id`` is null can't be named: they link with nothing
+    and their component is null. Texts are read whole, however long; other columns are ignored; an empty
+    table gives no rows. N-grams are compared by 64-bit hashes.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("print", F.xxhash64("text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets = [shingles(text.as_py(), width) for text in batch.column(1)]
             digests = [xxhash.xxh3_128_digest(sh.tobytes()) if len(sh) else None for sh in sets]
-            columns = [batch.column(0), pa.array([len(sh) for sh in sets], pa.int64()), pa.array(digests, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest"])
-
-    digested = stored(rows.mapInArrow(digest, "doc_id long, n_shingles long, digest binary"))
-    classes = digested.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("cls"))
-    copies = stored(digested.join(classes, "digest").where("doc_id <> cls").select("doc_id").distinct())
-    clusters = connected_components(_candidates(_without(rows, copies), width, share))
-    labels = connected_components(_links(_members(rows, clusters, width, share), share))
-    return (
-        digested.join(classes, "digest", "left")
-        .join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "cls", "doc_id").alias("component_id"))
-    )
+            columns = [batch.column(0), batch.column(2), pa.array([len(sh) for sh in sets], pa.int64()), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "n_shingles", "digest"])
+
+    digested = stored(rows.mapInArrow(digest, "doc_id long, print long, n_shingles long, digest binary"))
+    linked = digested.where("digest is not null and doc_id is not null")
+    # classes are written, so that joins with them are of two scans, whose skewed digests Spark splits
+    classes = stored(linked.groupBy("digest").agg(F.min(F.struct("doc_id", "print")).alias("first")).select("digest", "first.*"))
+    first = classes.select("digest", F.col("doc_id").alias("cls"), F.col("print").alias("own"))
+    copies = stored(linked.join(first, "digest").where("doc_id <> cls or print <> own").select("doc_id", "print").distinct())
+    single = _without(rows.where("doc_id is not null"), copies)
+    clusters = connected_components(_candidates(single, classes.count(), width, share))
+    labels = connected_components(_links(_members(single, clusters, width, share), share))
+    named = stored(first.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("digest", F.coalesce("component", "cls").alias("component_id")))
+    alone = digested.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.join(named, "digest").select("doc_id", "n_shingles", "component_id").unionAll(alone)
