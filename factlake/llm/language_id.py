@@ -16,7 +16,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.llm.common import held_by_worker
@@ -27,6 +27,10 @@ BUCKETS = 1 << 15
 LETTERS = 32
 #: Words whose scores one worker remembers.
 CACHE = 400_000
+#: Languages that are learned, the commonest first; a column with more values is not one of languages.
+MOST_LANGUAGES = 200
+#: So many familiar words are added to each text's own before its familiarity is taken, as short texts can't be told.
+DOUBT = 10
 #: Words that are labelled at a time.
 AT_ONCE = 200_000
 #: Words between two looks at a chain's state; see :func:`posteriors`.
@@ -77,6 +81,11 @@ def word_features(words: list[str]) -> np.ndarray:
     return np.concatenate(found, axis=1)
 
 
+def trigrams(words: list[str]) -> int:
+    """How many of the last columns of :func:`word_features` stand for 3-grams."""
+    return max(map(len, words)) + 2
+
+
 @dataclass
 class LanguageModel:
     """Weights of features by language, the lexicon's own weights, and transitions (logarithms)."""
@@ -85,9 +94,13 @@ class LanguageModel:
     weights: np.ndarray
     lexicon: dict[str, int]
     moves: np.ndarray
+    #: Which buckets of 3-grams the training words fill, and the familiarity that all but strange texts have.
+    seen: np.ndarray | None = None
+    least_familiar: float = 0.0
     known: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
     letters: np.ndarray | None = None
+    shares: np.ndarray | None = None
 
     @property
     def name(self) -> str:
@@ -95,35 +108,47 @@ class LanguageModel:
         return hashlib.sha256(self.weights.tobytes() + self.moves.tobytes()).hexdigest()
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "scores": None, "letters": None}
+        return self.__dict__ | {"known": {}, "scores": None, "letters": None, "shares": None}
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of each word by language."""
-        out = np.zeros((len(words), len(self.labels)))
+        return self._judged(words)[0]
+
+    def _judged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of each word by language, and the share of its 3-grams that training words have."""
+        out, shares = np.zeros((len(words), len(self.labels))), np.zeros(len(words))
         for low, high in ((1, 12), (12, LETTERS + 1)):  # padding follows the longest word
             for at in range(0, len(words), 8192):
                 some = [i for i in range(at, min(at + 8192, len(words))) if low <= len(words[i]) < high]
                 if some:
                     own = [words[i] for i in some]
                     lexical = np.array([self.lexicon.get(w, -1) for w in own])
-                    out[some] = self.weights[word_features(own)].sum(axis=1) + self.weights[BUCKETS + 1 + lexical] * (lexical >= 0)[:, None]
-        return out
+                    features = word_features(own)
+                    out[some] = self.weights[features].sum(axis=1) + self.weights[BUCKETS + 1 + lexical] * (lexical >= 0)[:, None]
+                    if self.seen is not None:
+                        shares[some] = self.seen[features[:, -trigrams(own) :]].sum(axis=1) / np.array([len(w) for w in own])
+        return out, shares
 
     def _learn(self, new: list[str]) -> None:
         if self.scores is None:
             self.scores, self.letters = np.zeros((CACHE + AT_ONCE, len(self.labels))), np.zeros(CACHE + AT_ONCE, bool)
+            self.shares = np.zeros(CACHE + AT_ONCE)
         cores = [core(w) for w in new]
         at = len(self.known)
-        self.scores[at : at + len(new)] = self.emissions(cores)
+        self.scores[at : at + len(new)], self.shares[at : at + len(new)] = self._judged(cores)
         self.letters[at : at + len(new)] = [bool(c) for c in cores]
         self.known.update(zip(new, range(at, at + len(new))))
 
     def label(self, texts: list[str]) -> list[tuple[str, float]]:
         """The language and its share of the posteriors for each of a few texts."""
+        return [(lang, share) for lang, share, _ in self.judge(texts)]
+
+    def judge(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """For each of a few texts its language, that language's share of the posteriors, and its familiarity."""
         words = [words_of(t) for t in texts]
         flat = [w for ws in words for w in ws]
         if not flat or not self.labels:
-            return [("und", 0.0)] * len(texts)
+            return [("und", 0.0, 0.0)] * len(texts)
         if len(self.known) > CACHE:
             self.known = {}
         new = [w for w in {*flat} if w not in self.known]
@@ -132,16 +157,19 @@ class LanguageModel:
                 return self._label_uncached(words, flat)
             self._learn(new[at : at + AT_ONCE])
         at = np.array([self.known[w] for w in flat])
-        return self._decide([len(ws) for ws in words], self.scores[at], self.letters[at])
+        return self._decide([len(ws) for ws in words], self.scores[at], self.letters[at], self.shares[at])
 
-    def _label_uncached(self, words: list[list[str]], flat: list[str]) -> list[tuple[str, float]]:
+    def _label_uncached(self, words: list[list[str]], flat: list[str]) -> list[tuple[str, float, float]]:
         cores = [core(w) for w in flat]
-        return self._decide([len(ws) for ws in words], self.emissions(cores), np.array([bool(c) for c in cores]))
+        scores, shares = self._judged(cores)
+        return self._decide([len(ws) for ws in words], scores, np.array([bool(c) for c in cores]), shares)
 
-    def _decide(self, lengths: list[int], scores: np.ndarray, letters: np.ndarray) -> list[tuple[str, float]]:
+    def _decide(self, lengths: list[int], scores: np.ndarray, letters: np.ndarray, shares: np.ndarray) -> list[tuple[str, float, float]]:
         sums = posteriors(scores, letters, np.array(lengths), self.moves)
         best, total = sums.argmax(axis=1), sums.sum(axis=1)
-        return [(self.labels[b], float(min(1.0, s[b] / t))) if t > 0 else ("und", 0.0) for b, s, t in zip(best, sums, total)]
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        known = (np.bincount(owner, shares * letters, len(lengths)) + DOUBT) / (np.bincount(owner, letters, len(lengths)) + DOUBT)
+        return [(self.labels[b], float(min(1.0, s[b] / t)), k) if t > 0 else ("und", 0.0, 0.0) for b, s, t, k in zip(best, sums, total, known.tolist())]
 
 
 def posteriors(scores: np.ndarray, counted: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -225,7 +253,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, stretch: int = 64
             at += step
     total = sum(seen, Counter())
     lexicon = {w: j for j, c in enumerate(seen) for w, n in c.items() if n >= 4 and n > 0.7 * total[w]}
-    model = LanguageModel(labels, np.zeros((BUCKETS + 1 + k, k)), lexicon, np.zeros((k, k)))
+    model = LanguageModel(labels, np.zeros((BUCKETS + 1 + k, k)), lexicon, np.zeros((k, k)), np.zeros(BUCKETS + 1, bool))
     model.moves[:] = np.log(1 / k) if k else 0
     words = sorted(total)
     if not words:
@@ -233,6 +261,8 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, stretch: int = 64
     # one more feature: the word's entry in the lexicon
     width = max(map(len, words))
     features = word_features([*words, "x" * width])[:-1]
+    model.seen[features[:, -trigrams(words) :]] = True
+    model.seen[BUCKETS] = False
     lexical = np.array([BUCKETS + 1 + lexicon[w] if w in lexicon else BUCKETS for w in words], np.int32)
     features = np.concatenate([features, lexical[:, None]], axis=1)
     number = {w: i for i, w in enumerate(words)}
@@ -277,27 +307,47 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, stretch: int = 64
     return model
 
 
-def training_texts(docs: DataFrame, where: Column, per_language: int, chars: int) -> tuple[list[str], list[str]]:
-    """About ``per_language`` texts of each language, drawn by hash, and of each at most ``chars`` letters
-    from a place drawn by hash. These bounds hold at every size of the corpus."""
+def training_texts(docs: DataFrame, where: Column, per_language: int, letters: int) -> tuple[list[str], list[str]]:
+    """About ``per_language`` whole texts of each language, drawn by hash, or fewer: in the order of the hash
+    as many as have ``letters`` letters together, but one at least. Of more than :data:`MOST_LANGUAGES` values
+    the commonest are learned. These bounds hold at every size of the corpus."""
     rows = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return [], []
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(min(1.0, per_language / n) * (1 << 40))))
-    begin = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - chars, F.lit(0)) + 1)
-    drawn = rows.where(keep).select("doc_id", "lang", F.substr("text", begin.cast("int") + 1, F.lit(chars)).alias("text")).collect()
-    drawn.sort(key=lambda r: (r["lang"], r["doc_id"] or 0, r["text"]))
-    return [r["text"] for r in drawn], [r["lang"] for r in drawn]
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    rows = rows.join(F.broadcast(counts), "lang").withColumn("h", drawn).where(F.col("h") < F.lit(per_language * float(1 << 40)) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length("text")).over(order), F.lit(0)) + F.length("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    found = rows.withColumn("first", first).where((F.col("before") <= letters) | (F.col("first") == 1)).select("doc_id", "lang", "text").collect()
+    found.sort(key=lambda r: (r["lang"], r["doc_id"] or 0, r["text"]))
+    return [r["text"] for r in found], [r["lang"] for r in found]
+
+
+def calibrated(model: LanguageModel, texts: list[str], langs: list[str], fold: int = 5) -> LanguageModel:
+    """Set ``least_familiar``: half the least familiarity that texts of the sample have when the 3-grams of
+    all texts but those of their own fold are known."""
+    parts = [[[c for w in words_of(t) if (c := core(w))] for t in texts[k::fold]] for k in range(fold)]
+    least = 1.0
+    for k, own in enumerate(parts):
+        others = sorted({w for j, p in enumerate(parts) if j != k for words in p for w in words})
+        seen = np.zeros(BUCKETS + 1, bool)
+        if others:
+            seen[word_features(others)[:, -trigrams(others) :]] = True
+            seen[BUCKETS] = False
+        for words in own if others else []:
+            shares = seen[word_features(words)[:, -trigrams(words) :]].sum(axis=1) / np.array([len(w) for w in words]) if words else np.ones(1)
+            least = min(least, float((shares.sum() + DOUBT) / (len(shares) + DOUBT)))
+    return replace(model, least_familiar=least / 2)
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (0 to 1) to the columns ``keep`` (default: ``doc_id``) of ``docs``.
+    """Add ``lang_pred``, ``score`` and ``familiar`` (both 0 to 1) to the columns ``keep`` (default: ``doc_id``) of ``docs``.
 
-    Texts are read whole. A text that is null or has no letter gets ``und`` and score 0, as does every
-    text when the model has learned no language. Repeated rows give repeated results.
+    ``score`` is the language's share of the words' posteriors, which tells the learned languages from one
+    another; ``familiar`` is the share of the words' 3-grams that training words have, on the average over
+    the words, which tells them from anything else. Texts are read whole, however long. A text that is
+    null or has no letter gets ``und`` and 0, as does every text when the model has learned no language.
+    Repeated rows give repeated results; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
@@ -305,24 +355,25 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_at = held.value
-        own = held_by_worker(("languages", found_at.name), lambda: replace(found_at, known={}, scores=None, letters=None))
+        own = held_by_worker(("languages", found_at.name), lambda: replace(found_at, known={}, scores=None, letters=None, shares=None))
         for batch in batches:
-            found: list[tuple[str, float]] = []
+            found: list[tuple[str, float, float]] = []
             few: list[str] = []
             letters = 0
             for text in batch.column("text"):
                 few.append(text.as_py() or "")
                 letters += len(few[-1])
                 if letters > 6 * AT_ONCE:
-                    found += own.label(few)
+                    found += own.judge(few)
                     few, letters = [], 0
-            found += own.label(few) if few else []
+            found += own.judge(few) if few else []
             columns = [batch.column(c) for c in keep]
-            columns += [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+            names, scores, familiar = zip(*found) if found else ((), (), ())
+            columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(familiar, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score", "familiar"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(labelled, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(labelled, f"{schema}, lang_pred string, score double, familiar double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -330,6 +381,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def language_model(docs: DataFrame, per_language: int = 400, chars: int = 1500) -> LanguageModel:
+def language_model(docs: DataFrame, per_language: int = 200, letters: int = 500_000) -> LanguageModel:
     """Fit on the labelled documents that are not held out (a null ``doc_id`` is held out)."""
-    return train(*training_texts(docs, F.coalesce(~held_out(F.col("doc_id")), F.lit(False)), per_language, chars))
+    texts, langs = training_texts(docs, F.coalesce(~held_out(F.col("doc_id")), F.lit(False)), per_language, letters)
+    return calibrated(train(texts, langs), texts, langs)
