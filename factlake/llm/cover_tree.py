@@ -1,69 +1,99 @@
 """Exact near-duplicate pairs of embeddings by cover trees (operator 7).
 
-Vectors with equal components are one class. Classes of a group (equal label and dimension) are cut
-into blocks of bounded size; each block gets a cover tree, whose levels cover their nodes' members by
-balls of halving radii. Two trees are descended together, and a pair of nodes is dropped when its
-centres lie further apart than both covering radii and the threshold distance allow. The same bound
-drops whole pairs of cells, the balls around a bounded sample of centres that large groups are dealt to.
+Vectors with equal components are one class. The tree of a group (equal label and dimension) has its upper
+levels in Spark: a node with more than a block of members deals them to centres drawn from them, each member
+to its nearest, again and again until nodes are small. Each small node then gets a cover tree of its own,
+whose levels cover its members by balls of halving radii; it is built once and stored flattened.
+
+Both parts are descended in pairs. Two nodes are dropped when their centres lie further apart than both
+covering radii and the threshold distance allow, and wholly linked, without comparing their members, when
+the centres lie so close that no two members can be further apart than the threshold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factlake.llm.common import connected_components, sorted_groups, stored
 
-#: Classes in a block.
+#: Members of a node that are not dealt out further; such a node is a block.
 BLOCK = 1024
-#: Centres of a large group, at most.
-CENTRES = 128
-#: Centres of all groups that are broadcast, at most; beyond, large groups are dealt to blocks by hash alone.
-MOST_CENTRES = 20_000
-#: Members of a node that is not split further.
+#: Centres that a node is dealt to, at most, on the average.
+CENTRES = 64
+#: Members of a node that are dealt to its centres in one task, on the average.
+DEALT = 50_000
+#: Levels in Spark, at most. Nodes that are still large then, or whose members all lie nearest to one centre, are cut into blocks by hash.
+DEPTH = 16
+#: Members of a node of a block's tree that is not split further.
 LEAF = 16
 #: Room for rounding in bounds on distances.
 SLACK = 1e-7
 
 
-@dataclass
-class Node:
-    centre: int
-    radius: float
-    members: np.ndarray
-    children: list[Node]
+class CoverTree:
+    """A flattened tree over the rows of ``x`` (unit vectors), which it reorders: ``order`` names them as they were.
 
+    Row ``i`` of ``nodes`` is (centre, radius, first child, children, start, end); the members of a node are
+    the rows ``start`` to ``end``, and its radius truly covers them. Children stand side by side.
+    """
 
-def cover_tree(x: np.ndarray) -> Node:
-    """The tree of the rows of ``x`` (unit vectors). Radii are the true covering radii."""
-    distance = np.sqrt(np.maximum(2 - 2 * (x @ x.T), 0))
-
-    def grow(centre: int, members: np.ndarray, radius: float) -> Node:
-        node = Node(centre, radius, members, [])
-        if len(members) > LEAF and radius > SLACK:
-            left = members
-            near = distance[centre, left]
-            at = centre
-            while len(left):
-                near = distance[at, left]
-                own = near <= radius / 2
-                node.children.append(grow(at, left[own], float(near[own].max())))
-                left = left[~own]
-                at = int(left[0]) if len(left) else at
-        return node
-
-    everyone = np.arange(len(x))
-    return grow(0, everyone, float(distance[0].max()))
+    def __init__(self, nodes: np.ndarray, order: np.ndarray, computed: int = 0):
+        self.nodes, self.order, self.computed = nodes, order, computed
+        self.centre, self.first, self.children, self.start, self.end = (nodes[:, k].astype(np.int64) for k in (0, 2, 3, 4, 5))
+        self.radius = nodes[:, 1]
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> CoverTree:
+        """Grow level by level: within a node, a member that no child covers yet becomes the centre of the next one."""
+        apart = lambda at, some: np.sqrt(np.maximum(2 - 2 * (x[some] @ x[at]), 0))
+        everyone = np.arange(len(x))
+        near = apart(0, everyone)
+        computed = len(x)
+        found = [[0, float(near.max()), 0, 0, everyone, near]]
+        at = 0
+        while at < len(found):
+            centre, radius, _, _, members, near = found[at]
+            if len(members) > LEAF and radius > SLACK:
+                found[at][2] = len(found)
+                left = members
+                while len(left):
+                    own = near <= radius / 2
+                    found.append([centre, float(near[own].max()), 0, 0, left[own], near[own]])
+                    found[at][3] += 1
+                    left = left[~own]
+                    if len(left):
+                        centre = int(left[0])
+                        near = apart(centre, left)
+                        computed += len(left)
+            at += 1
+        # children come after their parents, so places are handed down in order
+        start, order = np.zeros(len(found), np.int64), np.zeros(len(x), np.int64)
+        for i, (_, _, first, n, members, _) in enumerate(found):
+            place = start[i]
+            if not n:
+                order[place : place + len(members)] = members
+            for k in range(first, first + n):
+                start[k] = place
+                place += len(found[k][4])
+        where = np.empty(len(x), np.int64)
+        where[order] = everyone
+        rows = [(where[c], r, first, n, start[i], start[i] + len(m)) for i, (c, r, first, n, m, _) in enumerate(found)]
+        return cls(np.array(rows, np.float64), order, computed)
 
 
 class Links:
-    """What comparing two blocks gives: for each member how many vectors it links with, and edges that span the links."""
+    """What comparing two blocks gives: for each member how many vectors it links with, and edges that span the links.
+
+    ``x`` and ``y`` are in the order of their trees. ``compared`` counts the inner products taken.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weights_x: np.ndarray, weights_y: np.ndarray, cosine: float, same: bool):
         self.x, self.y, self.wx, self.wy, self.cosine, self.same = x, y, weights_x, weights_y, cosine, same
@@ -71,6 +101,7 @@ class Links:
         self.of_x, self.of_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
         self.label = np.arange(len(x) if same else len(x) + len(y))
         self.edges: list[tuple[int, int]] = []
+        self.compared = 0
 
     def found(self, i: np.ndarray, j: np.ndarray, linked: np.ndarray) -> None:
         """Take up a matrix of links between members ``i`` of x and ``j`` of y."""
@@ -83,31 +114,37 @@ class Links:
             self.of_y[j] += self.wx[i] @ linked
         shift = 0 if self.same else len(self.x)
         for row in np.flatnonzero(linked.any(axis=1)).tolist():
-            for k in j[linked[row]].tolist():
-                a, b = self.label[i[row]], self.label[k + shift]
-                if a != b:
+            own = j[linked[row]]
+            labels, at = np.unique(self.label[own + shift], return_index=True)
+            for label, k in zip(labels.tolist(), own[at].tolist()):
+                if label != self.label[i[row]]:
                     self.edges.append((int(i[row]), k))
-                    self.label[self.label == b] = a
+                    self.label[self.label == label] = self.label[i[row]]
 
-    def descend(self, a: Node, b: Node) -> None:
-        """Compare all below two nodes that the bounds have not told apart."""
-        stack = [(a, b)]
+    def descend(self, s: CoverTree, t: CoverTree) -> None:
+        """Compare all below the roots of two trees that the bounds have not told apart."""
+        stack = [(0, 0)]
         while stack:
             a, b = stack.pop()
-            if not a.children and not b.children:
-                self.found(a.members, b.members, self.x[a.members] @ self.y[b.members].T >= self.cosine)
+            if not s.children[a] and not t.children[b]:
+                i, j = np.arange(s.start[a], s.end[a]), np.arange(t.start[b], t.end[b])
+                self.compared += len(i) * len(j)
+                self.found(i, j, self.x[i] @ self.y[j].T >= self.cosine)
                 continue
-            left, right = a.children or [a], b.children or [b]
-            ci, cj = np.array([n.centre for n in left]), np.array([n.centre for n in right])
-            ri, rj = np.array([n.radius for n in left]), np.array([n.radius for n in right])
-            dots = self.x[ci] @ self.y[cj].T
+            left = np.arange(s.first[a], s.first[a] + s.children[a]) if s.children[a] else np.array([a])
+            right = np.arange(t.first[b], t.first[b] + t.children[b]) if t.children[b] else np.array([b])
+            dots = self.x[s.centre[left]] @ self.y[t.centre[right]].T
+            self.compared += dots.size
             apart = np.sqrt(np.maximum(2 - 2 * dots, 0))
-            single_i = np.array([len(n.members) == 1 for n in left])
-            single_j = np.array([len(n.members) == 1 for n in right])
-            single = single_i[:, None] & single_j[None, :]
-            self.found(ci, cj, single & (dots >= self.cosine))
-            near = (apart <= ri[:, None] + rj[None, :] + self.reach + SLACK) & ~single
-            stack += [(left[i], right[j]) for i, j in zip(*np.nonzero(near))]
+            both = s.radius[left][:, None] + t.radius[right][None, :]
+            single = (s.end - s.start == 1)[left][:, None] & (t.end - t.start == 1)[right][None, :]
+            self.found(s.centre[left], t.centre[right], single & (dots >= self.cosine))
+            near = (apart <= both + self.reach + SLACK) & ~single
+            inside = near & (apart + both + SLACK <= self.reach)
+            for m, n in zip(*np.nonzero(inside)):
+                i, j = np.arange(s.start[left[m]], s.end[left[m]]), np.arange(t.start[right[n]], t.end[right[n]])
+                self.found(i, j, np.ones((len(i), len(j)), bool))
+            stack += [(left[m], right[n]) for m, n in zip(*np.nonzero(near & ~inside))]
 
 
 def _unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -125,36 +162,158 @@ def _unit_vectors(vectors: DataFrame) -> DataFrame:
                 units.append(x.tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(units, pa.binary())], ["vec_id", "label", "unit"])
 
-    rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     found = rows.mapInArrow(normal, "vec_id long, label string, unit binary")
     return found.withColumn("grp", F.concat_ws(":", F.octet_length("unit").cast("string"), "label"))
 
 
-def _cells(classes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Add ``cell`` and ``off`` (distance to its centre) to ``classes``; small groups are one cell of radius 2."""
-    large = stored(classes.join(sizes.where(F.col("size") > BLOCK), "grp"))
-    share = F.least(F.lit(1.0), F.ceil(F.col("size") / BLOCK) * 4 / F.col("size"), CENTRES / F.col("size"))
-    drawn = large.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 40)) < share * float(1 << 40))
-    centres: dict[str, np.ndarray] = {}
-    rows = drawn.select("grp", "unit").limit(MOST_CENTRES + 1).collect()
-    if len(rows) <= MOST_CENTRES:
-        for grp in {r["grp"] for r in rows}:
-            centres[grp] = np.stack([np.frombuffer(r["unit"], np.float64) for r in rows if r["grp"] == grp])
-    held = classes.sparkSession.sparkContext.broadcast(centres)
+def _dealt(members: DataFrame, centres: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``members(cls, grp, path, unit, weight)`` one level down: each goes to the nearest of its node's ``centres(grp, path, n, centre)``.
 
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A node's members are dealt over tasks by hash, each with all its centres, and pass through in batches.
+    """
+    salts = F.ceil(F.col("size") / DEALT).cast("long")
+    several = lambda df: df.join(sizes.select("grp", "path", salts.alias("salts")), ["grp", "path"])
+    own = several(members).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts"))).select("grp", "path", "salt", F.lit(1).alias("side"), F.lit(0).alias("n"), "cls", "unit", "weight")
+    each = several(centres).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    each = each.select("grp", "path", "salt", F.lit(0).alias("side"), "n", F.lit(0).cast("long").alias("cls"), F.col("centre").alias("unit"), F.lit(0).cast("long").alias("weight"))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held, names = None, [], []
         for pdf in batches:
-            pdf = pdf.assign(cell=0, off=2.0)
-            for grp, own in pdf.groupby("grp"):
-                if grp in held.value:
-                    x = np.stack([np.frombuffer(u, np.float64) for u in own["unit"]])
-                    dots = x @ held.value[grp].T
-                    pdf.loc[own.index, "cell"] = dots.argmax(axis=1)
-                    pdf.loc[own.index, "off"] = np.sqrt(np.maximum(2 - 2 * dots.max(axis=1), 0))
-            yield pdf
+            for now, part in pdf.groupby(["grp", "path", "salt"], sort=False):
+                if now != key:
+                    key, held, names = now, [], []
+                given, rest = part[part["side"] == 0], part[part["side"] == 1]
+                held += [np.frombuffer(u, np.float64) for u in given["unit"]]
+                names += given["n"].tolist()
+                if len(rest):
+                    dots = np.stack([np.frombuffer(u, np.float64) for u in rest["unit"]]) @ np.stack(held).T
+                    best = dots.argmax(axis=1)
+                    off = np.sqrt(np.maximum(2 - 2 * dots.max(axis=1), 0))
+                    yield rest[["cls", "grp", "unit", "weight"]].assign(path=[f"{now[1]}/{names[k]}" for k in best.tolist()], off=off)
+
+    rows = own.unionByName(each).repartition("grp", "path", "salt").sortWithinPartitions("grp", "path", "salt", "side", "n")
+    return rows.mapInPandas(nearest, "cls long, grp string, unit binary, weight long, path string, off double")
+
+
+def _levels(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The upper levels: ``members(cls, grp, unit, weight, path, blocks)`` of the nodes that are not dealt out, and all
+    ``nodes(grp, path, parent, centre, radius, size, weight, rep, inner)``. A path names a node below its ancestors."""
+    frontier = classes.withColumns({"path": F.lit(""), "off": F.lit(2.0)})
+    centres = classes.groupBy("grp").agg(F.min_by("unit", "cls").alias("centre")).withColumns({"parent": F.lit(None).cast("string"), "path": F.lit("")})
+    before = None
+    all_members, all_nodes = [], []
+    for depth in range(DEPTH + 1):
+        frontier = stored(frontier)
+        sums = frontier.groupBy("grp", "path").agg(F.count(F.lit(1)).alias("size"), F.sum("weight").alias("weight"), F.min("cls").alias("rep"), F.max("off").alias("radius"))
+        nodes = sums.join(centres.select("grp", "path", "parent", "centre"), ["grp", "path"])
+        shrunk = F.lit(depth < DEPTH)
+        if before is not None:  # all members lie nearest to one centre: dealing does not help
+            nodes = nodes.join(before, ["grp", "parent"])
+            shrunk = shrunk & (F.col("size") < F.col("parent_size"))
+        nodes = stored(nodes.withColumn("inner", (F.col("size") > BLOCK) & shrunk).select("grp", "path", "parent", "centre", "radius", "size", "weight", "rep", "inner"))
+        all_nodes.append(nodes)
+        flags = nodes.select("grp", "path", "inner", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
+        placed = frontier.join(flags, ["grp", "path"])
+        all_members.append(placed.where("not inner").select("cls", "grp", "unit", "weight", "path", "blocks"))
+        large = nodes.where("inner")
+        if large.isEmpty():
+            break
+        share = F.least(F.ceil(F.col("size") / BLOCK) * 2, F.lit(CENTRES)) / F.col("size")
+        drawn = placed.where("inner").select("cls", "grp", "unit", "weight", "path").join(large.select("grp", "path", "size", "rep"), ["grp", "path"])
+        chosen = (F.pmod(F.xxhash64("cls", F.lit(depth)), F.lit(1 << 40)) < share * float(1 << 40)) | (F.col("cls") == F.col("rep"))
+        picked = stored(drawn.where(chosen).select("grp", F.col("path").alias("parent"), "cls", F.col("unit").alias("centre")))
+        picked = picked.withColumn("n", F.pmod(F.xxhash64("cls"), F.lit(1 << 31)))  # a name within the node; equal ones would share a path
+        picked = picked.groupBy("grp", "parent", "n").agg(F.min_by("centre", "cls").alias("centre"))
+        picked = stored(picked.withColumn("path", F.concat_ws("/", "parent", F.col("n").cast("string"))))
+        frontier = _dealt(drawn.drop("size", "rep"), picked.select("grp", F.col("parent").alias("path"), F.col("n").cast("int").alias("n"), "centre"), large)
+        centres, before = picked, large.select("grp", F.col("path").alias("parent"), F.col("size").alias("parent_size"))
+    return stored(reduce(DataFrame.unionByName, all_members)), stored(reduce(DataFrame.unionByName, all_nodes))
+
+
+@F.pandas_udf(T.DoubleType())
+def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The distance of two unit vectors."""
+    return pd.Series([float(np.sqrt(max(0.0, 2 - 2 * float(np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64))))) for x, y in zip(a, b)], dtype="float64")
+
+
+def _node_pairs(nodes: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
+    """Descend the upper levels in pairs: pairs ``(grp, a, b)`` of last nodes that are to be compared, and of nodes that are wholly linked."""
+    reach = float(np.sqrt(2 - 2 * cosine))
+    own = nodes.select("grp", F.col("path").alias("of"), "path", "centre", "radius", "inner")
+    kids = own.where("not inner").unionByName(nodes.where("parent is not null").select("grp", F.col("parent").alias("of"), "path", "centre", "radius", "inner"))
+    kids = stored(kids)
+    side = lambda s, of: kids.select("grp", F.col("of").alias(of), *(F.col(c).alias(f"{c}_{s}") for c in ("path", "centre", "radius", "inner")))
+    roots = nodes.where("parent is null")
+    pairs = stored(roots.select("grp", F.col("path").alias("a"), F.col("path").alias("b"), F.col("inner").alias("open")))
+    last, whole = [pairs.where("not open").select("grp", "a", "b")], [pairs.limit(0).select("grp", "a", "b")]
+    while not pairs.where("open").isEmpty():
+        below = pairs.where("open").select("grp", "a", "b").join(side("x", "a"), ["grp", "a"]).join(side("y", "b"), ["grp", "b"]).where("a <> b or path_x <= path_y")
+        below = below.withColumn("apart", F.when(F.col("path_x") == F.col("path_y"), 0.0).otherwise(_apart("centre_x", "centre_y")))
+        below = below.where(F.col("apart") <= F.col("radius_x") + F.col("radius_y") + reach + SLACK)
+        inside = F.col("apart") + F.col("radius_x") + F.col("radius_y") + SLACK <= reach
+        pairs = stored(below.select("grp", F.col("path_x").alias("a"), F.col("path_y").alias("b"), inside.alias("inside"), ((F.col("inner_x") | F.col("inner_y")) & ~inside).alias("open")))
+        last.append(pairs.where("not inside and not open").select("grp", "a", "b"))
+        whole.append(pairs.where("inside").select("grp", "a", "b"))
+    return reduce(DataFrame.unionByName, last), reduce(DataFrame.unionByName, whole)
+
+
+def _trees(members: DataFrame) -> DataFrame:
+    """The tree of each block: its members as rows with their place ``pos`` in it, and a row with ``pos`` -1 whose ``unit`` holds the nodes."""
+    keys = ["grp", "path", "block"]
+
+    def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in sorted_groups(batches, keys):
+            tree = CoverTree.of(np.stack([np.frombuffer(u, np.float64) for u in g["unit"]]))
+            yield g.iloc[tree.order].assign(pos=np.arange(len(g)))
+            yield g.iloc[:1].assign(pos=-1, unit=[tree.nodes.tobytes()])
+
+    rows = members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).select(*keys, "cls", "weight", "unit")
+    return stored(rows.repartition(*keys).sortWithinPartitions(*keys, "cls").mapInPandas(grown, "grp string, path string, block long, cls long, weight long, unit binary, pos int"))
+
+
+def _compared(blocks: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
+    """Descend the trees of each pair of blocks: rows ``(a, a, n)`` for links of a member, and ``(a, b, 0)`` for edges."""
+    near = blocks.withColumnsRenamed({"path": "a", "block": "block_a"}).join(pairs, ["grp", "a", "block_a"]).withColumn("side", F.lit(1))
+    far = blocks.withColumnsRenamed({"path": "b", "block": "block_b"}).join(pairs.where("not (a = b and block_a = block_b)"), ["grp", "b", "block_b"]).withColumn("side", F.lit(2))
+    keys = ["grp", "a", "block_a", "b", "block_b"]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in sorted_groups(batches, keys):
+            sides = []
+            for k in (1, 2):
+                own = g[g["side"] == k]
+                if len(own):
+                    tree = CoverTree(np.frombuffer(own["unit"].iloc[0], np.float64).reshape(-1, 6), np.empty(0))
+                    own = own.iloc[1:]
+                    sides.append((tree, np.stack([np.frombuffer(u, np.float64) for u in own["unit"]]), own["cls"].to_numpy(), own["weight"].to_numpy()))
+            (s, x, cls_x, wx), (t, y, cls_y, wy) = sides[0], sides[-1]
+            links = Links(x, y, wx, wy, cosine, len(sides) == 1)
+            links.descend(s, t)
+            for c, n in ((cls_x, links.of_x), (cls_y, links.of_y)):
+                yield pd.DataFrame({"a": c[n > 0], "b": c[n > 0], "n": n[n > 0]}, dtype="int64")
+            yield pd.DataFrame({"a": [cls_x[i] for i, _ in links.edges], "b": [cls_y[j] for _, j in links.edges], "n": 0}, dtype="int64")
 
-    dealt_out = classes.mapInPandas(dealt, "cls long, grp string, unit binary, weight long, cell int, off double")
-    return dealt_out, centres
+    rows = near.unionByName(far).select(*keys, "side", "pos", "cls", "weight", "unit")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "side", "pos").mapInPandas(compare, "a long, b long, n long")
+
+
+def _whole(members: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of :func:`_compared` for pairs of nodes that are wholly linked: each member links with all of the other node."""
+    named = nodes.select("grp", "path", F.col("weight").alias("all"), "rep")
+    both = pairs.join(named.withColumnsRenamed({"path": "a", "all": "all_a", "rep": "rep_a"}), ["grp", "a"]).join(named.withColumnsRenamed({"path": "b", "all": "all_b", "rep": "rep_b"}), ["grp", "b"])
+    given = both.select("grp", F.col("a").alias("path"), F.col("all_b").alias("n"), F.col("rep_b").alias("rep"), (F.col("a") == F.col("b")).alias("self"))
+    given = given.unionByName(both.where("a <> b").select("grp", F.col("b").alias("path"), F.col("all_a").alias("n"), F.col("rep_a").alias("rep"), F.lit(False).alias("self")))
+    given = stored(given.groupBy("grp", "path").agg(F.sum("n").alias("n"), F.count_if("self").alias("self"), F.min("rep").alias("rep")))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    hits = members.select("grp", "cls", "weight", F.explode(above).alias("path")).join(given, ["grp", "path"])
+    # a member is not its own partner, and copies of it are counted apart
+    links = hits.select(F.col("cls").alias("a"), F.col("cls").alias("b"), (F.col("n") - F.col("self") * F.col("weight")).alias("n"))
+    none = F.lit(0).cast("long").alias("n")
+    edges = hits.select(F.col("cls").alias("a"), F.col("rep").alias("b"), none).unionByName(both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), none))
+    return links.where("n > 0").unionByName(edges.where("a <> b"))
 
 
 def near_pairs(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -164,61 +323,27 @@ def near_pairs(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     least ``cosine`` (0 or more). Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, nor do vectors of different dimensions. Repeated rows are vectors of their own
     that link with one another. ``component_id`` is the smallest ``vec_id`` that links reach; ``kept``
-    says that it is the row's own. Rows without ``vec_id`` are left out; other columns are ignored.
+    says that it is the row's own. Rows without ``vec_id`` can't be named: they link with nothing, their
+    component is null and they are not kept. Other columns are ignored; an empty table gives no rows.
     """
     rows = stored(_unit_vectors(vectors))
-    classes = rows.where("unit is not null").groupBy("grp", "unit").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("weight"))
+    able = rows.where("unit is not null and vec_id is not null")
+    classes = able.groupBy("grp", "unit").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("weight"))
     classes = stored(classes.select("cls", "grp", "unit", "weight"))
-    sizes = stored(classes.groupBy("grp").agg(F.count(F.lit(1)).alias("size")))
-    placed, centres = _cells(classes, sizes)
-    placed = stored(placed)
-    cells = placed.groupBy("grp", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"), F.max("off").alias("radius"))
-    cells = stored(cells)
-    placed = placed.join(cells.select("grp", "cell", "blocks"), ["grp", "cell"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).drop("off", "blocks")
-    placed = stored(placed)
-
-    # pairs of cells that the bounds do not tell apart, and their pairs of blocks
-    held = placed.sparkSession.sparkContext.broadcast(centres)
-    reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
-
-    @F.pandas_udf("double")
-    def apart(grp: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        c = held.value
-        return pd.Series([float(np.sqrt(max(0.0, 2 - 2 * (c[g][i] @ c[g][j])))) if g in c else 0.0 for g, i, j in zip(grp, a, b)])
-
-    pairs = cells.alias("l").join(cells.alias("r"), F.expr("l.grp = r.grp and l.cell <= r.cell"))
-    pairs = pairs.selectExpr("l.grp", "l.cell", "l.blocks", "l.radius", "r.cell as cell2", "r.blocks as blocks2", "r.radius as radius2")
-    pairs = pairs.where(apart("grp", "cell", "cell2") <= F.col("radius") + F.col("radius2") + reach)
+    members, nodes = _levels(classes)
+    last, whole = _node_pairs(nodes, cosine)
+    blocks = nodes.where("not inner").select("grp", "path", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    pairs = pairs.withColumn("block", numbers("blocks")).withColumn("block2", numbers("blocks2")).where("cell < cell2 or block <= block2")
-    pairs = stored(pairs.select("grp", "cell", "block", "cell2", "block2"))
-    near = placed.join(pairs, ["grp", "cell", "block"]).withColumn("side", F.lit(1))
-    far = placed.withColumnsRenamed({"cell": "cell2", "block": "block2"}).join(pairs.where("not (cell = cell2 and block = block2)"), ["grp", "cell2", "block2"]).withColumn("side", F.lit(2))
-    keys = ["grp", "cell", "block", "cell2", "block2"]
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in sorted_groups(batches, keys):
-            x = np.stack([np.frombuffer(u, np.float64) for u in g["unit"]])
-            side, cls, weight = g["side"].to_numpy(), g["cls"].to_numpy(), g["weight"].to_numpy()
-            one = np.flatnonzero(side == 1)
-            two = np.flatnonzero(side == 2)
-            same = not len(two) and (g["cell"][0], g["block"][0]) == (g["cell2"][0], g["block2"][0])
-            if not len(one) or not (same or len(two)):
-                continue
-            other = one if same else two
-            links = Links(x[one], x[other], weight[one], weight[other], cosine, same)
-            tree = cover_tree(x[one])
-            links.descend(tree, tree if same else cover_tree(x[two]))
-            counts = [(cls[one], links.of_x)] if same else [(cls[one], links.of_x), (cls[other], links.of_y)]
-            for c, n in counts:
-                yield pd.DataFrame({"a": c[n > 0], "b": c[n > 0], "n": n[n > 0]}, dtype="int64")
-            yield pd.DataFrame({"a": [cls[one[i]] for i, _ in links.edges], "b": [cls[other[j]] for _, j in links.edges], "n": 0}, dtype="int64")
-
-    members = near.unionByName(far).select(*keys, "side", "cls", "weight", "unit")
-    found = stored(members.repartition(*keys).sortWithinPartitions(*keys, "side").mapInPandas(compare, "a long, b long, n long"))
+    pairs = last.join(blocks.withColumnsRenamed({"path": "a", "blocks": "n_a"}), ["grp", "a"]).join(blocks.withColumnsRenamed({"path": "b", "blocks": "n_b"}), ["grp", "b"])
+    pairs = pairs.withColumn("block_a", numbers("n_a")).withColumn("block_b", numbers("n_b")).where("a <> b or block_a <= block_b")
+    pairs = stored(pairs.select("grp", "a", "block_a", "b", "block_b"))
+    found = _compared(_trees(members), pairs, cosine)
+    found = stored(found if whole.isEmpty() else found.unionByName(_whole(members, nodes, whole)))
     labels = connected_components(found.where("a <> b").select("a", "b")).withColumnsRenamed({"node": "cls", "component": "component_id"})
     links = found.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
-    named = classes.join(links, "cls", "left").join(labels, "cls", "left").select("grp", "unit", "cls", "weight", "links", F.coalesce("component_id", "cls").alias("own"))
-    return rows.join(named, ["grp", "unit"], "left").select(
-        "vec_id", F.coalesce(F.col("links"), F.lit(0)).alias("links"), F.coalesce(F.col("weight") - 1, F.lit(0)).alias("copies"), F.coalesce("own", "vec_id").alias("component_id")
-    ).select("vec_id", (F.col("links") + F.col("copies")).alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    named = classes.join(links, "cls", "left").join(labels, "cls", "left")
+    # written, so that the join with the vectors is of two scans, whose skewed keys Spark splits
+    named = stored(named.select("grp", "unit", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "cls").alias("component_id")))
+    linked = able.join(named, ["grp", "unit"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where("unit is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -48,20 +48,64 @@ def test_against_all_pairs(spark, monkeypatch, block):
     assert got == brute(rows, 0.98) and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_upper_levels_and_wholly_linked_nodes(spark, monkeypatch, seed):
+    """Dense balls, whose nodes link without comparisons, among loose vectors; copies and links between nodes count."""
+    monkeypatch.setattr(ct, "BLOCK", 12)
+    monkeypatch.setattr(ct, "CENTRES", 3)
+    monkeypatch.setattr(ct, "DEALT", 20)
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(4, 4))
+    rows = []
+    for i in range(300):
+        v = centres[rng.integers(4)] + rng.normal(size=4) * rng.choice([1e-4, 1e-3, 0.05, 1.0])
+        rows.append((i, v.astype(np.float32).tolist(), 0, None))
+    rows += [(500 + i, rows[i][1], 0, None) for i in range(0, 60, 2)]
+    found = ct.near_pairs(spark.createDataFrame(rows, SCHEMA), 0.98).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == brute(rows, 0.98)
+
+
+def test_one_ball_is_not_compared_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ct, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.array([1.0, 2.0, 3.0]) + rng.normal(size=3) * 1e-4).astype(np.float32).tolist(), 0, None) for i in range(400)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    _, nodes = ct._levels(ct.stored(ct._unit_vectors(frame).groupBy("grp", "unit").agg(ct.F.min("vec_id").alias("cls"), ct.F.count("*").alias("weight")).select("cls", "grp", "unit", "weight")))
+    last, whole = ct._node_pairs(nodes, 0.98)
+    assert whole.count() and last.count() == 0
+    assert {(r["n_links"], r["component_id"]) for r in ct.near_pairs(frame).collect()} == {(399, 0)}
+
+
 def test_tree_covers_with_halving_radii():
     x = np.random.default_rng(1).normal(size=(500, 3))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    stack = [ct.cover_tree(x)]
-    assert sorted(stack[0].members) == list(range(500))
-    while stack:
-        node = stack.pop()
-        assert (np.linalg.norm(x[node.members] - x[node.centre], axis=1) <= node.radius + 1e-6).all()
-        if node.children:
-            assert sorted(i for c in node.children for i in c.members) == sorted(node.members)
-            assert all(c.radius <= node.radius / 2 + 1e-6 for c in node.children)
-        stack += node.children
+    tree = ct.CoverTree.of(x)
+    assert sorted(tree.order) == list(range(500))
+    x = x[tree.order]
+    assert (tree.start[0], tree.end[0]) == (0, 500)
+    for i in range(len(tree.nodes)):
+        members = x[tree.start[i] : tree.end[i]]
+        assert (np.linalg.norm(members - x[tree.centre[i]], axis=1) <= tree.radius[i] + 1e-6).all()
+        kids = range(tree.first[i], tree.first[i] + tree.children[i])
+        if kids:
+            assert [tree.start[k] for k in kids] == [tree.start[i], *(tree.end[k] for k in kids)][:-1] and tree.end[kids[-1]] == tree.end[i]
+            assert all(tree.radius[k] <= tree.radius[i] / 2 + 1e-6 for k in kids)
+
+
+def test_bounds_spare_comparisons_of_clustered_vectors():
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(20, 8)), 50, axis=0) + rng.normal(size=(1000, 8)) * 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = ct.CoverTree.of(x)
+    x, ones = x[tree.order], np.ones(1000, np.int64)
+    links = ct.Links(x, x, ones, ones, 0.98, True)
+    links.descend(tree, tree)
+    assert (links.of_x == ((x @ x.T) >= 0.98).sum(axis=1) - 1).all()
+    assert tree.computed + links.compared < 1000 * 999 / 4
 
 
 def test_empty_and_null_ids(spark):
     assert ct.near_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert ct.near_pairs(spark.createDataFrame([(None, [1.0], 1, "")], SCHEMA)).count() == 0
+    rows = [(None, [1.0], 1, ""), (4, [1.0], 1, ""), (None, [2.0], 1, "")]
+    found = sorted((tuple(r) for r in ct.near_pairs(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert found == [(4, 0, 4, True), (None, 0, None, False), (None, 0, None, False)]
