@@ -150,14 +150,17 @@ def edited_halves(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     words = both.select("__stretch", "__at", F.col("x.side").alias("side"), F.explode(words_of(F.col("x.t"))).alias("word"))
     words = words.select("__stretch", "__at", "side", F.xxhash64("word").alias("term"))
     signed = signatures(words, ["__stretch", "__at"], ["fingerprint", "edited_fingerprint"], samples)
+    signed = signed.withColumns({c: F.unhex(c) for c in ("fingerprint", "edited_fingerprint")})  # half as wide on the way
     facts = placed.select(
-        "__stretch", "__at", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"),
+        "__stretch", "__at", "doc_id", n.cast("long").alias("n_chars"), F.unhex(F.sha2(F.col("__edited").cast("binary"), 256)).alias("edited_sha256"),
         F.when(F.col("__lead").isNull(), F.col("__below")).otherwise(F.col("__stretch")).alias("__next_stretch"),
         F.when(F.col("__lead").isNull(), F.lit(1)).otherwise(F.col("__at") + 1).alias("__next_at"),
     )
     found = stored(facts.join(signed, ["__stretch", "__at"]))
     following = found.select(F.col("__stretch").alias("__next_stretch"), F.col("__at").alias("__next_at"), F.col("fingerprint").alias("__next"))
-    return found.join(following, ["__next_stretch", "__next_at"]).select(
+    both = found.join(following, ["__next_stretch", "__next_at"])
+    both = both.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint", "__next")})
+    return both.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("__next"), samples).alias("near_next"),
     )
