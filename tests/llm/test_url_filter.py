@@ -52,3 +52,22 @@ def test_empty_tables(spark):
     assert uf.filter_urls(spark.createDataFrame([], SCHEMA)).count() == 0
     found = uf.filter_urls(spark.createDataFrame([(1, "https://b.org/", None, None)], SCHEMA), listed=spark.createDataFrame([(None,)], "key string"))
     assert found.first()["verdict"] == "allow"
+
+
+def test_shards_are_exact_for_their_universe(spark, monkeypatch):
+    monkeypatch.setattr(uf, "MOST_BITS", 1024)
+    rng = random.Random(10)
+    rows = [(f"k{rng.getrandbits(60)}", i % 3 == 0) for i in range(4000)]
+    universe = spark.createDataFrame(rows, "key string, listed boolean")
+    cascades, shards = uf.build_shards(universe)
+    assert shards > 5 and max(r[0] for r in cascades.selectExpr("size(levels)").collect()) > 1
+    assert {r["key"] for r in uf.in_shards(universe, cascades, shards).collect()} == {k for k, listed in rows if listed}
+    assert uf.in_shards(universe, *uf.build_shards(universe.where("not listed"))).count() == 0
+
+
+def test_listed_keys_beyond_ascii(spark):
+    """Only A-Z are lower-cased, in hosts and in listed keys alike."""
+    rows = [(1, "https://x.ÄB.test/", None, None), (2, "https://äb.test/", None, None)]
+    listed = spark.createDataFrame([("ÄB.Test",), ("ÄB.Test",)], "key string")
+    got = {r["page_id"]: r["verdict"] for r in uf.filter_urls(spark.createDataFrame(rows, SCHEMA), listed=listed).collect()}
+    assert got == {1: "block", 2: "allow"}
