@@ -20,9 +20,11 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # a match of AKIA[A-Z0-9]+ is a whole run, so its
 HEX = r"[0-9a-f]{24,}"  # likewise
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: What the models judge: tokens of the alphabet from this length on.
-LEAST = 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}+"
+#: What the models judge: tokens of the alphabet from this length on; and the log-likelihood ratio that makes them
+#: spans, in all and for each pair of letters.
+LEAST, THRESHOLD, EACH = 12, 12.0, 2.0
+#: Matches of a text that are walked together.
+STEP = 256
 
 
 def _found(text: Column, pattern: str, group: int | None = None, least: int = 1) -> Column:
@@ -36,24 +38,22 @@ def _found(text: Column, pattern: str, group: int | None = None, least: int = 1)
     kind = "array<struct<begin:int,end:int,ok:boolean,token:string>>"
     empty = F.array().cast(kind)
     zipped = F.arrays_zip(hits.alias("hit"), checked.alias("checked"), F.slice(gaps, 1, F.size(hits)).alias("gap"))
+    one = lambda at, x: F.struct(
+        (at + F.length(x["gap"])).alias("begin"), (at + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), (F.length(x["checked"]) >= least).alias("ok"), x["hit"].alias("token")
+    )
+    # arrays grow by copying, so a step's matches are put together by themselves and then added as a whole
+    some = lambda start, part: F.aggregate(
+        part, start, lambda acc, x: F.struct((acc.at + F.length(x["gap"]) + F.length(x["hit"])).alias("at"), F.concat(acc.found, F.array(one(acc.at, x))).alias("found"))
+    )
     walked = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda acc, x: F.struct(
-            (acc.at + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(
-                acc.found,
-                F.array(
-                    F.struct(
-                        (acc.at + F.length(x["gap"])).alias("begin"),
-                        (acc.at + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                        (F.length(x["checked"]) >= least).alias("ok"),
-                        x["hit"].alias("token"),
-                    )
-                ),
-            ).alias("found"),
+        F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / STEP).cast("int")),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), empty.alias("found")),
+        lambda acc, k: F.aggregate(
+            F.array(some(F.struct(acc.at.alias("at"), empty.alias("found")), F.slice(zipped, k * STEP + 1, STEP))),
+            acc,
+            lambda acc, own: F.struct(own.at.alias("at"), F.lit(0).alias("n"), F.concat(acc.found, F.filter(own.found, lambda m: m.ok)).alias("found")),
         ),
-        lambda acc: F.filter(acc.found, lambda m: m.ok),
+        lambda acc: acc.found,
     )
     return F.when(F.regexp_like(text, p), walked).otherwise(empty)
 
@@ -77,8 +77,8 @@ def log_ratios(docs: DataFrame, documents: int = 3000, random_strings: int = 400
     """``ln P(b | a, random) - ln P(b | a, ordinary)`` for all pairs of the alphabet, row by row.
 
     The labelled samples are bounded at every size of the corpus: about ``documents`` documents drawn
-    by hash, whose base matches are labelled random and whose other tokens are labelled ordinary, and
-    ``random_strings`` digests in hexadecimal and base64, labelled random.
+    by hash, whose base matches are labelled random and whose other tokens, by themselves and joined to
+    identifiers, are labelled ordinary, and ``random_strings`` digests in hexadecimal and base64, labelled random.
     """
     spark = docs.sparkSession
     n = docs.count()
@@ -88,6 +88,9 @@ def log_ratios(docs: DataFrame, documents: int = 3000, random_strings: int = 400
     random = drawn.select(F.explode(hits).alias("hit")).select(F.col("hit.token").alias("token"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("__text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = drawn.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{2,}"), F.lit(0))).alias("token"))
+    # identifiers join words by capitals and underscores
+    joins = [F.col("token"), F.concat(F.lower("token"), F.initcap("token")), F.concat(F.upper("token"), F.lit("_"), F.upper("token"))]
+    ordinary = ordinary.select(F.explode(F.array(*joins)).alias("token"))
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     made = spark.range(random_strings).select(F.explode(F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 40), F.upper(F.substring(F.base64(F.unhex(digest)), 1, 24)))).alias("token"))
     labelled = random.unionAll(made).withColumn("random", F.lit(True)).unionAll(ordinary.withColumn("random", F.lit(False)))
@@ -106,14 +109,16 @@ def log_ratios(docs: DataFrame, documents: int = 3000, random_strings: int = 400
     return table
 
 
-def scan_secrets(docs: DataFrame, ratios: list[float], threshold: float = 12.0, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def scan_secrets(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, keep: Sequence[str] = ("doc_id",), least: int = LEAST, each: float = EACH) -> DataFrame:
     """``(*keep, text, spans)`` of every row of ``docs(*keep, text)``.
 
     ``spans`` is an array of ``(begin, end, kind)`` in code points with the end exclusive, by begin and
     then kind in the order of :data:`KINDS`. Base spans are always there; a token that touches one is
-    not judged again. A token is ``random`` when its log-likelihood ratio, summed over its letter pairs,
-    is at least ``threshold`` and it has a digit. A null text counts as empty: no spans. Repeated rows
-    give repeated results; other columns are ignored.
+    not judged again. A token of at least ``least`` letters (1 or more) is ``random`` when its
+    log-likelihood ratio, summed over its letter pairs, is at least ``threshold`` and on the average at
+    least ``each``. A null text counts as
+    empty: no spans. Texts are read whole, however long. Repeated rows give repeated results; other
+    columns are ignored; an empty table gives no rows.
     """
     table = F.array(*map(F.lit, ratios))
     rows = base_matches(docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text")))
@@ -126,8 +131,9 @@ def scan_secrets(docs: DataFrame, ratios: list[float], threshold: float = 12.0,
 
     base = F.concat("__assign", "__access", "__hex")
     free = lambda m: ~F.exists(base, lambda b: (b.begin < m.end) & (m.begin < b.end))
-    rows = rows.withColumn("__candidates", F.filter(_found(F.col("__text"), CANDIDATE), lambda m: m.token.rlike("[0-9]")))
-    likely = F.filter("__candidates", lambda m: free(m) & (judged(m.token) >= threshold))
+    candidate = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least},}}+"
+    rows = rows.withColumn("__candidates", _found(F.col("__text"), candidate))
+    likely = F.filter("__candidates", lambda m: free(m) & (judged(m.token) >= F.greatest(F.lit(threshold), each * (F.length(m.token) - 1))))
     likely = F.when(F.size("__candidates") > 0, likely).otherwise(F.col("__candidates"))
     ranked = lambda c, k: F.transform(c, lambda m: F.struct(m.begin.alias("begin"), F.lit(k).alias("rank"), m.end.alias("end")))
     named = [ranked(c, k) for k, c in enumerate((F.col("__assign"), F.col("__access"), F.col("__hex"), likely))]

@@ -60,3 +60,34 @@ def test_redacted(spark):
     found = secrets.scan_secrets(docs, [0.0] * len(secrets.ALPHABET) ** 2)
     got = {r["doc_id"]: r["t"] for r in found.select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
     assert got == {1: "é [REDACTED], then [REDACTED].", 2: "clean"}
+
+
+def test_planted_secrets_without_a_base_pattern(spark):
+    """Recall on keys of many shapes, precision on ordinary identifiers, and each ratio summed by hand."""
+    rng = random.Random(8)
+    syllables = ["con", "fig", "ser", "ver", "load", "user", "name", "data", "time", "out", "page", "list", "view", "test", "item", "der", "ing", "ton"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 3)))
+    corpus = [(i, " ".join(word() for _ in range(60))) for i in range(200)]
+    names = [rng.choice([lambda: word() + word().title() + word().title(), lambda: "_".join(word() for _ in range(3)), lambda: "_".join(word() for _ in range(3)).upper()])() for _ in range(300)]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(rng.choice([letters, letters[:26] + letters[52:], letters[26:], letters[:52]]), k=rng.randint(14, 40))) for _ in range(300)]
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    ratios = secrets.log_ratios(docs)
+    tokens = spark.createDataFrame([(i, f"({t})") for i, t in enumerate(keys + names)], "doc_id long, text string")
+    flagged = {r["doc_id"] for r in secrets.scan_secrets(tokens, ratios).where("exists(spans, s -> s.kind = 'random')").select("doc_id").collect()}
+    hits = sum(i < len(keys) for i in flagged)
+    assert hits >= 0.9 * len(keys) and hits >= 0.95 * len(flagged)
+    n = len(secrets.ALPHABET)
+    for i, t in enumerate(keys + names):
+        base = any((re.search("AKIA[A-Z0-9]{16}", t), re.search("[0-9a-f]{24}", t)))
+        total = sum(ratios[secrets.ALPHABET.index(a) * n + secrets.ALPHABET.index(b)] for a, b in zip(t, t[1:]))
+        least = max(secrets.THRESHOLD, secrets.EACH * (len(t) - 1))
+        if not base and abs(total - least) > 1e-6:
+            assert (i in flagged) == (len(t) >= secrets.LEAST and total >= least), t
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than one step takes."""
+    text = "é secret=abcdef1 x " * 1000
+    found = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), [0.0] * len(secrets.ALPHABET) ** 2).first()["spans"]
+    assert [(s["begin"], s["end"]) for s in found] == [(m.start(), m.end()) for m in ASSIGN.finditer(text)]
