@@ -90,6 +90,22 @@ SIGNALS = (
     (r"\b(?:commit|sha|rev(?:ision)?)[ :@]+([0-9a-f]{7,40})\b", "References commit "),
     (r"\bv(\d+\.\d+\.\d+(?:-[0-9A-Za-z.]+)?)\b", "Mentions version "),
 )
+LITERALS = (
+    "true", "false", "null", "none", "nil", "nan", "undefined", "unknown", "yes", "no", "ok", "okay", "n/a", "na", "tbd", "wip", "todo", "done", "pass", "passed", "fail",
+    "failed", "green", "red", "active", "inactive", "enabled", "disabled", "open", "closed", "higher", "lower", "same", "other", "all", "any", "both", "either", "neither",
+    "today", "yesterday", "tomorrow", "now", "later", "soon", "always", "never", "sometimes", "often",
+)
+NUMERIC = (
+    r"(?i)^([$€£¥₹]?\s*[+-]?\d[\d,._/%*\s+-]*(?:[kmbKMB]|ms|s|m|h|d|gb|mb|kb|tb|%|x|X)?|(?:\d{1,4}[-/]\d{1,2}(?:[-/]\d{1,4})?)|"
+    r"(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2}(?:,?\s+\d{4})?)|(?:at\s+\d{1,2}:\d{2}.*)|(?::\d{2,5}))$"
+)
+CLAUSE_START = (
+    r"(?i)^(?:not\s+|no\s+longer\s+|because\s+|since\s+|after\s+|before\s+|when\s+|while\s+|where\s+|that\s+|which\s+|who\s+|how\s+|whether\s+|if\s+|is\s+|are\s+|was\s+|were\s+|"
+    r"has\s+|have\s+|had\s+|will\s+|would\s+|can\s+|could\s+|should\s+|must\s+|waiting\s+|running\s+|using\s+|fixing\s+|testing\s+)"
+)
+PREPOSITION_START = r"(?i)^(?:at|in|on|by|for|with|from|to|into)\s+"
+CLAUSE_WORDS = ("the", "a", "an", "this", "that", "these", "those", "my", "our", "your", "their", "his", "her", "its")
+MEMORY_TYPES = ("decision", "incident", "constraint", "skill", "fact", "handoff", "fix")
 PRICES = {"gpt-4o-mini": (0.15, 0.60), "gpt-4o": (2.50, 10.00), "gpt-5-mini": (0.25, 2.00), "gpt-5": (1.25, 10.00), "text-embedding-3-small": (0.02, 0.0), "text-embedding-3-large": (0.13, 0.0)}
 
 
@@ -380,3 +396,22 @@ def developer_signals(text: Column, most: int = 12) -> Column:
     found.append(F.transform(F.regexp_extract_all(t, F.lit(f"(?i){commit}"), F.lit(1)), lambda v: F.concat(F.lit(said), F.lower(v))))
     found.append(F.transform(F.regexp_extract_all(t, F.lit(f"(?i){version}"), F.lit(1)), lambda v: F.concat(F.lit(names), v)))
     return F.slice(F.array_distinct(F.flatten(F.array(*found))), 1, most)
+
+
+def valid_entity_name(name: Column, is_object: bool = False) -> Column:
+    """Whether a name is that of a thing: not a literal value, a date, a list or a piece of a sentence."""
+    s = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s+", " "))
+    words = F.split(s, " ")
+    rest = F.slice(words, 2, 100)
+    title = s.rlike(r"^\p{Lu}") & F.forall(rest, lambda w: ~w.rlike(r"^\p{L}") | w.rlike(r"^\p{Lu}")) & ~F.exists(rest, lambda w: F.lower(w).isin(*CLAUSE_WORDS))
+    long, most = (50, 5) if is_object else (60, 6)
+    return (
+        (s != "") & (F.length(s) <= long) & (F.size(words) <= most) & ((F.length(F.regexp_replace(s, "[^A-Za-z]", "")) >= 2) | s.rlike("^[A-Za-z0-9_.-]{2,}$"))
+        & ~F.lower(s).isin(*LITERALS) & ~s.rlike(NUMERIC) & ~s.rlike(r"[;?!=<>{}\[\]]") & (~s.endswith(".") | s.rlike(r"(?i)\b(?:Inc|Ltd|LLC|Corp|Co|Jr|Sr|Dr|Mr|Mrs|Ms|St)\.$"))
+        & (~F.contains(s, F.lit(",")) | s.rlike(r"(?i)^[^,]+\s*,\s*(?:Inc|Ltd|LLC|Corp|Co|Jr|Sr)\.?$")) & ~s.rlike(r"[$€£¥₹]\s*\d") & ~s.rlike(CLAUSE_START) & (~s.rlike(PREPOSITION_START) | title)
+    )
+
+
+def valid_memory_type(memory_type: Column) -> Column:
+    """Whether a memory type is one of the closed set; none given is fine."""
+    return memory_type.isNull() | F.lower(F.trim(memory_type)).isin(*MEMORY_TYPES)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.predicates import is_historical, supersedable
+from factlake.functions.text import event_date
 
 #: A fact's identity without case: namespace, subject, predicate.
 KEY = ("namespace", "__s", "__p")
@@ -46,11 +47,27 @@ def _closed(facts: DataFrame, closer: Column, at: Column) -> DataFrame:
     return facts.withColumns({"superseded_by": closer, "valid_to": valid_to})
 
 
-def supersede(facts: DataFrame, mode: str = "write") -> DataFrame:
+def _closed_by_history(rows: DataFrame) -> DataFrame:
+    """The first later statement of the past with a date of its own that closes a fact: ``(__old, __dated)``.
+
+    It closes facts with another object that began no later than that date. Such statements are few, so
+    they are joined to the facts of their key.
+    """
+    said = rows.where(is_historical(F.col("statement")) & supersedable(F.col("predicate"), F.col("object")))
+    said = said.select(*KEY, F.struct("observed_at", "id", event_date(F.col("statement"), F.lit(None).cast("timestamp_ntz")).alias("at")).alias("h"), F.col("__o").alias("h_o")).where("h.at is not null")
+    old = rows.select(*KEY, "__o", F.col("id").alias("__old"), "observed_at", "valid_from")
+    later = (F.col("h.observed_at") > F.col("observed_at")) | ((F.col("h.observed_at") == F.col("observed_at")) & (F.col("h.id") > F.col("__old")))
+    hits = old.join(said, list(KEY)).where(later & (F.col("__o") != F.col("h_o")) & (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("h.at"))))
+    return hits.groupBy("__old").agg(F.min("h").alias("__dated"))
+
+
+def supersede(facts: DataFrame, mode: str = "write", dated: bool = False) -> DataFrame:
     """Close facts by later facts on the same namespace, subject and predicate with another object.
 
     Only a *closer* closes: its predicate holds one value at a time (or its object is a quantity) and it
-    does not tell of the past. ``write``: the first later closer with another object closes a fact.
+    does not tell of the past. With ``dated`` (``write`` only) a statement of the past that names a date
+    closes facts that began no later, as of that date, which takes a join with those few statements; one
+    without a date closes nothing. ``write``: the first later closer with another object closes a fact.
     ``reconcile``: the newest closer of the key closes every other object observed no later. Order is by
     (observed_at, id), so late arrivals are born closed. Adds ``superseded_by`` and ``valid_to``.
 
@@ -76,8 +93,12 @@ def supersede(facts: DataFrame, mode: str = "write") -> DataFrame:
     beyond = F.first(F.when(F.col("__closer"), F.struct("__next_head")), ignorenulls=True).over(later)["__next_head"]
     rows = rows.withColumn("__beyond", beyond)
     closer = F.when(F.col("__next.__o") != F.col("__o"), F.col("__next")).when(F.col("__next").isNotNull(), F.col("__beyond"))
-    rows = rows.withColumn("__by", closer)
-    return _closed(rows, F.col("__by.id"), F.col("__by.observed_at")).drop("__s", "__p", "__o", "__closer", "__head", "__next", "__next_head", "__beyond", "__by")
+    rows = rows.withColumn("__by", F.struct(closer["observed_at"].alias("observed_at"), closer["id"].alias("id"), closer["observed_at"].alias("at")))
+    rows = rows.withColumn("__by", F.when(F.col("__by.id").isNotNull(), F.col("__by")))
+    if dated:
+        rows = rows.join(_closed_by_history(_keyed(facts)), F.col("id") == F.col("__old"), "left").drop("__old")
+        rows = rows.withColumn("__by", F.least("__by", "__dated")).drop("__dated")
+    return _closed(rows, F.col("__by.id"), F.col("__by.at")).drop("__s", "__p", "__o", "__closer", "__head", "__next", "__next_head", "__beyond", "__by")
 
 
 def contradictions(facts: DataFrame) -> DataFrame:

@@ -106,3 +106,13 @@ def consolidate(facts: DataFrame, generate: Callable[[Iterator[pd.DataFrame]], I
     if generate is None:
         return rows.select("namespace", "subject", F.array_join("statements", "; ").alias("statement"), "n_facts")
     return rows.mapInPandas(generate, "namespace string, subject string, statement string, n_facts long")
+
+
+def mark_consolidated(episodes: DataFrame, done: DataFrame) -> DataFrame:
+    """Episodes with ``consolidated`` set where ``done(id)`` names them; what was set stays."""
+    marks = done.select("id").distinct().withColumn("__done", F.lit(True))
+    return episodes.join(marks, "id", "left").withColumn("consolidated", F.coalesce("consolidated", F.lit(False)) | F.coalesce("__done", F.lit(False))).drop("__done")
+
+
+def unconsolidated(episodes: DataFrame) -> DataFrame:
+    return episodes.where(~F.coalesce("consolidated", F.lit(False)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factlake.functions.text import canonical_entity, extract_entities, valid_entity_name
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge seen from either end: ``(node, other, weight)``; self-loops are left out."""
@@ -101,3 +103,57 @@ def upsert_entities(existing: DataFrame, new: DataFrame) -> DataFrame:
     return rows.groupBy(F.lower("name").alias("key")).agg(
         F.min_by("id", order).alias("id"), F.min_by("name", order).alias("name"), F.min_by("embedding", F.when(F.col("embedding").isNotNull(), order)).alias("embedding")
     )
+
+
+def graph_from_facts(facts: DataFrame, user_name: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, mentions and edges that subjects and objects give.
+
+    Stand-ins become one name; names that are none give nothing, and an object only counts beside a valid
+    subject. Returns ``(namespace, key, name)`` with the first spelling, ``(namespace, key, id)`` and
+    ``(namespace, src, dst, weight)``; an edge weighs as many facts as name both ends.
+    """
+    s, o = canonical_entity(F.col("subject"), user_name), canonical_entity(F.substring("object", 1, 100), user_name, is_object=True)
+    rows = facts.where("subject is not null").select("namespace", "id", s.alias("s"), o.alias("o"), F.col("object").isNotNull().alias("has"))
+    rows = rows.where(valid_entity_name(F.col("s"))).withColumn("o", F.when(F.col("has") & valid_entity_name(F.col("o"), is_object=True), F.col("o")))
+    names = rows.select("namespace", "id", F.explode(F.array(F.struct(F.col("s").alias("name"), F.lit(0).alias("n")), F.struct(F.col("o").alias("name"), F.lit(1).alias("n")))).alias("x")).where("x.name is not null")
+    names = names.select("namespace", "id", "x.*", F.lower("x.name").alias("key"))
+    entities = names.groupBy("namespace", "key").agg(F.min_by("name", F.struct("id", "n")).alias("name"))
+    edges = rows.where("o is not null").select("namespace", F.lower("s").alias("s"), F.lower("o").alias("o")).where("s <> o")
+    edges = edges.groupBy("namespace", F.least("s", "o").alias("src"), F.greatest("s", "o").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return entities, names.select("namespace", "key", "id").distinct(), edges
+
+
+def mentions_of(facts: DataFrame) -> DataFrame:
+    """``(namespace, key, id)``: the subject and the proper nouns of each fact, in lower case."""
+    keys = F.array_distinct(F.transform(F.concat(F.array("subject"), extract_entities(F.col("statement"))), F.lower))
+    return facts.select("namespace", F.explode(keys).alias("key"), "id").where("key is not null")
+
+
+def expand_facts(reached: DataFrame, mentions: DataFrame, facts: DataFrame) -> DataFrame:
+    """The live facts that mention what :func:`expand` reached: ``(seed, id, hop)``, each by its nearest hop."""
+    live = facts.where("valid_to is null and expired_at is null").select("id")
+    hits = reached.join(mentions.select(F.col("key").alias("node"), "id"), "node").join(live, "id")
+    return hits.groupBy("seed", "id").agg(F.min("hop").alias("hop"))
+
+
+def entity_view(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, facts: DataFrame, depth: int = 1, most: int = 50, fact_limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """What stands around each ``seeds(node)``: its neighbours up to ``depth`` hops and the facts that mention it.
+
+    Neighbours ``(seed, node, weight, rank)`` rank by the heaviest edge that joins them to what was reached a
+    hop before; facts ``(seed, id, rank)`` that are not corrected by the latest ``valid_from``.
+    """
+    inner = expand(seeds, edges, depth).select("seed", F.col("node").alias("from"))
+    around = inner.join(both_ways(edges).withColumnRenamed("node", "from"), "from").where(F.col("other") != F.col("seed"))
+    best = around.groupBy("seed", F.col("other").alias("node")).agg(F.max("weight").alias("weight"))
+    order = Window.partitionBy("seed").orderBy(F.desc("weight"), "node")
+    related = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    own = seeds.select(F.col("node").alias("key")).distinct().join(mentions.select("key", "id").distinct(), "key").join(facts.where("expired_at is null").select("id", "valid_from"), "id")
+    newest = Window.partitionBy("key").orderBy(F.desc_nulls_last("valid_from"), F.desc("id"))
+    return related, own.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= fact_limit).select(F.col("key").alias("seed"), "id", "rank")
+
+
+def name_quality(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Shares of entities of degree one, of names that are literals, and of those with an embedding: ``entities(name, embedding)``."""
+    d = entities.join(degree(edges).withColumnRenamed("node", "name"), "name", "left")
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return d.agg(share(F.coalesce(F.col("degree") == 1, F.lit(False))).alias("leaf_share"), share(~valid_entity_name(F.col("name"))).alias("literal_share"), share(F.col("embedding").isNotNull()).alias("embedded_share"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from factlake.functions.predicates import has
 
-# Predicates of an assistant's facts that are dropped or kept, its own names, and signs of a hard fact.
+# Signs of an identifier in a statement; predicates of an assistant's facts that are dropped or kept, its own names, and signs of a hard fact.
 DROP_PREDICATES = ("did_activity", "did", "performed", "performed_activity", "activity", "worked_on", "met_person", "met", "visited", "likes", "enjoys", "hobby", "experienced", "feels")
 HIGH_PREDICATES = ("decided", "status", "result", "root_cause", "version", "deployed_version", "merged_as", "fixed_in", "is_blocked_by", "identifier")
 SELF = ("assistant", "the assistant", "agent", "the agent", "ai", "i", "me", "we", "bot", "model")
+IDENT = r"(#\d+|\b[A-Z][A-Z0-9]+-\d+\b|\bv?\d+\.\d+(?:\.\d+)*\b|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{7,40}\b|https?://|\bhost\d+\b|:\d{2,5}\b|\b(?:PR|MR|issue|ticket)\s*#?\d+\b)"
 STATE = (
     r"\b(deployed|merged|released|shipped|fixed|reverted|rolled back|broken|blocked|unblocked|is now|are now|now (?:uses|runs|points|lives|returns)|switched to|no longer|"
     r"decided|chose|chosen|root cause|pass(?:es|ed|ing)?|fail(?:s|ed|ing)?|green|resolved|migrated|upgraded|downgraded|deprecated)\b"
@@ -93,8 +94,7 @@ def filter_assistant_facts(facts: DataFrame, cap: int = 6, own_names: tuple[str,
     """
     p, s = F.lower(F.trim("predicate")), F.lower(F.trim("subject"))
     high = F.coalesce(p.isin(*HIGH_PREDICATES) & ~F.coalesce(s.isin(*own_names), F.lit(False)), F.lit(False))
-    ident = r"(#\d+|\b[A-Z][A-Z0-9]+-\d+\b|\bv?\d+\.\d+(?:\.\d+)*\b|\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{7,40}\b|https?://|\bhost\d+\b|:\d{2,5}\b|\b(?:PR|MR|issue|ticket)\s*#?\d+\b)"
-    kept = facts.withColumn("high", high).where(~F.coalesce(p.isin(*DROP_PREDICATES), F.lit(False)) & (F.col("high") | has(F.col("statement"), ident) | has(F.col("statement"), STATE)))
+    kept = facts.withColumn("high", high).where(~F.coalesce(p.isin(*DROP_PREDICATES), F.lit(False)) & (F.col("high") | has(F.col("statement"), IDENT) | has(F.col("statement"), STATE)))
     order = Window.partitionBy("turn_id").orderBy(F.desc("high"), "n")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
 
@@ -118,3 +118,56 @@ def matcher_bench(ranked: DataFrame, thresholds: list[float]) -> DataFrame:
         rate(F.when(F.col("has_answer"), F.col("first"))).alias("recall_at_1"), rate(F.when(F.col("has_answer"), F.col("any"))).alias("recall_at_k"),
         rate(F.when(F.col("has_answer"), hinted)).alias("hinted"), rate(F.when(~F.col("has_answer"), hinted)).alias("false_hint"),
     )
+
+
+def episode_detail(episodes: DataFrame, turns: DataFrame, facts: DataFrame) -> DataFrame:
+    """Each episode with its turns and the live facts drawn from them, in order: ``episodes(episode, turn_ids)``."""
+    links = episodes.select("episode", F.posexplode("turn_ids").alias("n", "turn_id"))
+    said = links.join(turns.select(F.col("id").alias("turn_id")), "turn_id").groupBy("episode").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "turn_id"))), lambda x: x.turn_id).alias("turns"))
+    drawn = facts.where("valid_to is null and expired_at is null").select(F.col("id").alias("fact_id"), F.explode("source_turn_ids").alias("turn_id"))
+    found = links.join(drawn, "turn_id").groupBy("episode").agg(F.array_sort(F.collect_set("fact_id")).alias("facts"))
+    none = F.array().cast("array<bigint>")
+    rows = episodes.select("episode").join(said, "episode", "left").join(found, "episode", "left")
+    return rows.select("episode", F.coalesce("turns", none).alias("turns"), F.coalesce("facts", none).alias("facts"))
+
+
+def get_dossier(asked: DataFrame, dossiers: DataFrame) -> DataFrame:
+    """The newest dossier of each ``asked(namespace, name)``, without regard to case: ``dossiers(namespace, name, id, created_at)``."""
+    newest = dossiers.groupBy("namespace", F.lower("name").alias("k")).agg(F.max_by("id", F.struct("created_at", "id")).alias("dossier_id"))
+    return asked.withColumn("k", F.lower("name")).join(newest, ["namespace", "k"]).drop("k")
+
+
+def dossier_candidates(mentions: DataFrame, least: int = 3) -> DataFrame:
+    """Entities that enough memories of their namespace mention: ``mentions(namespace, key, id)``, each once."""
+    return mentions.groupBy("namespace", "key").agg(F.count(F.lit(1)).alias("mentions")).where(F.col("mentions") >= least)
+
+
+def filter_author(df: DataFrame, authors: list[str]) -> DataFrame:
+    """Rows by one of ``authors``; an empty list asks for all."""
+    return df.where(F.col("author").isin(*authors)) if authors else df
+
+
+def filter_type(df: DataFrame, types: list[str]) -> DataFrame:
+    """Rows of one of ``types``, without regard to case, and pinned ones, which always stay: ``df(memory_type, pinned, …)``."""
+    return df.where(F.col("pinned") | F.lower("memory_type").isin(*(t.lower() for t in types))) if types else df
+
+
+def topic_census(asked: DataFrame, topics: DataFrame, readable: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Whether a topic exists where its asker may read, and else which like-named ones do; with its subscribers there.
+
+    ``asked(request_id, principal_id, channel)``, ``topics(namespace, channel)`` of catalogue and messages,
+    ``readable(principal_id, namespace)``, ``subscriptions(namespace, channel, session_name)``. Names within two
+    edits count as alike, but for ``#general``; they meet by their lengths, which differ by two at most.
+    """
+    seen = readable.join(topics.where(F.startswith("channel", F.lit("#"))).distinct(), "namespace").select("principal_id", "namespace", "channel")
+    names = seen.select("principal_id", F.col("channel").alias("other")).distinct()
+    exact = asked.join(names.withColumn("existed", F.lit(True)), (asked.principal_id == names.principal_id) & (F.col("channel") == F.col("other")), "left")
+    exact = exact.select("request_id", asked.principal_id, "channel", F.coalesce("existed", F.lit(False)).alias("existed"))
+    length = lambda c: F.length(c)
+    near = exact.where("not existed").select("request_id", "principal_id", "channel", F.explode(F.sequence(length("channel") - 2, length("channel") + 2)).alias("l"))
+    near = near.join(names.withColumn("l", length("other")), ["principal_id", "l"]).where("other <> '#general'")
+    d = F.levenshtein(F.lower("channel"), F.lower("other"), 2)
+    similar = near.where((d >= 1) & (d <= 2)).groupBy("request_id").agg(F.array_sort(F.collect_set("other")).alias("similar"))
+    heard = exact.join(seen, ["principal_id", "channel"]).join(subscriptions, ["namespace", "channel"]).groupBy("request_id").agg(F.countDistinct("session_name").alias("subscribers"))
+    rows = exact.join(similar, "request_id", "left").join(heard, "request_id", "left")
+    return rows.select("request_id", "channel", "existed", F.array_join(F.coalesce("similar", F.array().cast("array<string>")), ",").alias("similar"), F.coalesce("subscribers", F.lit(0)).alias("subscribers"))

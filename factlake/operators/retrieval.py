@@ -61,25 +61,39 @@ def lexical_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def parse_terms(queries: DataFrame) -> DataFrame:
-    """Web-style queries as terms with a role: quoted words form a phrase, ``-`` forbids, OR joins neighbours; others must occur."""
-    t = F.regexp_replace("text", r"(?i)(\S+)\s+or\s+(?=\S)", "|$1 ")
-    pieces = F.regexp_extract_all(t, F.lit(r'(-?"[^"]*"|\S+)'), F.lit(1))
+    """Web-style queries as terms ``(query_id, grp, role, term)``: quoted words form a phrase, ``-`` forbids, OR joins neighbours.
+
+    The terms of a group are alternatives; what OR does not join is a group by itself. ``role`` is want or not.
+    """
+    t = F.regexp_replace("text", r'(?i)(-?"[^"]*"|\S+)\s+or\s+(?=\S)', "|$1 ")
+    pieces = F.regexp_extract_all(t, F.lit(r'(\|?-?"[^"]*"|\S+)'), F.lit(1))
     rows = queries.select("query_id", F.posexplode(pieces).alias("pos", "piece"))
-    any_of = F.col("piece").startswith("|") | F.coalesce(F.lag("piece").over(Window.partitionBy("query_id").orderBy("pos")).startswith("|"), F.lit(False))
-    role = F.when(F.col("piece").startswith("-"), "not").when(F.col("piece").startswith('"'), "phrase").when(any_of, "any").otherwise("must")
-    return rows.select("query_id", role.alias("role"), F.lower(F.regexp_replace("piece", r'^[-|]+|"', "")).alias("term")).where("term <> ''")
+    order = Window.partitionBy("query_id").orderBy("pos")
+    joined = F.coalesce(F.lag("piece").over(order).startswith("|"), F.lit(False))
+    rows = rows.withColumn("grp", F.sum((~joined).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    term = F.trim(F.lower(F.regexp_replace("piece", r'^[-|]+|"', "")))
+    return rows.select("query_id", "grp", F.when(F.col("piece").rlike(r"^\|?-"), "not").otherwise("want").alias("role"), term.alias("term")).where("term <> ''")
 
 
-def boolean_match(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents that hold every must, one any, no not and all phrases of a query: ``(query_id, id)``."""
-    words = docs.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9]+"))).alias("term"))
-    single = terms.where("role <> 'phrase'")
-    need = terms.groupBy("query_id").agg(F.count_if(F.col("role") == "must").alias("must"), F.count_if(F.col("role") == "any").alias("any"))
-    got = single.join(words, "term").groupBy("query_id", "id").agg(*(F.count_if(F.col("role") == r).alias(f"__{r}") for r in ("must", "any", "not")))
-    found = got.join(need, "query_id").where("__must = must and __not = 0 and (any = 0 or __any > 0)").select("query_id", "id")
-    phrases = terms.where("role = 'phrase'")
-    checked = found.join(phrases, "query_id").join(docs.select("id", "text"), "id").where(~F.contains(F.lower("text"), F.col("term"))).select("query_id", "id").distinct()
-    return found.join(checked, ["query_id", "id"], "left_anti")
+def boolean_match(terms: DataFrame, docs: DataFrame, scope: DataFrame) -> DataFrame:
+    """Documents ``(query_id, id)`` of a query's namespaces that have a term of each wanted group and none that is forbidden.
+
+    ``scope(query_id, namespace)``. A term of one word meets documents by that word; a phrase by its first
+    word, and is then looked for in the texts that have it. Only queries that forbid and want nothing go
+    through all documents of their namespaces, which are their result but for a few.
+    """
+    words = docs.select("namespace", "id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9]+"))).alias("word")).where("word <> ''")
+    first = F.regexp_extract("term", "[a-z0-9]+", 0)
+    asked = terms.withColumns({"word": first, "phrase": F.col("term") != first}).where("word <> ''").join(scope.select("query_id", "namespace"), "query_id")
+    hits = words.join(asked, ["namespace", "word"])
+    checked = hits.where("phrase").join(docs.select("namespace", "id", "text"), ["namespace", "id"]).where(F.contains(F.lower("text"), F.col("term")))
+    keys = ["query_id", "id", "grp", "role"]
+    found = hits.where("not phrase").select(keys).unionByName(checked.select(keys))
+    need = terms.groupBy("query_id").agg(F.countDistinct(F.when(F.col("role") == "want", F.col("grp"))).alias("__need"))
+    sums = found.groupBy("query_id", "id").agg(F.countDistinct(F.when(F.col("role") == "want", F.col("grp"))).alias("__got"), F.count_if(F.col("role") == "not").alias("__bad"))
+    wanted = sums.join(need, "query_id").where("__need > 0 and __got = __need and __bad = 0").select("query_id", "id")
+    negative = need.where("__need = 0").join(scope, "query_id").join(docs.select("namespace", "id"), "namespace").select("query_id", "id")
+    return wanted.unionByName(negative.join(sums.where("__bad > 0").select("query_id", "id"), ["query_id", "id"], "left_anti"))
 
 
 def rrf(arms: list[DataFrame], k: int, c: int = RRF) -> DataFrame:
@@ -99,11 +113,19 @@ def hybrid_search(queries: DataFrame, table: DataFrame, k: int = 40, current_onl
 
 
 def timeline(queries: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
-    """The latest facts about a query's entities: ``queries(query_id, namespace, entities)``; subject equal or named in the statement."""
-    asked = queries.select("query_id", "namespace", F.explode("entities").alias("entity"))
-    words = facts.select("namespace", "id", F.explode(F.array_distinct(F.concat(F.array(F.lower("subject")), F.split(F.lower("statement"), r"[^\p{L}\p{N}_]+")))).alias("word"))
-    first = asked.withColumn("word", F.lower("entity"))
-    hits = words.join(first, ["namespace", "word"]).select("query_id", "id").distinct()
+    """The latest facts about a query's entities: ``queries(query_id, namespace, entities)``; subject equal or named in the statement.
+
+    Names of several words meet the statement's runs of as many words.
+    """
+    parts = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    asked = queries.select("query_id", "namespace", F.explode("entities").alias("entity")).select("query_id", "namespace", parts("entity").alias("parts"))
+    asked = asked.select("query_id", "namespace", F.array_join("parts", " ").alias("word"), F.size("parts").alias("n")).where("n > 0")
+    longest = asked.agg(F.max("n")).first()[0] or 1
+    said = parts("statement")
+    runs = [F.transform(F.sequence(F.lit(1), F.size(said) - n + 1), lambda k, n=n: F.array_join(F.slice(said, k, n), " ")) for n in range(2, longest + 1)]
+    named = [said, F.array(F.array_join(parts("subject"), " "))] + [F.when(F.size(said) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 2)]
+    words = facts.select("namespace", "id", F.explode(F.array_distinct(F.concat(*named))).alias("word"))
+    hits = words.join(asked.select("query_id", "namespace", "word").distinct(), ["namespace", "word"]).select("query_id", "id").distinct()
     found = hits.join(facts.select("id", "observed_at", "statement"), "id")
     return rank_in(found, ["query_id"], [F.desc("observed_at"), F.desc("id")], limit)
 
@@ -116,6 +138,28 @@ def dedupe_candidates(cands: DataFrame, key: Column) -> DataFrame:
     return counted.where("__n = 1").drop("__k", "__n")
 
 
+def dedupe_near(cands: DataFrame, key: Column, below: float = 0.03) -> DataFrame:
+    """As :func:`dedupe_candidates`, but contents whose vectors lie closer than ``below`` count as one, and so on along chains.
+
+    ``cands(query_id, id, score, observed_at, embedding, …)``. A query's candidates are bounded by the arms,
+    so the distances within each are folded in one row of it: labels spread along near pairs until none changes.
+    """
+    single = dedupe_candidates(cands, key)
+    ids = F.array_sort(F.collect_list(F.struct("id", "embedding")))
+    held = single.groupBy("query_id").agg(ids.alias("c"))
+    start = F.transform("c", lambda x, i: i)
+    near = F.transform("c", lambda x: F.transform(F.col("c"), lambda y: F.coalesce(F.round(1 - cosine(x.embedding, y.embedding), 6) < below, F.lit(False)) | (x.id == y.id)))
+    held = held.withColumn("near", near).withColumn("label", start)
+    # doubling: after k rounds a label has come 2^k steps, as it is taken from the label's own label
+    spread = lambda labels: F.transform(F.col("near"), lambda row: F.array_min(F.transform(F.filter(F.arrays_zip(row.alias("n"), labels.alias("l")), lambda z: z["n"]), lambda z: z["l"])))
+    folded = F.aggregate(F.sequence(F.lit(1), F.size("c")), F.col("label"), lambda acc, _: spread(acc))
+    labels = held.select("query_id", F.explode(F.arrays_zip(F.col("c.id").alias("id"), folded.alias("label"))).alias("z")).select("query_id", "z.id", "z.label")
+    rows = single.join(labels, ["query_id", "id"])
+    order = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), F.desc("observed_at"), F.col("id"))
+    whole = rows.withColumns({"dup_count": F.sum("dup_count").over(Window.partitionBy("query_id", "label")), "__n": F.row_number().over(order)})
+    return whole.where("__n = 1").drop("label", "__n")
+
+
 def rerank(cands: DataFrame, score: Column | None = None, cap: int = 100, floor: float = 0.0) -> DataFrame:
     """Score the first ``cap`` candidates of a query; the tail keeps its order strictly below them.
 

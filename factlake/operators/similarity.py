@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.operators.retrieval import cosine
+from factlake.functions.predicates import reversal_cue, salient_tokens
+from factlake.operators.retrieval import cosine, rank_in
 
 _SIDE = ["namespace", "id", "subject", "observed_at", "embedding"]
 
@@ -48,3 +49,24 @@ def supersede_inferred(facts: DataFrame) -> DataFrame:
     w = Window.partitionBy("namespace", F.lower("subject"))
     newest = F.max(F.struct("observed_at", "id")).over(w)["id"]
     return facts.where("kind = 'inferred'").withColumn("superseded_by", newest).where("id <> superseded_by").select("id", "superseded_by")
+
+
+def close_reversals(facts: DataFrame, reach: float = 0.40, nearest: int = 8) -> DataFrame:
+    """Live facts that a later statement with a cue of reversal closes: ``(id, superseded_by, distance)``.
+
+    Among the ``nearest`` live facts of its namespace observed before it, a reversal closes those within
+    ``reach`` that share two salient words with it, one of them outside both subjects, and agree on the
+    subject where both have one. Of several reversals the first closes. Reversals are few, so only they
+    meet the facts of their namespace, and each keeps its nearest before anything else is compared.
+    """
+    live = facts.where("valid_to is null and expired_at is null and embedding is not null")
+    side = lambda df, tag: df.select("namespace", *(F.col(c).alias(f"{tag}_{c}") for c in ("id", "subject", "statement", "observed_at", "embedding")))
+    said, old = side(live.where(reversal_cue(F.col("statement"))), "r"), side(live, "o")
+    before = (F.col("o_observed_at") < F.col("r_observed_at")) | ((F.col("o_observed_at") == F.col("r_observed_at")) & (F.col("o_id") < F.col("r_id")))
+    pairs = said.join(old, "namespace").where(before).withColumn("distance", F.round(1 - cosine(F.col("r_embedding"), F.col("o_embedding")), 6)).drop("r_embedding", "o_embedding")
+    near = rank_in(pairs, ["r_id"], [F.col("distance"), F.col("o_id")], nearest).where(F.col("distance") <= reach)
+    agree = F.col("r_subject").isNull() | F.col("o_subject").isNull() | (F.lower("r_subject") == F.lower("o_subject"))
+    shared = F.array_intersect(salient_tokens(F.col("r_statement")), salient_tokens(F.col("o_statement")))
+    outside = F.array_except(shared, F.concat(salient_tokens(F.col("r_subject")), salient_tokens(F.col("o_subject"))))
+    hits = near.where(agree & (F.size(shared) >= 2) & (F.size(outside) > 0))
+    return hits.groupBy(F.col("o_id").alias("id")).agg(F.min_by(F.struct("r_id", "distance"), F.struct("r_observed_at", "r_id")).alias("m")).select("id", F.col("m.r_id").alias("superseded_by"), "m.distance")

@@ -158,8 +158,14 @@ def s5_rank_fair_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS w FROM documents), d AS (SELECT doc_id, list(w) AS ws FROM w GROUP BY doc_id)
 SELECT 1 AS query_id, doc_id AS id FROM d WHERE list_contains(ws, 'the') AND NOT list_contains(ws, 'was') UNION ALL
-SELECT 2, doc_id FROM d WHERE (list_contains(ws, 'der') OR list_contains(ws, 'les')) UNION ALL SELECT 3, doc_id FROM d JOIN documents USING (doc_id) WHERE list_contains(ws, 'of') AND contains(lower(text), 'of the')"""
+SELECT 2, doc_id FROM d WHERE (list_contains(ws, 'der') OR list_contains(ws, 'les')) UNION ALL SELECT 3, doc_id FROM d JOIN documents USING (doc_id) WHERE list_contains(ws, 'of') AND contains(lower(text), 'of the')
+UNION ALL SELECT 4, doc_id FROM d JOIN documents USING (doc_id) WHERE list_contains(ws, 'of') AND contains(lower(text), 'of the') UNION ALL SELECT 5, doc_id FROM d WHERE NOT list_contains(ws, 'the')
+UNION ALL SELECT 6, doc_id FROM d WHERE (list_contains(ws, 'the') OR list_contains(ws, 'der')) AND (list_contains(ws, 'und') OR list_contains(ws, 'les'))
+UNION ALL SELECT 7, doc_id FROM d JOIN documents USING (doc_id) WHERE (list_contains(ws, 'der') OR list_contains(ws, 'of') AND contains(lower(text), 'of the')) AND NOT (list_contains(ws, 'the') AND contains(lower(text), 'the of'))"""
 )
 def v4_boolean_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = spark.createDataFrame([(1, "the -was"), (2, "der OR les"), (3, 'of "of the"')], "query_id int, text string")
-    return op.boolean_match(op.parse_terms(queries), _docs(spark, sf_dir))
+    asked = [(1, "the -was"), (2, "der OR les"), (3, 'of "of the"'), (4, '"of the"'), (5, "-the"), (6, "the OR der und OR les"), (7, '"of the" OR der -"the of"')]
+    queries = spark.createDataFrame(asked, "query_id int, text string")
+    docs = _docs(spark, sf_dir)
+    scope = queries.select("query_id").join(F.broadcast(docs.select("namespace").distinct()))
+    return op.boolean_match(op.parse_terms(queries), docs, scope)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factlake.functions.text import lex_tokens, redact
+from factlake.functions.text import ancestors, lex_tokens, redact
 
 #: A document's letters that are taken in at most (2 MB).
 MOST_LETTERS = 2_000_000
@@ -81,12 +81,18 @@ def chunk_text(docs: DataFrame, size: int = 1200, overlap: int = 150) -> DataFra
     return docs.select("doc_id", F.posexplode(chunks).alias("chunk", "text"))
 
 
-def ingest_documents(docs: DataFrame, size: int = 1200, overlap: int = 150) -> DataFrame:
-    """Documents as turns: chunked and with known secrets redacted. Longer documents are refused, not cut."""
-    rows = docs.where(F.length("text") <= MOST_LETTERS).select("doc_id", "text")
+def ingest_documents(docs: DataFrame, size: int = 1200, overlap: int = 150, most: int | None = MOST_LETTERS) -> DataFrame:
+    """Documents as turns: chunked and with known secrets redacted. Documents of more than ``most`` letters
+    (None: any) are refused, not cut; :func:`refused_documents` names them."""
+    rows = docs.select("doc_id", "text") if most is None else docs.where(F.length("text") <= most).select("doc_id", "text")
     return chunk_text(rows, size, overlap).select("doc_id", "chunk", redact(F.col("text")).alias("text"))
 
 
+def refused_documents(docs: DataFrame, most: int = MOST_LETTERS) -> DataFrame:
+    """``(doc_id, letters)`` of the documents that :func:`ingest_documents` refuses."""
+    return docs.select("doc_id", F.length("text").alias("letters")).where(F.col("letters") > most)
+
+
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: ``(path, text)``; bytes that are not UTF-8 are replaced."""
     return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "utf-8").alias("text"))
@@ -180,3 +186,26 @@ def gen_debt_facts(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     statement = F.when(F.col("kind_of") == "reversal", F.concat(subject, F.lit(" no longer serves traffic"))).otherwise(F.concat(subject, F.lit(" rate_limit is "), obj))
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.expr("make_dt_interval(0, 0, 0, id)")
     return rows.select("id", F.lit("debt").alias("namespace"), "kind_of", subject.alias("subject"), F.lit("rate_limit").alias("predicate"), obj.alias("object"), statement.alias("statement"), at.alias("observed_at"), at.alias("valid_from"))
+
+
+def corpus_sources(ingests: DataFrame) -> DataFrame:
+    """The last ingest of each (namespace, name): ``ingests(namespace, name, kind, git_sha, constraint_count, ingested_at, id)``."""
+    last = F.max_by(F.struct("kind", "git_sha", "constraint_count", "ingested_at"), F.struct("ingested_at", "id"))
+    return ingests.groupBy("namespace", "name").agg(last.alias("l")).select("namespace", "name", "l.*")
+
+
+def corpus_descendants(sources: DataFrame, changed: DataFrame) -> DataFrame:
+    """Namespaces below each ``changed(namespace)`` that hold documents of their own, and how many.
+
+    A namespace is exploded into its ancestors, so prefixes meet by equality.
+    """
+    docs = sources.groupBy("namespace").agg(F.count(F.lit(1)).alias("docs"))
+    up = docs.select(F.col("namespace").alias("descendant"), "docs", F.explode(ancestors(F.col("namespace"))).alias("namespace"))
+    return up.join(changed.select("namespace").distinct(), "namespace")
+
+
+def copy_log(log: DataFrame, namespaces: DataFrame) -> DataFrame:
+    """Copies from or to each of ``namespaces(namespace)``, the newest first: ``log(id, dst_ns, src_ns, mode, copied_at)``."""
+    sides = log.withColumn("namespace", F.explode(F.array_distinct(F.array("dst_ns", "src_ns")))).join(namespaces.select("namespace").distinct(), "namespace")
+    order = Window.partitionBy("namespace").orderBy(F.desc("copied_at"), F.desc("id"))
+    return sides.withColumn("rank", F.row_number().over(order))

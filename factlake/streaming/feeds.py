@@ -55,25 +55,31 @@ def replay(writes: DataFrame, watermark: str | None = None) -> tuple[DataFrame,
     return once.where(~lasting), once.where(lasting)
 
 
-def deliver(stream: DataFrame, post: Callable[[list], None], failures: Callable[[DataFrame], None], most: int = 5):
-    """A ``foreachBatch`` function that posts each partition's rows, at least once.
+def deliver(post: Callable[[list], None], path: str, most: int = 5) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that posts each subscriber's rows, at least once.
 
-    ``post`` gets a list of rows on the executors and raises if it fails; failed rows go to ``failures``
-    with a count, and subscriptions with ``most`` failures are for the caller to turn off.
+    ``post`` gets a list of rows on the executors and raises if it fails. What failed is kept below ``path``
+    with the number of its failures in a row and posted again with the next batch; a subscriber with
+    ``most`` of them is not posted to any more, and its rows wait there. A batch that is run again
+    overwrites what it left.
     """
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            bad = []
-            for subscriber, rows in pdf.groupby("subscriber"):
-                try:
-                    post(rows.to_dict("records"))
-                except Exception as error:  # whatever the caller's post raises counts as a failure
-                    bad.append((subscriber, len(rows), type(error).__name__))
-            yield pd.DataFrame(bad, columns=["subscriber", "n", "error"])
-
     def batch(df: DataFrame, epoch: int) -> None:
-        failures(df.mapInPandas(send, "subscriber string, n long, error string").withColumns({"epoch": F.lit(epoch), "inactive": F.col("n") >= most}))
+        schema = df.schema.add("failures", "int")
+        waiting = df.sparkSession.read.schema(schema).parquet(f"{path}/epoch-{epoch - 1}") if epoch else df.sparkSession.createDataFrame([], schema)
+        worst = waiting.groupBy("subscriber").agg(F.max("failures").alias("__worst"))
+        rows = df.withColumn("failures", F.lit(0)).unionByName(waiting).join(worst, "subscriber", "left").withColumn("failures", F.coalesce("__worst", F.lit(0))).select(schema.names)
+
+        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for _, own in pdf.groupby("subscriber"):
+                    try:
+                        post(own.drop(columns="failures").to_dict("records"))
+                    except Exception:  # whatever the caller's post raises counts as a failure
+                        yield own.assign(failures=own["failures"] + 1)
+
+        failed = rows.where(F.col("failures") < most).repartition("subscriber").mapInPandas(send, schema)
+        failed.unionByName(rows.where(F.col("failures") >= most)).write.mode("overwrite").parquet(f"{path}/epoch-{epoch}")
 
     return batch
 
@@ -181,3 +187,60 @@ def retention(messages: DataFrame, subscriptions: DataFrame, sessions: DataFrame
     orphans = messages.select("channel").union(subscriptions.select("channel")).distinct().join(left, "channel", "left_anti")
     count = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count(old, "messages").unionByName(count(idle, "sessions")).unionByName(count(dead, "subscriptions")).unionByName(count(orphans, "channels"))
+
+
+def dedupe_exchanges(exchanges: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Captured exchanges once each, by conversation, question and answer: ``exchanges(conversation, user_text, reply, ts)``.
+
+    On a stream, repeats within ``watermark`` are dropped with bounded state; in a batch, all are.
+    """
+    rows = exchanges.withColumn("__key", F.sha2(F.concat_ws("\u0001", F.coalesce("user_text", F.lit("")), F.coalesce("reply", F.lit(""))), 256))
+    once = rows.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["conversation", "__key"]) if watermark else rows.dropDuplicates(["conversation", "__key"])
+    return once.drop("__key")
+
+
+def observed_writes(writes: DataFrame, now: Column) -> DataFrame:
+    """Replayed writes as they are stored: observed when they are committed, while the time they were queued only
+    dates the event: ``writes(item_id, queued_at, …)``."""
+    return writes.withColumns({"observed_at": now, "event_at": F.coalesce("queued_at", now)})
+
+
+def lease_spans(events: DataFrame, ttl_seconds: int = 1200) -> DataFrame:
+    """Who held each lease when: ``(namespace, key, holder, acquired_at, ended_at)`` from ``events(namespace, key, holder, action, ts, id)``.
+
+    An acquire takes a lease that is free or has run out; a heartbeat of the holder that comes in time extends
+    it; a release of the holder ends it. Events of a key are folded in order, one after the other with one
+    row of state, so a key's log is never held whole.
+    """
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, None  # (holder, acquired, until)
+        ttl = pd.Timedelta(seconds=ttl_seconds)
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if (r.namespace, r.key) != key:
+                    if held:
+                        out.append((*key, *held))
+                    key, held = (r.namespace, r.key), None
+                if held and held[2] <= r.ts:
+                    out.append((*key, *held))
+                    held = None
+                if r.action == "acquire" and not held:
+                    held = (r.holder, r.ts, r.ts + ttl)
+                elif r.action == "heartbeat" and held and held[0] == r.holder:
+                    held = (held[0], held[1], r.ts + ttl)
+                elif r.action == "release" and held and held[0] == r.holder:
+                    out.append((*key, held[0], held[1], r.ts))
+                    held = None
+            yield pd.DataFrame(out, columns=["namespace", "key", "holder", "acquired_at", "ended_at"])
+        if held:
+            yield pd.DataFrame([(*key, *held)], columns=["namespace", "key", "holder", "acquired_at", "ended_at"])
+
+    rows = events.select("namespace", "key", "holder", "action", "ts", "id").repartition("namespace", "key").sortWithinPartitions("namespace", "key", "ts", "id")
+    return rows.mapInPandas(fold, "namespace string, key string, holder string, acquired_at timestamp_ntz, ended_at timestamp_ntz")
+
+
+def lease_holders(spans: DataFrame, at: Column) -> DataFrame:
+    """Leases that are held at a time; a lease that ends then is not."""
+    return spans.where((F.col("acquired_at") <= at) & (F.col("ended_at") > at))
