@@ -26,13 +26,13 @@ BUCKETS = 1 << 15
 #: A longer word is cut into pieces of this many letters, which are labelled like words.
 LETTERS = 32
 #: Words whose scores one worker remembers.
-CACHE = 400_000
+CACHE = 250_000
 #: Languages that are learned, the commonest first; a column with more values is not one of languages.
 MOST_LANGUAGES = 200
 #: So many familiar words are added to each text's own before its familiarity is taken, as short texts can't be told.
 DOUBT = 10
 #: Words that are labelled at a time.
-AT_ONCE = 200_000
+AT_ONCE = 100_000
 #: Words between two looks at a chain's state; see :func:`posteriors`.
 BLOCK = 32
 _EDGES = string.punctuation + string.digits + "«»¿¡…–—“”„‘’·•"
@@ -367,6 +367,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
                     found += own.judge(few)
                     few, letters = [], 0
             found += own.judge(few) if few else []
+            pa.default_memory_pool().release_unused()
             columns = [batch.column(c) for c in keep]
             names, scores, familiar = zip(*found) if found else ((), (), ())
             columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(familiar, pa.float64())]

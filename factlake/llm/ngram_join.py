@@ -25,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.common import TwoGenerationCache, connected_components, held_by_worker, sorted_groups, stored
+from factlake.llm.common import connected_components, sorted_groups, stored
 
-#: Words whose hashes one worker remembers (two generations of this many).
-CACHE = 200_000
+#: Texts that are hashed together at most, and bytes of them.
+TOGETHER, TOGETHER_BYTES = 64, 500_000
 #: Classes in a block of a cluster.
 BLOCK = 512
 #: N-grams in a block at most, on the average.
@@ -43,6 +43,10 @@ HOT_SAMPLE, HOT_KEYS = 6_000, 2_000
 #: Tasks that a hot key is dealt to.
 SALTS = 32
 
+#: ASCII white space, and the base of the hashes of words with its inverse modulo 2^64.
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -53,29 +57,64 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes() -> TwoGenerationCache:
-    return held_by_worker(("word hashes",), lambda: TwoGenerationCache(CACHE))
+def _word_values(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of UTF-8 bytes begin, and a hash of each: A-Z in lower case, words between ASCII blanks.
+
+    A word's hash is that of the polynomial of its bytes: all come from one running sum, divided by the
+    power at which the word begins (the base is odd, so it has an inverse).
+    """
+    raw = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
+    inside = np.concatenate([[False], ~_BLANK[raw], [False]])
+    begin, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=sums[1:])
+    value = (sums[end] - sums[begin]) * _powers(_INVERSE, len(raw) + 1)[begin]
+    return begin, _mix(value + (end - begin).astype(np.uint64) * _M3)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to ``n - 1``; what usual batches need is made once."""
+    if n <= 2 * TOGETHER_BYTES:
+        return _few_powers(base)[:n]
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]))
 
 
-def shingles(text: str, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of ``text``; of the whole if it has fewer words."""
-    known = _word_hashes()
-    words = text.encode("utf-8").lower().split()  # bytes: only A-Z change, only ASCII blanks split
-    if not words:
-        return np.empty(0, np.uint64)
-    try:
-        h = np.array([known[w] for w in words], np.uint64)
-    except KeyError:
-        for w in known.recall([w for w in {*words} if w not in known]):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([known[w] for w in words], np.uint64)
-        known.age()
-    k = min(width, len(words))
-    n = len(h) - k + 1
-    x = np.full(n, k, np.uint64)
-    for i in range(k):
-        x = _mix(x * _M1 + h[i : i + n])
-    return np.unique(x)
+@functools.lru_cache(maxsize=2)
+def _few_powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * TOGETHER_BYTES - 1, base, np.uint64)]))
+
+
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct 64-bit hashes of word n-grams; of the whole if it has fewer words. A null has none.
+
+    Texts are hashed some together, by numpy alone, so that nothing is remembered from one to the next.
+    """
+    for at in range(0, len(texts), TOGETHER):
+        some = [(t.as_buffer() if t.is_valid else None) for t in texts.slice(at, TOGETHER).cast(pa.large_binary())]
+        few: list = []
+        for k, t in enumerate(some):
+            few.append(t)
+            if k + 1 == len(some) or sum(x.size for x in few if x) > TOGETHER_BYTES:
+                yield from _sets_of(few, width)
+                few = []
+
+
+def _sets_of(texts: list, width: int) -> Iterator[np.ndarray]:
+    sizes = np.array([(t.size if t else 0) + 1 for t in texts])  # a blank ends each text
+    raw = np.frombuffer(b" ".join([t.to_pybytes() if t else b"" for t in texts]) + b" ", np.uint8)
+    begin, h = _word_values(raw)
+    edges = np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)]))
+    grams = np.full(max(0, len(h) - width + 1), width, np.uint64)
+    for i in range(width):
+        grams = _mix(grams * _M1 + h[i : i + len(grams)])
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if high - low >= width:
+            yield np.unique(grams[low : high - width + 1])
+        else:
+            x = np.full(min(1, high - low), high - low, np.uint64)
+            for i in range(low, high):
+                x = _mix(x * _M1 + h[i : i + 1])
+            yield x
 
 
 def most_differing(size: int, share: int) -> int:
@@ -205,6 +244,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def _without(rows: DataFrame, copies: DataFrame) -> DataFrame:
@@ -231,8 +271,7 @@ def _keyed(rows: DataFrame, width: int, share: int, hot: np.ndarray) -> DataFram
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             found, lots, n = [np.empty(0, np.int64)], [np.empty(0, np.int32)], []
-            for text in batch.column(1):
-                sh = shingles(text.as_py(), width)
+            for sh in shingle_sets(batch.column(1), width):
                 own = signatures(sh, share) if len(sh) else ([], [])
                 found.append(np.array(own[0], np.int64))
                 lots.append(np.array(own[1], np.int32))
@@ -276,7 +315,7 @@ def _members(rows: DataFrame, clusters: DataFrame, width: int, share: int) -> Da
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            sets = [shingles(t.as_py(), width) for t in batch.column(2)]
+            sets = list(shingle_sets(batch.column(2), width))
             columns = [
                 batch.column(0),
                 batch.column(1),
@@ -360,7 +399,7 @@ def ngram_join(docs: DataFrame, width: int = 3, share: int = 90) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            sets = [shingles(text.as_py(), width) for text in batch.column(1)]
+            sets = list(shingle_sets(batch.column(1), width))
             digests = [xxhash.xxh3_128_digest(sh.tobytes()) if len(sh) else None for sh in sets]
             columns = [batch.column(0), batch.column(2), pa.array([len(sh) for sh in sets], pa.int64()), pa.array(digests, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "n_shingles", "digest"])
