@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,12 @@ SECRET_PATTERNS = (
     ("bearer", r"(?i)\bbearer\s+[A-Za-z0-9._-]{20,}\b"),
     ("credential", r"(?i)(\b(?:api[_-]?key|secret|password|passwd|pwd|token|access[_-]?key)\b\s*[:=]\s*[\"']?)([^\s\"';,]{8,})[\"']?"),
 )
+# what a text with a secret of each shape has in any case: one of several strings, or a match
+SECRET_SIGNS = {
+    "private_key": ("-----BEGIN ",), "stripe_key": ("_live_", "_test_"), "openai_key": ("sk-",), "anthropic_key": ("sk-ant-",), "aws_key": ("AKIA",), "google_key": ("AIza",),
+    "gh_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack_token": ("xox",), "engine_token": ("mnk_",), "jwt": ("eyJ",), "bearer": "(?i)bearer\\s",
+    "credential": "(?i)(?:key|secret|passw(?:or)?d|pwd|token)\\s*[:=]",
+}
 TEMPORAL = (
     r"\b(when|what year|what month|what day|how long|how many (days|weeks|months|years)|before|after|first|last|earliest|latest|recent|recently|ago|date|since|"
     r"until|current(ly)?|now|these days|nowadays|january|february|march|april|may|june|july|august|september|october|november|december)\b"
@@ -149,20 +157,48 @@ def salience(text: Column, n_entities: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-(0.4 * n_entities + 0.002 * F.length(text) - 1.2)))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` evaluated once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _may_hold(text: Column, label: str) -> Column:
+    """A cheap test that every text with a secret of this shape passes."""
+    signs = SECRET_SIGNS[label]
+    if isinstance(signs, str):
+        return text.rlike(signs)
+    found = F.contains(text, F.lit(signs[0]))
+    for sign in signs[1:]:
+        found = found | F.contains(text, F.lit(sign))
+    return found
+
+
+def _replaced(text: Column, label: str, pattern: str) -> Column:
+    return F.regexp_replace(text, pattern, ("$1" if label == "credential" else "") + f"[REDACTED:{label}]")
+
+
 def redact(text: Column) -> Column:
     """Known shapes of secrets replaced by ``[REDACTED:label]``, the most specific first."""
+
+    def step(label: str, pattern: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(_may_hold(t, label), _replaced(t, label, pattern)).otherwise(t)
+
     for label, pattern in SECRET_PATTERNS:
-        text = F.regexp_replace(text, pattern, ("$1" if label == "credential" else "") + f"[REDACTED:{label}]")
+        text = _once(text, step(label, pattern))
     return text
 
 
 def count_secrets(text: Column) -> Column:
     """How many secrets :func:`redact` replaces."""
-    n = F.lit(0)
+
+    def step(label: str, pattern: str) -> Callable[[Column], Column]:
+        hit = lambda s: F.struct(_replaced(s.t, label, pattern).alias("t"), (s.n + F.regexp_count(s.t, F.lit(pattern))).alias("n"))
+        return lambda s: F.when(_may_hold(s.t, label), hit(s)).otherwise(s)
+
+    state = F.struct(text.alias("t"), F.lit(0).alias("n"))
     for label, pattern in SECRET_PATTERNS:
-        n = n + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, ("$1" if label == "credential" else "") + f"[REDACTED:{label}]")
-    return n
+        state = _once(state, step(label, pattern))
+    return state.n
 
 
 def shannon(text: Column) -> Column:
@@ -347,14 +383,24 @@ def contradiction_penalty(ratio: Column) -> Column:
     return 40.0 * F.least(F.lit(1.0), F.sqrt(ratio / 0.10))
 
 
+def lex_words(text: Column) -> Column:
+    """Runs of letters and digits in lower case, from which search tokens are made."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def is_lex_word(word: Column) -> Column:
+    return (F.length(word) >= 2) & ~word.isin(*LEX_STOP)
+
+
 def lex_tokens(text: Column) -> Column:
-    """Search tokens: letters and digits, stop words left out, a crude stem; repeats stay."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    kept = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*LEX_STOP))
-    return F.transform(kept, _stem)
+    """Search tokens: letters and digits, stop words left out, a crude stem; repeats stay.
+
+    Where tokens are exploded anyway, exploding :func:`lex_words` first keeps the rest in generated code.
+    """
+    return F.transform(F.filter(lex_words(text), is_lex_word), lex_stem)
 
 
-def _stem(word: Column) -> Column:
+def lex_stem(word: Column) -> Column:
     stem = word
     for suffix in ("s", "ed", "es", "ing"):  # the last one that fits decides
         fits = word.endswith(suffix) & (F.length(word) - len(suffix) >= 3)

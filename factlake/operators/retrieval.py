@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.functions.text import lex_tokens
+from factlake.functions.text import is_lex_word, lex_stem, lex_tokens, lex_words
 
 #: Rank constant of reciprocal-rank fusion, and BM25's two.
 RRF, K1, B = 60, 1.5, 0.75
@@ -40,18 +40,24 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 def postings(docs: DataFrame) -> DataFrame:
     """``(namespace, id, term, tf)``."""
-    return docs.select("namespace", "id", F.explode(lex_tokens(F.col("text"))).alias("term")).groupBy("namespace", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _terms(docs).groupBy("namespace", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _terms(docs: DataFrame) -> DataFrame:
+    words = docs.select("namespace", "id", F.explode(lex_words(F.col("text"))).alias("word")).where(is_lex_word(F.col("word")))
+    return words.select("namespace", "id", lex_stem(F.col("word")).alias("term"))
 
 
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """BM25 within a query's namespace, any of its terms: ``(query_id, id, score, rank)``; ties by id."""
-    index = postings(docs)
-    lengths = index.groupBy("namespace", "id").agg(F.sum("tf").alias("len"))
+    lengths = docs.select("namespace", "id", F.size(F.filter(lex_words(F.col("text")), is_lex_word)).cast("long").alias("len"))
     corpus = docs.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
     mean = lengths.groupBy("namespace").agg(F.sum("len").alias("__sum")).join(corpus, "namespace").select("namespace", "n", (F.col("__sum") / F.col("n")).alias("avg"))
     terms = queries.select("query_id", "namespace", F.explode(F.array_distinct(lex_tokens(F.col("text")))).alias("term"))
-    # only the terms that are asked for go on
-    asked = index.join(terms.select("namespace", "term").distinct(), ["namespace", "term"], "left_semi")
+    # only the terms that are asked for are counted and shuffled
+    wanted = terms.select("namespace", "term").distinct()
+    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    asked = _terms(docs).join(F.broadcast(wanted) if few else wanted, ["namespace", "term"], "left_semi").groupBy("namespace", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = asked.groupBy("namespace", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.join(mean, "namespace").select("namespace", "term", "avg", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     hits = asked.join(terms, ["namespace", "term"]).join(idf, ["namespace", "term"]).join(lengths, ["namespace", "id"])

@@ -140,7 +140,7 @@ def f21_peer_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "pages").select("page_id", x.peer_envelope(F.col("html"), F.col("url")).alias("envelope"))
 
 
-@query()
+@query("SELECT doc_id, sha1('blob ' || strlen(text) || chr(0) || text) AS blob_sha FROM documents")
 def f22_git_blob_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "documents").select("doc_id", x.git_blob_sha(F.col("text")).alias("blob_sha"))
 
@@ -221,7 +221,8 @@ _STEM = """CASE WHEN w LIKE '%ing' AND length(w) >= 6 THEN left(w, -3) WHEN w LI
 SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM s GROUP BY term"""
 )
 def f36_lex_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = t.table(spark, sf_dir, "documents").select("doc_id", F.explode(x.lex_tokens(F.col("text"))).alias("term"))
+    words = t.table(spark, sf_dir, "documents").select("doc_id", F.explode(x.lex_words(F.col("text"))).alias("word")).where(x.is_lex_word(F.col("word")))
+    terms = words.select("doc_id", x.lex_stem(F.col("word")).alias("term"))
     by_doc = terms.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return by_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
 

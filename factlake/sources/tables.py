@@ -95,7 +95,7 @@ def refused_documents(docs: DataFrame, most: int = MOST_LETTERS) -> DataFrame:
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files: ``(path, text)``; bytes that are not UTF-8 are replaced."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "utf-8").alias("text"))
+    return spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def load_conversations(spark: SparkSession, path: str, base: Column) -> DataFrame:

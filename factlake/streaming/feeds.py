@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -65,7 +66,7 @@ def deliver(post: Callable[[list], None], path: str, most: int = 5) -> Callable[
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        schema = df.schema.add("failures", "int")
+        schema = T.StructType([*df.schema.fields, T.StructField("failures", T.IntegerType())])
         waiting = df.sparkSession.read.schema(schema).parquet(f"{path}/epoch-{epoch - 1}") if epoch else df.sparkSession.createDataFrame([], schema)
         worst = waiting.groupBy("subscriber").agg(F.max("failures").alias("__worst"))
         rows = df.withColumn("failures", F.lit(0)).unionByName(waiting).join(worst, "subscriber", "left").withColumn("failures", F.coalesce("__worst", F.lit(0))).select(schema.names)
