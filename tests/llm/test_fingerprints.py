@@ -70,3 +70,47 @@ def test_outlying_ids_leave_stretches_even(spark, monkeypatch):
     monkeypatch.setattr(fp, "stretch_of", lambda doc_id, cuts: made.append(cuts) or real(doc_id, cuts))
     rows = [(i, f"text {i}", None) for i in ids]
     assert fp.edited_halves(spark.createDataFrame(rows, SCHEMA)).count() == len(ids) and len(made[0]) >= 17
+
+
+def _murmur(values, seed=42):
+    """Spark's 32-bit hash of longs."""
+    mask, h = 0xFFFFFFFF, seed
+    rotate = lambda x, k: ((x << k) | (x >> (32 - k))) & mask
+    for v in values:
+        for part in (v & mask, (v >> 32) & mask):
+            h ^= rotate(part * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+            h = (rotate(h, 13) * 5 + 0xE6546B64) & mask
+        h ^= 8
+        h = (h ^ h >> 16) * 0x85EBCA6B & mask
+        h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+        h ^= h >> 16
+    return h
+
+
+def test_samples_equal_a_plain_loop(spark):
+    """Each place against consistent weighted sampling written out word by word."""
+    import math
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    of_long = lambda v, seed: signed(xxhash.xxh64_intdigest(struct.pack("<q", v), seed & (1 << 64) - 1))
+    rng = random.Random(9)
+    texts = {i: " ".join(rng.choices(["a", "bb", "Ccc", "d", "e é"], k=rng.randint(1, 60))) for i in range(12)} | {50: ""}
+    got = {r["doc_id"]: r["fingerprint"] for r in fp.fingerprint(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, t in texts.items():
+        want = ""
+        for place in range(fp.SAMPLES):
+            best = None
+            for word, n in Counter(t.lower().split() or [""]).items():
+                term = signed(xxhash.xxh64_intdigest(word.encode(), 42))
+                g = signed(xxhash.xxh64_intdigest(struct.pack("<i", place), of_long(term, 42) & (1 << 64) - 1))
+                h = of_long(g, 42)
+                u = lambda x, at: (((x & (1 << 64) - 1) >> at & 0xFFFFFF) + 0.5) / (1 << 24)
+                r, log_c, b = -math.log(u(g, 40) * u(g, 16)), math.log(-math.log(u(h, 40) * u(h, 16))), (h & 0xFFFF) / (1 << 16)
+                step = math.floor(math.log(n) / r + b)
+                a = log_c - r * (step - b + 1)
+                best = min(best or (math.inf,), (a, _murmur([g & (1 << 64) - 1, step & (1 << 64) - 1])))
+            want += f"{best[1]:08x}"
+        assert got[i] == want

@@ -43,3 +43,23 @@ def test_repeated_rows_and_null_ids(spark):
     docs, texts = corpus(spark)
     rows = spark.createDataFrame([(1, texts[1], "en", "a", 1, None), (1, texts[1], "en", "a", 1, None), (None, texts[1], "en", "a", 1, None)], SCHEMA)
     assert sorted(str(r["doc_id"]) for r in cp.dedup_stage(spark, rows, "").collect()) == ["1", "None"]
+
+
+def test_texts_that_share_an_id_ties_and_long_texts(spark):
+    """Different texts under one id both stay, equal rows once with the smallest rest; very long texts pass whole."""
+    _, texts = corpus(spark)
+    long = " ".join(f"of{i % 997}a reads{i % 89}" for i in range(40_000))
+    rows = spark.createDataFrame([(1, texts[1], "en", "b", 1, None), (1, texts[1], "en", "a", 1, None), (1, texts[2], "en", "a", 2, None), (7, long, "en", "a", 3, None), (8, long + " end", "en", "a", 4, None)], SCHEMA)
+    got = sorted((r["doc_id"], r["text"], r["source"]) for r in cp.dedup_stage(spark, rows, "").collect())
+    assert got == sorted([(1, texts[1], "a"), (1, texts[2], "a"), (7, long, "a")])
+    clean = cp.secret_stage(spark, rows.where("doc_id = 7"), "").first()
+    assert clean["text"] == long
+
+
+def test_unknown_languages_are_rejected(spark):
+    docs, texts = corpus(spark)
+    rng = random.Random(2)
+    strange = [(500 + i, " ".join("".join(rng.choices("βγδζθλμξπσφχψω", k=6)) for _ in range(80)), None, "s1", 0, None) for i in range(5)]
+    both = docs.unionByName(spark.createDataFrame(strange, SCHEMA))
+    kept = {r["doc_id"] for r in cp.language_stage(spark, both, "").collect()}
+    assert not kept & {500 + i for i in range(5)} and {*range(60)} <= kept

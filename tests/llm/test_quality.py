@@ -42,3 +42,35 @@ def test_statistics_are_finite():
     for t in ("", " ", "\n\n", "a", "!!", "é" * 10, "\x00"):
         found = quality.statistics(t)
         assert len(found) == len(quality.STATISTICS) and all(x == x and abs(x) < 1e9 for x in found)
+
+
+def test_flattened_traversal_and_splits_against_plain_walks():
+    """Trees walked row by row; the first split against all splits tried one by one."""
+    import numpy as np
+
+    from factlake.llm import quality
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, size=(300, 5)).astype(float)
+    y = ((x[:, 1] > 5) ^ (rng.random(300) < 0.1)).astype(float)
+    model = quality.fit(x, y, trees=12, depth=3)
+    score = np.full(len(x), model.base)
+    for row in range(len(x)):
+        for at in model.roots:
+            while model.feature[at] >= 0:
+                at = model.left[at] + (x[row, model.feature[at]] > model.threshold[at])
+            score[row] += model.value[at]
+    assert np.allclose(model.probability(x), 1 / (1 + np.exp(-score)))
+    p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    best = max(
+        (a.sum() ** 2 / (b.sum() + 1) + c.sum() ** 2 / (d.sum() + 1), j)
+        for j in range(5)
+        for cut in np.unique(x[:, j])[:-1]
+        for low in [x[:, j] <= cut]
+        for a, b, c, d in [(g[low], h[low], g[~low], h[~low])]
+        if b.sum() >= 2 and d.sum() >= 2
+    )
+    low = x[:, model.feature[model.roots[0]]] <= model.threshold[model.roots[0]]
+    gain = g[low].sum() ** 2 / (h[low].sum() + 1) + g[~low].sum() ** 2 / (h[~low].sum() + 1)
+    assert model.feature[model.roots[0]] == best[1] and np.isclose(gain, best[0])
