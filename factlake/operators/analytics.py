@@ -43,9 +43,16 @@ def budget_status(usage: DataFrame, now: Column, day_limit: float, month_limit:
 
 
 def first_breach(usage: DataFrame, cap: float) -> DataFrame:
-    """The call with which a namespace's running cost first passes ``cap``."""
-    order = Window.partitionBy("namespace").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    running = usage.withColumn("running_usd", F.sum("cost_usd").over(order)).where(F.col("running_usd") > cap)
+    """The call with which a namespace's running cost first passes ``cap``; costs are 0 or more.
+
+    Sums by hour tell the hour in which that happens, so only its calls are put in order. A null cost counts as 0.
+    """
+    rows = usage.select("namespace", "ts", "id", F.coalesce("cost_usd", F.lit(0)).alias("cost_usd"), F.date_trunc("hour", "ts").alias("hour"))
+    hours = rows.groupBy("namespace", "hour").agg(F.sum("cost_usd").alias("spent"))
+    before = Window.partitionBy("namespace").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.withColumn("before", F.coalesce(F.sum("spent").over(before), F.lit(0))).where((F.col("before") <= cap) & (F.col("before") + F.col("spent") > cap))
+    order = Window.partitionBy("namespace", "hour").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.join(hours, ["namespace", "hour"]).withColumn("running_usd", F.col("before") + F.sum("cost_usd").over(order)).where(F.col("running_usd") > cap)
     return running.groupBy("namespace").agg(F.min(F.struct("ts", "id", "running_usd")).alias("b")).select("namespace", "b.ts", "b.id", "b.running_usd")
 
 

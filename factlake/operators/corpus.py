@@ -104,11 +104,24 @@ def classify_commits(commits: DataFrame) -> DataFrame:
     return kept.withColumns({"memory_type": kind, "text": F.concat_ws("\n", s, F.nullif(F.substring(body, 1, 500), F.lit("")))})
 
 
-def drift_windows(diffs: DataFrame, size: int, overlap: int, most: int = 25) -> DataFrame:
-    """A long diff in windows of fixed size; ``truncated`` counts those beyond ``most``, which a report names."""
+def drift_windows(diffs: DataFrame, size: int, overlap: int, most: int | None = 25) -> DataFrame:
+    """A long diff in windows of fixed size; ``truncated`` counts those beyond ``most``, which a report names. None: all windows."""
     step = size - overlap
     n = F.greatest(F.lit(1), F.ceil((F.length("diff") - overlap) / step)).cast("int")
     rows = diffs.withColumn("__n", n)
+    most = 2**31 - 1 if most is None else most
     return rows.select("diff_id", F.explode(F.sequence(F.lit(0), F.least("__n", F.lit(most)) - 1)).alias("window"), F.greatest(F.col("__n") - most, F.lit(0)).alias("truncated"), "diff").select(
         "diff_id", "window", "truncated", F.substr("diff", F.col("window") * step + 1, F.lit(size)).alias("text")
     )
+
+
+def drift_matches(windows: DataFrame, constraints: DataFrame, least: int = 2) -> DataFrame:
+    """Constraints that any window of a diff touches, each once: ``(diff_id, constraint_id, first_window, words)``.
+
+    A window touches a constraint if they share ``least`` content words; ``words`` is the most that one
+    window shares. They meet by their words, of which each side counts as often as it is shared.
+    """
+    words = windows.select("diff_id", "window", F.explode(content_words(F.col("text"))).alias("word"))
+    rules = constraints.select("constraint_id", F.explode(content_words(F.col("statement"))).alias("word"))
+    shared = words.join(rules, "word").groupBy("diff_id", "window", "constraint_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return shared.groupBy("diff_id", "constraint_id").agg(F.min("window").alias("first_window"), F.max("n").alias("words"))

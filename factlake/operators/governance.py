@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from factlake.functions.text import ancestors
 
+#: Enforcement patterns that begin with a star and are broadcast.
+STAR_RULES = 10_000
+
 
 def covering_grants(namespace: Column) -> Column:
     """The grants that cover a namespace: itself, ``<prefix>:*`` for itself and each ancestor, and ``*``."""
@@ -121,10 +124,16 @@ def unread(subs: DataFrame, messages: DataFrame) -> DataFrame:
 def match_enforcement(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """The rule that decides a tool call: globs on ``tool(input)`` or the tool's name; block before ask, then the first.
 
-    Rules are a small table that people write, so a pattern join against it is broadcast by its size.
+    A pattern meets only the calls whose tool begins as it does, by equality of its first letter; patterns
+    that begin with a star meet all calls, and are broadcast while they are fewer than :data:`STAR_RULES`.
     """
     glob = F.concat(F.lit("^\\Q"), F.replace(F.col("pattern"), F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E$"))
-    hits = calls.join(rules.withColumn("__re", glob), F.expr("rlike(concat(tool, '(', input, ')'), __re) or rlike(tool, __re)"))
+    patterns = rules.withColumns({"__re": glob, "__first": F.substring("pattern", 1, 1)})
+    fits = F.expr("rlike(concat(tool, '(', input, ')'), __re) or rlike(tool, __re)")
+    stars = patterns.where("__first = '*'")
+    few = stars.limit(STAR_RULES + 1).count() <= STAR_RULES
+    named = calls.withColumn("__first", F.substring("tool", 1, 1)).join(patterns.where("__first <> '*'"), "__first").where(fits)
+    hits = named.drop("__first").unionByName(calls.join(F.broadcast(stars) if few else stars, fits).drop("__first"))
     order = Window.partitionBy("call_id").orderBy(F.when(F.col("level") == "block", 0).otherwise(1), "rule_no")
     return hits.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("call_id", "level", "rule_no")
 

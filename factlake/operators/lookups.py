@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.predicates import has
+from factlake.operators.retrieval import vector_topk
 
 # Signs of an identifier in a statement; predicates of an assistant's facts that are dropped or kept, its own names, and signs of a hard fact.
 DROP_PREDICATES = ("did_activity", "did", "performed", "performed_activity", "activity", "worked_on", "met_person", "met", "visited", "likes", "enjoys", "hobby", "experienced", "feels")
@@ -171,3 +172,15 @@ def topic_census(asked: DataFrame, topics: DataFrame, readable: DataFrame, subsc
     heard = exact.join(seen, ["principal_id", "channel"]).join(subscriptions, ["namespace", "channel"]).groupBy("request_id").agg(F.countDistinct("session_name").alias("subscribers"))
     rows = exact.join(similar, "request_id", "left").join(heard, "request_id", "left")
     return rows.select("request_id", "channel", "existed", F.array_join(F.coalesce("similar", F.array().cast("array<string>")), ",").alias("similar"), F.coalesce("subscribers", F.lit(0)).alias("subscribers"))
+
+
+def check_claims_near(claims: DataFrame, facts: DataFrame, below: float = 0.45, k: int = 8) -> DataFrame:
+    """Live facts that are near a claim, whatever their subject: ``(claim_id, fact_id, distance, verdict)``.
+
+    ``claims(claim_id, namespace, claim, embedding)``, ``facts(id, namespace, object, embedding)``: of the ``k``
+    nearest those closer than ``below``. A claim that has the fact's object agrees with it, else it is related.
+    """
+    near = vector_topk(claims.select(F.col("claim_id").alias("query_id"), "namespace", "embedding"), facts.where("embedding is not null"), k).where(F.col("distance") < below)
+    rows = near.select(F.col("query_id").alias("claim_id"), F.col("id").alias("fact_id"), "distance").join(claims.select("claim_id", "claim"), "claim_id")
+    rows = rows.join(facts.select(F.col("id").alias("fact_id"), "object"), "fact_id")
+    return rows.select("claim_id", "fact_id", "distance", F.when(F.contains(F.lower("claim"), F.lower("object")), "agrees").otherwise("related").alias("verdict"))

@@ -15,6 +15,8 @@ from factlake.functions.text import is_lex_word, lex_stem, lex_tokens, lex_words
 RRF, K1, B = 60, 1.5, 0.75
 #: Queries up to this many are broadcast to the memories; more are joined by namespace through a shuffle.
 BROADCAST_QUERIES = 2_000
+#: Parts of a namespace that many queries are sent to.
+SPLITS = 64
 
 
 def rank_in(df: DataFrame, keys: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -23,18 +25,35 @@ def rank_in(df: DataFrame, keys: list[str], order: list[Column], k: int | None =
     return ranked if k is None else ranked.where(F.col(name) <= k)
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays, in double precision; null where one is zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest vectors of a query's namespace: ``(query_id, id, distance, rank)``; ties by id."""
+    """The ``k`` nearest vectors of a query's namespace: ``(query_id, id, distance, rank)``; ties by id.
+
+    Few queries are broadcast. More are sent to each of :data:`SPLITS` parts of their namespace, so that
+    none is gathered in one task; either way a part's best go on to the ranking.
+    """
     few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    asked = queries.select("query_id", "namespace", F.col("embedding").alias("__q"))
-    both = vectors.join(F.broadcast(asked) if few else asked, "namespace")
-    scored = both.select("query_id", "id", F.round(1 - cosine(F.col("embedding"), F.col("__q")), 6).alias("distance"))
+    asked = queries.select("query_id", "namespace", F.col("embedding").alias("__q"), norm(F.col("embedding")).alias("__nq"))
+    rows = vectors.select("namespace", "id", "embedding", norm(F.col("embedding")).alias("__nv"))
+    if few:
+        both = rows.join(F.broadcast(asked), "namespace")
+    else:
+        parts = asked.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
+        both = rows.withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(SPLITS)).cast("int")).join(parts, ["namespace", "__part"])
+    distance = 1 - F.try_divide(dot(F.col("embedding"), F.col("__q")), F.col("__nv") * F.col("__nq"))
+    scored = both.select("query_id", "id", F.round(distance, 6).alias("distance"))
     return rank_in(scored, ["query_id"], [F.col("distance"), F.col("id")], k)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions import predicates as p
 from factlake.functions import text as x
-from factlake.operators import anchors, bitemporal, graph, lookups, retrieval, similarity
+from factlake.operators import anchors, bitemporal, corpus, graph, lookups, retrieval, similarity
 from factlake.operators import episodes as ep
 from factlake.plans import adapters as t
 from factlake.plans.adapters import oracle
@@ -422,3 +422,59 @@ def s9_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sql(spark, sf_dir, "SELECT user_id, event_id, event_type, ts FROM events")
     changes = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")) != F.col("event_type")
     return ep.islands(rows, ["user_id"], ["ts", "event_id"], changes).select("user_id", "event_id", "island")
+
+
+@query(
+    oracle(
+        f""", b AS (SELECT src AS node, dst AS other FROM edges UNION SELECT dst, src FROM edges), s AS ({_SEEDS}),
+r1 AS (SELECT s.node AS seed, other AS node FROM s JOIN b ON b.node = s.node), r2 AS (SELECT seed, other AS node FROM r1 JOIN b ON b.node = r1.node),
+r AS (SELECT node AS seed, node, 0 AS hop FROM s UNION ALL SELECT seed, node, 1 FROM r1 UNION ALL SELECT seed, node, 2 FROM r2), m AS (SELECT seed, node, min(hop) AS hop FROM r GROUP BY ALL)
+SELECT seed, f.id, min(hop) AS hop FROM m JOIN ({_FACTS_OF}) f ON f.key = m.node WHERE expired_at IS NULL GROUP BY ALL""",
+        "edges",
+    )
+)
+def n2_expand_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts that mention what two hops reach."""
+    facts = _sql(spark, sf_dir, _FACTS_OF).withColumn("valid_to", F.lit(None).cast("timestamp_ntz"))
+    return graph.expand_facts(graph.expand(_sql(spark, sf_dir, _SEEDS), t.edges(spark, sf_dir), 2), facts.select("key", "id"), facts)
+
+
+_CLAIMS = "SELECT vec_id AS claim_id, 'label:' || label AS namespace, 'the value is o' || (vec_id % 3) AS claim, embedding FROM embeddings WHERE vec_id % 100 = 0"
+_OBJECTS = "SELECT vec_id AS id, 'label:' || label AS namespace, 'o' || (vec_id % 3) AS object, embedding FROM embeddings"
+
+
+@query(
+    f"""WITH c AS ({_CLAIMS}), f AS ({_OBJECTS}), n AS (SELECT claim_id, f.id AS fact_id, claim, object, round(1 - {_DOT.format('c.embedding', 'f.embedding')} / (sqrt({_DOT.format('c.embedding', 'c.embedding')}) * sqrt({_DOT.format('f.embedding', 'f.embedding')})), 6) AS distance FROM c JOIN f ON c.namespace = f.namespace),
+k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY distance, fact_id) <= 8)
+SELECT claim_id, fact_id, distance, CASE WHEN contains(claim, object) THEN 'agrees' ELSE 'related' END AS verdict FROM k WHERE distance < 0.9"""
+)
+def j15_claims_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector arm, with a wide reach, as the tables' vectors lie far apart; one claim in a hundred asks."""
+    return lookups.check_claims_near(_sql(spark, sf_dir, _CLAIMS), _sql(spark, sf_dir, _OBJECTS), 0.9)
+
+
+_SPOKEN = "SELECT conv_id AS diff_id, text AS diff FROM conversations WHERE turn = 0"
+_HELD = "SELECT item_id AS constraint_id, text AS statement FROM benchmark"
+
+
+@query(
+    f"""WITH d AS (SELECT conv_id AS diff_id, text AS diff, greatest(1, ceil((length(text) - 20) / 100.0)) AS n FROM conversations WHERE turn = 0), w AS (SELECT diff_id, CAST(k AS INTEGER) AS "window", substr(diff, CAST(k * 100 + 1 AS BIGINT), 120) AS text FROM d, unnest(generate_series(0, CAST(n AS BIGINT) - 1)) AS s(k)),
+ww AS (SELECT DISTINCT diff_id, "window", unnest(list_transform(regexp_extract_all(text, '[A-Za-z]{{4,}}'), lambda z: lower(z))) AS word FROM w), cw AS (SELECT DISTINCT item_id AS constraint_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]{{4,}}'), lambda z: lower(z))) AS word FROM benchmark),
+s AS (SELECT diff_id, "window", constraint_id, count(*) AS n FROM ww JOIN cw USING (word) WHERE word NOT IN ({_SQL_LIST(x.DIFF_STOP)}) GROUP BY ALL HAVING count(*) >= 2)
+SELECT diff_id, constraint_id, min("window") AS first_window, max(n) AS words FROM s GROUP BY ALL"""
+)
+def v26_drift_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows of each opening text against the texts that are held."""
+    t.table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
+    windows = corpus.drift_windows(_sql(spark, sf_dir, _SPOKEN), 120, 20, None)
+    return corpus.drift_matches(windows, _sql(spark, sf_dir, _HELD))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'load_page_' || doc_id ELSE 'load_page_' || doc_id END AS touched FROM documents"""
+)
+def j14_touched_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change of the first line below a header, or of the end of its file, touches the header's name."""
+    old = _sql(spark, sf_dir, _OLD.replace("SELECT ", "SELECT doc_id, 'def load_page_' || doc_id || '(x):' || chr(10) || text AS now, ", 1))
+    named = old.withColumn("names", F.array(F.concat(F.lit("load_page_"), F.col("doc_id").cast("string")), F.lit("absent_name")))
+    return named.select("doc_id", F.array_join(anchors.touched_identifiers("content", "now", "names"), ",").alias("touched"))
