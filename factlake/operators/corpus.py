@@ -125,3 +125,54 @@ def drift_matches(windows: DataFrame, constraints: DataFrame, least: int = 2) ->
     rules = constraints.select("constraint_id", F.explode(content_words(F.col("statement"))).alias("word"))
     shared = words.join(rules, "word").groupBy("diff_id", "window", "constraint_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return shared.groupBy("diff_id", "constraint_id").agg(F.min("window").alias("first_window"), F.max("n").alias("words"))
+
+
+def flow_constraints(diagrams: DataFrame) -> DataFrame:
+    """Sequence diagrams ``(diagram, text)`` as constraints ``(diagram, n, statement)``.
+
+    An arrow gives "X SHALL send ... to Y", with participants by their aliases; a note counts if it forbids
+    something. Inside an alt block the statement holds under the block's condition, which else changes.
+    What stands in opt and loop blocks, and in alt blocks inside any of them, is left out; a box only groups.
+    Blocks are matched by their depth: an ``end`` closes the last block that was opened at its depth, and one
+    that has nothing to close is passed over.
+    """
+    lines = diagrams.select("diagram", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("line", F.trim("line")).where("line <> '' and line not like '\\%\\%%'")
+    word = F.lower(F.regexp_extract("line", r"^(\w+)", 1))
+    opens = F.when(word.isin("alt", "opt", "loop", "box"), word)
+    is_end = F.col("line").rlike("(?i)^end$")
+    w = Window.partitionBy("diagram").orderBy("n")
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda c, frame=upto: F.coalesce(F.sum(c).over(frame), F.lit(0))
+    rows = lines.withColumns({"opens": opens, "step": F.when(opens.isNotNull(), 1).when(is_end, -1).otherwise(0)}).withColumn("sum", running(F.col("step")))
+    rows = rows.withColumn("low", F.least(F.lit(0), F.min("sum").over(upto))).withColumn("low_before", F.coalesce(F.lag("low").over(w), F.lit(0)))
+    closes = (F.col("step") == -1) & (F.col("low") == F.col("low_before"))
+    # the depth that a block has once it is open, and that it had when it is closed
+    rows = rows.withColumns({"closes": closes, "level": F.when(F.col("opens").isNotNull(), F.col("sum") - F.col("low")).when(closes, F.col("sum") - F.col("low") + 1)})
+    same = Window.partitionBy("diagram", "level").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    last_open = lambda c: F.when(F.col("closes"), F.last(F.when(F.col("opens").isNotNull(), c), ignorenulls=True).over(same))
+    rows = rows.withColumn("shut", last_open(F.col("opens")))
+    flow = lambda kind: kind.isNotNull() & (kind != "box")
+    depth = running(F.when(flow(F.col("opens")), 1).when(flow(F.col("shut")), -1).otherwise(0), earlier)
+    rows = rows.withColumn("bad", F.col("opens").isin("opt", "loop") | ((F.col("opens") == "alt") & (depth > 0)))
+    rows = rows.withColumn("shut_bad", F.coalesce(last_open(F.col("bad")), F.lit(False)))
+    hidden = lambda opened, shut: running(F.when(F.col("bad") & opened, 1).when(F.col("shut_bad") & shut, -1).otherwise(0))
+    rows = rows.withColumns({"hidden": hidden(F.lit(True), F.lit(True)), "hidden_alts": hidden(F.col("opens") == "alt", F.col("shut") == "alt")})
+    said = lambda default: F.coalesce(F.nullif(F.trim(F.regexp_replace("line", r"(?i)^(alt|else)\b", "")), F.lit("")), F.lit(default))
+    event = F.when((F.col("opens") == "alt") & ~F.col("bad"), F.struct(said("the following condition").alias("c")))
+    event = event.when((F.lower(F.regexp_extract("line", r"^(\w+)", 1)) == "else") & (F.col("hidden_alts") == 0), F.struct(said("otherwise").alias("c")))
+    event = event.when((F.col("shut") == "alt") & ~F.col("shut_bad"), F.struct(F.lit(None).cast("string").alias("c")))
+    rows = rows.withColumn("condition", F.last(event, ignorenulls=True).over(upto)["c"]).where("hidden = 0")
+    part = r"(?i)^(?:participant|actor)\s+(\S+?)(?:\s+as\s+(.+))?$"
+    named = rows.where(F.col("line").rlike(part)).select("diagram", "n", F.regexp_extract("line", part, 1).alias("id"), F.trim(F.regexp_extract("line", part, 2)).alias("alias"))
+    names = named.groupBy("diagram", "id").agg(F.max_by("alias", "n").alias("alias")).where("alias <> ''")
+    arrow = r"^([A-Za-z0-9_.]+)\s*(?:-->>|--x|--\)|->>|-->|-x|-\)|->)\s*[+-]?([A-Za-z0-9_.]+)[+-]?\s*:\s*(.+)$"
+    note = r"(?i)^note\s+(?:over|left of|right of)\s+[^:]+:\s*(.+)$"
+    sent = rows.where(F.col("line").rlike(arrow)).select("diagram", "n", "condition", *(F.regexp_extract("line", arrow, k).alias(c) for k, c in ((1, "a"), (2, "b"), (3, "label"))))
+    alias = lambda c: names.select("diagram", F.col("id").alias(c), F.col("alias").alias(f"{c}_name"))
+    sent = sent.join(alias("a"), ["diagram", "a"], "left").join(alias("b"), ["diagram", "b"], "left")
+    shall = F.concat(F.coalesce("a_name", "a"), F.lit(' SHALL send "'), F.trim("label"), F.lit('" to '), F.coalesce("b_name", "b"), F.lit("."))
+    text = F.trim(F.regexp_extract("line", note, 1))
+    forbids = rows.where(F.col("line").rlike(note) & text.rlike(r"(?i)\b(must not|shall not|should not|may not)\b"))
+    forbids = forbids.select("diagram", "n", "condition", F.when(text.rlike("[.!?]$"), text).otherwise(F.concat(text, F.lit("."))).alias("s"))
+    both = sent.select("diagram", "n", "condition", shall.alias("s")).unionByName(forbids)
+    return both.select("diagram", "n", F.when(F.col("condition").isNotNull(), F.concat(F.lit("When "), "condition", F.lit(", "), "s")).otherwise(F.col("s")).alias("statement"))

@@ -6,8 +6,11 @@ shuffles, and wide columns are joined to the few survivors.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factlake.functions.text import is_lex_word, lex_stem, lex_tokens, lex_words
 
@@ -44,6 +47,11 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     Few queries are broadcast. More are sent to each of :data:`SPLITS` parts of their namespace, so that
     none is gathered in one task; either way a part's best go on to the ranking.
     """
+    return rank_in(_distances(queries, vectors), ["query_id"], [F.col("distance"), F.col("id")], k)
+
+
+def _distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(query_id, id, distance)`` of all vectors in each query's namespace."""
     few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     asked = queries.select("query_id", "namespace", F.col("embedding").alias("__q"), norm(F.col("embedding")).alias("__nq"))
     rows = vectors.select("namespace", "id", "embedding", norm(F.col("embedding")).alias("__nv"))
@@ -53,8 +61,48 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         parts = asked.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
         both = rows.withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(SPLITS)).cast("int")).join(parts, ["namespace", "__part"])
     distance = 1 - F.try_divide(dot(F.col("embedding"), F.col("__q")), F.col("__nv") * F.col("__nq"))
-    scored = both.select("query_id", "id", F.round(distance, 6).alias("distance"))
-    return rank_in(scored, ["query_id"], [F.col("distance"), F.col("id")], k)
+    return both.select("query_id", "id", F.round(distance, 6).alias("distance"))
+
+
+def vector_cells(vectors: DataFrame, cells: int = 64, rounds: int = 8, sample: int = 20_000) -> np.ndarray:
+    """Unit centres of ``cells`` cells, fitted by spherical k-means to about ``sample`` vectors drawn by hash.
+
+    The sample is bounded at every size of the table; what is indexed later is every row.
+    """
+    n = vectors.count()
+    share = min(1.0, sample / max(n, 1))
+    drawn = vectors.where(F.col("embedding").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40)))).select("id", "embedding")
+    rows = sorted((r["id"], r["embedding"]) for r in drawn.collect())
+    x = np.array([v for _, v in rows], np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if len(x) else 1.0
+    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)].copy() if len(x) else np.zeros((1, 1))
+    for _ in range(rounds if len(x) else 0):
+        own = (x @ centres.T).argmax(axis=1)
+        for k in range(len(centres)):
+            if (own == k).any():
+                centres[k] = x[own == k].sum(axis=0)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+    return centres
+
+
+def vector_topk_cells(queries: DataFrame, vectors: DataFrame, k: int, centres: np.ndarray, probes: int) -> DataFrame:
+    """As :func:`vector_topk`, but a query meets only the vectors of the ``probes`` cells nearest to it.
+
+    Every vector is in the index, under its nearest centre; the recall depends on ``probes`` and is to be
+    measured against the exact form. With as many probes as cells the result is exact.
+    """
+    held = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def nearest(embedding: pd.Series, n: pd.Series) -> pd.Series:
+        x = np.stack([np.asarray(v, np.float64) for v in embedding]) if len(embedding) else np.zeros((0, held.value.shape[1]))
+        order = np.argsort(-(x @ held.value.T), axis=1, kind="stable")
+        return pd.Series([row[:m].tolist() for row, m in zip(order, n)])
+
+    indexed = vectors.where("embedding is not null").withColumn("cell", F.element_at(nearest("embedding", F.lit(1)), 1))
+    asked = queries.where("embedding is not null").select("query_id", "namespace", "embedding", F.explode(nearest("embedding", F.lit(probes))).alias("cell"))
+    asked = asked.withColumn("namespace", F.concat_ws("|", "namespace", "cell"))
+    return rank_in(_distances(asked, indexed.withColumn("namespace", F.concat_ws("|", "namespace", "cell"))), ["query_id"], [F.col("distance"), F.col("id")], k)
 
 
 def postings(docs: DataFrame) -> DataFrame:

@@ -478,3 +478,31 @@ def j14_touched_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _sql(spark, sf_dir, _OLD.replace("SELECT ", "SELECT doc_id, 'def load_page_' || doc_id || '(x):' || chr(10) || text AS now, ", 1))
     named = old.withColumn("names", F.array(F.concat(F.lit("load_page_"), F.col("doc_id").cast("string")), F.lit("absent_name")))
     return named.select("doc_id", F.array_join(anchors.touched_identifiers("content", "now", "names"), ",").alias("touched"))
+
+
+_FLOW = """'sequenceDiagram' || chr(10) || 'participant A as Client ' || doc_id || chr(10) || '%% note' || chr(10) || 'A->>B: hello ' || doc_id || chr(10) || 'box Blue' || chr(10) || 'alt ok' || chr(10) || 'B-->>A: fine' || chr(10)
+  || CASE doc_id % 3 WHEN 0 THEN 'else' WHEN 1 THEN 'else not ok' ELSE 'opt maybe' END || chr(10) || 'Note over B: it must not leak' || chr(10) || CASE WHEN doc_id % 3 = 2 THEN 'end' || chr(10) ELSE '' END || 'end' || chr(10)
+  || 'end' || chr(10) || 'loop again' || chr(10) || 'A->>B: never' || chr(10) || 'alt x' || chr(10) || 'A->>B: nor this' || chr(10) || 'end' || chr(10) || 'end' || chr(10) || 'end' || chr(10) || 'B-xA: bye'"""
+
+
+@query(
+    """SELECT doc_id AS diagram, unnest(list_filter(['Client ' || doc_id || ' SHALL send "hello ' || doc_id || '" to B.', 'When ok, B SHALL send "fine" to Client ' || doc_id || '.',
+  CASE doc_id % 3 WHEN 0 THEN 'When otherwise, it must not leak.' WHEN 1 THEN 'When not ok, it must not leak.' END, 'B SHALL send "bye" to Client ' || doc_id || '.'], lambda s: s IS NOT NULL)) AS statement FROM documents"""
+)
+def a14_flow_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.flow_constraints(_sql(spark, sf_dir, f"SELECT doc_id AS diagram, {_FLOW} AS text FROM documents")).select("diagram", "statement")
+
+
+@query()
+def v2_vector_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours by cells of a fitted sample; a test measures the recall."""
+    vectors = t.vectors(spark, sf_dir)
+    asked = vectors.where("id % 100 = 0").selectExpr("id as query_id", "namespace", "embedding")
+    return retrieval.vector_topk_cells(asked, vectors, 10, retrieval.vector_cells(vectors, 32), 20)
+
+
+@query(
+    """SELECT conv_id * 10000 + turn AS id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\bv(\\d+\\.\\d+\\.\\d+)', 1), lambda v: 'Mentions version ' || v))) AS statement FROM (SELECT conv_id, turn, text || ' in v1.' || turn || '.0 ' AS text FROM conversations)"""
+)
+def u2_extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.extract_facts(_sql(spark, sf_dir, "SELECT conv_id * 10000 + turn AS id, text || ' in v1.' || turn || '.0 ' AS text FROM conversations")).where("statement like 'Mentions version%'").select("id", "statement")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factlake.functions.text import ancestors, lex_tokens, redact
+from factlake.functions.text import ancestors, developer_signals, lex_tokens, redact
 
 #: A document's letters that are taken in at most (2 MB).
 MOST_LETTERS = 2_000_000
@@ -209,3 +209,14 @@ def copy_log(log: DataFrame, namespaces: DataFrame) -> DataFrame:
     sides = log.withColumn("namespace", F.explode(F.array_distinct(F.array("dst_ns", "src_ns")))).join(namespaces.select("namespace").distinct(), "namespace")
     order = Window.partitionBy("namespace").orderBy(F.desc("copied_at"), F.desc("id"))
     return sides.withColumn("rank", F.row_number().over(order))
+
+
+def extract_facts(turns: DataFrame, extract: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
+    """Facts of ``turns(id, text, …)`` by a caller's batch function, which gives ``(id, subject, predicate, object, statement)``.
+
+    Without one, the references that developers write (trailers, issues, commits, versions) are facts without a subject.
+    """
+    if extract is not None:
+        return turns.mapInPandas(extract, "id long, subject string, predicate string, object string, statement string")
+    none = F.lit(None).cast("string")
+    return turns.select("id", none.alias("subject"), none.alias("predicate"), none.alias("object"), F.explode(developer_signals(F.col("text"))).alias("statement"))

@@ -261,3 +261,36 @@ def test_explain_scope_and_filters(spark):
     assert adapters.oracle("SELECT 1", "turns").startswith("WITH turns")
     none = spark.createDataFrame([], "query_id long, id long, kind string, superseded boolean, rank long")
     assert recall.demote_stale(none, F.lit(True)).count() == 0
+
+
+def test_recall_of_approximate_neighbours(spark):
+    """Against the exact form, on vectors with and without clusters."""
+    rng = np.random.default_rng(11)
+    for x in (rng.normal(size=(1500, 16)), np.repeat(rng.normal(size=(30, 16)), 50, axis=0) + rng.normal(size=(1500, 16)) * 0.3):
+        vectors = spark.createDataFrame([(i, f"n{i % 3}", v.tolist()) for i, v in enumerate(x)], "id long, namespace string, embedding array<double>").cache()
+        asked = vectors.where("id % 20 = 0").selectExpr("id as query_id", "namespace", "embedding")
+        centres = retrieval.vector_cells(vectors, 32)
+        exact = {(r["query_id"], r["id"]) for r in retrieval.vector_topk(asked, vectors, 10).collect()}
+        found = {(r["query_id"], r["id"]) for r in retrieval.vector_topk_cells(asked, vectors, 10, centres, 20).collect()}
+        assert len(found & exact) >= 0.9 * len(exact)
+        whole = {(r["query_id"], r["id"]) for r in retrieval.vector_topk_cells(asked, vectors, 10, centres, 32).collect()}
+        assert whole == exact
+
+
+def test_many_queries_are_sent_to_parts(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    vectors = spark.createDataFrame([(i, f"n{i % 2}", rng.normal(size=4).tolist()) for i in range(200)], "id long, namespace string, embedding array<double>")
+    asked = vectors.where("id % 5 = 0").selectExpr("id as query_id", "namespace", "embedding")
+    few = sorted(map(tuple, retrieval.vector_topk(asked, vectors, 5).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 3)
+    assert sorted(map(tuple, retrieval.vector_topk(asked, vectors, 5).collect())) == few and len(few) == 200
+
+
+def test_extracted_facts_by_a_callers_function(spark):
+    def upper(batches):
+        for pdf in batches:
+            yield pdf.assign(subject="s", predicate="p", object=pdf["text"].str.upper(), statement=pdf["text"])[["id", "subject", "predicate", "object", "statement"]]
+
+    turns = spark.createDataFrame([(1, "PR #5 at commit abcdef1"), (2, "plain")], "id long, text string")
+    assert sorted(r["object"] for r in tables.extract_facts(turns, upper).collect()) == ["PLAIN", "PR #5 AT COMMIT ABCDEF1"]
+    assert sorted(r["statement"] for r in tables.extract_facts(turns).collect()) == ["References PR #5", "References commit abcdef1"]
