@@ -42,7 +42,6 @@ SECRET_PATTERNS = (
     ("google_key", r"\bAIza[0-9A-Za-z_-]{30,}\b"),
     ("gh_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
     ("slack_token", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b"),
-    ("engine_token", r"\bmnk_[A-Za-z0-9_-]{20,}\b"),
     ("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b"),
     ("bearer", r"(?i)\bbearer\s+[A-Za-z0-9._-]{20,}\b"),
     ("credential", r"(?i)(\b(?:api[_-]?key|secret|password|passwd|pwd|token|access[_-]?key)\b\s*[:=]\s*[\"']?)([^\s\"';,]{8,})[\"']?"),
@@ -50,7 +49,7 @@ SECRET_PATTERNS = (
 # what a text with a secret of each shape has in any case: one of several strings, or a match
 SECRET_SIGNS = {
     "private_key": ("-----BEGIN ",), "stripe_key": ("_live_", "_test_"), "openai_key": ("sk-",), "anthropic_key": ("sk-ant-",), "aws_key": ("AKIA",), "google_key": ("AIza",),
-    "gh_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack_token": ("xox",), "engine_token": ("mnk_",), "jwt": ("eyJ",), "bearer": "(?i)bearer\\s",
+    "gh_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack_token": ("xox",), "jwt": ("eyJ",), "bearer": "(?i)bearer\\s",
     "credential": "(?i)(?:key|secret|passw(?:or)?d|pwd|token)\\s*[:=]",
 }
 TEMPORAL = (
@@ -177,8 +176,13 @@ def _replaced(text: Column, label: str, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, ("$1" if label == "credential" else "") + f"[REDACTED:{label}]")
 
 
-def redact(text: Column) -> Column:
-    """Known shapes of secrets replaced by ``[REDACTED:label]``, the most specific first."""
+def redact(text: Column, more: tuple[tuple[str, str], ...] = ()) -> Column:
+    """Known shapes of secrets replaced by ``[REDACTED:label]``, the most specific first.
+
+    ``more`` adds (label, pattern) pairs for a service's own tokens, which come before all others.
+    """
+    for label, pattern in more:
+        text = F.regexp_replace(text, pattern, f"[REDACTED:{label}]")
 
     def step(label: str, pattern: str) -> Callable[[Column], Column]:
         return lambda t: F.when(_may_hold(t, label), _replaced(t, label, pattern)).otherwise(t)

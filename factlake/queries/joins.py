@@ -88,10 +88,10 @@ def j17_entity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.entity_clusters(t.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as entity", "l_orderkey as memory"), 12)
 
 
-@query("SELECT n_nationkey AS role_id, (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 2 = 0) AS members, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS grants FROM nation")
+@query("SELECT n_nationkey AS role_id, (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_nationkey = n_nationkey) AS members, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS grants FROM nation")
 def g14_role_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.role_census(
-        t.table(spark, sf_dir, "nation").selectExpr("n_nationkey as role_id"), t.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr("c_nationkey as role_id", "c_custkey as principal_id"), t.table(spark, sf_dir, "supplier").selectExpr("s_nationkey as role_id")
+        t.table(spark, sf_dir, "nation").selectExpr("n_nationkey as role_id"), t.table(spark, sf_dir, "customer").selectExpr("c_nationkey as role_id", "c_custkey as principal_id"), t.table(spark, sf_dir, "supplier").selectExpr("s_nationkey as role_id")
     )
 
 

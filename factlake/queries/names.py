@@ -389,15 +389,20 @@ def h7_lease_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.lease_spans(events)
 
 
+_NEAR = "SELECT vec_id DIV 10 AS query_id, vec_id AS id, label AS score, vec_id AS observed_at, embedding, 'c' || (vec_id % 7) AS content FROM embeddings"
+
+
 @query(
-    f"""WITH c AS (SELECT vec_id % 20 AS query_id, vec_id AS id, label AS score, embedding, 'c' || (vec_id % 37) AS content FROM embeddings WHERE vec_id % 100 < 25)
-SELECT query_id, count(DISTINCT content) AS contents FROM c GROUP BY query_id"""
+    f"""WITH RECURSIVE c AS (SELECT vec_id // 10 AS query_id, vec_id AS id, label AS score, vec_id AS seen, embedding, 'c' || (vec_id % 7) AS content FROM embeddings),
+s AS (SELECT *, count(*) OVER (PARTITION BY query_id, content) AS n FROM c QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY score DESC, seen DESC, id) = 1),
+p AS (SELECT a.query_id, a.id AS a, b.id AS b FROM s a JOIN s b ON a.query_id = b.query_id WHERE round(1 - {_DOT.format('a.embedding', 'b.embedding')} / (sqrt({_DOT.format('a.embedding', 'a.embedding')}) * sqrt({_DOT.format('b.embedding', 'b.embedding')})), 6) < 0.8 OR a.id = b.id),
+r AS (SELECT query_id, a, b FROM p UNION SELECT r.query_id, r.a, p.b FROM r JOIN p ON p.a = r.b), l AS (SELECT query_id, a AS id, min(b) AS label FROM r GROUP BY ALL)
+SELECT query_id, id, CAST(sum(n) OVER (PARTITION BY query_id, label) AS BIGINT) AS dup_count FROM s JOIN l USING (query_id, id) QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, seen DESC, id) = 1"""
 )
 def v10_near_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near pairs below any distance there is: what stays is one row for each content, as the vectors lie far apart."""
-    cands = _sql(spark, sf_dir, "SELECT vec_id % 20 AS query_id, vec_id AS id, label AS score, vec_id AS observed_at, embedding, 'c' || (vec_id % 37) AS content FROM embeddings WHERE vec_id % 100 < 25")
-    found = retrieval.dedupe_near(cands, x.norm_content(F.col("content")), below=-1.0)
-    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("contents"))
+    """Ten candidates a query; near here is wide, as the tables' vectors lie far apart."""
+    found = retrieval.dedupe_near(_sql(spark, sf_dir, _NEAR), x.norm_content(F.col("content")), below=0.8)
+    return found.select("query_id", "id", "dup_count")
 
 
 @query("""WITH r AS (SELECT lang AS key, doc_id, n_chars FROM documents) SELECT key, doc_id, CAST(row_number() OVER (PARTITION BY key ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 5""")
@@ -453,18 +458,18 @@ def j15_claims_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.check_claims_near(_sql(spark, sf_dir, _CLAIMS), _sql(spark, sf_dir, _OBJECTS), 0.9)
 
 
-_SPOKEN = "SELECT conv_id AS diff_id, text AS diff FROM conversations WHERE turn = 0"
+_SPOKEN = "SELECT conv_id * 10000 + turn AS diff_id, text AS diff FROM conversations"
 _HELD = "SELECT item_id AS constraint_id, text AS statement FROM benchmark"
 
 
 @query(
-    f"""WITH d AS (SELECT conv_id AS diff_id, text AS diff, greatest(1, ceil((length(text) - 20) / 100.0)) AS n FROM conversations WHERE turn = 0), w AS (SELECT diff_id, CAST(k AS INTEGER) AS "window", substr(diff, CAST(k * 100 + 1 AS BIGINT), 120) AS text FROM d, unnest(generate_series(0, CAST(n AS BIGINT) - 1)) AS s(k)),
+    f"""WITH d AS (SELECT conv_id * 10000 + turn AS diff_id, text AS diff, greatest(1, ceil((length(text) - 20) / 100.0)) AS n FROM conversations), w AS (SELECT diff_id, CAST(k AS INTEGER) AS "window", substr(diff, CAST(k * 100 + 1 AS BIGINT), 120) AS text FROM d, unnest(generate_series(0, CAST(n AS BIGINT) - 1)) AS s(k)),
 ww AS (SELECT DISTINCT diff_id, "window", unnest(list_transform(regexp_extract_all(text, '[A-Za-z]{{4,}}'), lambda z: lower(z))) AS word FROM w), cw AS (SELECT DISTINCT item_id AS constraint_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]{{4,}}'), lambda z: lower(z))) AS word FROM benchmark),
 s AS (SELECT diff_id, "window", constraint_id, count(*) AS n FROM ww JOIN cw USING (word) WHERE word NOT IN ({_SQL_LIST(x.DIFF_STOP)}) GROUP BY ALL HAVING count(*) >= 2)
 SELECT diff_id, constraint_id, min("window") AS first_window, max(n) AS words FROM s GROUP BY ALL"""
 )
 def v26_drift_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All windows of each opening text against the texts that are held."""
+    """All windows of each turn against the texts that are held."""
     t.table(spark, sf_dir, "benchmark").createOrReplaceTempView("benchmark")
     windows = corpus.drift_windows(_sql(spark, sf_dir, _SPOKEN), 120, 20, None)
     return corpus.drift_matches(windows, _sql(spark, sf_dir, _HELD))

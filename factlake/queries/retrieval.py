@@ -14,7 +14,7 @@ from factlake.registry import query
 
 
 def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.vectors(spark, sf_dir).where("id % 50 = 0").selectExpr("id as query_id", "namespace", "embedding")
+    return t.vectors(spark, sf_dir).where("id % 100 = 0").selectExpr("id as query_id", "namespace", "embedding")
 
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
@@ -24,7 +24,7 @@ _COS = f"{_DOT.format('q.embedding', 'v.embedding')} / (sqrt({_DOT.format('q.emb
 @query(
     oracle(
         f"""SELECT q.id AS query_id, v.id, round(1 - {_COS}, 6) AS distance, CAST(row_number() OVER (PARTITION BY q.id ORDER BY round(1 - {_COS}, 6), v.id) AS INTEGER) AS rank
-FROM vectors q JOIN vectors v ON q.namespace = v.namespace WHERE q.id % 50 = 0 QUALIFY rank <= 10""",
+FROM vectors q JOIN vectors v ON q.namespace = v.namespace WHERE q.id % 100 = 0 QUALIFY rank <= 10""",
         "vectors",
     )
 )

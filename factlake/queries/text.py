@@ -243,7 +243,12 @@ def b11_repo_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", x.repo_key(F.col("url")).alias("repo"))
 
 
-@query(oracle("SELECT id, sha1(session_id || chr(0) || speaker) AS k FROM turns", "turns").replace("sha1(session_id || chr(0) || speaker) AS k", "substr(sha256(namespace || '|' || first_value(text) OVER (PARTITION BY session_id ORDER BY CASE WHEN speaker = 'user' THEN 0 ELSE 1 END, id)), 1, 16) AS conv_key"))
+@query(
+    oracle(
+        "SELECT id, substr(sha256(namespace || '|' || first_value(text) OVER (PARTITION BY session_id ORDER BY CASE WHEN speaker = 'user' THEN 0 ELSE 1 END, id)), 1, 16) AS conv_key FROM turns",
+        "turns",
+    )
+)
 def f35_conversation_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
