@@ -85,31 +85,36 @@ def deliver(post: Callable[[list], None], path: str, most: int = 5) -> Callable[
     return batch
 
 
-def supersede_stream(facts: DataFrame) -> DataFrame:
+def supersede_stream(facts: DataFrame, watermark: str | None = None) -> DataFrame:
     """Closings as facts arrive, late ones included: ``(namespace, subject, predicate, id, superseded_by, closed_at)``.
 
     State for each key is its facts in order of observation, so a late fact is born closed and may take
-    over the closing of earlier ones; each change is emitted. The last row for an id holds.
+    over the closing of earlier ones; each change is emitted. The last row for an id holds. With a
+    ``watermark``, facts that come later than it are dropped, and a fact whose closer was observed before
+    it is final and leaves the state; without one the state of a key grows with its facts.
     """
     out = "namespace string, subject string, predicate string, id long, superseded_by long, closed_at timestamp"
 
     def close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = list(state.get[0]) if state.exists else []
-        rows = [tuple(r) for r in rows]
+        rows = [tuple(r) for r in state.get[0]] if state.exists else []
+        final = state.getCurrentWatermarkMs() * 1000 if watermark else -1
         for pdf in batches:
-            rows += [(int(i), int(at.value // 1000), o, bool(c), -1) for i, at, o, c in zip(pdf["id"], pdf["observed_at"], pdf["object"], pdf["closer"])]
+            rows += [(int(i), int(at.value // 1000), o, bool(c), -1) for i, at, o, c in zip(pdf["id"], pdf["observed_at"], pdf["object"], pdf["closer"]) if at.value // 1000 >= final]
         rows.sort(key=lambda r: (r[1], r[0]))
-        changed, kept = [], []
-        for n, (i, at, o, c, by) in enumerate(rows):
-            closer = next((r for r in rows[n + 1 :] if r[3] and r[2] != o), None)
+        changed, kept, first, other = [], [], None, None  # the next closer, and the next one with another object than it has
+        for i, at, o, c, by in reversed(rows):
+            closer = first if first is None or first[2] != o else other
             now = closer[0] if closer else -1
             if now != by:
                 changed.append((*key, i, now, pd.Timestamp(closer[1], unit="us")))
-            kept.append((i, at, o, c, now))
+            if not closer or closer[1] >= final:
+                kept.append((i, at, o, c, now))
+            if c:
+                first, other = (i, at, o), first if first is None or first[2] != o else other
         state.update((kept,))
         yield pd.DataFrame(changed, columns=["namespace", "subject", "predicate", "id", "superseded_by", "closed_at"])
 
-    keyed = facts.groupBy("namespace", "subject", "predicate")
+    keyed = (facts.withWatermark("observed_at", watermark) if watermark else facts).groupBy("namespace", "subject", "predicate")
     state = "facts array<struct<id: long, at: long, object: string, closer: boolean, superseded_by: long>>"
     return keyed.applyInPandasWithState(close, out, state, "update", GroupStateTimeout.NoTimeout)
 

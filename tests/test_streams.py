@@ -54,6 +54,31 @@ def test_incremental_supersession_with_late_facts(spark, tmp_path):
     assert {i: by for i, by in seen.items() if by != -1} == want
 
 
+def test_supersession_with_a_watermark_forgets_what_is_final(spark, tmp_path):
+    """Facts in order, in several batches: the same closings as without a watermark."""
+    rng = random.Random(5)
+    rows = [(i, "n", rng.choice("AB"), "status", rng.choice(["x", "y", "z"]), T0 + dt.timedelta(hours=i), rng.random() < 0.8) for i in range(90)]
+    schema = "id long, namespace string, subject string, predicate string, object string, observed_at timestamp, closer boolean"
+    path = str(tmp_path / "in")
+    for k in range(5):
+        spark.createDataFrame(rows[k * 18 : k * 18 + 18], schema).coalesce(1).write.mode("append").parquet(path)
+    seen = {}
+
+    def take(df, epoch):
+        for r in df.collect():
+            seen[r["id"]] = r["superseded_by"]
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+    q = feeds.supersede_stream(stream, "100 hours").writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    want = {}
+    for i, _, s, _, o, at, _ in rows:
+        closers = [r for r in rows if r[2] == s and r[6] and r[4] != o and r[5] > at]
+        if closers:
+            want[i] = min(closers, key=lambda r: r[5])[0]
+    assert seen == want
+
+
 def test_replay_once(spark, tmp_path):
     rows = [(f"i{i % 10}", (None, 500, 429, 404)[i % 10 % 4], T0) for i in range(40)]
     path = str(tmp_path / "in")
