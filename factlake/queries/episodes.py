@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.functions.text import semver
+from factlake.functions.text import DIFF_STOP, semver
 from factlake.operators import corpus
 from factlake.operators import episodes as op
 from factlake.plans import adapters as t
 from factlake.plans.adapters import oracle
+from factlake.queries.text import _SQL_LIST
 from factlake.registry import query
 
 _EPISODES = """, m AS (SELECT *, CASE WHEN lag(session_id) OVER w IS NULL OR lag(session_id) OVER w <> session_id OR observed_at > lag(observed_at) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS s
@@ -104,43 +105,68 @@ def a11_ingest_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.ingest_constraints(spark.sql(_DOCS.replace("VARCHAR", "STRING"))).select("namespace", "source", "statement")
 
 
-_RULES = """SELECT CAST(doc_id AS VARCHAR) AS path, '# Style' || chr(10) || '- Always name things well ' || (doc_id % 7) || chr(10) || '```' || chr(10) || '- Never inside a fence at all' || chr(10) || '```' || chr(10) || '## Tests' || chr(10) || 'You must run every test' || chr(10) || '- Always name things well ' || (doc_id % 7) || chr(10) || '1. short' AS text FROM documents"""
+_RULES = """SELECT CAST(doc_id AS VARCHAR) AS path, '# Style' || chr(10) || text || chr(10) || '```' || chr(10) || '- Never inside a fence at all' || chr(10) || '```' || chr(10) || '## Tests ' || lang || chr(10) || '* ' || text || chr(10) || 'You must run every test' AS text FROM documents"""
+_BULLET = r"^\s*(?:[-*+]|\d+[.)])\s+"
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS path, 'Always name things well ' || (doc_id % 7) AS rule, 1 AS n, 'Style' AS heading FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 'You must run every test', 6, 'Tests' FROM documents")
+@query(
+    rf"""WITH d AS ({_RULES}), l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM d),
+m AS (SELECT *, regexp_matches(line, '^\s*```') AS fence, regexp_matches(line, '^#+\s') AS head FROM l),
+w AS (SELECT *, sum(fence::INTEGER) OVER w % 2 = 1 AS fenced, last_value(CASE WHEN head THEN trim(regexp_replace(line, '^#+\s+', '')) END IGNORE NULLS) OVER w AS heading FROM m WINDOW w AS (PARTITION BY path ORDER BY n ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT path, n, heading, trim(regexp_replace(line, '{_BULLET}', '')) AS rule FROM w WHERE NOT fenced AND NOT fence AND NOT head AND (regexp_matches(line, '{_BULLET}') OR regexp_matches(line, '(?i)\b(always|never|must|should|do not|don''t|avoid|prefer|ensure)\b')))
+SELECT path, rule, CAST(min(n) AS INTEGER) AS n, arg_min(heading, n) AS heading FROM k WHERE length(rule) BETWEEN 15 AND 600 GROUP BY path, rule"""
+)
 def a9_extract_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction documents made around each document's own text."""
     t.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
     return corpus.extract_rules(spark.sql(_RULES.replace("VARCHAR", "STRING")))
 
 
 @query(
-    """WITH c AS (SELECT o_orderkey AS sha, o_orderkey % 6 AS k, o_orderpriority FROM orders)
-SELECT sha, CASE WHEN k = 0 THEN 'fix' WHEN k = 3 THEN 'decision' ELSE 'fact' END AS memory_type,
-  CASE k WHEN 0 THEN 'fix(core): lost rows ' || o_orderpriority WHEN 2 THEN 'plain subject line' || chr(10) || 'a body that is long enough to keep' WHEN 3 THEN 'switch to arrow batches' ELSE 'feat: add orders ' || o_orderpriority END AS text FROM c WHERE k IN (0, 2, 3, 4)"""
+    r"""WITH c AS (SELECT conv_id * 10000 + turn AS sha, trim(CASE turn % 4 WHEN 0 THEN 'fix: ' WHEN 1 THEN 'feat(x): ' WHEN 2 THEN 'wip ' ELSE '' END || substr(text, 1, 60)) AS s, trim(substr(text, 61)) AS body FROM conversations)
+SELECT sha, CASE WHEN regexp_matches(s, '(?i)^fix|\b(fix(es|ed)?|bug|regression)\b') THEN 'fix' WHEN regexp_matches(s, '(?i)\b(decide|choose|switch|migrate|replace|instead)\b') THEN 'decision' ELSE 'fact' END AS memory_type,
+  s || CASE WHEN body = '' THEN '' ELSE chr(10) || substr(body, 1, 500) END AS text
+FROM c WHERE NOT regexp_matches(s, '(?i)^(merge|wip|bump|typo|fmt|lint|format|chore: release)\b') AND length(s) >= 10
+  AND (regexp_matches(s, '(?i)^(feat|fix|perf|refactor|docs|test|build|ci|chore|revert)(\([^)]*\))?!?:') OR regexp_matches(s, '(?i)\b(fix|decide|choose|switch|migrate|remove|add|replace|because|instead)\b') OR length(body) >= 25)"""
 )
 def a10_classify_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = t.table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey as sha",
-        "case o_orderkey % 6 when 0 then concat('fix(core): lost rows ', o_orderpriority) when 1 then 'wip stuff here' when 2 then 'plain subject line' when 3 then 'switch to arrow batches' when 4 then concat('feat: add orders ', o_orderpriority) else 'plain subject line' end as subject",
-        "case o_orderkey % 6 when 2 then 'a body that is long enough to keep' else '' end as body",
+    """Turns as commits: the first letters are the subject, the rest the body."""
+    commits = t.table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id * 10000 + turn as sha", "concat(case turn % 4 when 0 then 'fix: ' when 1 then 'feat(x): ' when 2 then 'wip ' else '' end, substr(text, 1, 60)) as subject", "substr(text, 61) as body"
     )
     return corpus.classify_commits(commits).select("sha", "memory_type", "text")
 
 
-_DIFFS = """SELECT p_partkey AS diff_id, '--- a/x.sql' || chr(10) || '+++ b/x.sql' || chr(10) || '@@ -1 +1 @@' || chr(10) || '--- do not skip validation' || chr(10) || '+logged passwords ' || p_name || chr(10) || ' context' || chr(10) || '@@ -9 +9 @@' || chr(10) || '-validated emails' || chr(10) || '++++ kept' AS diff FROM part"""
+# a diff for each document and the next one: all lines of the first go, all of the second come
+_DIFFS = """SELECT a.doc_id AS diff_id, '--- a/x.txt' || chr(10) || '+++ b/x.txt' || chr(10) || '@@ -1 +1 @@' || chr(10) || '-' || replace(a.text, chr(10), chr(10) || '-') || chr(10) || '+' || replace(b.text, chr(10), chr(10) || '+') || chr(10) || ' context' || chr(10) || '@@ -9 +9 @@' || chr(10) || '--- kept' || chr(10) || '++++ kept ' || b.lang AS diff
+FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"""
 
 
-@query("SELECT p_partkey AS diff_id, 1 AS hunk, 'logged passwords ' || p_name AS added, '-- do not skip validation' AS removed FROM part UNION ALL SELECT p_partkey, 2, '+++ kept', 'validated emails' FROM part")
+@query(
+    """SELECT a.doc_id AS diff_id, 1 AS hunk, b.text AS added, a.text AS removed FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1
+UNION ALL SELECT a.doc_id, 2, '+++ kept ' || b.lang, '-- kept' FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"""
+)
 def f30_diff_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t.table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    t.table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
     return corpus.diff_hunks(spark.sql(_DIFFS)).withColumn("hunk", F.col("hunk").cast("int"))
 
 
-@query("SELECT p_partkey AS diff_id, unnest([1, 2, 3]) AS constraint_id, unnest(['violated', 'violated', 'uncovered']) AS verdict FROM part")
+_TURN_DIFFS = """SELECT a.conv_id * 10000 + a.turn AS diff_id, '@@ -1 +1 @@' || chr(10) || '-' || replace(a.text, chr(10), chr(10) || '-') || chr(10) || '+' || replace(b.text, chr(10), chr(10) || '+') AS diff FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
+_HELD = "SELECT item_id AS constraint_id, CASE WHEN item_id % 2 = 0 THEN 'It SHALL NOT be: ' ELSE 'It SHALL be: ' END || text AS statement FROM benchmark"
+
+
+@query(
+    f"""WITH h AS (SELECT a.conv_id * 10000 + a.turn AS diff_id, b.text AS added, a.text AS removed FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), c AS ({_HELD}),
+hw AS (SELECT DISTINCT diff_id, side, unnest(list_transform(regexp_extract_all(CASE side WHEN 'a' THEN added ELSE removed END, '[A-Za-z]{{4,}}'), lambda z: lower(z))) AS word FROM h, (SELECT unnest(['a', 'r']) AS side)),
+cw AS (SELECT DISTINCT constraint_id, unnest(list_transform(regexp_extract_all(statement, '[A-Za-z]{{4,}}'), lambda z: lower(z))) AS word FROM c),
+s AS (SELECT diff_id, constraint_id, count(*) FILTER (WHERE side = 'a') AS a, count(*) FILTER (WHERE side = 'r') AS r FROM hw JOIN cw USING (word) WHERE word NOT IN ({_SQL_LIST(DIFF_STOP)}) GROUP BY ALL)
+SELECT diff_id, constraint_id, CASE WHEN greatest(a, r) < 2 THEN 'uncovered' WHEN (a >= r) = (constraint_id % 2 = 0) THEN 'violated' ELSE 'satisfied' END AS verdict FROM s"""
+)
 def v24_check_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t.table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    rules = spark.createDataFrame([(1, "Passwords SHALL NOT be logged in output."), (2, "Emails SHALL be validated before sending."), (3, "Every validation MUST pass review.")], "constraint_id int, statement string")
-    return corpus.check_diffs(corpus.diff_hunks(spark.sql(_DIFFS)), rules).select("diff_id", "constraint_id", "verdict")
+    """The change from each turn to the next against constraints made of the texts that are held."""
+    for name in ("conversations", "benchmark"):
+        t.table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return corpus.check_diffs(corpus.diff_hunks(spark.sql(_TURN_DIFFS)), spark.sql(_HELD)).select("diff_id", "constraint_id", "verdict")
 
 
 @query(

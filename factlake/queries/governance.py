@@ -182,20 +182,21 @@ def n2_graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.expand(_sql(spark, sf_dir, "SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey % 50 = 1"), t.edges(spark, sf_dir), 2)
 
 
+_ORDERED = "SELECT 'p' || l_partkey AS src, 'o' || l_orderkey AS dst, CAST(count(*) AS DOUBLE) AS weight FROM lineitem GROUP BY l_partkey, l_orderkey"
+
+
 @query(
-    oracle(
-        _BOTH
-        + """, s AS (SELECT 'p' || p_partkey AS seed FROM part WHERE p_partkey % 20 = 3), g AS (SELECT node, count(*) AS degree FROM b GROUP BY node),
+    f"""WITH e AS ({_ORDERED}), b AS (SELECT src AS node, dst AS other, weight FROM e UNION ALL SELECT dst, src, weight FROM e), s AS (SELECT 'p' || p_partkey AS seed FROM part WHERE p_partkey % 100 = 0), g AS (SELECT node, count(*) AS degree FROM b GROUP BY node),
 f AS (SELECT seed, other AS node, max(weight) AS weight FROM s JOIN b ON node = seed GROUP BY ALL),
-p AS (SELECT seed, node FROM f JOIN g USING (node) WHERE degree <= 600 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY weight DESC, node) <= 3),
+p AS (SELECT seed, node FROM f JOIN g USING (node) WHERE degree <= 100 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY weight DESC, node) <= 50),
 h AS (SELECT seed, other AS node, max(weight) AS weight FROM p JOIN b USING (node) WHERE other <> seed GROUP BY ALL),
 u AS (SELECT *, 1 AS hop FROM f UNION ALL SELECT *, 2 FROM h WHERE (seed, node) NOT IN (SELECT (seed, node) FROM f))
-SELECT seed, node, weight, hop, CAST(row_number() OVER (PARTITION BY seed ORDER BY hop, weight DESC, node) AS INTEGER) AS rank FROM u QUALIFY rank <= 40""",
-        "edges",
-    )
+SELECT seed, node, weight, hop, CAST(row_number() OVER (PARTITION BY seed ORDER BY hop, weight DESC, node) AS INTEGER) AS rank FROM u QUALIFY rank <= 200"""
 )
 def n5_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbourhood(_sql(spark, sf_dir, "SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey % 20 = 3"), t.edges(spark, sf_dir), 40, hub=600, frontier=3)
+    """Parts and orders as a graph, whose degrees suit the default bounds; one part in a hundred asks."""
+    t.table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    return graph.neighbourhood(_sql(spark, sf_dir, "SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey % 100 = 0"), spark.sql(_ORDERED), 200)
 
 
 @query(
