@@ -17,15 +17,38 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, na
     return marked.withColumn(name, F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
 
 
+def numbered_by_day(turns: DataFrame, gap_minutes: int) -> DataFrame:
+    """Add ``episode``, the number of a turn's episode in its namespace.
+
+    Turns are put in order within days, and only what the last turn of each day was, and how many episodes
+    begin in it, goes through one order for the namespace. Turns without a time come first, as a day of their own.
+    """
+    rows = turns.withColumn("__day", F.to_date("observed_at"))
+    order = F.struct("observed_at", "id")
+    days = rows.groupBy("namespace", "__day").agg(F.max_by(F.struct("session_id", "observed_at"), order).alias("__last"))
+    by_day = Window.partitionBy("namespace").orderBy("__day")
+    days = days.withColumn("__before", F.lag("__last").over(by_day)).select("namespace", "__day", "__before")
+    w = Window.partitionBy("namespace", "__day").orderBy("observed_at", "id")
+    rows = rows.withColumn("__prev", F.lag(F.struct("session_id", "observed_at")).over(w))
+    rows = rows.join(days.withColumnsRenamed({"namespace": "__ns", "__day": "__d"}), (F.col("namespace") == F.col("__ns")) & F.col("__day").eqNullSafe(F.col("__d")), "left").drop("__ns", "__d")
+    prev = F.coalesce("__prev", "__before")
+    apart = (prev["session_id"] != F.col("session_id")) | (F.col("observed_at") > prev["observed_at"] + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(gap_minutes)))
+    rows = rows.withColumn("__start", F.coalesce(apart, F.lit(True)).cast("int"))
+    starts = rows.groupBy("namespace", "__day").agg(F.sum("__start").alias("__n"))
+    starts = starts.withColumn("__offset", F.coalesce(F.sum("__n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = starts.select(F.col("namespace").alias("__ns"), F.col("__day").alias("__d"), "__offset")
+    rows = rows.withColumn("episode", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(starts, (F.col("namespace") == F.col("__ns")) & F.col("__day").eqNullSafe(F.col("__d")), "left").withColumn("episode", F.col("episode") + F.col("__offset"))
+    return rows.drop("__ns", "__d", "__offset", "__start", "__prev", "__before", "__day")
+
+
 def segment_episodes(turns: DataFrame, gap_minutes: int = 30) -> DataFrame:
     """Episodes of a namespace: a change of session or a gap begins the next.
 
     Each has its turns, span, an extract of its first two sentences (at most 400 letters), a salience of
     0.3 + 0.1 for each turn (at most 1), and a type if all its turns agree on one.
     """
-    w = Window.partitionBy("namespace").orderBy("observed_at", "id")
-    apart = (F.lag("session_id").over(w) != F.col("session_id")) | (F.col("observed_at") > F.lag("observed_at").over(w) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(gap_minutes)))
-    rows = islands(turns, ["namespace"], ["observed_at", "id"], apart, "episode")
+    rows = numbered_by_day(turns, gap_minutes)
     turns_of = F.array_sort(F.collect_list(F.struct("observed_at", "id", "text")))
     found = rows.groupBy("namespace", "episode").agg(
         F.min("observed_at").alias("t_start"), F.max("observed_at").alias("t_end"), F.count(F.lit(1)).alias("n_turns"), turns_of.alias("__t"),
