@@ -33,7 +33,7 @@ MOST_IDS = 1 << 28
 #: token or a contraction.
 _PLAIN = r"""^(?P<word>[A-Za-zªµºÀ-ÖØ-öø-įı-ſ]+)(?P<marks>[!"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*)$"""
 #: Rows of one length that are ranked together at most; a length with more is ranked in parts.
-RANK_ROWS = 200_000
+RANK_ROWS = 20_000
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
