@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that a Python worker gets at once.
+BATCH_ROWS = 2_000
 #: Folders of local sessions without ``spark.checkpoint.dir``, by application.
 _OWN: dict[str, str] = {}
 
@@ -60,6 +62,18 @@ def drop_stored(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Send at most ``rows`` rows to a Python worker at once in this session.
+
+    Rows here carry whole texts, and what is sent is held several times, in the JVM and in the worker. A
+    session that sends fewer keeps its own setting.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node of ``edges(a, b)`` (longs) with the smallest node it reaches.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.common import held_by_worker
+from factlake.llm.common import held_by_worker, short_batches
 
 #: Buckets of hashed features.
 BUCKETS = 1 << 15
@@ -349,6 +349,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     null or has no letter gets ``und`` and 0, as does every text when the model has learned no language.
     Repeated rows give repeated results; an empty table gives no rows.
     """
+    short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))

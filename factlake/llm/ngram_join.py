@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.common import connected_components, sorted_groups, stored
+from factlake.llm.common import connected_components, short_batches, sorted_groups, stored
 
 #: Texts that are hashed together at most, and bytes of them.
 TOGETHER, TOGETHER_BYTES = 64, 500_000
@@ -394,6 +394,7 @@ def ngram_join(docs: DataFrame, width: int = 3, share: int = 90) -> DataFrame:
     and their component is null. Texts are read whole, however long; other columns are ignored; an empty
     table gives no rows. N-grams are compared by 64-bit hashes.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("print", F.xxhash64("text"))
 

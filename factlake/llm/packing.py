@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.common import byte_letters, held_by_worker, stored
+from factlake.llm.common import byte_letters, held_by_worker, short_batches, stored
 
 #: Words and other chunks whose identifiers one worker remembers.
 CACHE = 700_000
@@ -177,6 +177,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids"])
             row = to
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
