@@ -8,10 +8,10 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,19 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
+def carried(docs: DataFrame, keep: Sequence[str], *own: Column) -> DataFrame:
+    """The caller's columns ``keep`` as one struct ``kept``, beside an operator's ``own``: whatever theirs are called, they don't clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"), *own)
+
+
+def restored(rows: DataFrame) -> DataFrame:
+    """Kept columns as they came, and all others of ``rows``; a kept one that is called like a result gives way to it."""
+    results = [c for c in rows.columns if c != "kept"]
+    taken = {c.lower() for c in results}
+    kept = [F.col("kept")[f.name].alias(f.name) for f in rows.schema["kept"].dataType.fields if f.name.lower() not in taken]
+    return rows.select(*kept, *results)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node of ``edges(a, b)`` (longs) with the smallest node it reaches.
 

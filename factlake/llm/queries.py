@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import fingerprints, mixing, quality, secrets, url_filter
+from factlake.llm import fingerprints, licenses, mixing, quality, secrets, url_filter
 from factlake.llm.cover_tree import near_pairs
 from factlake.llm.common import stored
 from factlake.llm.language_id import held_out, identify, language_model
@@ -78,8 +78,21 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_halves(_table(spark, sf_dir, "documents"))
 
 
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    finds, statements = F.col("finds"), F.col("statements")
+    base = F.filter(finds, lambda f: f.kind == "base")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base["word"]).alias("first_word"), F.array_max(base["word"]).alias("last_word"),
+        joined(base["label"]).alias("base_labels"), joined(F.concat(F.filter(finds, lambda f: f.kind != "exception")["label"], F.flatten(statements["labels"]))).alias("labels"),
+        licenses.stated(finds, statements).alias("score"), licenses.freedom(finds, statements).alias("freedom"),
+        F.array_join(F.filter(statements["form"], lambda f: f.isNotNull()), "; ").alias("expressions"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_quality_classifier, op3_mixing_sources, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op7_embedding_near_dedup, op8_url_filters, op9_language_id, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_quality_classifier, op3_mixing_sources, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op7_embedding_near_dedup, op8_url_filters, op9_language_id, op10_document_fingerprints, op11_license_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
