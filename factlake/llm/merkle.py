@@ -282,3 +282,57 @@ def merkle_manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source"
         heads = stored(_witnessed(nodes, heads, depth))
     proofs = _witnessed(leaves, heads, depth, leaves=True)
     return proofs.withColumnRenamed("id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: The same manifest in DuckDB, with the fifth of the rows whose crc32 five divides lower-cased; the table is called documents.
+ORACLE = """
+WITH RECURSIVE crcs AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)
+  )) AS crc
+  FROM documents
+), fields AS (
+  SELECT doc_id, source, crc % 5 = 0 AS tampered,
+    coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') AS front,
+    coalesce(strlen(text) || ':' || text, '-') AS own,
+    coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS folded
+  FROM crcs
+), leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, sha256(front || own) AS leaf, sha256(front || CASE WHEN tampered THEN folded ELSE own END) AS claimed,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(front || own)) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM fields
+), up(tree, level, pos, digest, n) AS (
+  SELECT tree, 0, pos, leaf, n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (n + 15) // 16 FROM up WHERE n > 1 GROUP BY tree, level, pos // 16, n
+), subroots AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), top(level, pos, digest, n) AS (
+  SELECT 0, pos, digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY level, pos // 16, n
+), runs AS (
+  SELECT l.tree, l.pos, u.level, u.digest, u.pos AS place, l.pos // (16 ** u.level)::BIGINT AS mine
+  FROM leaves l JOIN up u ON u.tree = l.tree AND u.n > 1 AND u.pos // 16 = l.pos // (16 ** (u.level + 1))::BIGINT
+  UNION ALL
+  SELECT l.tree, l.pos, 100 + t.level, t.digest, t.pos, s.pos // (16 ** t.level)::BIGINT
+  FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN top t ON t.n > 1 AND t.pos // 16 = s.pos // (16 ** (t.level + 1))::BIGINT
+), steps AS (
+  SELECT tree, pos, row_number() OVER (PARTITION BY tree, pos ORDER BY level) AS step, before, after FROM (
+    SELECT tree, pos, level, coalesce(string_agg(digest, '' ORDER BY place) FILTER (WHERE place < mine), '') AS before, coalesce(string_agg(digest, '' ORDER BY place) FILTER (WHERE place > mine), '') AS after
+    FROM runs GROUP BY tree, pos, level
+  )
+), folds(tree, pos, step, digest) AS (
+  SELECT tree, pos, 0::BIGINT, claimed FROM leaves
+  UNION ALL
+  SELECT f.tree, f.pos, s.step, sha256(s.before || f.digest || s.after) FROM folds f JOIN steps s ON s.tree = f.tree AND s.pos = f.pos AND s.step = f.step + 1
+), proofs AS (
+  SELECT tree, pos, sha256(string_agg(before || after, '' ORDER BY step)) AS proof FROM steps GROUP BY tree, pos
+), ends AS (
+  SELECT tree, pos, max_by(digest, step) AS folded_root FROM folds GROUP BY tree, pos
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, coalesce(p.proof, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = r.digest AS verified, l.pos AS position
+FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN top r ON r.n = 1 JOIN ends e ON e.tree = l.tree AND e.pos = l.pos LEFT JOIN proofs p ON p.tree = l.tree AND p.pos = l.pos
+"""
