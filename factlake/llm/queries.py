@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlake.llm import fingerprints, licenses, merkle, mixing, quality, secrets, url_filter
+from factlake.llm import fingerprints, licenses, merkle, mixing, quality, secrets, url_filter, vector_codes
 from factlake.llm.cover_tree import near_pairs
 from factlake.llm.common import stored
 from factlake.llm.language_id import held_out, identify, language_model
@@ -98,8 +98,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "position")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scans, op2_quality_classifier, op3_mixing_sources, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op7_embedding_near_dedup, op8_url_filters, op9_language_id, op10_document_fingerprints, op11_license_scans, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_secret_scans, op2_quality_classifier, op3_mixing_sources, op4_ngram_jaccard_join, op5_best_fit_packing, op6_token_counts, op7_embedding_near_dedup, op8_url_filters, op9_language_id, op10_document_fingerprints, op11_license_scans, op12_merkle_manifest, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
