@@ -108,4 +108,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing_sources": mixing.ORACLE, "op8_url_filters": url_filter.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
+    return {"op3_mixing_sources": mixing.ORACLE, "op8_url_filters": url_filter.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_vector_codes": vector_codes.ORACLE}

@@ -345,3 +345,34 @@ def compress_vectors(vectors: DataFrame, parts: int = 16, entries: int = 64, rou
     digest = sha256(",".join(str(v) for book in books for v in book.ravel().tolist()).encode()).hexdigest()
     both = coded.join(F.broadcast(sums) if few else sums, F.col("label").eqNullSafe(F.col("of")))
     return both.select("vec_id", "label", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _round(k: int) -> str:
+    """One assignment in SQL, ``near{k}``, by the codebooks ``book{k}``, and the codebooks that follow."""
+    return f"""near{k} AS (
+  SELECT vec_id, p, min(d * 64 + e) % 64 AS e, min(d * 64 + e) // 64 AS d FROM (
+    SELECT c.vec_id, c.p, b.e, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS d FROM components c JOIN book{k} b ON b.p = c.p AND b.j = c.j GROUP BY c.vec_id, c.p, b.e
+  ) GROUP BY vec_id, p
+), book{k + 1} AS (
+  SELECT b.p, b.e, b.j, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (
+    SELECT c.p, n.e, c.j, floor(sum(c.x)::DOUBLE / count(*))::BIGINT AS x FROM components c JOIN near{k} n ON n.vec_id = c.vec_id AND n.p = c.p GROUP BY c.p, n.e, c.j
+  ) m ON m.p = b.p AND m.e = b.e AND m.j = b.j
+)"""
+
+
+#: The same codes in DuckDB for tables whose ids are not repeated; the table is called embeddings.
+ORACLE = f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding, len(embedding) // 16 AS w, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), components AS (
+  SELECT vec_id, label, place, (i - 1) // w AS p, (i - 1) % w AS j, floor(256 * embedding[i]::DOUBLE)::BIGINT AS x FROM kept, unnest(range(1, len(embedding) + 1)) AS s(i)
+), book0 AS (
+  SELECT p, place - 1 AS e, j, x FROM components WHERE place <= 64
+), {_round(0)}, {_round(1)}, {_round(2)}, coded AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) FROM book2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
