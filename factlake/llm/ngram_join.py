@@ -43,10 +43,10 @@ HOT_SAMPLE, HOT_KEYS = 6_000, 2_000
 #: Tasks that a hot key is dealt to.
 SALTS = 32
 
-#: ASCII white space, and the base of the hashes of words with its inverse modulo 2^64.
+#: ASCII white space; masks that keep the first bytes of a lane of eight; words of more lanes than this are hashed one by one.
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LANES = 16
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -60,28 +60,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _word_values(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of UTF-8 bytes begin, and a hash of each: A-Z in lower case, words between ASCII blanks.
 
-    A word's hash is that of the polynomial of its bytes: all come from one running sum, divided by the
-    power at which the word begins (the base is odd, so it has an inverse).
+    Lanes of eight bytes are scrambled into the hashes one after the other, for all words that reach so far at
+    once; long words are hashed by themselves.
     """
     raw = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
     inside = np.concatenate([[False], ~_BLANK[raw], [False]])
     begin, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=sums[1:])
-    value = (sums[end] - sums[begin]) * _powers(_INVERSE, len(raw) + 1)[begin]
-    return begin, _mix(value + (end - begin).astype(np.uint64) * _M3)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """``base`` to the powers 0 to ``n - 1``; what usual batches need is made once."""
-    if n <= 2 * TOGETHER_BYTES:
-        return _few_powers(base)[:n]
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]))
-
-
-@functools.lru_cache(maxsize=2)
-def _few_powers(base: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * TOGETHER_BYTES - 1, base, np.uint64)]))
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    lanes = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    size = end - begin
+    value = _mix(size.astype(np.uint64) + _M3)
+    left = np.flatnonzero(size <= 8 * LANES)
+    for k in range(LANES):
+        lane = lanes[begin[left] + 8 * k].view(np.uint64)[:, 0] & _FIRST[np.minimum(size[left] - 8 * k, 8)]
+        value[left] = _mix(value[left] * _M1 + lane)
+        left = left[size[left] > 8 * (k + 1)]
+        if not len(left):
+            break
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        value[i] = xxhash.xxh3_64_intdigest(raw[begin[i] : end[i]].tobytes())
+    return begin, value
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import factlake.llm.ngram_join as nj
@@ -112,3 +113,16 @@ def test_hot_keys_are_salted_and_found_anyhow(spark):
     assert len(nj._hot_keys(frame, len(docs), 3, 80))
     got = {r["doc_id"]: r["component_id"] for r in nj.ngram_join(frame, 3, 80).collect()}
     assert got == {i: x for i, (_, x) in brute(docs, 3, 80).items()} and len({*got.values()}) == 41
+
+
+def test_words_are_told_apart(spark):
+    """Words that a polynomial hash takes for one another, and words of all lengths against Python's tuples."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    docs = spark.createDataFrame([(1, morse), (2, morse.translate(str.maketrans("ab", "ba"))), (3, "other")], "doc_id long, text string")
+    assert sorted(map(tuple, nj.ngram_join(docs).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 3)]
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abAB\u00e9", k=rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 127, 128, 129, 500, 5000]))) for _ in range(3000)]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    begin, value = nj._word_values(raw)
+    lowered = [w.encode().lower() for w in words]
+    assert len(begin) == len(words) and len({*zip(lowered, value.tolist())}) == len({*lowered}) == len({*value.tolist()})
