@@ -9,11 +9,13 @@ of log ratios has a bounded size (alphabet squared) and is applied as a literal
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.llm.common import carried, restored
+
 #: Patterns of the base spans, with the group and the length that make a match count.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a match of AKIA[A-Z0-9]+ is a whole run, so its length can be asked for here
@@ -22,7 +24,9 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: What the models judge: tokens of the alphabet from this length on; and the log-likelihood ratio that makes them
 #: spans, in all and for each pair of letters.
-LEAST, THRESHOLD, EACH = 12, 12.0, 2.0
+LEAST, THRESHOLD, EACH = 12, 12.0, 1.8
+#: How many pairs the kinds of letters count as beside a letter's own pairs, and a letter's share of its kind as.
+BY_KIND, BY_LETTER = 1000.0, 50.0
 #: Matches of a text that are walked together.
 STEP = 256
 
@@ -59,11 +63,9 @@ def _found(text: Column, pattern: str, group: int | None = None, least: int = 1)
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
-    """Add the arrays ``__assign``, ``__access`` and ``__hex`` to ``docs(…, __text)``."""
-    text = F.col("__text")
-    return docs.select(
-        "*", _found(text, ASSIGN, 2, 6).alias("__assign"), _found(text, ACCESS).alias("__access"), _found(text, HEX).alias("__hex")
-    )
+    """Add the arrays ``assign``, ``access`` and ``hex`` to ``docs(…, text)``."""
+    text = F.col("text")
+    return docs.select("*", _found(text, ASSIGN, 2, 6).alias("assign"), _found(text, ACCESS).alias("access"), _found(text, HEX).alias("hex"))
 
 
 def _pairs(tokens: DataFrame) -> DataFrame:
@@ -83,10 +85,10 @@ def log_ratios(docs: DataFrame, documents: int = 3000, random_strings: int = 400
     spark = docs.sparkSession
     n = docs.count()
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(min(1.0, documents / max(n, 1)) * (1 << 40)))
-    drawn = base_matches(drawn.select(F.coalesce("text", F.lit("")).alias("__text")))
-    hits = F.flatten(F.array(F.col("__access"), F.col("__hex")))
+    drawn = base_matches(drawn.select(F.coalesce("text", F.lit("")).alias("text")))
+    hits = F.flatten(F.array(F.col("access"), F.col("hex")))
     random = drawn.select(F.explode(hits).alias("hit")).select(F.col("hit.token").alias("token"))
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("__text", ASSIGN, " "), ACCESS, " "), HEX, " ")
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = drawn.select(F.explode(F.regexp_extract_all(rest, F.lit("[A-Za-z0-9+/_=-]{2,}"), F.lit(0))).alias("token"))
     # identifiers join words by capitals and underscores
     joins = [F.col("token"), F.concat(F.lower("token"), F.initcap("token")), F.concat(F.upper("token"), F.lit("_"), F.upper("token"))]
@@ -95,18 +97,34 @@ def log_ratios(docs: DataFrame, documents: int = 3000, random_strings: int = 400
     made = spark.range(random_strings).select(F.explode(F.array(F.base64(F.unhex(digest)), F.substring(digest, 1, 40), F.upper(F.substring(F.base64(F.unhex(digest)), 1, 24)))).alias("token"))
     labelled = random.unionAll(made).withColumn("random", F.lit(True)).unionAll(ordinary.withColumn("random", F.lit(False)))
     counts = {(r["random"], r["pair"]): r["n"] for r in _pairs(labelled).collect()}
-    # letters by themselves smooth the pairs, so a letter that identifiers hardly use is unlikely after any other
-    single = {}
-    for kind in (True, False):
-        n = {b: sum(counts.get((kind, a + b), 0) for a in ALPHABET) for b in ALPHABET}
-        single[kind] = {b: (n[b] + 0.5) / (sum(n.values()) + 0.5 * len(ALPHABET)) for b in ALPHABET}
-    table = []
-    for a in ALPHABET:
-        sums = {kind: sum(counts.get((kind, a + b), 0) for b in ALPHABET) for kind in (True, False)}
-        for b in ALPHABET:
-            p, q = ((counts.get((kind, a + b), 0) + 4 * single[kind][b]) / (sums[kind] + 4) for kind in (True, False))
-            table.append(math.log(p / q))
-    return table
+    return table_of(counts)
+
+
+def _kind(letter: str) -> int:
+    return 0 if letter.isupper() else 1 if letter.islower() else 2 if letter.isdigit() else 3
+
+
+def table_of(counts: Mapping[tuple[bool, str], int]) -> list[float]:
+    """The log ratios from counts of ``(random, pair)``.
+
+    What a model knows of a letter's successors is smoothed by what it knows of kinds of letters: how often
+    capitals, small letters and digits follow one another, and each letter's share of its kind. So a pair that
+    neither sample has tells about as much as its kinds do, and a foreign word stays a word. Pairs with one of
+    ``+/_=-`` tell nothing: paths and joined names are judged by their parts.
+    """
+    kinds = [_kind(a) for a in ALPHABET]
+    chance: dict[tuple[bool, str, str], float] = {}
+    for random in (True, False):
+        pair = lambda a, b: counts.get((random, a + b), 0)
+        single = {b: sum(pair(a, b) for a in ALPHABET) + BY_LETTER for b in ALPHABET}
+        of_kind = [sum(single[b] for b in ALPHABET if _kind(b) == k) for k in range(4)]
+        follows = [[1.0 + sum(pair(a, b) for a in ALPHABET if _kind(a) == j for b in ALPHABET if _kind(b) == k) for k in range(4)] for j in range(4)]
+        for a, j in zip(ALPHABET, kinds):
+            after = sum(pair(a, b) for b in ALPHABET)
+            for b, k in zip(ALPHABET, kinds):
+                back = follows[j][k] / sum(follows[j]) * single[b] / of_kind[k]
+                chance[random, a, b] = (pair(a, b) + BY_KIND * back) / (after + BY_KIND)
+    return [0.0 if 3 in (j, k) else math.log(chance[True, a, b] / chance[False, a, b]) for a, j in zip(ALPHABET, kinds) for b, k in zip(ALPHABET, kinds)]
 
 
 def scan_secrets(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, keep: Sequence[str] = ("doc_id",), least: int = LEAST, each: float = EACH) -> DataFrame:
@@ -115,31 +133,31 @@ def scan_secrets(docs: DataFrame, ratios: list[float], threshold: float = THRESH
     ``spans`` is an array of ``(begin, end, kind)`` in code points with the end exclusive, by begin and
     then kind in the order of :data:`KINDS`. Base spans are always there; a token that touches one is
     not judged again. A token of at least ``least`` letters (1 or more) is ``random`` when its
-    log-likelihood ratio, summed over its letter pairs, is at least ``threshold`` and on the average at
-    least ``each``. A null text counts as
-    empty: no spans. Texts are read whole, however long. Repeated rows give repeated results; other
-    columns are ignored; an empty table gives no rows.
+    log-likelihood ratio, summed over its different letter pairs (so that runs and rules don't add up), is
+    at least ``threshold`` and at least ``each`` for each letter after the first. A null text counts as
+    empty: no spans. Texts are read whole, however long. Repeated rows give repeated results; an empty table
+    gives no rows. Kept columns may have any name, but ``text`` and ``spans`` are the results.
     """
     table = F.array(*map(F.lit, ratios))
-    rows = base_matches(docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text")))
+    rows = base_matches(carried(docs, keep, F.coalesce("text", F.lit("")).alias("text")))
 
     def judged(token: Column) -> Column:
         n = len(ALPHABET)
         place = lambda i: F.instr(F.lit(ALPHABET), F.substr(token, i, F.lit(1)))
-        pairs = F.sequence(F.lit(1), F.length(token) - 1)
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.element_at(table, (place(i) - 1) * n + place(i + 1)))
+        pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: (place(i) - 1) * n + place(i + 1)))
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.element_at(table, i))
 
-    base = F.concat("__assign", "__access", "__hex")
+    base = F.concat("assign", "access", "hex")
     free = lambda m: ~F.exists(base, lambda b: (b.begin < m.end) & (m.begin < b.end))
     candidate = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least},}}+"
-    rows = rows.withColumn("__candidates", _found(F.col("__text"), candidate))
-    likely = F.filter("__candidates", lambda m: free(m) & (judged(m.token) >= F.greatest(F.lit(threshold), each * (F.length(m.token) - 1))))
-    likely = F.when(F.size("__candidates") > 0, likely).otherwise(F.col("__candidates"))
+    rows = rows.withColumn("candidates", _found(F.col("text"), candidate))
+    likely = F.filter("candidates", lambda m: free(m) & (judged(m.token) >= F.greatest(F.lit(threshold), each * (F.length(m.token) - 1))))
+    likely = F.when(F.size("candidates") > 0, likely).otherwise(F.col("candidates"))
     ranked = lambda c, k: F.transform(c, lambda m: F.struct(m.begin.alias("begin"), F.lit(k).alias("rank"), m.end.alias("end")))
-    named = [ranked(c, k) for k, c in enumerate((F.col("__assign"), F.col("__access"), F.col("__hex"), likely))]
+    named = [ranked(c, k) for k, c in enumerate((F.col("assign"), F.col("access"), F.col("hex"), likely))]
     kind = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["rank"] + 1)
     spans = F.transform(F.array_sort(F.concat(*named)), lambda s: F.struct(s.begin.alias("begin"), s.end.alias("end"), kind(s).alias("kind")))
-    return rows.select(*keep, F.col("__text").alias("text"), spans.alias("spans"))
+    return restored(rows.select("kept", "text", spans.alias("spans")))
 
 
 def joined(spans: Column) -> Column:

@@ -80,7 +80,7 @@ def test_planted_secrets_without_a_base_pattern(spark):
     n = len(secrets.ALPHABET)
     for i, t in enumerate(keys + names):
         base = any((re.search("AKIA[A-Z0-9]{16}", t), re.search("[0-9a-f]{24}", t)))
-        total = sum(ratios[secrets.ALPHABET.index(a) * n + secrets.ALPHABET.index(b)] for a, b in zip(t, t[1:]))
+        total = sum(ratios[secrets.ALPHABET.index(a) * n + secrets.ALPHABET.index(b)] for a, b in {*zip(t, t[1:])})
         least = max(secrets.THRESHOLD, secrets.EACH * (len(t) - 1))
         if not base and abs(total - least) > 1e-6:
             assert (i in flagged) == (len(t) >= secrets.LEAST and total >= least), t
@@ -91,3 +91,33 @@ def test_many_matches_in_one_text(spark):
     text = "é secret=abcdef1 x " * 1000
     found = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), [0.0] * len(secrets.ALPHABET) ** 2).first()["spans"]
     assert [(s["begin"], s["end"]) for s in found] == [(m.start(), m.end()) for m in ASSIGN.finditer(text)]
+
+
+ORDINARY = """================ ---------------- com/google/common/collect /usr/share/zoneinfo/GMT sha256_init_ctx Llanfairpwllgwyngyll ____________________ java/util/concurrent/atomic/AtomicInteger
+usr/local/lib/python3 getElementsByTagName XMLHttpRequest HTTPServerConnection parseHTTPResponse org/apache/commons/lang3/StringUtils DEFAULT_CONNECTION_TIMEOUT_MS internationalization
+Rindfleischetikettierungsueberwachungsaufgabe Taumatawhakatangihangakoauauotamatea sudo_make_me_a_sandwich x86_64-linux-gnu-gcc node_modules/webpack-dev-server/client/index utf8_general_ci_collation
+2024-01-15T10 2023-11-30_backup_final version-2-0-1-release-candidate IMG_20230415_123456 test_user_login_returns_401 CamelCaseIdentifierName snake_case_identifier_name kebab-case-identifier-name
+0123456789012 123456789012345 1234-5678-9012-3456 aaaaaaaaaaaaaaaaaaaa abababababababab yyyy-mm-dd-hh-mm-ss i18n_translation_keys http2_server_push_enabled oauth2_client_credentials base64_encode_string
+strncasecmp_l_internal pthread_mutex_lock_wrapper Knightsbridge-Crescent Aberystwyth-University Machynlleth-station src/main/java/com/example/App proc/sys/net/ipv4/ip_forward etc/systemd/system/multi-user
+addEventListenerOnce setTimeoutCallback JSONSerializationError URLSearchParamsPolyfill com.example.service.UserAccountManager.findByEmail MAX_BUFFER_SIZE Ynysybwl-Coedycwm""".split()
+
+
+def test_ordinary_tokens_and_planted_keys(spark):
+    """Models of the given tables: of real ordinary tokens 95 of 100 are left alone, of keys of 12 letters and more 9 of 10 are found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratios = secrets.log_ratios(docs)
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(rng.choice([letters, letters + "+/", letters[:26] + letters[52:], letters[26:], letters + "_-"]), k=rng.randint(12, 40))) for _ in range(400)]
+    planted = docs.limit(200).selectExpr("doc_id + 1000 as doc_id", "text")
+    rows = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(ORDINARY + keys)], "doc_id long, text string")
+    found = secrets.scan_secrets(rows.unionAll(planted), ratios).where("exists(spans, s -> s.kind = 'random')").select("doc_id").collect()
+    flagged = {r["doc_id"] for r in found}
+    assert sum(i < len(ORDINARY) for i in flagged) <= 0.05 * len(ORDINARY), [ORDINARY[i] for i in flagged if i < len(ORDINARY)]
+    assert sum(len(ORDINARY) <= i < 1000 for i in flagged) >= 0.9 * len(keys)
+
+
+def test_kept_columns(spark):
+    docs = spark.createDataFrame([(1, "secret=abcdefgh", "a", "b", "c")], "doc_id long, text string, candidates string, assign string, __text string")
+    row = secrets.scan_secrets(docs, [0.0] * len(secrets.ALPHABET) ** 2, keep=["doc_id", "candidates", "assign", "__text"]).first()
+    assert (row["candidates"], row["assign"], row["__text"], len(row["spans"])) == ("a", "b", "c", 1)
