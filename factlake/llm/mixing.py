@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.llm.common import carried, restored
+
 #: A mean above this is drawn as a sum of equal parts, each with a hash of its own.
 PART = 16.0
 #: Sources up to this many have their rates broadcast; more are joined by shuffle.
@@ -62,23 +64,26 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     """The mix: the columns of ``docs`` and ``mix_copy`` (int, from 0), shuffled.
 
     A document stands in the mix as often as its draw says, perhaps not at all. Rows that share a
-    ``doc_id`` share a draw. A column named ``mix_copy`` in ``docs`` is replaced. The order is by hash
-    within hash partitions; an empty table stays empty. Weights are by source, see :func:`rates`.
+    ``doc_id`` share a draw; a row without one is drawn by all its columns. Texts, null ones too, are carried
+    along unread. Other columns keep whatever names they have; one called ``mix_copy`` is replaced. The order
+    is by hash within hash partitions; an empty table stays empty. Weights are by source, see :func:`rates`.
     """
-    columns = [c for c in docs.columns if c != "mix_copy"]
     mean = rates(docs, weights, total)
-    mean = mean.withColumn("__parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int"))
-    mean = mean.select(F.col("source").alias("__source"), "__parts", _distribution(F.col("rate") / F.col("__parts")).alias("__c"))
+    parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
+    mean = mean.select(F.col("source").alias("of"), parts.alias("parts"), _distribution(F.col("rate") / parts).alias("c"))
     few = docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = docs.select(*columns).join(F.broadcast(mean) if few else mean, F.col("source").eqNullSafe(F.col("__source")))
+    whole = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
+    rows = carried(docs, docs.columns, F.col("source").alias("own"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.md5(whole))).alias("id"))
+    rows = rows.join(F.broadcast(mean) if few else mean, F.col("own").eqNullSafe(F.col("of")))
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")),
+        F.sequence(F.lit(1), F.col("parts")),
         F.lit(0),
-        lambda n, part: n + F.size(F.filter("__c", lambda c: c < uniform(seed, F.col("doc_id"), part))),
+        lambda n, part: n + F.size(F.filter("c", lambda c: c < uniform(seed, F.col("id"), part))),
     )
-    copies = joined.withColumn("__n", drawn).where("__n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    order = _hash_hex(seed, F.lit("order"), F.col("doc_id"), F.col("mix_copy"))
-    return copies.select(*columns, "mix_copy", order.alias("__order")).repartition("__order").sortWithinPartitions("__order").drop("__order")
+    copies = rows.select("kept", "id", drawn.alias("n")).where("n > 0").select("kept", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mix_copy"))
+    order = _hash_hex(seed, F.lit("order"), F.col("id"), F.col("mix_copy"))
+    shuffled = copies.select("kept", "mix_copy", order.alias("order")).repartition("order").sortWithinPartitions("order")
+    return restored(shuffled.drop("order"))
 
 
 #: The same mix by default weights in DuckDB; the table is called documents.
