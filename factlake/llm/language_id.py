@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.common import held_by_worker, short_batches
+from factlake.llm.common import carried, held_by_worker, restored, short_batches
 
 #: Buckets of hashed features.
 BUCKETS = 1 << 15
@@ -27,8 +27,8 @@ BUCKETS = 1 << 15
 LETTERS = 32
 #: Words whose scores one worker remembers.
 CACHE = 250_000
-#: Languages that are learned, the commonest first; a column with more values is not one of languages.
-MOST_LANGUAGES = 200
+#: Letters of all languages' training texts together, at most about.
+TOGETHER = 20_000_000
 #: So many familiar words are added to each text's own before its familiarity is taken, as short texts can't be told.
 DOUBT = 10
 #: Words that are labelled at a time.
@@ -307,12 +307,14 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, stretch: int = 64
     return model
 
 
-def training_texts(docs: DataFrame, where: Column, per_language: int, letters: int) -> tuple[list[str], list[str]]:
+def training_texts(docs: DataFrame, where: Column, per_language: int, letters: int, languages: int) -> tuple[list[str], list[str]]:
     """About ``per_language`` whole texts of each language, drawn by hash, or fewer: in the order of the hash
-    as many as have ``letters`` letters together, but one at least. Of more than :data:`MOST_LANGUAGES` values
-    the commonest are learned. These bounds hold at every size of the corpus."""
+    as many as have ``letters`` letters together (with many languages their share of :data:`TOGETHER`), but one
+    at least. Of more than ``languages`` values the commonest are learned. These bounds hold at every size of the
+    corpus."""
     rows = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    letters = min(letters, TOGETHER // max(1, counts.count()))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     rows = rows.join(F.broadcast(counts), "lang").withColumn("h", drawn).where(F.col("h") < F.lit(per_language * float(1 << 40)) / F.col("n"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
@@ -347,12 +349,12 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     another; ``familiar`` is the share of the words' 3-grams that training words have, on the average over
     the words, which tells them from anything else. Texts are read whole, however long. A text that is
     null or has no letter gets ``und`` and 0, as does every text when the model has learned no language.
-    Repeated rows give repeated results; an empty table gives no rows.
+    Repeated rows give repeated results; an empty table gives no rows. Kept columns may have any name, but those
+    of the results give way to them.
     """
     short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = keep or ["doc_id"]
-    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    rows = carried(docs, keep or ["doc_id"], F.col("text"))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_at = held.value
@@ -369,13 +371,11 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
                     few, letters = [], 0
             found += own.judge(few) if few else []
             pa.default_memory_pool().release_unused()
-            columns = [batch.column(c) for c in keep]
             names, scores, familiar = zip(*found) if found else ((), (), ())
-            columns += [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(familiar, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score", "familiar"])
+            columns = [batch.column("kept"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(familiar, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["kept", "lang_pred", "score", "familiar"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(labelled, f"{schema}, lang_pred string, score double, familiar double")
+    return restored(rows.mapInArrow(labelled, f"kept {rows.schema['kept'].dataType.simpleString()}, lang_pred string, score double, familiar double"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -383,7 +383,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def language_model(docs: DataFrame, per_language: int = 200, letters: int = 500_000) -> LanguageModel:
+def language_model(docs: DataFrame, per_language: int = 200, letters: int = 500_000, languages: int = 200) -> LanguageModel:
     """Fit on the labelled documents that are not held out (a null ``doc_id`` is held out)."""
-    texts, langs = training_texts(docs, F.coalesce(~held_out(F.col("doc_id")), F.lit(False)), per_language, letters)
+    texts, langs = training_texts(docs, F.coalesce(~held_out(F.col("doc_id")), F.lit(False)), per_language, letters, languages)
     return calibrated(train(texts, langs), texts, langs)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factlake.llm.common import byte_letters, held_by_worker, short_batches, stored
+from factlake.llm.common import byte_letters, carried, held_by_worker, restored, short_batches, stored
 
 #: Words and other chunks whose identifiers one worker remembers.
 CACHE = 700_000
@@ -215,10 +215,11 @@ def best_fit_plan(counts: dict[int, int], max_len: int) -> list[tuple[int, int,
 
 
 def with_slots(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to ``pieces``; all of its columns stay.
+    """Add ``sequence_id`` and ``offset`` to ``pieces``; all other columns stay, whatever their names.
 
     ``pieces`` needs ``doc_id``, ``piece`` and ``length`` (1 to ``max_len``) and must be cheap to read
-    twice (a stored table). The histogram of at most ``max_len`` rows is all that the driver sees.
+    twice (a stored table). The histogram of at most ``max_len`` rows is all that the driver sees. Repeated rows and
+    rows without an id get slots of their own; an empty table stays empty.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = np.array(best_fit_plan(counts, max_len), dtype=np.int64).reshape(-1, 5)
@@ -227,18 +228,21 @@ def with_slots(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
     tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = min(RANK_ROWS, max(200, sum(counts.values()) // tasks))
     parts = F.lit(",".join(str(-(-counts.get(n, 1) // each)) for n in range(1, max_len + 1)))
-    of_length = F.element_at(F.split(parts, ",").cast("array<bigint>"), F.col("length").cast("int"))
-    spread = pieces.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece"), of_length))
+    of_length = lambda c: F.element_at(F.split(parts, ",").cast("array<bigint>"), F.col(c).cast("int"))
+    spread = carried(pieces, pieces.columns, F.col("doc_id").alias("id"), F.col("piece").alias("p"), F.col("length").cast("long").alias("len"))
+    # rows without an id are told apart by all their columns
+    salt = F.xxhash64("id", "p", F.when(F.col("id").isNull(), F.to_json("kept")))
+    spread = spread.withColumn("part", F.pmod(salt, of_length("len")))
     # where each part of a length begins; a few rows for each task, and one for each length
     begins = (
-        spread.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__begin", F.sum("__n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
-        .select("length", "__part", F.coalesce("__begin", F.lit(0)).alias("__begin"))
+        spread.groupBy("len", "part").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("begin", F.sum("n").over(Window.partitionBy("len").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+        .select("len", "part", F.coalesce("begin", F.lit(0)).alias("begin"))
     )
     ranked = (
-        spread.withColumn("__at", F.row_number().over(Window.partitionBy("length", "__part").orderBy("doc_id", "piece")))
-        .join(begins, ["length", "__part"])
-        .withColumn("__rank", F.col("__begin") + F.col("__at") - 1)
+        spread.withColumn("at", F.row_number().over(Window.partitionBy("len", "part").orderBy("id", "p")))
+        .join(begins, ["len", "part"])
+        .withColumn("rank", F.col("begin") + F.col("at") - 1)
     )
     held = pieces.sparkSession.sparkContext.broadcast(plan)
 
@@ -248,7 +252,7 @@ def with_slots(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
         row = np.searchsorted(p[:, 0] * 2**40 + p[:, 1], key, side="right") - 1
         return pd.DataFrame({"sequence_id": p[row, 3] + rank.to_numpy() - p[row, 1], "offset": p[row, 4]})
 
-    return ranked.withColumn("__slot", slot("length", "__rank")).select(*pieces.columns, "__slot.sequence_id", "__slot.offset")
+    return restored(ranked.select("kept", slot("len", "rank").alias("slot")).select("kept", "slot.sequence_id", "slot.offset"))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_id: int = 0) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlake.llm.common import carried, restored
+
 #: Statistics of a text, in this order.
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "distinct_words", "upper", "digits", "blanks", "beyond_ascii", "marks", "stops", "commas",
@@ -135,12 +137,11 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics(t.as_py()) for t in batch.column("__text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.list_(pa.float64()))], [*keep, "stats"])
+            found = [statistics(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(found, pa.list_(pa.float64()))], ["kept", "stats"])
 
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(measured, f"{schema}, stats array<double>")
+    rows = carried(docs, keep, F.coalesce("text", F.lit("")).alias("text"))
+    return restored(rows.mapInArrow(measured, f"kept {rows.schema['kept'].dataType.simpleString()}, stats array<double>"))
 
 
 def train(docs: DataFrame, labels: DataFrame, where: Column, most: int = 12_000, label: str = "quality") -> BoostedTrees:
@@ -164,17 +165,16 @@ def score(docs: DataFrame, model: BoostedTrees, keep: list[str] | None = None) -
     """The columns ``keep`` (default: ``doc_id``) of ``docs`` and ``score`` (0 to 1; label 1 is likelier if higher).
 
     Texts are measured whole; a null text counts as empty and is scored as such. Repeated rows give
-    repeated results; without labelled rows every score is 0.5.
+    repeated results; without labelled rows every score is 0.5; an empty table gives no rows. Kept columns
+    may have any name, but one called ``score`` gives way to the result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = keep or ["doc_id"]
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
+    rows = carried(docs, keep or ["doc_id"], F.coalesce("text", F.lit("")).alias("text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics(t.as_py()) for t in batch.column("__text")]
+            found = [statistics(t.as_py()) for t in batch.column("text")]
             p = held.value.probability(np.array(found).reshape(-1, len(STATISTICS)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(p)], ["kept", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(scored, f"{schema}, score double")
+    return restored(rows.mapInArrow(scored, f"kept {rows.schema['kept'].dataType.simpleString()}, score double"))
