@@ -6,29 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.predicates import reversal_cue, salient_tokens
-from factlake.operators.retrieval import cosine, rank_in
+from factlake.operators.nearness import near_pairs
 
-_SIDE = ["namespace", "id", "subject", "observed_at", "embedding"]
+
+def _grouped(facts: DataFrame) -> DataFrame:
+    """Facts in the groups in which they meet: those of a subject, and facts without one with all of their namespace."""
+    side = lambda df, grp, lead: df.select(grp.alias("grp"), "id", F.col("observed_at").alias("seq"), lead.alias("lead"), "embedding")
+    keyed = side(facts.where("subject is not null"), F.concat(F.lit("s:"), F.to_json(F.struct("namespace", F.lower("subject")))), F.lit(True))
+    open_to_all = facts.where("subject is null").select("namespace").distinct()
+    loose = side(facts.join(open_to_all, "namespace", "left_semi"), F.concat(F.lit("n:"), F.col("namespace")), F.col("subject").isNull())
+    return keyed.unionByName(loose)
 
 
 def near_duplicate_pairs(facts: DataFrame, below: float, least: float = 0.0) -> DataFrame:
-    """Pairs ``(older, newer, distance)`` with ``least <= distance < below``, older by (observed_at, id).
+    """Pairs ``(namespace, older, newer, distance)`` with ``least <= distance < below``, older by (observed_at, id).
 
     Facts with a subject meet by equality of it; facts without one meet all of their namespace.
     """
-    side = lambda tag: facts.select("namespace", *(F.col(c).alias(f"{tag}_{c}") for c in _SIDE[1:]))
-    a, b = side("a"), side("b")
-    keyed = a.where("a_subject is not null").withColumn("k", F.lower("a_subject")).join(b.where("b_subject is not null").withColumn("k", F.lower("b_subject")), ["namespace", "k"]).drop("k")
-    loose = a.where("a_subject is null").join(b, "namespace").unionByName(a.where("a_subject is not null").join(b.where("b_subject is null"), "namespace"))
-    before = (F.col("a_observed_at") < F.col("b_observed_at")) | ((F.col("a_observed_at") == F.col("b_observed_at")) & (F.col("a_id") < F.col("b_id")))
-    rows = keyed.unionByName(loose).where(before).withColumn("distance", F.round(1 - cosine(F.col("a_embedding"), F.col("b_embedding")), 6))
-    return rows.where((F.col("distance") >= least) & (F.col("distance") < below)).select("namespace", F.col("a_id").alias("older"), F.col("b_id").alias("newer"), "distance")
+    pairs = near_pairs(_grouped(facts), below, least)
+    return pairs.join(facts.select(F.col("id").alias("older"), "namespace"), "older").select("namespace", "older", "newer", "distance")
 
 
 def dedupe_older(facts: DataFrame, below: float = 0.03) -> DataFrame:
     """Facts that an older near-duplicate makes redundant: ``(id, absorbed_by, distance)``; the nearest absorbs, then the lowest id."""
-    pairs = near_duplicate_pairs(facts, below)
-    return pairs.groupBy(F.col("newer").alias("id")).agg(F.min(F.struct("distance", "older")).alias("m")).select("id", F.col("m.older").alias("absorbed_by"), "m.distance")
+    return near_pairs(_grouped(facts), below, nearest=1).select(F.col("newer").alias("id"), F.col("older").alias("absorbed_by"), "distance")
 
 
 def restatements(facts: DataFrame, absorbed: DataFrame) -> DataFrame:
@@ -40,8 +41,7 @@ def restatements(facts: DataFrame, absorbed: DataFrame) -> DataFrame:
 
 def supersede_similar(facts: DataFrame, least: float, below: float) -> DataFrame:
     """Facts closed by the first later one in a band of distances: ``(id, superseded_by)``."""
-    pairs = near_duplicate_pairs(facts, below, least).join(facts.select(F.col("id").alias("newer"), "observed_at"), "newer")
-    return pairs.groupBy(F.col("older").alias("id")).agg(F.min_by("newer", F.struct("observed_at", "newer")).alias("superseded_by"))
+    return near_pairs(_grouped(facts), below, least, first=True).select(F.col("older").alias("id"), F.col("newer").alias("superseded_by"))
 
 
 def supersede_inferred(facts: DataFrame) -> DataFrame:
@@ -56,15 +56,14 @@ def close_reversals(facts: DataFrame, reach: float = 0.40, nearest: int = 8) ->
 
     Among the ``nearest`` live facts of its namespace observed before it, a reversal closes those within
     ``reach`` that share two salient words with it, one of them outside both subjects, and agree on the
-    subject where both have one. Of several reversals the first closes. Reversals are few, so only they
-    meet the facts of their namespace, and each keeps its nearest before anything else is compared.
+    subject where both have one. Of several reversals the first closes. Reversals meet only what the cells
+    of their namespace leave within ``reach``, and each keeps its nearest before anything else is compared.
     """
     live = facts.where("valid_to is null and expired_at is null and embedding is not null")
-    side = lambda df, tag: df.select("namespace", *(F.col(c).alias(f"{tag}_{c}") for c in ("id", "subject", "statement", "observed_at", "embedding")))
-    said, old = side(live.where(reversal_cue(F.col("statement"))), "r"), side(live, "o")
-    before = (F.col("o_observed_at") < F.col("r_observed_at")) | ((F.col("o_observed_at") == F.col("r_observed_at")) & (F.col("o_id") < F.col("r_id")))
-    pairs = said.join(old, "namespace").where(before).withColumn("distance", F.round(1 - cosine(F.col("r_embedding"), F.col("o_embedding")), 6)).drop("r_embedding", "o_embedding")
-    near = rank_in(pairs, ["r_id"], [F.col("distance"), F.col("o_id")], nearest).where(F.col("distance") <= reach)
+    rows = live.select(F.col("namespace").alias("grp"), "id", F.col("observed_at").alias("seq"), F.coalesce(reversal_cue(F.col("statement")), F.lit(False)).alias("lead"), "embedding")
+    near = near_pairs(rows, reach + 1e-6, newer_leads=True, nearest=nearest).where(F.col("distance") <= reach)
+    side = lambda tag: live.select(F.col("id").alias({"r": "newer", "o": "older"}[tag]), *(F.col(c).alias(f"{tag}_{c}") for c in ("subject", "statement", "observed_at")))
+    near = near.join(side("r"), "newer").join(side("o"), "older").withColumnsRenamed({"newer": "r_id", "older": "o_id"})
     agree = F.col("r_subject").isNull() | F.col("o_subject").isNull() | (F.lower("r_subject") == F.lower("o_subject"))
     shared = F.array_intersect(salient_tokens(F.col("r_statement")), salient_tokens(F.col("o_statement")))
     outside = F.array_except(shared, F.concat(salient_tokens(F.col("r_subject")), salient_tokens(F.col("o_subject"))))
