@@ -2,64 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import re
-import shutil
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factlake.operators.components import connected_components  # noqa: F401
+from factlake.sources.shared import drop_stored, shared_dir, sorted_groups, stored  # noqa: F401
 
 #: Rows that a Python worker gets at once.
 BATCH_ROWS = 2_000
-#: Folders of local sessions without ``spark.checkpoint.dir``, by application.
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``.
-
-    Only where it is unset, a session on one machine (as in tests) gets a temporary folder of its own,
-    removed at exit; a session on a cluster gets an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return _OWN[app]
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage in a way that outlives any executor, and keeps work that is used more than
-    once from being done again. The tables of an application lie in one folder below the shared
-    one, which :func:`drop_stored` removes when their results have been read.
-    """
-    spark = df.sparkSession
-    path = f"{_run_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _run_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/stored-{spark.sparkContext.applicationId}"
-
-
-def drop_stored(spark: SparkSession) -> None:
-    """Remove all tables that :func:`stored` wrote for this application; frames that read them end with it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -87,68 +40,6 @@ def restored(rows: DataFrame) -> DataFrame:
     return rows.select(*kept, *results)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Label every node of ``edges(a, b)`` (longs) with the smallest node it reaches.
-
-    Returns ``(node, component)``. Alternates large-star and small-star steps: each step is a
-    min-aggregation per node with map-side combine, written as a table, and one join of two scans, whose
-    skewed keys Spark splits, so a node with very many neighbours is never gathered in one task. The
-    number of rounds grows with the logarithm of the longest chain. The edge list shrinks to stars and
-    is cut off by a stored table each round. Null ends and loops are no edges.
-    """
-    edges = stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    before = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
-        # large star: every larger neighbour of a node is tied to the node's smallest neighbour; edges hold the larger end as a
-        upward = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        large = stored(upward.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
-        # small star: a node and its smaller neighbours are tied to the smallest of them
-        down = stored(large.groupBy("a").agg(F.min("b").alias("low")))
-        small = (
-            large.join(down, "a")
-            .select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        edges = stored(small)
-        after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
-
-
-def sorted_groups(batches: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of a partition that is sorted by ``keys``, one after the other.
-
-    Holds one group and one batch at a time; callers bound the size of a group.
-    """
-    held: list[pd.DataFrame] = []
-    last = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
-        new[0] = False
-        cuts = [0, *new.nonzero()[0].tolist(), len(pdf)]
-        for start, end in zip(cuts, cuts[1:]):
-            part = pdf.iloc[start:end]
-            key = tuple(part[keys].iloc[0])
-            if held and key != last:
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(part)
-            last = key
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def byte_letters() -> list[str]:
     """The letter of each byte in byte-level vocabularies: printable bytes stand for themselves,
     the others for the letters from 256 on, in order."""
