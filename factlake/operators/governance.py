@@ -6,13 +6,15 @@ that would cover it and joined by equality, so no pattern join and no cross prod
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.text import ancestors
 
-#: Enforcement patterns that begin with a star and are broadcast.
-STAR_RULES = 10_000
+#: Enforcement patterns without three letters in a row that are broadcast together, and letters of a pattern's beginning that are looked up.
+STAR_RULES, PREFIX = 10_000, 64
 
 
 def covering_grants(namespace: Column) -> Column:
@@ -121,21 +123,66 @@ def unread(subs: DataFrame, messages: DataFrame) -> DataFrame:
     return found.groupBy("namespace", "session_name").agg(F.countDistinct("id").alias("unread"), F.array_sort(F.collect_set("message_channel")).alias("channels"))
 
 
+def glob_regex(pattern: Column) -> Column:
+    """A shell-style pattern as a regular expression for the whole of a string, line breaks and all.
+
+    ``*`` is any run, ``?`` any letter, ``[seq]`` and ``[!seq]`` one in or not in a set of letters and ranges; a
+    bracket that is not closed stands for itself. A range that runs backwards holds nothing.
+    """
+    parts = F.regexp_extract_all(pattern, F.lit(r"(?s)\*+|\?|\[!?+\]?+[^\]]*+\]|\[|[^*?\[]+"), F.lit(0))
+    quoted = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    negated = lambda x: F.substring(x, 2, 1) == "!"
+
+    def letters(x: Column) -> Column:
+        inside = F.substr(x, F.when(negated(x), 3).otherwise(2), F.length(x) - F.when(negated(x), 3).otherwise(2))
+        items = F.regexp_extract_all(inside, F.lit(r"(?s).-.|."), F.lit(0))
+        items = F.filter(items, lambda i: (F.length(i) == 1) | (F.substring(i, 1, 1) <= F.substring(i, 3, 1)))
+        escape = lambda c: F.concat(F.lit("\\"), c)
+        own = lambda c: F.when(c.rlike(r"^[A-Za-z0-9]$"), c).otherwise(F.when(F.ascii(c) < 128, escape(c)).otherwise(c))
+        named = F.transform(items, lambda i: F.when(F.length(i) == 1, own(i)).otherwise(F.concat(own(F.substring(i, 1, 1)), F.lit("-"), own(F.substring(i, 3, 1)))))
+        whole = F.concat(F.when(negated(x), "[^").otherwise("["), F.array_join(named, ""), F.lit("]"))
+        return F.when(F.size(items) > 0, whole).otherwise(F.when(negated(x), ".").otherwise("(?!)"))
+
+    turned = F.transform(
+        parts,
+        lambda x: F.when(x.startswith("*"), F.lit(".*")).when(x == "?", F.lit(".")).when((F.length(x) > 2) & x.startswith("[") & x.endswith("]"), letters(x)).otherwise(quoted(x)),
+    )
+    return F.concat(F.lit("(?s)^"), F.array_join(turned, ""), F.lit("\\z"))
+
+
 def match_enforcement(calls: DataFrame, rules: DataFrame) -> DataFrame:
     """The rule that decides a tool call: globs on ``tool(input)`` or the tool's name; block before ask, then the first.
 
-    A pattern meets only the calls whose tool begins as it does, by equality of its first letter; patterns
-    that begin with a star meet all calls, and are broadcast while they are fewer than :data:`STAR_RULES`.
+    Rules are an index by what they begin with up to their first wildcard, :data:`PREFIX` letters at most; a call
+    meets those that it begins with, looked up for the lengths that occur. Rules that begin with a wildcard are
+    found by three letters in a row that they need, among those of the call; those without, which hardly tell
+    calls apart, are few after equal patterns are one, and are broadcast, :data:`STAR_RULES` at a time. A
+    ``run_command`` is also judged as ``Bash``.
     """
-    glob = F.concat(F.lit("^\\Q"), F.replace(F.col("pattern"), F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E$"))
-    patterns = rules.withColumns({"__re": glob, "__first": F.substring("pattern", 1, 1)})
-    fits = F.expr("rlike(concat(tool, '(', input, ')'), __re) or rlike(tool, __re)")
-    stars = patterns.where("__first = '*'")
-    few = stars.limit(STAR_RULES + 1).count() <= STAR_RULES
-    named = calls.withColumn("__first", F.substring("tool", 1, 1)).join(patterns.where("__first <> '*'"), "__first").where(fits)
-    hits = named.drop("__first").unionByName(calls.join(F.broadcast(stars) if few else stars, fits).drop("__first"))
-    order = Window.partitionBy("call_id").orderBy(F.when(F.col("level") == "block", 0).otherwise(1), "rule_no")
-    return hits.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("call_id", "level", "rule_no")
+    # of rules with one pattern the best is the one that counts
+    level = F.when(F.col("level") == "block", 0).otherwise(1)
+    best = rules.groupBy("pattern").agg(F.min(F.struct(level.alias("order"), "rule_no", "level")).alias("rule"))
+    plain = F.regexp_extract("pattern", r"(?s)^[^*?\[]*", 0)
+    runs = F.filter(F.split("pattern", r"\*|\?|\[!?+\]?+[^\]]*+\]|\["), lambda r: F.length(r) >= 3)
+    best = best.select("rule", glob_regex(F.col("pattern")).alias("regex"), F.substring(plain, 1, PREFIX).alias("begin"), F.substring(F.get(runs, 0), 1, 3).alias("gram"))
+    told = calls.select("call_id", "tool", F.concat("tool", F.lit("("), "input", F.lit(")")).alias("whole"), F.col("input"))
+    bash = F.col("tool") == "run_command"
+    told = told.select("call_id", F.explode(F.array_distinct(F.array("whole", "tool", F.when(bash, F.concat(F.lit("Bash("), "input", F.lit(")"))), F.when(bash, F.lit("Bash"))))).alias("subject")).where("subject is not null")
+    fits = F.expr("rlike(subject, regex)")
+    lengths = sorted(r["n"] for r in best.select(F.length("begin").alias("n")).where("n > 0").distinct().collect())
+    tries = F.array(*(F.when(F.length("subject") >= n, F.substring("subject", 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>")
+    hits = [told.withColumn("begin", F.explode(tries)).join(best.where("begin <> ''").select("begin", "rule", "regex"), "begin").where(fits)]
+    starred = best.where("begin = ''")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("subject") - 2), lambda i: F.substr("subject", i, F.lit(3))))
+    asked = starred.where("gram is not null")
+    if not asked.isEmpty():
+        several = told.where(F.length("subject") >= 3).withColumn("gram", F.explode(grams))
+        hits.append(several.join(asked.select("gram", "rule", "regex"), "gram").where(fits))
+    loose = starred.where("gram is null")
+    blocks = -(-loose.count() // STAR_RULES)
+    hits += [told.join(F.broadcast(loose.where(F.pmod(F.xxhash64("regex"), F.lit(blocks)) == k)), fits) for k in range(blocks)]
+    found = functools.reduce(DataFrame.unionByName, (h.select("call_id", "rule") for h in hits))
+    return found.groupBy("call_id").agg(F.min("rule").alias("rule")).select("call_id", "rule.level", "rule.rule_no")
 
 
 def suggest_namespace(tokens: DataFrame, known: DataFrame, least: int = 2, share: float = 0.6, top: int = 12) -> DataFrame:

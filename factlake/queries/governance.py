@@ -103,7 +103,7 @@ def j12_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SUBS = """SELECT DISTINCT 'team:' || (user_id % 4) AS namespace, 'session_' || (user_id % 20) AS session_name, CASE user_id % 3 WHEN 0 THEN '#' || event_type WHEN 1 THEN '#' || substr(event_type, 1, 1) || '*' ELSE '*' END AS channel,
-  CAST(5000 + user_id % 10 * 100 AS BIGINT) AS cursor FROM events WHERE event_id % 10 = 0"""
+  CAST(5000 + user_id % 10 * 100 AS BIGINT) AS cursor FROM events"""
 _MATCH = f""", s AS ({_SUBS}), x AS (SELECT m.namespace, s.session_name, s.channel, m.id, m.channel AS message_channel, m.sender_session FROM messages m JOIN s ON m.namespace = s.namespace
   AND (s.channel = m.channel OR (ends_with(s.channel, '*') AND starts_with(m.channel, left(s.channel, -1)))) WHERE m.recalled_at IS NULL AND m.id > s.cursor AND m.sender_session <> s.session_name)
 """
@@ -125,20 +125,29 @@ def g26_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.unread(_sql(spark, sf_dir, _SUBS), t.messages(spark, sf_dir))
 
 
+_CALLS = """SELECT event_id AS call_id, CASE event_id % 5 WHEN 0 THEN 'run_command' WHEN 1 THEN 'Edit' WHEN 2 THEN 'Read' ELSE 'Bash' END AS tool,
+  CASE event_id % 11 WHEN 0 THEN 'rm -rf ' || user_id WHEN 1 THEN 'rm a\nrm b' WHEN 2 THEN 'git push' WHEN 3 THEN 'cd x\ngit  push origin' WHEN 4 THEN 'cat [x]' WHEN 5 THEN 'npm test' WHEN 6 THEN 'npm zest' WHEN 7 THEN 'a.b' WHEN 8 THEN 'axb' ELSE 'ls' || user_id END AS input FROM events"""
+_RULES = [
+    (1, "Bash(*push*)", "ask"), (2, "Bash(rm *)", "block"), (3, "Edit", "ask"), (4, "R?ad(ls??)", "ask"), (5, "[!BER]*(ls[0-4]*)", "ask"), (6, "*(cat [[]x])", "block"), (7, "Bash(npm [a-t]est)", "ask"), (8, "Bash(a.b)", "block"), (9, "B*", "ask"),
+    (10, "Read(axb)", "ask"), (11, "Read(axb)", "block"),
+]
+_REGEXES = {1: r"Bash\(.*push.*\)", 2: r"Bash\(rm .*\)", 3: "Edit", 4: r"R.ad\(ls..\)", 5: r"[^BER].*\(ls[0-4].*\)", 6: r".*\(cat \[x\]\)", 7: r"Bash\(npm [a-t]est\)", 8: r"Bash\(a\.b\)", 9: "B.*", 10: r"Read\(axb\)", 11: r"Read\(axb\)"}
+
+
 @query(
-    """WITH c AS (SELECT event_id AS call_id, CASE event_type WHEN 'click' THEN 'Bash' WHEN 'view' THEN 'Read' ELSE 'Edit' END AS tool, CASE event_id % 3 WHEN 0 THEN 'rm -rf x' WHEN 1 THEN 'git push' ELSE 'ls' END AS input FROM events)
-SELECT call_id, CASE WHEN tool = 'Bash' AND input = 'rm -rf x' THEN 'block' WHEN tool = 'Edit' THEN 'ask' ELSE 'ask' END AS level, CASE WHEN tool = 'Bash' AND input = 'rm -rf x' THEN 2 WHEN tool = 'Edit' THEN 3 ELSE 1 END AS rule_no
-FROM c WHERE tool = 'Edit' OR (tool = 'Bash' AND input <> 'ls')"""
+    f"""WITH c AS ({_CALLS}), s AS (SELECT call_id, unnest(CASE WHEN tool = 'run_command' THEN [tool, tool || '(' || input || ')', 'Bash', 'Bash(' || input || ')'] ELSE [tool, tool || '(' || input || ')'] END) AS subject FROM c),
+r(rule_no, regex, level) AS (VALUES {', '.join(f"({n}, '(?s){_REGEXES[n]}', '{level}')" for n, _, level in _RULES)})
+SELECT call_id, CASE WHEN bool_or(level = 'block') THEN 'block' ELSE 'ask' END AS level, coalesce(min(rule_no) FILTER (WHERE level = 'block'), min(rule_no)) AS rule_no FROM s JOIN r ON regexp_full_match(subject, regex) GROUP BY call_id"""
 )
 def j19_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = _sql(spark, sf_dir, "SELECT event_id AS call_id, CASE event_type WHEN 'click' THEN 'Bash' WHEN 'view' THEN 'Read' ELSE 'Edit' END AS tool, CASE event_id % 3 WHEN 0 THEN 'rm -rf x' WHEN 1 THEN 'git push' ELSE 'ls' END AS input FROM events")
-    rules = spark.createDataFrame([(1, "Bash(*push*)", "ask"), (2, "Bash(rm *)", "block"), (3, "Edit", "ask")], "rule_no int, pattern string, level string")
-    return op.match_enforcement(calls, rules)
+    """Commands of several lines, and rules with every kind of wildcard."""
+    rules = spark.createDataFrame(_RULES, "rule_no int, pattern string, level string")
+    return op.match_enforcement(_sql(spark, sf_dir, _CALLS), rules)
 
 
 @query(
-    """WITH tk AS (SELECT DISTINCT event_id AS write_id, 'team:' || (user_id % 4) AS namespace, unnest([event_type, 'u' || (user_id % 9), 'k' || (event_id % 5)]) AS token FROM events WHERE event_id < 3000),
-k AS (SELECT DISTINCT 'team:' || (user_id % 7) AS namespace, unnest([event_type, 'u' || (user_id % 8)]) AS token FROM events WHERE event_id >= 3000 AND user_id % 5 = 0),
+    """WITH tk AS (SELECT DISTINCT event_id AS write_id, 'team:' || (user_id % 4) AS namespace, unnest([event_type, 'u' || (user_id % 63), 'k' || (event_id % 5)]) AS token FROM events),
+k AS (SELECT DISTINCT 'team:' || (user_id % 7) AS namespace, unnest([event_type, 'u' || (user_id % 63)]) AS token FROM events),
 n AS (SELECT write_id, count(DISTINCT token) AS n FROM tk GROUP BY ALL), s AS (SELECT write_id, tk.namespace AS own, k.namespace, count(*) AS hits FROM tk JOIN k USING (token) GROUP BY ALL),
 o AS (SELECT write_id, hits AS own_hits FROM s WHERE namespace = own)
 SELECT write_id, namespace, hits, n, coalesce(own_hits, 0) AS own_hits, CAST(row_number() OVER (PARTITION BY write_id ORDER BY hits DESC, namespace) AS INTEGER) AS rank
@@ -146,8 +155,8 @@ FROM s JOIN n USING (write_id) LEFT JOIN o USING (write_id) WHERE namespace <> o
 )
 def g19_suggest_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = t.table(spark, sf_dir, "events")
-    tokens = events.where("event_id < 3000").selectExpr("event_id as write_id", "concat('team:', user_id % 4) as namespace", "explode(array(event_type, concat('u', user_id % 9), concat('k', event_id % 5))) as token")
-    known = events.where("event_id >= 3000 and user_id % 5 = 0").selectExpr("concat('team:', user_id % 7) as namespace", "explode(array(event_type, concat('u', user_id % 8))) as token")
+    tokens = events.selectExpr("event_id as write_id", "concat('team:', user_id % 4) as namespace", "explode(array(event_type, concat('u', user_id % 63), concat('k', event_id % 5))) as token")
+    known = events.selectExpr("concat('team:', user_id % 7) as namespace", "explode(array(event_type, concat('u', user_id % 63))) as token")
     return op.suggest_namespace(tokens, known)
 
 
