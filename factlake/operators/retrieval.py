@@ -148,25 +148,39 @@ def parse_terms(queries: DataFrame) -> DataFrame:
     return rows.select("query_id", "grp", F.when(F.col("piece").rlike(r"^\|?-"), "not").otherwise("want").alias("role"), term.alias("term")).where("term <> ''")
 
 
+def word_sequence(text: Column) -> Column:
+    """The words of a text in order, lower-cased: runs of letters, marks and digits of any script; Han and kana letters each by itself."""
+    apart = F.regexp_replace(F.lower(text), r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", " $1 ")
+    return F.regexp_extract_all(apart, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+
+
 def boolean_match(terms: DataFrame, docs: DataFrame, scope: DataFrame) -> DataFrame:
     """Documents ``(query_id, id)`` of a query's namespaces that have a term of each wanted group and none that is forbidden.
 
-    ``scope(query_id, namespace)``. A term of one word meets documents by that word; a phrase by its first
-    word, and is then looked for in the texts that have it. Only queries that forbid and want nothing go
-    through all documents of their namespaces, which are their result but for a few.
+    ``scope(query_id, namespace)``. A term is a sequence of words (see :func:`word_sequence`) that stand one after
+    another; one without words asks for nothing. Different terms are looked for once, however many queries have
+    them: single words among a text's distinct words, phrases by positional postings of their words, whose
+    ``position - offset`` must agree. Only queries that forbid and want nothing go through all documents of
+    their namespaces, which are their result but for a few.
     """
-    words = docs.select("namespace", "id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^a-z0-9]+"))).alias("word")).where("word <> ''")
-    first = F.regexp_extract("term", "[a-z0-9]+", 0)
-    asked = terms.withColumns({"word": first, "phrase": F.col("term") != first}).where("word <> ''").join(scope.select("query_id", "namespace"), "query_id")
-    hits = words.join(asked, ["namespace", "word"])
-    checked = hits.where("phrase").join(docs.select("namespace", "id", "text"), ["namespace", "id"]).where(F.contains(F.lower("text"), F.col("term")))
-    keys = ["query_id", "id", "grp", "role"]
-    found = hits.where("not phrase").select(keys).unionByName(checked.select(keys))
-    need = terms.groupBy("query_id").agg(F.countDistinct(F.when(F.col("role") == "want", F.col("grp"))).alias("__need"))
+    asked = terms.withColumn("words", word_sequence(F.col("term"))).where(F.size("words") > 0)
+    asked = asked.select("query_id", "grp", "role", "words", F.array_join("words", " ").alias("phrase")).join(scope.select("query_id", "namespace"), "query_id")
+    wanted = asked.select("namespace", "phrase", "words").distinct()
+    few = wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    sized = lambda df: F.broadcast(df) if few else df
+    texts = docs.select("namespace", "id", word_sequence(F.col("text")).alias("words"))
+    one = texts.select("namespace", "id", F.explode(F.array_distinct("words")).alias("phrase"))
+    single = one.join(sized(wanted.where(F.size("words") == 1).select("namespace", "phrase")), ["namespace", "phrase"])
+    several = wanted.where(F.size("words") > 1).select("namespace", "phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "word"))
+    places = texts.select("namespace", "id", F.posexplode("words").alias("pos", "word")).join(sized(several), ["namespace", "word"])
+    whole = places.groupBy("namespace", "id", "phrase", "n", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("got")).where("got = n")
+    found = single.select("namespace", "id", "phrase").unionByName(whole.select("namespace", "id", "phrase").distinct())
+    found = found.join(sized(asked.select("query_id", "grp", "role", "namespace", "phrase")), ["namespace", "phrase"])
+    need = asked.groupBy("query_id").agg(F.countDistinct(F.when(F.col("role") == "want", F.col("grp"))).alias("__need"))
     sums = found.groupBy("query_id", "id").agg(F.countDistinct(F.when(F.col("role") == "want", F.col("grp"))).alias("__got"), F.count_if(F.col("role") == "not").alias("__bad"))
-    wanted = sums.join(need, "query_id").where("__need > 0 and __got = __need and __bad = 0").select("query_id", "id")
+    matched = sums.join(need, "query_id").where("__need > 0 and __got = __need and __bad = 0").select("query_id", "id")
     negative = need.where("__need = 0").join(scope, "query_id").join(docs.select("namespace", "id"), "namespace").select("query_id", "id")
-    return wanted.unionByName(negative.join(sums.where("__bad > 0").select("query_id", "id"), ["query_id", "id"], "left_anti"))
+    return matched.unionByName(negative.join(sums.where("__bad > 0").select("query_id", "id"), ["query_id", "id"], "left_anti"))
 
 
 def rrf(arms: list[DataFrame], k: int, c: int = RRF) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,17 +157,23 @@ def s5_rank_fair_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.rank_fair_share(_cands(spark, sf_dir).selectExpr("query_id", "id", "score", "content as level"), 20).select("query_id", "id", "level", "rank")
 
 
+_TAILS = "concat(text, CASE doc_id % 4 WHEN 0 THEN ' A big cat in 日本: cat' WHEN 1 THEN ' the big category of them 日本語' WHEN 2 THEN ' Don''t the the' ELSE ' talk of\nthe, BIG-CAT' END)"
+_HAS = "contains(ws, ' {} ')"
+_MATCHES = {
+    1: ("the -was", "{the} AND NOT {was}"), 2: ("der OR les", "{der} OR {les}"), 3: ('of "of the"', "{of} AND {of the}"), 4: ('"of the"', "{of the}"), 5: ("-the", "NOT {the}"),
+    6: ("the OR der und OR les", "({the} OR {der}) AND ({und} OR {les})"), 7: ('"of the" OR der -"the of"', "({of the} OR {der}) AND NOT {the of}"), 8: ('"big cat"', "{big cat}"), 9: ("日本", "{日 本}"),
+    10: ("日本 cat", "{日 本} AND {cat}"), 11: ('"日本語" -cat', "{日 本 語} AND NOT {cat}"), 12: ("don't", "{don t}"), 13: ('"the the"', "{the the}"), 14: ("!!! of", "{of}"), 15: ('"!!!"', "false"), 16: ('cat -"big cat"', "{cat} AND NOT {big cat}"),
+}
+
+
 @query(
-    """WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+'))) AS w FROM documents), d AS (SELECT doc_id, list(w) AS ws FROM w GROUP BY doc_id)
-SELECT 1 AS query_id, doc_id AS id FROM d WHERE list_contains(ws, 'the') AND NOT list_contains(ws, 'was') UNION ALL
-SELECT 2, doc_id FROM d WHERE (list_contains(ws, 'der') OR list_contains(ws, 'les')) UNION ALL SELECT 3, doc_id FROM d JOIN documents USING (doc_id) WHERE list_contains(ws, 'of') AND contains(lower(text), 'of the')
-UNION ALL SELECT 4, doc_id FROM d JOIN documents USING (doc_id) WHERE list_contains(ws, 'of') AND contains(lower(text), 'of the') UNION ALL SELECT 5, doc_id FROM d WHERE NOT list_contains(ws, 'the')
-UNION ALL SELECT 6, doc_id FROM d WHERE (list_contains(ws, 'the') OR list_contains(ws, 'der')) AND (list_contains(ws, 'und') OR list_contains(ws, 'les'))
-UNION ALL SELECT 7, doc_id FROM d JOIN documents USING (doc_id) WHERE (list_contains(ws, 'der') OR list_contains(ws, 'of') AND contains(lower(text), 'of the')) AND NOT (list_contains(ws, 'the') AND contains(lower(text), 'the of'))"""
+    f"""WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(regexp_replace(lower({_TAILS}), '([\\p{{Han}}\\p{{Hiragana}}\\p{{Katakana}}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), ' ') || ' ' AS ws FROM documents)
+"""
+    + " UNION ALL ".join(f"SELECT {n} AS query_id, doc_id AS id FROM d WHERE {re.sub('{(.*?)}', lambda m: _HAS.format(m[1]), sql)}" for n, (_, sql) in _MATCHES.items())
 )
 def v4_boolean_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = [(1, "the -was"), (2, "der OR les"), (3, 'of "of the"'), (4, '"of the"'), (5, "-the"), (6, "the OR der und OR les"), (7, '"of the" OR der -"the of"')]
-    queries = spark.createDataFrame(asked, "query_id int, text string")
-    docs = _docs(spark, sf_dir)
-    scope = queries.select("query_id").join(F.broadcast(docs.select("namespace").distinct()))
+    """Texts with line breaks and marks inside phrases, words that begin like a phrase's last one, and other scripts."""
+    queries = spark.createDataFrame([(n, text) for n, (text, _) in _MATCHES.items()], "query_id int, text string")
+    docs = _docs(spark, sf_dir).withColumn("text", F.expr(_TAILS.replace("doc_id", "id")))
+    scope = docs.select("namespace").distinct().withColumn("query_id", F.explode(F.lit([*_MATCHES])))
     return op.boolean_match(op.parse_terms(queries), docs, scope)
