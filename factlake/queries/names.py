@@ -146,13 +146,14 @@ _FILES = "SELECT 'src/doc_' || doc_id || '.py' AS file, 'def load_page_' || doc_
 
 
 @query(
-    f"""WITH f AS ({_FILES}) SELECT doc_id AS id, f.file, sha1('blob ' || strlen(content) || chr(0) || content) AS blob_sha, 'load_page_' || doc_id AS identifiers FROM documents JOIN f ON f.file = 'src/doc_' || doc_id || '.py'
-WHERE NOT regexp_matches(content, '\\b(Reader|ReadPage|next)\\b')"""
+    f"""WITH f AS ({_FILES}) SELECT doc_id AS id, f.file, sha1('blob ' || strlen(content) || chr(0) || content) AS blob_sha,
+  array_to_string(list_filter(['Reader.next', 'next', 'load_page_' || doc_id, 'doc_' || doc_id, 'ReadPage'], lambda w: regexp_matches(content, '\\b' || replace(w, '.', '\\.') || '\\b')), ',') AS identifiers
+FROM documents JOIN f ON f.file = 'src/doc_' || doc_id || '.py'"""
 )
 def j20_extract_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _sql(spark, sf_dir, f"SELECT doc_id AS id, {_CODE} AS text FROM documents")
     found = anchors.extract_anchors(texts, _sql(spark, sf_dir, _FILES))
-    return found.withColumn("identifiers", F.array_join("identifiers", ",")).where("identifiers not rlike 'Reader|ReadPage|next'")
+    return found.withColumn("identifiers", F.array_join("identifiers", ","))
 
 
 _OLD = "SELECT 'src/doc_' || doc_id || '.py' AS file, 'def load_page_' || doc_id || '(x):' || chr(10) || CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN 'other ' || text ELSE text || chr(10) || 'end' END AS content FROM documents"
@@ -481,8 +482,10 @@ def v26_drift_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j14_touched_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change of the first line below a header, or of the end of its file, touches the header's name."""
     old = _sql(spark, sf_dir, _OLD.replace("SELECT ", "SELECT doc_id, 'def load_page_' || doc_id || '(x):' || chr(10) || text AS now, ", 1))
-    named = old.withColumn("names", F.array(F.concat(F.lit("load_page_"), F.col("doc_id").cast("string")), F.lit("absent_name")))
-    return named.select("doc_id", F.array_join(anchors.touched_identifiers("content", "now", "names"), ",").alias("touched"))
+    names = F.array(F.concat(F.lit("load_page_"), F.col("doc_id").cast("string")), F.lit("absent_name"))
+    changes = old.select("doc_id", F.col("content").alias("old"), F.col("now").alias("new"), names.alias("names"))
+    touched = anchors.touched_names(changes, ["doc_id"])
+    return old.join(touched, "doc_id", "left").select("doc_id", F.coalesce(F.array_join("touched", ","), F.lit("")).alias("touched"))
 
 
 _FLOW = """'sequenceDiagram' || chr(10) || 'participant A as Client ' || doc_id || chr(10) || '%% note' || chr(10) || 'A->>B: hello ' || doc_id || chr(10) || 'box Blue' || chr(10) || 'alt ok' || chr(10) || 'B-->>A: fine' || chr(10)
@@ -506,8 +509,11 @@ def v2_vector_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vector_topk_cells(asked, vectors, 10, retrieval.vector_cells(vectors, 32), 20)
 
 
+_SIGNED = "text || CASE turn % 3 WHEN 0 THEN chr(10) || 'Signed-off-by: Ann ' || turn WHEN 1 THEN ' see issue ' || turn || ' and PR #7' ELSE '' END || ' in v1.' || turn || '.0 '"
+
+
 @query(
-    """SELECT conv_id * 10000 + turn AS id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\bv(\\d+\\.\\d+\\.\\d+)', 1), lambda v: 'Mentions version ' || v))) AS statement FROM (SELECT conv_id, turn, text || ' in v1.' || turn || '.0 ' AS text FROM conversations)"""
+    """SELECT conv_id * 10000 + turn AS id, unnest(CASE turn % 3 WHEN 0 THEN ['Git trailer Signed-off-by: Ann ' || turn || ' in v1.' || turn || '.0'] WHEN 1 THEN ['References issue #' || turn, 'References PR #7'] ELSE [] END || ['Mentions version 1.' || turn || '.0']) AS statement FROM conversations"""
 )
 def u2_extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.extract_facts(_sql(spark, sf_dir, "SELECT conv_id * 10000 + turn AS id, text || ' in v1.' || turn || '.0 ' AS text FROM conversations")).where("statement like 'Mentions version%'").select("id", "statement")
+    return tables.extract_facts(_sql(spark, sf_dir, f"SELECT conv_id * 10000 + turn AS id, {_SIGNED} AS text FROM conversations")).select("id", "statement")

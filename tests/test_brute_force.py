@@ -1,7 +1,6 @@
 """Operators that SQL can't express, or that no query's oracle covers, against plain Python on small fixtures."""
 
 import datetime as dt
-import difflib
 import hashlib
 import json
 import random
@@ -149,23 +148,24 @@ def test_delivery_is_repeated_until_it_succeeds_or_is_given_up(spark, tmp_path):
     assert sorted((r["subscriber"], r["n"]) for r in left) == [("bad", n) for n in range(6)] and max(r["failures"] for r in left) == 3
 
 
-def test_touched_identifiers(spark):
+def test_touched_names(spark):
+    """By the rule itself: lines that one side has more copies of, two lines around them, the header above."""
     old = "import a\n\ndef first(x):\n    y = 1\n    return y\n\n\n\n\n\n\nclass Second:\n    z = 2\n"
-    cases = [(old, old.replace("y = 1", "y = 3")), (old, old), (old, old + "def third():\n    pass\n"), ("", old), (old, "")]
-    names = ["first", "Second", "third", "y", "z"]
-    frame = spark.createDataFrame([(i, a, b, names) for i, (a, b) in enumerate(cases)], "id long, a string, b string, names array<string>")
-    got = {r["id"]: r["t"] for r in frame.select("id", anchors.touched_identifiers("a", "b", "names").alias("t")).collect()}
-    for i, (a, b) in enumerate(cases):
-        a, b, around = a.splitlines(), b.splitlines(), []
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b).get_opcodes():
-            if tag != "equal":
-                around += a[max(0, i1 - 2) : i2 + 2] + b[max(0, j1 - 2) : j2 + 2]
-                for lines, low in ((a, i1), (b, j1)):
-                    heads = [line for line in lines[: low + 1] if re.match(r"\s*(def|class) ", line)]
-                    around += heads[-1:]
-        assert got[i] == [w for w in names if re.search(rf"\b{w}\b", "\n".join(around))]
-    assert got[0] == ["first", "y"] and got[1] == []
-
+    rng = random.Random(4)
+    cases = [(old, old.replace("y = 1", "y = 3")), (old, old), (old, old + "def third():\n    pass\n"), ("", old), (old, ""), (None, old), (old, old.replace("\n", "\r\n")), ("a\nb", "b\na"), (old, old.replace("x):\n", "x):\n\n"))]
+    lines = ["def first(x):", "class Second:", "    y = 1", "    z = 2", "", "pass", "func third() {", "  return y", "t"]
+    cases += [("\n".join(rng.choices(lines, k=rng.randint(0, 12))), "\n".join(rng.choices(lines, k=rng.randint(0, 12)))) for _ in range(150)]
+    names = ["first", "Second", "third", "y", "z", "first"]
+    frame = spark.createDataFrame([(i, a, b, names) for i, (a, b) in enumerate(cases)], "id long, old string, new string, names array<string>")
+    got = {r["id"]: r["touched"] for r in anchors.touched_names(frame, ["id"]).collect()}
+    for i, texts in enumerate(cases):
+        sides = [re.split(r"\r\n|\n", t) if t is not None else [] for t in texts]
+        said = set()
+        for own, other in (sides, sides[::-1]):
+            for at, line in enumerate(own):
+                if line and own[: at + 1].count(line) > other.count(line):
+                    said |= {*own[max(0, at - 2) : at + 3], *[x for x in own[: at + 1] if re.match(r"\s*(def|class|func) [A-Za-z_]", x)][-1:]}
+        assert got.get(i, []) == [w for w in names if any(re.search(rf"\b{w}\b", x) for x in said)], (i, texts)
 
 def test_near_candidates_join_along_chains(spark):
     angle = lambda d: [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]
