@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.text import entity_match, entity_phrases, extract_entities, fix_boost, git_weight, is_error_query, query_intent, temporal_intent
-from factlake.operators.retrieval import rank_in
+from factlake.operators.retrieval import BROADCAST_QUERIES, rank_in
 
 
 def prefetch_arms(queries: DataFrame, facts: DataFrame, timeline_limit: int = 12, guarantee_limit: int = 20) -> DataFrame:
@@ -16,18 +16,28 @@ def prefetch_arms(queries: DataFrame, facts: DataFrame, timeline_limit: int = 12
     last, within its year, and only current facts where it asks how things stand and names no year. Any
     other question that names entities gets the latest current facts about them (``guarantee``).
     ``queries(query_id, namespace, text)``; a fact is about an entity that is its subject or stands in its statement.
+
+    The order depends on time alone, so each word that is asked for has one list for each choice of facts (all,
+    current, those of a year) and direction, as long as the larger limit; questions meet lists, not facts.
     """
     intent = temporal_intent(F.col("text"))
     asked = queries.select("query_id", "namespace", intent.alias("i"), F.explode(extract_entities(F.col("text"))).alias("entity"))
-    asked = asked.select("query_id", "namespace", F.lower("entity").alias("word"), "i.temporal", "i.order", "i.year", (F.col("i.current") & F.col("i.year").isNull()).alias("current"))
+    late = ~F.col("i.temporal") | F.coalesce(F.col("i.order") == "last", F.lit(False))
+    choice = F.when(F.col("i.temporal") & F.col("i.year").isNotNull(), F.col("i.year").cast("string")).when(F.col("i.temporal") & ~F.col("i.current"), "all").otherwise("current")
+    asked = asked.select("query_id", "namespace", F.lower("entity").alias("word"), choice.alias("choice"), late.alias("late"), "i.temporal").distinct()
+    wanted = asked.select("namespace", "word", "choice", "late").distinct()
+    few = wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    sized = lambda df: F.broadcast(df) if few else df
     words = F.array_distinct(F.concat(F.array(F.lower("subject")), F.split(F.lower("statement"), r"[^\p{L}\p{N}_]+")))
-    named = facts.where("expired_at is null").select("namespace", "id", F.explode(words).alias("word"))
-    hits = named.join(asked, ["namespace", "word"]).select("query_id", "id", "temporal", "order", "year", "current").distinct()
-    found = hits.join(facts.select("id", "observed_at", "valid_from", "valid_to"), "id")
-    found = found.where((~(F.col("current") | ~F.col("temporal")) | F.col("valid_to").isNull()) & (F.col("year").isNull() | ~F.col("temporal") | (F.year("valid_from") == F.col("year"))))
+    choices = F.array(F.lit("all"), F.when(F.col("valid_to").isNull(), "current"), F.year("valid_from").cast("string"))
     seconds = F.col("observed_at").cast("timestamp").cast("double")
-    late = ~F.col("temporal") | F.coalesce(F.col("order") == "last", F.lit(False))
-    ranked = rank_in(found, ["query_id"], [F.when(late, -seconds).otherwise(seconds), F.when(late, -F.col("id")).otherwise(F.col("id"))])
+    named = facts.where("expired_at is null").select("namespace", "id", seconds.alias("at"), choices.alias("choices"), F.explode(words).alias("word"))
+    named = named.join(sized(wanted.select("namespace", "word").distinct()), ["namespace", "word"], "left_semi").withColumn("choice", F.explode("choices")).drop("choices")
+    rows = named.join(sized(wanted), ["namespace", "word", "choice"])
+    order = [F.when(F.col("late"), -F.col("at")).otherwise(F.col("at")), F.when(F.col("late"), -F.col("id")).otherwise(F.col("id"))]
+    lists = rank_in(rows, ["namespace", "word", "choice", "late"], order, max(timeline_limit, guarantee_limit)).drop("rank")
+    found = lists.join(sized(asked), ["namespace", "word", "choice", "late"]).select("query_id", "id", "at", "temporal", "late").distinct()
+    ranked = rank_in(found, ["query_id"], order)
     kept = ranked.where(F.col("rank") <= F.when(F.col("temporal"), timeline_limit).otherwise(guarantee_limit))
     return kept.select("query_id", "id", F.when(F.col("temporal"), "timeline").otherwise("guarantee").alias("arm"), "rank")
 

@@ -202,19 +202,43 @@ def hybrid_search(queries: DataFrame, table: DataFrame, k: int = 40, current_onl
 def timeline(queries: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
     """The latest facts about a query's entities: ``queries(query_id, namespace, entities)``; subject equal or named in the statement.
 
-    Names of several words meet the statement's runs of as many words.
+    Names of several words meet the places where their first word stands, and are then compared whole. Each name
+    has one list of its latest facts, ``limit`` long, which all queries that name it share.
     """
     parts = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     asked = queries.select("query_id", "namespace", F.explode("entities").alias("entity")).select("query_id", "namespace", parts("entity").alias("parts"))
-    asked = asked.select("query_id", "namespace", F.array_join("parts", " ").alias("word"), F.size("parts").alias("n")).where("n > 0")
-    longest = asked.agg(F.max("n")).first()[0] or 1
-    said = parts("statement")
-    runs = [F.transform(F.sequence(F.lit(1), F.size(said) - n + 1), lambda k, n=n: F.array_join(F.slice(said, k, n), " ")) for n in range(2, longest + 1)]
-    named = [said, F.array(F.array_join(parts("subject"), " "))] + [F.when(F.size(said) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 2)]
-    words = facts.select("namespace", "id", F.explode(F.array_distinct(F.concat(*named))).alias("word"))
-    hits = words.join(asked.select("query_id", "namespace", "word").distinct(), ["namespace", "word"]).select("query_id", "id").distinct()
-    found = hits.join(facts.select("id", "observed_at", "statement"), "id")
-    return rank_in(found, ["query_id"], [F.desc("observed_at"), F.desc("id")], limit)
+    asked = asked.select("query_id", "namespace", F.array_join("parts", " ").alias("name"), F.get("parts", 0).alias("word"), F.size("parts").alias("n")).where("n > 0").distinct()
+    wanted = asked.select("namespace", "name", "word", "n").distinct()
+    few = wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    sized = lambda df: F.broadcast(df) if few else df
+    said = facts.select("namespace", "id", "observed_at", parts("statement").alias("said"), F.array_join(parts("subject"), " ").alias("subject"))
+    places = said.select("namespace", "id", "observed_at", "said", F.posexplode(F.when(F.size("said") > 0, F.col("said"))).alias("pos", "word"))
+    named = places.join(sized(wanted), ["namespace", "word"]).where((F.col("n") == 1) | (F.array_join(F.slice("said", F.col("pos") + 1, F.col("n")), " ") == F.col("name")))
+    subject = said.join(sized(wanted.select("namespace", F.col("name").alias("subject"))), ["namespace", "subject"]).withColumnRenamed("subject", "name")
+    hits = named.select("namespace", "name", "id", "observed_at").unionByName(subject.select("namespace", "name", "id", "observed_at")).distinct()
+    lists = rank_in(hits, ["namespace", "name"], [F.desc("observed_at"), F.desc("id")], limit).drop("rank")
+    found = lists.join(sized(asked.select("query_id", "namespace", "name")), ["namespace", "name"]).select("query_id", "id", "observed_at").distinct()
+    return rank_in(found, ["query_id"], [F.desc("observed_at"), F.desc("id")], limit).join(facts.select("id", "statement"), "id").select("id", "query_id", "observed_at", "statement", "rank")
+
+
+def nearest_values(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows of a query's namespace whose value is nearest to its own: ``(query_id, id, distance, rank)``; ties by id.
+
+    ``queries(query_id, namespace, value)``, ``rows(namespace, id, value)``. Different values are numbered in order; a
+    query looks up the ``k`` numbers on either side of where it belongs, and of each value only the first ``k`` ids.
+    """
+    values = rows.where("value is not null").select("namespace", "value").distinct()
+    asked = queries.select("query_id", "namespace", "value").where("value is not null")
+    # numbers run over different values, which are sorted in their namespace together with the queries'
+    order = Window.partitionBy("namespace").orderBy("value", F.desc("known")).rowsBetween(Window.unboundedPreceding, 0)
+    both = values.withColumn("known", F.lit(1)).unionByName(asked.select("namespace", "value").distinct().withColumn("known", F.lit(0)))
+    both = both.withColumn("n", F.sum("known").over(order))
+    numbered = both.where("known = 1").select("namespace", "value", "n")
+    first = rank_in(rows.where("value is not null").select("namespace", "id", "value"), ["namespace", "value"], [F.col("id")], k).drop("rank")
+    near = asked.join(both.where("known = 0").select("namespace", "value", "n"), ["namespace", "value"])
+    near = near.select("query_id", "namespace", F.col("value").alias("own"), F.explode(F.sequence(F.col("n") - k, F.col("n") + k)).alias("n"))
+    found = near.join(numbered, ["namespace", "n"]).join(first, ["namespace", "value"]).select("query_id", "id", F.abs(F.col("value") - F.col("own")).alias("distance"))
+    return rank_in(found, ["query_id"], [F.col("distance"), F.col("id")], k)
 
 
 def dedupe_candidates(cands: DataFrame, key: Column) -> DataFrame:

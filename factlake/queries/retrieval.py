@@ -68,9 +68,8 @@ SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER
 )
 def v5_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexical = op.lexical_topk(_asked(spark, sf_dir), _docs(spark, sf_dir), 40)
-    asked = _asked(spark, sf_dir).selectExpr("query_id", "namespace", "length(text) as l")
-    near = _docs(spark, sf_dir).selectExpr("id", "namespace", "length(text) as n").join(asked, "namespace")
-    by_length = op.rank_in(near.selectExpr("query_id", "id", "abs(n - l) as d"), ["query_id"], [F.col("d"), F.col("id")], 40)
+    lengths = _docs(spark, sf_dir).selectExpr("id", "namespace", "length(text) as value")
+    by_length = op.nearest_values(_asked(spark, sf_dir).selectExpr("query_id", "namespace", "length(text) as value"), lengths, 40)
     return op.rrf([lexical, by_length], 25)
 
 
