@@ -115,16 +115,35 @@ def drift_windows(diffs: DataFrame, size: int, overlap: int, most: int | None =
     )
 
 
+def overlaps(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """Pairs ``(a, b, n)`` of sets that share ``least`` words or more: ``left(a, words)``, ``right(b, words)`` with distinct words.
+
+    Words are ordered by how often they occur on both sides. Of two sets that share so many, the rarest word they
+    share is not among the ``least - 1`` most frequent ones of either, so those are no keys of the join; what it
+    finds is counted by whole sets.
+    """
+    each = lambda df, key: df.select(key, F.explode("words").alias("word"))
+    count = lambda df: df.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    often = count(each(left, "a")).join(count(each(right, "b")).withColumnRenamed("n", "m"), "word").select("word", (F.col("n") + F.col("m")).alias("often"))
+    rare = lambda df, key: (
+        each(df, key).join(often, "word").withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("often"), "word"))).where(F.col("k") >= least).select(key, "word")
+    )
+    found = rare(left, "a").join(rare(right, "b"), "word").select("a", "b").distinct()
+    shared = F.size(F.array_intersect("words", "others"))
+    both = found.join(left, "a").join(right.withColumnRenamed("words", "others"), "b")
+    return both.select("a", "b", shared.alias("n")).where(F.col("n") >= least)
+
+
 def drift_matches(windows: DataFrame, constraints: DataFrame, least: int = 2) -> DataFrame:
     """Constraints that any window of a diff touches, each once: ``(diff_id, constraint_id, first_window, words)``.
 
     A window touches a constraint if they share ``least`` content words; ``words`` is the most that one
-    window shares. They meet by their words, of which each side counts as often as it is shared.
+    window shares. They meet by their rarer words, see :func:`overlaps`.
     """
-    words = windows.select("diff_id", "window", F.explode(content_words(F.col("text"))).alias("word"))
-    rules = constraints.select("constraint_id", F.explode(content_words(F.col("statement"))).alias("word"))
-    shared = words.join(rules, "word").groupBy("diff_id", "window", "constraint_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return shared.groupBy("diff_id", "constraint_id").agg(F.min("window").alias("first_window"), F.max("n").alias("words"))
+    left = windows.select(F.struct("diff_id", "window").alias("a"), content_words(F.col("text")).alias("words"))
+    right = constraints.select(F.col("constraint_id").alias("b"), content_words(F.col("statement")).alias("words"))
+    shared = overlaps(left, right, least)
+    return shared.groupBy(F.col("a.diff_id").alias("diff_id"), F.col("b").alias("constraint_id")).agg(F.min("a.window").alias("first_window"), F.max("n").cast("long").alias("words"))
 
 
 def flow_constraints(diagrams: DataFrame) -> DataFrame:

@@ -42,24 +42,34 @@ def numbered_by_day(turns: DataFrame, gap_minutes: int) -> DataFrame:
     return rows.drop("__ns", "__d", "__offset", "__start", "__prev", "__before", "__day")
 
 
-def segment_episodes(turns: DataFrame, gap_minutes: int = 30) -> DataFrame:
+def segment_episodes(turns: DataFrame, gap_minutes: int = 30, summarise: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None, letters: int = 400) -> DataFrame:
     """Episodes of a namespace: a change of session or a gap begins the next.
 
-    Each has its turns, span, an extract of its first two sentences (at most 400 letters), a salience of
-    0.3 + 0.1 for each turn (at most 1), and a type if all its turns agree on one.
+    Each has its turns, span, a summary, a salience of 0.3 + 0.1 for each turn (at most 1), and a type if all
+    its turns agree on one. The summary is an extract of the first two sentences, at most ``letters`` letters, or
+    what ``summarise`` makes of batches of ``(namespace, episode, text)``, as ``(namespace, episode, summary)``.
+    Of an episode's texts only what begins with ``letters`` letters and one, blanks not counted, is gathered.
     """
     rows = numbered_by_day(turns, gap_minutes)
-    turns_of = F.array_sort(F.collect_list(F.struct("observed_at", "id", "text")))
-    found = rows.groupBy("namespace", "episode").agg(
+    w = Window.partitionBy("namespace", "episode").orderBy("observed_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length(F.regexp_replace("text", r"\s+", ""))).over(w), F.lit(0))
+    begin = F.when(before <= letters, F.regexp_extract("text", rf"(?s)^(?:\s*+\S){{0,{letters + 1}}}+\s*+", 0))
+    turns_of = F.array_sort(F.collect_list(F.struct("observed_at", "id", "__begin")))
+    found = rows.withColumn("__begin", begin).groupBy("namespace", "episode").agg(
         F.min("observed_at").alias("t_start"), F.max("observed_at").alias("t_end"), F.count(F.lit(1)).alias("n_turns"), turns_of.alias("__t"),
         F.min("memory_type").alias("__low"), F.max("memory_type").alias("__high"), F.count("memory_type").alias("__typed"),
     )
-    joined = F.array_join(F.transform("__t", lambda t: t.text), " ")
+    joined = F.array_join(F.transform("__t", lambda t: t["__begin"]), " ")
     sentences = F.slice(F.split(F.regexp_replace(joined, r"([.!?])\s+", "$1\u0001"), "\u0001"), 1, 2)
-    return found.select(
-        "namespace", "episode", "t_start", "t_end", "n_turns", F.transform("__t", lambda t: t.id).alias("source_turn_ids"), F.substring(F.array_join(sentences, " "), 1, 400).alias("summary"),
+    found = found.select(
+        "namespace", "episode", "t_start", "t_end", "n_turns", F.transform("__t", lambda t: t.id).alias("source_turn_ids"), joined.alias("__text"), F.substring(F.array_join(sentences, " "), 1, letters).alias("summary"),
         F.least(F.lit(1.0), 0.3 + 0.1 * F.col("n_turns")).alias("salience"), F.when((F.col("__low") == F.col("__high")) & (F.col("__typed") == F.col("n_turns")), F.col("__low")).alias("memory_type"),
     )
+    if summarise is not None:
+        made = found.select("namespace", "episode", F.col("__text").alias("text")).mapInPandas(summarise, "namespace string, episode long, summary string")
+        columns = [c for c in found.columns if c != "__text"]
+        found = found.drop("summary").join(made, ["namespace", "episode"], "left").select(columns)
+    return found.drop("__text")
 
 
 def segment_events(turns: DataFrame, gap_hours: int = 6, surprise: float = 0.55, most: int = 8) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.text import canonical_entity, extract_entities, valid_entity_name
+from factlake.sources.shared import stored
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -51,14 +52,16 @@ def neighbours(seeds: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
 def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """Nodes within so many hops of each seed, with the hop at which they are first reached.
 
-    Each hop joins only the frontier and drops what was reached before.
+    Each hop joins only the frontier and drops what was reached before. Frontiers are written, so a hop reads
+    tables and the plan grows by one scan each.
     """
     step = both_ways(edges).select("node", "other").distinct()
-    reached = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hop", F.lit(0))
+    step = stored(step) if hops > 1 else step
+    reached = stored(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hop", F.lit(0)))
     frontier = reached
     for hop in range(1, hops + 1):
         found = frontier.select("seed", "node").join(step, "node").select("seed", F.col("other").alias("node")).distinct()
-        frontier = found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = stored(found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)))
         reached = reached.unionByName(frontier)
     return reached
 

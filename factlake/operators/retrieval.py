@@ -6,6 +6,8 @@ shuffles, and wide columns are joined to the few survivors.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factlake.functions.text import is_lex_word, lex_stem, lex_tokens, lex_words
+from factlake.operators.components import connected_components
+from factlake.operators.nearness import near_pairs
+from factlake.sources.shared import stored
 
 #: Rank constant of reciprocal-rank fusion, and BM25's two.
 RRF, K1, B = 60, 1.5, 0.75
@@ -252,35 +257,37 @@ def dedupe_candidates(cands: DataFrame, key: Column) -> DataFrame:
 def dedupe_near(cands: DataFrame, key: Column, below: float = 0.03) -> DataFrame:
     """As :func:`dedupe_candidates`, but contents whose vectors lie closer than ``below`` count as one, and so on along chains.
 
-    ``cands(query_id, id, score, observed_at, embedding, …)``. A query's candidates are bounded by the arms,
-    so the distances within each are folded in one row of it: labels spread along near pairs until none changes.
+    ``cands(query_id, id, score, observed_at, embedding, …)``. Near pairs of a query come from cells and tiles of
+    bounded size, and chains are joined as components, in rounds that grow with the logarithm of their length.
     """
-    single = dedupe_candidates(cands, key)
-    ids = F.array_sort(F.collect_list(F.struct("id", "embedding")))
-    held = single.groupBy("query_id").agg(ids.alias("c"))
-    start = F.transform("c", lambda x, i: i)
-    near = F.transform("c", lambda x: F.transform(F.col("c"), lambda y: F.coalesce(F.round(1 - cosine(x.embedding, y.embedding), 6) < below, F.lit(False)) | (x.id == y.id)))
-    held = held.withColumn("near", near).withColumn("label", start)
-    # doubling: after k rounds a label has come 2^k steps, as it is taken from the label's own label
-    spread = lambda labels: F.transform(F.col("near"), lambda row: F.array_min(F.transform(F.filter(F.arrays_zip(row.alias("n"), labels.alias("l")), lambda z: z["n"]), lambda z: z["l"])))
-    folded = F.aggregate(F.sequence(F.lit(1), F.size("c")), F.col("label"), lambda acc, _: spread(acc))
-    labels = held.select("query_id", F.explode(F.arrays_zip(F.col("c.id").alias("id"), folded.alias("label"))).alias("z")).select("query_id", "z.id", "z.label")
-    rows = single.join(labels, ["query_id", "id"])
-    order = Window.partitionBy("query_id", "label").orderBy(F.desc("score"), F.desc("observed_at"), F.col("id"))
-    whole = rows.withColumns({"dup_count": F.sum("dup_count").over(Window.partitionBy("query_id", "label")), "__n": F.row_number().over(order)})
-    return whole.where("__n = 1").drop("label", "__n")
-
-
-def rerank(cands: DataFrame, score: Column | None = None, cap: int = 100, floor: float = 0.0) -> DataFrame:
+    single = stored(dedupe_candidates(cands, key))
+    named = single.withColumn("__node", F.xxhash64("query_id", "id"))
+    rows = named.select(F.col("query_id").cast("string").alias("grp"), F.col("__node").alias("id"), F.lit(0).alias("seq"), F.lit(True).alias("lead"), "embedding")
+    chains = connected_components(near_pairs(rows, below).select(F.col("older").alias("a"), F.col("newer").alias("b")))
+    labelled = named.join(chains.withColumnsRenamed({"node": "__node", "component": "__label"}), "__node", "left").withColumn("__label", F.coalesce("__label", "__node"))
+    order = Window.partitionBy("query_id", "__label").orderBy(F.desc("score"), F.desc("observed_at"), F.col("id"))
+    whole = labelled.withColumns({"dup_count": F.sum("dup_count").over(Window.partitionBy("query_id", "__label")), "__n": F.row_number().over(order)})
+    return whole.where("__n = 1").drop("__label", "__n", "__node")
+
+
+def rerank(cands: DataFrame, score: Column | Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None, cap: int = 100, floor: float = 0.0) -> DataFrame:
     """Score the first ``cap`` candidates of a query; the tail keeps its order strictly below them.
 
-    Without a score the order of retrieval counts as ``1 / (1 + i)``. Scores under ``floor`` are dropped.
+    ``score`` is a column, or a function that turns batches of those candidates (all their columns) into
+    ``(query_id, id, score)``; what it leaves out is dropped. Without a score the order of retrieval counts as
+    ``1 / (1 + i)``. Scores under ``floor`` are dropped.
     """
     shown = F.col("rank") <= cap
-    own = F.when(shown, score if score is not None else 1.0 / F.col("rank"))
+    if callable(score) and not isinstance(score, Column):
+        kinds = dict(cands.dtypes)
+        scored = cands.where(shown).mapInPandas(score, f"query_id {kinds['query_id']}, id {kinds['id']}, __own double")
+        cands = cands.join(scored, ["query_id", "id"], "left").where(~shown | F.col("__own").isNotNull())
+        own = F.col("__own")
+    else:
+        own = F.when(shown, score if score is not None else 1.0 / F.col("rank"))
     rows = cands.withColumn("__s", own).withColumn("__low", F.min("__s").over(Window.partitionBy("query_id")))
     tail = F.col("__low") - 1e-6 * (F.col("rank") - cap)
-    rows = rows.withColumn("rerank_score", F.when(shown, F.col("__s")).otherwise(tail)).drop("__s", "__low").where(F.col("rerank_score") >= floor)
+    rows = rows.withColumn("rerank_score", F.when(shown, F.col("__s")).otherwise(tail)).drop("__s", "__low", "__own").where(F.col("rerank_score") >= floor)
     return rank_in(rows, ["query_id"], [F.desc("rerank_score"), F.col("rank")], None, "final_rank")
 
 
