@@ -25,6 +25,8 @@ SAMPLES = 64
 TOGETHER = 4
 #: Documents of a stretch of ids that are put in order together, on the average.
 STRETCH = 2000
+#: Parts of a stretch of one id, as powers of two that make room in its number; and hot ids that are broadcast.
+PARTS, BROADCAST_IDS = 1 << 20, 100_000
 #: Stretches at most; beyond, they grow. Bounds the cuts in the plan and the rows that are ordered in one task.
 MOST_STRETCHES = 65_536
 
@@ -86,7 +88,7 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """``(doc_id, fingerprint)`` of ``docs(doc_id, text)``: one row for each id.
 
     A null text counts as empty. Rows that share an id make up one bag of words; other columns are
-    ignored. Equal bags have equal fingerprints.
+    ignored. Equal bags have equal fingerprints. Texts are read whole; an empty table gives no rows.
     """
     words = docs.select("doc_id", F.explode(words_of(F.coalesce("text", F.lit("")))).alias("word"))
     return signatures(words.select("doc_id", F.lit(0).alias("side"), F.xxhash64("word").alias("term")), ["doc_id"], samples=samples)
@@ -120,14 +122,27 @@ def edited_halves(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     another by a hash of their texts; null ids come last. A null text counts as empty. A document that
     is alone is its own successor.
 
-    Ids are cut into stretches at their quantiles, with some :data:`STRETCH` documents each. All that is
-    done to a document happens in the partition of its stretch, so texts are shuffled once; the first
-    document of each stretch is fetched for the last one of the stretch above.
+    Ids are cut into stretches at their quantiles, with some :data:`STRETCH` documents each, and an id (or null)
+    that has many more is cut into parts by the hashes of its texts, which are their order. All that is done to a
+    document happens in the partition of its part, so texts are shuffled once; the first document of each part is
+    fetched for the last one of the part above. Rows that are equal in id and text stay together. Texts are read
+    whole, however long; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     span = rows.agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("low")).first()
     low = span["low"] or 0
-    rows = rows.withColumn("__stretch", stretch_of(F.col("doc_id"), quantiles(rows, min(span["n"] // STRETCH, MOST_STRETCHES))))
+    # at most as many hot ids as stretches; each is a stretch of its own
+    many = max(2 * STRETCH, span["n"] // MOST_STRETCHES)
+    hot = stored(rows.groupBy("doc_id").agg(F.least(F.ceil(F.count(F.lit(1)) / STRETCH), F.lit(PARTS)).alias("__parts"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") > many).drop("__n"))
+    own = [r["doc_id"] for r in hot.where("doc_id is not null").select("doc_id").collect()]
+    cuts = sorted({*quantiles(rows, min(span["n"] // STRETCH, MOST_STRETCHES)), *own, *(i + 1 for i in own if i < (1 << 63) - 1)})
+    rows = rows.withColumn("__stretch", stretch_of(F.col("doc_id"), cuts) * PARTS)
+    n_hot = hot.limit(BROADCAST_IDS + 1).count()
+    if n_hot:  # what an id has too many of is dealt by ranges of the hash that orders it
+        hot = hot.withColumnRenamed("doc_id", "__hot")
+        rows = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot, F.col("doc_id").eqNullSafe(F.col("__hot")), "left")
+        part = F.floor((F.xxhash64("text") / float(1 << 64) + 0.5) * F.col("__parts"))
+        rows = rows.withColumn("__stretch", F.col("__stretch") + F.coalesce(F.least(part, F.col("__parts") - 1), F.lit(0))).select("doc_id", "text", "__stretch")
     # the first document of each stretch, as successor of the last one of the stretch above
     heads = rows.groupBy("__stretch").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(low - 1)).alias("id"), F.xxhash64("text").alias("h"))).alias("head"))
     down, top = Window.orderBy(F.desc("__stretch")), Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -114,3 +114,12 @@ def test_samples_equal_a_plain_loop(spark):
                 best = min(best or (math.inf,), (a, _murmur([g & (1 << 64) - 1, step & (1 << 64) - 1])))
             want += f"{best[1]:08x}"
         assert got[i] == want
+
+
+def test_hot_ids_are_cut_and_change_nothing(spark, monkeypatch):
+    """A third of the rows without an id and a third with one id, in parts of their own, follow one another as before."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * (1 + i % 5), None) for i in range(150)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(str, fp.edited_halves(frame, 4).collect()))
+    monkeypatch.setattr(fp, "STRETCH", 5)
+    assert sorted(map(str, fp.edited_halves(frame, 4).collect())) == whole and len(whole) == 150
