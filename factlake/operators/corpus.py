@@ -93,15 +93,15 @@ def extract_rules(docs: DataFrame) -> DataFrame:
     return kept.groupBy("path", "rule").agg(F.min(F.struct("n", "heading")).alias("f")).select("path", "rule", "f.n", "f.heading")
 
 
-def classify_commits(commits: DataFrame) -> DataFrame:
-    """Commits worth remembering and what they are: fix, then decision, then fact."""
+def classify_commits(commits: DataFrame, letters: int | None = 500) -> DataFrame:
+    """Commits worth remembering and what they are: fix, then decision, then fact; with the first ``letters`` of the body (None: all)."""
     s, body = F.trim("subject"), F.trim(F.coalesce("body", F.lit("")))
     trivial = s.rlike(r"(?i)^(merge|wip|bump|typo|fmt|lint|format|chore: release)\b") | (F.length(s) < 10)
     conventional = s.rlike(r"(?i)^(feat|fix|perf|refactor|docs|test|build|ci|chore|revert)(\([^)]*\))?!?:")
     signal = s.rlike(r"(?i)\b(fix|decide|choose|switch|migrate|remove|add|replace|because|instead)\b")
     kind = F.when(s.rlike(r"(?i)^fix|\b(fix(es|ed)?|bug|regression)\b"), "fix").when(s.rlike(r"(?i)\b(decide|choose|switch|migrate|replace|instead)\b"), "decision").otherwise("fact")
     kept = commits.where(~trivial & (conventional | signal | (F.length(body) >= 25)))
-    return kept.withColumns({"memory_type": kind, "text": F.concat_ws("\n", s, F.nullif(F.substring(body, 1, 500), F.lit("")))})
+    return kept.withColumns({"memory_type": kind, "text": F.concat_ws("\n", s, F.nullif(body if letters is None else F.substring(body, 1, letters), F.lit("")))})
 
 
 def drift_windows(diffs: DataFrame, size: int, overlap: int, most: int | None = 25) -> DataFrame:

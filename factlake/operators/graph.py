@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from factlake.functions.text import canonical_entity, extract_entities, valid_entity_name
 from factlake.sources.shared import stored
 
+#: Entities of an episode that meet in one task, about.
+BLOCK = 200
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge seen from either end: ``(node, other, weight)``; self-loops are left out."""
@@ -21,10 +24,19 @@ def merge_edges(edges: DataFrame) -> DataFrame:
 
 
 def comention_edges(mentions: DataFrame) -> DataFrame:
-    """Entities that share an episode, once for each: ``mentions(episode, entity)``."""
-    own = mentions.distinct()
-    pairs = own.alias("l").join(own.alias("r"), F.expr("l.episode = r.episode and l.entity < r.entity"))
-    return pairs.groupBy(F.col("l.entity").alias("src"), F.col("r.entity").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    """Entities that share an episode, once for each: ``mentions(episode, entity)``.
+
+    An episode's entities are dealt to blocks of about :data:`BLOCK`, and each two blocks meet by themselves, so that
+    an episode with very many is compared in many tasks.
+    """
+    own = mentions.where("episode is not null and entity is not null").distinct()
+    sizes = own.groupBy("episode").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = own.join(sizes, "episode").withColumn("block", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select("episode", F.col("entity").alias("src"), F.col("block").alias("i"), others.alias("j"))
+    right = dealt.select("episode", F.col("entity").alias("dst"), others.alias("i"), F.col("block").alias("j"))
+    pairs = left.join(right, ["episode", "i", "j"]).where("src < dst")
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -108,14 +120,14 @@ def upsert_entities(existing: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def graph_from_facts(facts: DataFrame, user_name: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def graph_from_facts(facts: DataFrame, user_name: str | None = None, letters: int | None = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities, mentions and edges that subjects and objects give.
 
     Stand-ins become one name; names that are none give nothing, and an object only counts beside a valid
-    subject. Returns ``(namespace, key, name)`` with the first spelling, ``(namespace, key, id)`` and
+    subject. Of an object the first ``letters`` are its name (None: all of it). Returns ``(namespace, key, name)`` with the first spelling, ``(namespace, key, id)`` and
     ``(namespace, src, dst, weight)``; an edge weighs as many facts as name both ends.
     """
-    s, o = canonical_entity(F.col("subject"), user_name), canonical_entity(F.substring("object", 1, 100), user_name, is_object=True)
+    s, o = canonical_entity(F.col("subject"), user_name), canonical_entity(F.col("object") if letters is None else F.substring("object", 1, letters), user_name, is_object=True)
     rows = facts.where("subject is not null").select("namespace", "id", s.alias("s"), o.alias("o"), F.col("object").isNotNull().alias("has"))
     rows = rows.where(valid_entity_name(F.col("s"))).withColumn("o", F.when(F.col("has") & valid_entity_name(F.col("o"), is_object=True), F.col("o")))
     names = rows.select("namespace", "id", F.explode(F.array(F.struct(F.col("s").alias("name"), F.lit(0).alias("n")), F.struct(F.col("o").alias("name"), F.lit(1).alias("n")))).alias("x")).where("x.name is not null")

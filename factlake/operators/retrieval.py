@@ -6,6 +6,7 @@ shuffles, and wide columns are joined to the few survivors.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,7 +53,12 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     Few queries are broadcast. More are sent to each of :data:`SPLITS` parts of their namespace, so that
     none is gathered in one task; either way a part's best go on to the ranking.
     """
-    return rank_in(_distances(queries, vectors), ["query_id"], [F.col("distance"), F.col("id")], k)
+    return _ranked(_distances(queries, vectors), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The nearest ``k``; vectors that are null or zero are no neighbours."""
+    return rank_in(found, ["query_id"], [F.asc_nulls_last("distance"), F.col("id")], k).where("distance is not null")
 
 
 def _distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -107,7 +113,91 @@ def vector_topk_cells(queries: DataFrame, vectors: DataFrame, k: int, centres: n
     indexed = vectors.where("embedding is not null").withColumn("cell", F.element_at(nearest("embedding", F.lit(1)), 1))
     asked = queries.where("embedding is not null").select("query_id", "namespace", "embedding", F.explode(nearest("embedding", F.lit(probes))).alias("cell"))
     asked = asked.withColumn("namespace", F.concat_ws("|", "namespace", "cell"))
-    return rank_in(_distances(asked, indexed.withColumn("namespace", F.concat_ws("|", "namespace", "cell"))), ["query_id"], [F.col("distance"), F.col("id")], k)
+    return _ranked(_distances(asked, indexed.withColumn("namespace", F.concat_ws("|", "namespace", "cell"))), k)
+
+
+def vector_codebooks(vectors: DataFrame, parts: int = 16, entries: int = 256, rounds: int = 8, sample: int = 20_000) -> np.ndarray:
+    """Centres of the parts of unit vectors, ``(parts, entries, width)``, fitted by k-means to about ``sample`` vectors drawn by hash.
+
+    The sample is bounded at every size of the table; what is coded later is every row. Dimensions are a multiple of ``parts``.
+    """
+    n = vectors.count()
+    share = min(1.0, sample / max(n, 1))
+    drawn = vectors.where(F.col("embedding").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40)))).select("id", "embedding")
+    rows = sorted((r["id"], r["embedding"]) for r in drawn.collect())
+    if not rows:
+        return np.zeros((parts, 1, 1))
+    cut = _units(pd.Series([v for _, v in rows])).reshape(len(rows), parts, -1)
+    books = cut[np.linspace(0, len(rows) - 1, min(entries, len(rows))).astype(int)].transpose(1, 0, 2).copy()
+    for _ in range(rounds):
+        for p in range(parts):
+            own = _nearest_entry(cut[:, p], books[p])
+            used, at = np.unique(own, return_inverse=True)
+            sums = np.zeros((len(used), cut.shape[2]))
+            np.add.at(sums, at, cut[:, p])
+            books[p, used] = sums / np.bincount(at)[:, None]
+    return books
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _nearest_entry(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return ((book * book).sum(axis=1) - 2 * x @ book.T).argmin(axis=1)
+
+
+def vector_codes(vectors: DataFrame, books: np.ndarray) -> DataFrame:
+    """``(namespace, id, code)``: a byte for each part of a vector, the number of its nearest entry."""
+    held = vectors.sparkSession.sparkContext.broadcast(books)
+
+    @F.pandas_udf(T.BinaryType())
+    def coded(embedding: pd.Series) -> pd.Series:
+        cut = _units(embedding).reshape(len(embedding), len(held.value), -1)
+        codes = np.stack([_nearest_entry(cut[:, p], book) for p, book in enumerate(held.value)], axis=1).astype(np.uint8)
+        return pd.Series([c.tobytes() for c in codes])
+
+    return vectors.where("embedding is not null").select("namespace", "id", coded("embedding").alias("code"))
+
+
+def vector_topk_codes(queries: DataFrame, codes: DataFrame, vectors: DataFrame, k: int, books: np.ndarray, candidates: int = 100) -> DataFrame:
+    """As :func:`vector_topk`, but only the vectors of ``candidates`` rows a query are read; ``codes`` chooses them.
+
+    All codes of a query's namespace are scanned, a byte for each part, by tables of the query's products with the
+    entries; each task keeps its best, and the best of all are compared exactly. The recall depends on
+    ``candidates`` and is to be measured against the exact form. Queries go through in blocks of
+    :data:`BROADCAST_QUERIES`, each with its own scan.
+    """
+    asked = queries.where("embedding is not null").select("query_id", "namespace", "embedding")
+    blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
+    kinds, found = dict(queries.dtypes), []
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        tables: dict[str, tuple[list, np.ndarray]] = {}
+        for ns in {r["namespace"] for r in rows}:
+            own = [r for r in rows if r["namespace"] == ns]
+            cut = _units(pd.Series([r["embedding"] for r in own])).reshape(len(own), len(books), -1)
+            tables[ns] = ([r["query_id"] for r in own], np.einsum("qpw,pew->qpe", cut, books))
+        held = codes.sparkSession.sparkContext.broadcast(tables)
+
+        def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for ns, part in pdf.groupby("namespace"):
+                    if ns in held.value:
+                        names, products = held.value[ns]
+                        code = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)
+                        ids, places = part["id"].to_numpy(), np.arange(code.shape[1])
+                        for name, table in zip(names, products):
+                            like = table[places, code].sum(axis=1)
+                            best = np.argpartition(-like, candidates - 1)[:candidates] if len(like) > candidates else np.arange(len(like))
+                            yield pd.DataFrame({"query_id": name, "id": ids[best], "like": like[best]})
+
+        found.append(codes.mapInPandas(scan, f"query_id {kinds['query_id']}, id {dict(codes.dtypes)['id']}, like double"))
+    few = rank_in(functools.reduce(DataFrame.unionByName, found), ["query_id"], [F.desc("like"), F.col("id")], candidates)
+    near = few.select("query_id", "id").join(vectors.select("id", "embedding"), "id").join(asked.select("query_id", F.col("embedding").alias("__q")), "query_id")
+    exact = near.select("query_id", "id", F.round(1 - cosine(F.col("embedding"), F.col("__q")), 6).alias("distance"))
+    return _ranked(exact, k)
 
 
 def postings(docs: DataFrame) -> DataFrame:

@@ -509,6 +509,15 @@ def v2_vector_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.vector_topk_cells(asked, vectors, 10, retrieval.vector_cells(vectors, 32), 20)
 
 
+@query()
+def v2_vector_topk_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours by codes of the vectors' parts; a test measures the recall and how many vectors are read."""
+    vectors = t.vectors(spark, sf_dir)
+    asked = vectors.where("id % 100 = 0").selectExpr("id as query_id", "namespace", "embedding")
+    books = retrieval.vector_codebooks(vectors)
+    return retrieval.vector_topk_codes(asked, retrieval.vector_codes(vectors, books), vectors, 10, books)
+
+
 _SIGNED = "text || CASE turn % 3 WHEN 0 THEN chr(10) || 'Signed-off-by: Ann ' || turn WHEN 1 THEN ' see issue ' || turn || ' and PR #7' ELSE '' END || ' in v1.' || turn || '.0 '"
 
 
