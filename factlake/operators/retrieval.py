@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ from factlake.sources.shared import stored
 RRF, K1, B = 60, 1.5, 0.75
 #: Queries up to this many are broadcast to the memories; more are joined by namespace through a shuffle.
 BROADCAST_QUERIES = 2_000
+#: Postings of a term that bound a query's scores from below.
+FIRSTS = 128
 #: Parts of a namespace that many queries are sent to.
 SPLITS = 64
 
@@ -228,6 +231,58 @@ def lexical_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return rank_in(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
+@dataclass(frozen=True)
+class LexicalIndex:
+    """What many sets of queries ask of one corpus, as written tables.
+
+    ``postings(namespace, term, id, impact)`` by namespace and term, so that Parquet skips what is not asked for;
+    ``firsts`` are the :data:`FIRSTS` postings of a term with the largest impact, and ``terms(namespace, term, top)``
+    has that largest one. An impact is the term's share of a document's BM25 score.
+    """
+
+    postings: DataFrame
+    firsts: DataFrame
+    terms: DataFrame
+
+    def topk(self, queries: DataFrame, k: int) -> DataFrame:
+        """As :func:`lexical_topk`, read from the index.
+
+        The first postings of a query's terms give at least ``k`` documents a score that bounds the ``k``-th best from
+        below. Terms whose largest impacts together stay under it can't bring a document up by themselves: only
+        documents of the other terms are candidates, and the postings of the weak ones are looked up for those.
+        """
+        asked = queries.select("query_id", "namespace", F.explode(F.array_distinct(lex_tokens(F.col("text")))).alias("term"))
+        asked = stored(asked.join(self.terms, ["namespace", "term"]))
+        few = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+        sized = lambda df: F.broadcast(df) if few else df
+        begun = self.firsts.join(sized(asked.select("query_id", "namespace", "term")), ["namespace", "term"]).groupBy("query_id", "id").agg(F.sum("impact").alias("score"))
+        bound = rank_in(begun, ["query_id"], [F.desc("score")], k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+        weak_first = Window.partitionBy("query_id").orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0)
+        judged = asked.withColumn("so_far", F.sum("top").over(weak_first)).join(bound, "query_id", "left")
+        judged = stored(judged.select("query_id", "namespace", "term", (F.col("so_far") < F.coalesce("bound", F.lit(0.0)) - 1e-5).alias("weak")))
+        strong, weak = sized(judged.where("not weak").drop("weak")), judged.where("weak").drop("weak")
+        names = [r["term"] for r in judged.select("term").distinct().limit(BROADCAST_QUERIES + 1).collect()]
+        rows = self.postings.where(F.col("term").isin(names)) if len(names) <= BROADCAST_QUERIES else self.postings
+        found = stored(rows.join(strong, ["namespace", "term"]).groupBy("query_id", "namespace", "id").agg(F.sum("impact").alias("score")))
+        more = rows.join(found.join(weak, ["query_id", "namespace"]), ["namespace", "term", "id"]).select("query_id", "id", F.col("impact").alias("score"))
+        both = found.select("query_id", "id", "score").unionByName(more).groupBy("query_id", "id").agg(F.round(F.sum("score"), 6).alias("score"))
+        return rank_in(both, ["query_id"], [F.desc("score"), F.col("id")], k)
+
+
+def lexical_index(docs: DataFrame) -> LexicalIndex:
+    """The index of ``docs(namespace, id, text)``."""
+    lengths = docs.select("namespace", "id", F.size(F.filter(lex_words(F.col("text")), is_lex_word)).cast("long").alias("len"))
+    mean = lengths.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"), (F.sum("len") / F.count(F.lit(1))).alias("avg"))
+    counted = stored(postings(docs))
+    df = counted.groupBy("namespace", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = stored(df.join(mean, "namespace").select("namespace", "term", "avg", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    rows = counted.join(lengths, ["namespace", "id"]).join(idf, ["namespace", "term"]).select("namespace", "term", "id", weight.alias("impact"))
+    rows = stored(rows.repartitionByRange("namespace", "term", "id").sortWithinPartitions("namespace", "term", "id"))
+    firsts = stored(rank_in(rows, ["namespace", "term"], [F.desc("impact"), F.col("id")], FIRSTS).drop("rank"))
+    return LexicalIndex(rows, firsts, stored(firsts.groupBy("namespace", "term").agg(F.max("impact").alias("top"))))
+
+
 def parse_terms(queries: DataFrame) -> DataFrame:
     """Web-style queries as terms ``(query_id, grp, role, term)``: quoted words form a phrase, ``-`` forbids, OR joins neighbours.
 
@@ -287,10 +342,13 @@ def rrf(arms: list[DataFrame], k: int, c: int = RRF) -> DataFrame:
     return rank_in(fused, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
-def hybrid_search(queries: DataFrame, table: DataFrame, k: int = 40, current_only: bool = False) -> DataFrame:
-    """Vector and lexical arms fused, with the survivors' columns: ``table(id, namespace, text, embedding, …)``."""
+def hybrid_search(queries: DataFrame, table: DataFrame, k: int = 40, current_only: bool = False, index: LexicalIndex | None = None) -> DataFrame:
+    """Vector and lexical arms fused, with the survivors' columns: ``table(id, namespace, text, embedding, …)``.
+
+    An ``index`` of the rows that count serves the lexical arm of as many sets of queries as there are.
+    """
     rows = table.where("valid_to is null and expired_at is null") if current_only else table
-    arms = [vector_topk(queries, rows.where("embedding is not null"), k), lexical_topk(queries, rows, k)]
+    arms = [vector_topk(queries, rows.where("embedding is not null"), k), index.topk(queries, k) if index else lexical_topk(queries, rows, k)]
     return rrf(arms, k).join(rows.drop("embedding"), "id")
 
 

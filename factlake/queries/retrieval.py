@@ -59,6 +59,12 @@ def v3_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.lexical_topk(_asked(spark, sf_dir), _docs(spark, sf_dir), 20)
 
 
+@query(_BM25 + "SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20")
+def v3_lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from written postings, with pruning."""
+    return op.lexical_index(_docs(spark, sf_dir)).topk(_asked(spark, sf_dir), 20)
+
+
 @query(
     _BM25
     + """, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 40),

@@ -149,3 +149,20 @@ def test_pairs_of_a_hot_episode(spark, monkeypatch):
             for b in own[i + 1 :]:
                 want[a, b] = want.get((a, b), 0) + 1.0
     assert got == want
+
+
+def test_index_gives_the_same_ranks(spark, monkeypatch):
+    """Common words that can't lift a document are not read in full, and ranks are those of the whole."""
+    monkeypatch.setattr(retrieval, "FIRSTS", 12)
+    rng = random.Random(10)
+    words = ["gateway", "server", "request"] + [f"term{i}" for i in range(300)]
+    docs = [(i, f"n{i % 2}", " ".join(rng.choices(words, weights=[150, 90, 60] + [1] * 300, k=rng.randint(3, 40)))) for i in range(600)]
+    frame = spark.createDataFrame(docs, "id long, namespace string, text string")
+    asked = [(q, f"n{q % 3}", " ".join([*rng.sample(words[:3], 2), *rng.choices(words[3:], k=q % 4)])) for q in range(30)]
+    queries = spark.createDataFrame(asked, "query_id long, namespace string, text string")
+    index = retrieval.lexical_index(frame)
+    for k in (3, 10):
+        want = sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in retrieval.lexical_topk(queries, frame, k).collect())
+        assert want and sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in index.topk(queries, k).collect()) == want
+    empty = retrieval.lexical_index(frame.limit(0))
+    assert empty.topk(queries, 3).count() == 0
