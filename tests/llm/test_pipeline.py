@@ -1,6 +1,17 @@
+import math
 import random
+import re
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
+from tests.llm.test_mixing import poisson, uniform
+from tests.llm.test_ngram_join import brute
+
+SECRET = re.compile(r"(?:password|passwd|secret|token|api_?key) ?= ?[A-Za-z0-9+/_.=-]{6,}")
 
 WORDS = "the of and shore reads house then water under over near the of and".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -63,3 +74,33 @@ def test_unknown_languages_are_rejected(spark):
     both = docs.unionByName(spark.createDataFrame(strange, SCHEMA))
     kept = {r["doc_id"] for r in cp.language_stage(spark, both, "").collect()}
     assert not kept & {500 + i for i in range(5)} and {*range(60)} <= kept
+
+
+def test_end_to_end_by_brute_force(spark, tmp_path):
+    """What the run packs are the tokens of what plain Python keeps, redacts and draws, gapless in as few sequences as planned."""
+    docs, _ = corpus(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: (r["text"], r["source"]) for r in cp.language_stage(spark, docs, "").collect()}
+    linked = brute([(i, t) for i, (t, _) in rows.items()], cp.WORDS, cp.SHARE)
+    single = {i: rows[i] for i in rows if linked[i][1] == i}
+    clean = {}
+    for i, (text, source) in single.items():
+        clean[i] = (SECRET.sub("[REDACTED]", text), source)
+    n = Counter(source for _, source in clean.values())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(cp.TOKENIZER))
+    want = Counter()
+    for i, (text, source) in clean.items():
+        rate = float(len(clean)) / len(n) / n[source]
+        parts = max(1, math.ceil(rate / 16))
+        copies = sum(poisson(uniform(i, j), rate / parts) for j in range(1, parts + 1))
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        for piece, at in enumerate(range(0, len(ids), cp.SEQUENCE)):
+            want[i, piece, at, tuple(ids[at : at + cp.SEQUENCE])] += copies
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in got) == +want
+    filled = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled.get(r["sequence_id"], 0)
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(filled.values()) <= cp.SEQUENCE and len(filled) <= -(-sum(filled.values()) // cp.SEQUENCE) + 1
