@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Tasks that a subscriber's rows are posted from.
+POSTS = 8
+
 
 def feed(turns: DataFrame, cursors: DataFrame, limit: int) -> DataFrame:
     """The next items after each subscriber's cursor: ``cursors(subscriber, namespace, cursor)``."""
@@ -62,12 +65,18 @@ def deliver(post: Callable[[list], None], path: str, most: int = 5) -> Callable[
     ``post`` gets a list of rows on the executors and raises if it fails. What failed is kept below ``path``
     with the number of its failures in a row and posted again with the next batch; a subscriber with
     ``most`` of them is not posted to any more, and its rows wait there. A batch that is run again
-    overwrites what it left.
+    overwrites what it left; what earlier batches than the last left is removed, and a path without any is a
+    fresh start, whatever the batch's number. The rows of a subscriber are dealt to :data:`POSTS` tasks.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
         schema = T.StructType([*df.schema.fields, T.StructField("failures", T.IntegerType())])
-        waiting = df.sparkSession.read.schema(schema).parquet(f"{path}/epoch-{epoch - 1}") if epoch else df.sparkSession.createDataFrame([], schema)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        left = sorted(int(f.getPath().getName()[6:]) for f in files.listStatus(folder) if f.getPath().getName().startswith("epoch-")) if files.exists(folder) else []
+        before = [n for n in left if n < epoch]
+        waiting = spark.read.schema(schema).parquet(f"{path}/epoch-{before[-1]}") if before else spark.createDataFrame([], schema)
         worst = waiting.groupBy("subscriber").agg(F.max("failures").alias("__worst"))
         rows = df.withColumn("failures", F.lit(0)).unionByName(waiting).join(worst, "subscriber", "left").withColumn("failures", F.coalesce("__worst", F.lit(0))).select(schema.names)
 
@@ -79,8 +88,10 @@ def deliver(post: Callable[[list], None], path: str, most: int = 5) -> Callable[
                     except Exception:  # whatever the caller's post raises counts as a failure
                         yield own.assign(failures=own["failures"] + 1)
 
-        failed = rows.where(F.col("failures") < most).repartition("subscriber").mapInPandas(send, schema)
-        failed.unionByName(rows.where(F.col("failures") >= most)).write.mode("overwrite").parquet(f"{path}/epoch-{epoch}")
+        dealt = rows.where(F.col("failures") < most).withColumn("__task", F.pmod(F.xxhash64(F.to_json(F.struct(*df.columns))), F.lit(POSTS))).repartition("subscriber", "__task").drop("__task")
+        dealt.mapInPandas(send, schema).unionByName(rows.where(F.col("failures") >= most)).write.mode("overwrite").parquet(f"{path}/epoch-{epoch}")
+        for n in before[:-1]:
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch-{n}"), True)
 
     return batch
 

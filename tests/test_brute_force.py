@@ -146,6 +146,11 @@ def test_delivery_is_repeated_until_it_succeeds_or_is_given_up(spark, tmp_path):
     assert {n for s, n in posted if s == "good"} == {n for s, n in posted if s == "late"} == set(range(6)) and not [s for s, _ in posted if s == "bad"]
     left = spark.read.parquet(str(tmp_path / "kept" / "epoch-5")).collect()
     assert sorted((r["subscriber"], r["n"]) for r in left) == [("bad", n) for n in range(6)] and max(r["failures"] for r in left) == 3
+    assert sorted(p.name for p in (tmp_path / "kept").iterdir()) == ["epoch-4", "epoch-5"]
+    fresh = feeds.deliver(post, str(tmp_path / "fresh"), most=3)
+    for epoch in (41, 41, 42):  # a new folder in the middle of a stream, and a batch that is run again
+        fresh(spark.createDataFrame([("bad", epoch)], "subscriber string, n long"), epoch)
+    assert sorted((r["n"], r["failures"]) for r in spark.read.parquet(str(tmp_path / "fresh" / "epoch-42")).collect()) == [(41, 2), (42, 2)]
 
 
 def test_touched_names(spark):
