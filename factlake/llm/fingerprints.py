@@ -54,16 +54,24 @@ def signatures(words: DataFrame, keys: list[str], names: Sequence[str] = ("finge
     """``(*keys, *names)`` of ``words(*keys, side, term)``, with a row for each word as often as it stands in a text.
 
     ``term`` is a 64-bit hash of the word. The texts of a key, one for each of ``names``, are told apart
-    by ``side``, the place of the name; they share their draws. A text without words gets null. All
-    aggregations group by ``keys`` first; where ``words`` is partitioned by some of them, nothing is shuffled.
+    by ``side``, the place of the name; they share their draws, as do the texts whose keys are equal but for the
+    last: a word draws once for all of them. So the last key is to tell apart a bounded number of texts where there
+    are several keys. A text without words gets null. All aggregations group by ``keys`` first; where ``words`` is
+    partitioned by those before the last, nothing is shuffled.
     """
     sides, each = range(len(names)), range(min(TOGETHER, samples))
     # the logarithm of 0 is null: nothing is sampled there
     weights = [F.log(F.count_if(F.col("side") == k).cast("double")).alias(f"__w{k}") for k in sides]
     rows = words.groupBy(*keys, "term").agg(*weights)
+    shared = len(keys) > 1
+    if shared:
+        rows = rows.groupBy(*keys[:-1], "term").agg(F.collect_list(F.struct(keys[-1], *(f"__w{k}" for k in sides))).alias("__texts"))
     rows = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // len(each)) - 1))))
     for j in each:
         rows = rows.withColumns({f"__{k}{j}": v for k, v in _draws(F.col("term"), F.col("__block") * len(each) + j).items()})
+    if shared:
+        drawn = [c for c in rows.columns if c != "__texts"]
+        rows = rows.select(*drawn, F.explode("__texts").alias("__t")).select(*drawn, "__t.*")
     sample = lambda k, j: _sample(*(F.col(f"__{x}{j}") for x in "grcb"), F.col(f"__w{k}"))
     least = rows.groupBy(*keys, "__block").agg(*(F.min(sample(k, j)).alias(f"__m{k}_{j}") for k in sides for j in each))
     low = lambda k, j: F.lpad(F.lower(F.hex(F.col(f"__m{k}_{j}").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))), 8, "0")
