@@ -143,7 +143,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, end_
     ``ids`` holds the piece's identifiers as little-endian unsigned 32-bit integers; each document
     ends with ``end_id``. Only documents longer than ``max_len`` are cut. A null text counts as empty
     and gives one piece that holds ``end_id`` alone. Repeated rows give repeated pieces; other columns
-    are ignored.
+    are ignored; an empty table gives no rows.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
