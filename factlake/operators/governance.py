@@ -156,8 +156,9 @@ def match_enforcement(calls: DataFrame, rules: DataFrame) -> DataFrame:
     Rules are an index by what they begin with up to their first wildcard, :data:`PREFIX` letters at most; a call
     meets those that it begins with, looked up for the lengths that occur. Rules that begin with a wildcard are
     found by three letters in a row that they need, among those of the call; those without, which hardly tell
-    calls apart, are few after equal patterns are one, and are broadcast, :data:`STAR_RULES` at a time. A
-    ``run_command`` is also judged as ``Bash``.
+    calls apart, are few after equal patterns are one, and are broadcast, :data:`STAR_RULES` at a time. Rules up to
+    that number are broadcast, more are merged by a shuffle; calls, which are many more than their file's size tells
+    once they are looked up by their beginnings, never are broadcast. A ``run_command`` is also judged as ``Bash``.
     """
     # of rules with one pattern the best is the one that counts
     level = F.when(F.col("level") == "block", 0).otherwise(1)
@@ -169,15 +170,17 @@ def match_enforcement(calls: DataFrame, rules: DataFrame) -> DataFrame:
     bash = F.col("tool") == "run_command"
     told = told.select("call_id", F.explode(F.array_distinct(F.array("whole", "tool", F.when(bash, F.concat(F.lit("Bash("), "input", F.lit(")"))), F.when(bash, F.lit("Bash"))))).alias("subject")).where("subject is not null")
     fits = F.expr("rlike(subject, regex)")
+    few = best.limit(STAR_RULES + 1).count() <= STAR_RULES
+    sized = lambda df: F.broadcast(df) if few else df.hint("merge")
     lengths = sorted(r["n"] for r in best.select(F.length("begin").alias("n")).where("n > 0").distinct().collect())
     tries = F.array(*(F.when(F.length("subject") >= n, F.substring("subject", 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>")
-    hits = [told.withColumn("begin", F.explode(tries)).join(best.where("begin <> ''").select("begin", "rule", "regex"), "begin").where(fits)]
+    hits = [told.withColumn("begin", F.explode(tries)).join(sized(best.where("begin <> ''").select("begin", "rule", "regex")), "begin").where(fits)]
     starred = best.where("begin = ''")
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("subject") - 2), lambda i: F.substr("subject", i, F.lit(3))))
     asked = starred.where("gram is not null")
     if not asked.isEmpty():
         several = told.where(F.length("subject") >= 3).withColumn("gram", F.explode(grams))
-        hits.append(several.join(asked.select("gram", "rule", "regex"), "gram").where(fits))
+        hits.append(several.join(sized(asked.select("gram", "rule", "regex")), "gram").where(fits))
     loose = starred.where("gram is null")
     blocks = -(-loose.count() // STAR_RULES)
     hits += [told.join(F.broadcast(loose.where(F.pmod(F.xxhash64("regex"), F.lit(blocks)) == k)), fits) for k in range(blocks)]
