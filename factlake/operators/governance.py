@@ -57,14 +57,18 @@ def effective_ancestors(namespaces: DataFrame, registry: DataFrame) -> DataFrame
 
 
 def resolve_bindings(requests: DataFrame, bindings: DataFrame) -> DataFrame:
-    """The binding that decides a request: by repository, then host and repository, then host and path; the latest of a kind."""
+    """The binding that decides a request: by repository, then host and repository, then host and path; the latest of a kind.
+
+    Of the bindings of one key only the latest can decide, so requests meet one row for each of their three keys.
+    """
+    latest = bindings.groupBy("principal_id", "key_type", "key").agg(F.max(F.struct("bound_at", "namespace")).alias("b")).select("principal_id", "key_type", "key", "b.bound_at", "b.namespace")
     keys = F.array(
         F.struct(F.lit("repo").alias("key_type"), F.col("repo").alias("key"), F.lit(1).alias("priority")),
         F.struct(F.lit("host_repo").alias("key_type"), F.concat_ws("|", "host", "repo").alias("key"), F.lit(2).alias("priority")),
         F.struct(F.lit("host_path").alias("key_type"), F.concat_ws("|", "host", "path").alias("key"), F.lit(3).alias("priority")),
     )
     asked = requests.select("request_id", "principal_id", F.explode(keys).alias("k")).select("request_id", "principal_id", "k.*")
-    found = asked.join(bindings, ["principal_id", "key_type", "key"])
+    found = asked.join(latest, ["principal_id", "key_type", "key"])
     order = Window.partitionBy("request_id").orderBy("priority", F.desc("bound_at"), F.desc("namespace"))
     return found.withColumn("__n", F.row_number().over(order)).where("__n = 1").select("request_id", "namespace", "key_type")
 

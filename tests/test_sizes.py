@@ -2,30 +2,31 @@
 
 import fnmatch
 
-from factlake.operators import governance
+from pyspark.sql import functions as F
+
+from factlake.operators import governance, recall
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def joined_rows(df):
-    """Rows that the largest join of ``df`` makes when it runs."""
-    df.collect()
+def joined_rows(spark, make):
+    """Rows that the largest join of the frame that ``make`` gives makes when it runs."""
 
     def walk(node):
-        for name in ("executedPlan", "plan"):
-            if node.getClass().getSimpleName() in ("AdaptiveSparkPlanExec", "ShuffleQueryStageExec", "BroadcastQueryStageExec") and hasattr(node, name):
-                try:
-                    return walk(getattr(node, name)())
-                except Exception:  # noqa: BLE001, S112
-                    continue
         own = node.metrics().get("numOutputRows") if "Join" in node.getClass().getSimpleName() else None
-        rows = [own.get().value()] if own is not None and own.isDefined() else []
         kids = node.children()
-        return rows + [n for k in range(kids.size()) for n in walk(kids.apply(k))]
+        return ([own.get().value()] if own is not None and own.isDefined() else []) + [n for k in range(kids.size()) for n in walk(kids.apply(k))]
 
-    return max(walk(df._jdf.queryExecution().executedPlan()), default=0)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = make()
+        rows = df.collect()
+        return rows, max(walk(df._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def test_enforcement_never_broadcasts_calls(spark, tmp_path):
@@ -36,3 +37,25 @@ def test_enforcement_never_broadcasts_calls(spark, tmp_path):
     assert "BuildLeft" not in plan_of(got)
     want = {i: min(n for n, p, _ in rules if fnmatch.fnmatchcase(f"{t}({s})", p)) for i, t, s in calls if s != "ls"}
     assert {r["call_id"]: r["rule_no"] for r in got.collect()} == want
+
+
+def test_a_request_meets_the_latest_binding_of_a_key(spark):
+    bindings = spark.range(300).selectExpr("1 as principal_id", "'repo' as key_type", "concat('r', id % 2) as key", "concat('ns', id) as namespace", "id as bound_at")
+    requests = spark.range(200).selectExpr("id as request_id", "1 as principal_id", "concat('r', id % 3) as repo", "'h' as host", "'/p' as path")
+    got, most = joined_rows(spark, lambda: governance.resolve_bindings(requests, bindings))
+    assert most <= 200
+    assert {r["request_id"]: r["namespace"] for r in got} == {i: ("ns298", "ns299")[i % 3] for i in range(200) if i % 3 < 2}
+
+
+def test_queries_with_one_window_share_its_facts(spark):
+    day = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id as int))"
+    facts = spark.range(300).selectExpr("id", "'a' as namespace", f"{day} as valid_from", "cast(null as timestamp_ntz) as valid_to", "cast(null as timestamp_ntz) as expired_at")
+    ends = "timestamp_ntz'2024-01-11 00:00:00' as start, timestamp_ntz'2024-09-01 00:00:00' as end".split(", ")
+    windows = spark.range(100).selectExpr("id as query_id", "'a' as namespace", *ends, "cast(null as string) as order")
+    # a query that asks for two windows gets the first facts of both together
+    windows = windows.unionByName(spark.sql("select 7L as query_id, 'a' as namespace, timestamp_ntz'2024-01-06 00:00:00' as start, timestamp_ntz'2024-01-08 00:00:00' as end, cast(null as string) as order"))
+    none = spark.createDataFrame([], "query_id long, id long, rank int")
+    got, most = joined_rows(spark, lambda: recall.temporal_search(none, windows, facts, 4).groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    assert most <= 1000
+    found = {r["query_id"]: r["ids"] for r in got}
+    assert found == {q: [5, 6, 10, 11] if q == 7 else [10, 11, 12, 13] for q in range(100)}
