@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factlake.functions.text import entity_match, entity_phrases, extract_entities, fix_boost, git_weight, is_error_query, query_intent, temporal_intent
 from factlake.operators.retrieval import BROADCAST_QUERIES, rank_in
+from factlake.sources.shared import stored
 
 
 def prefetch_arms(queries: DataFrame, facts: DataFrame, timeline_limit: int = 12, guarantee_limit: int = 20) -> DataFrame:
@@ -92,12 +93,18 @@ def temporal_search(ranked: DataFrame, windows: DataFrame, facts: DataFrame, k:
     """The hybrid arm, then facts of the query's window, then the first or last ``ends`` facts; each fact once, by its first arm.
 
     ``ranked(query_id, id, rank)``; ``windows(query_id, namespace, start, end, order)`` with ``order`` asc,
-    desc or null and a half-open window or nulls. Returns ``(query_id, id, arm, position)``.
+    desc or null and a half-open window or nulls. Returns ``(query_id, id, arm, position)``. Facts of a window are
+    found once for all queries of a namespace that ask for it, and each such list goes to its queries.
     """
     dated = facts.where("expired_at is null and valid_from is not null").select("namespace", "id", "valid_from", "valid_to")
     hybrid = ranked.select("query_id", "id", F.lit(0).alias("arm"), "rank")
-    inside = windows.where("start is not null and end is not null").join(dated, "namespace").where("valid_from >= start and valid_from < end")
-    inside = rank_in(inside, ["query_id"], [F.col("valid_from"), F.col("id")], k).select("query_id", "id", F.lit(1).alias("arm"), "rank")
+    bounded = windows.where("start is not null and end is not null").select("query_id", "namespace", "start", "end")
+    spans = stored(bounded.select("namespace", "start", "end").distinct())
+    few = spans.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    sized = lambda df: F.broadcast(df) if few else df
+    lists = dated.join(sized(spans), "namespace").where("valid_from >= start and valid_from < end")
+    lists = rank_in(lists, ["namespace", "start", "end"], [F.col("valid_from"), F.col("id")], k).select("namespace", "start", "end", "id", "valid_from")
+    inside = rank_in(bounded.join(sized(lists), ["namespace", "start", "end"]), ["query_id"], [F.col("valid_from"), F.col("id")], k).select("query_id", "id", F.lit(1).alias("arm"), "rank")
     # the ends of a namespace are few and found once, whoever asks
     per_ns = lambda order, name: rank_in(dated, ["namespace"], order, ends).select("namespace", "id", F.lit(name).alias("order"), "rank")
     edges = per_ns([F.col("valid_from"), F.col("id")], "asc").unionByName(per_ns([F.desc("valid_from"), F.desc("id")], "desc"))
