@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.text import ancestors
+from factlake.sources.shared import spread
 
 #: Enforcement patterns without three letters in a row that are broadcast together, and letters of a pattern's beginning that are looked up.
 STAR_RULES, PREFIX = 10_000, 64
+#: Namespaces with what covers or reaches them that are broadcast to grants and rules, which are more.
+BROADCAST_NAMES = 200_000
 
 
 def covering_grants(namespace: Column) -> Column:
@@ -39,10 +42,21 @@ def effective_grants(grants: DataFrame, members: DataFrame, role_grants: DataFra
 
 
 def readable_namespaces(effective: DataFrame, registry: DataFrame) -> DataFrame:
-    """Patterns expanded against the registry: ``(principal_id, namespace, can_write)``."""
+    """Patterns expanded against the registry: ``(principal_id, namespace, can_write)``.
+
+    A wide pattern gives its principal very many rows, so principals are dealt to tasks by how many rows they make.
+    """
     names = registry.select("namespace").distinct().withColumn("__g", F.explode(covering_grants(F.col("namespace"))))
     may = effective.where("can_read").select("principal_id", F.col("namespace").alias("__g"), "can_write")
-    return names.join(may, "__g").groupBy("principal_id", "namespace").agg(F.bool_or("can_write").alias("can_write"))
+    if names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        may, names = spread(may, made_rows(may, names, "__g"), "principal_id"), F.broadcast(names)
+    return may.join(names, "__g").groupBy("principal_id", "namespace").agg(F.bool_or("can_write").alias("can_write"))
+
+
+def made_rows(left: DataFrame, right: DataFrame, key: str) -> int:
+    """How many rows the join of both by ``key`` has."""
+    count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    return count(left, "n").join(count(right, "m"), key).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
 
 
 def admins(effective: DataFrame) -> DataFrame:

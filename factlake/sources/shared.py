@@ -12,6 +12,8 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task makes, about, where a join makes many more than it reads.
+TASK_ROWS = 500_000
 #: Folders of local sessions without ``spark.checkpoint.dir``, by application.
 _OWN: dict[str, str] = {}
 
@@ -47,6 +49,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Deal ``df`` by ``keys`` so that each task makes about :data:`TASK_ROWS` of the ``rows`` that follow from it.
+
+    For joins that make many more rows than they read: Spark sizes tasks by what they read. A number of
+    partitions that is given stays as it is, also under adaptive execution.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def _run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/stored-{spark.sparkContext.applicationId}"
 

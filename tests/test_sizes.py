@@ -1,10 +1,12 @@
 """What joins broadcast, and how many rows they make."""
 
 import fnmatch
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from factlake.operators import governance, recall
+from factlake.operators import constraints, governance, recall
+from factlake.sources import shared
 
 
 def plan_of(df):
@@ -59,3 +61,26 @@ def test_queries_with_one_window_share_its_facts(spark):
     assert most <= 1000
     found = {r["query_id"]: r["ids"] for r in got}
     assert found == {q: [5, 6, 10, 11] if q == 7 else [10, 11, 12, 13] for q in range(100)}
+
+
+def test_readable_namespaces_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    grants = spark.range(40).selectExpr("id as principal_id", "explode(array('*', 'a:*', 'a:1')) as namespace", "id % 4 <> 3 as can_read", "id % 2 = 0 as can_write")
+    names = spark.range(20).selectExpr("concat('a:', id) as namespace")
+    got = governance.readable_namespaces(grants, names)
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    assert max(Counter(r["task"] for r in rows).values()) <= 150
+    assert {tuple(r)[:3] for r in rows} == {(i, f"a:{k}", i % 2 == 0) for i in range(40) if i % 4 < 3 for k in range(20)}
+    assert len(rows) == 600
+
+
+def test_fanout_is_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    names = spark.range(20).selectExpr("concat('a:', id) as namespace")
+    rules = spark.range(40).selectExpr("id as rule_id", "explode(array('a', 'a:1', 'b')) as namespace", "'ask' as level")
+    links = spark.sql("select 'a:2' as src_ns, 'b' as dst_ns union all select 'a:2', 'a'")
+    rows = constraints.enforcement_fanout(names, rules, links).withColumn("task", F.spark_partition_id()).collect()
+    assert max(Counter(r["task"] for r in rows).values()) <= 150
+    want = {(f"a:{k}", i): ("a:1", "own") if k == 1 else ("a", "ancestor") for i in range(40) for k in range(20)}
+    assert len(rows) == 800
+    assert {(r["namespace"], r["rule_id"]): (r["rule_ns"], r["way"]) for r in rows} == want
