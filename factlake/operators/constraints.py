@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factlake.functions.text import ancestors, constraint_subject
-from factlake.operators.governance import resolve_precedence
+from factlake.operators.governance import BROADCAST_NAMES, made_rows, resolve_precedence
 from factlake.operators.retrieval import rank_in
+from factlake.sources.shared import spread
 
 PIN = ["kind", "id", "namespace", "content", "ts", "author", "constraint_subject", "retired_at", "sourced"]
 
@@ -81,7 +82,8 @@ def enforcement_fanout(namespaces: DataFrame, rules: DataFrame, links: DataFrame
     """The rules that govern each namespace: its own, its ancestors' (the nearest first), then those of linked ones.
 
     ``rules(rule_id, namespace, level)``, ``links(src_ns, dst_ns)``. A rule that comes several ways counts
-    once, by the first. ``inherits`` is a condition on ``namespace``; without it all inherit.
+    once, by the first. ``inherits`` is a condition on ``namespace``; without it all inherit. A rule of a wide
+    namespace reaches very many, so rules are dealt to tasks by how many rows they make.
     """
     own = namespaces.select(F.col("namespace").alias("ns")).distinct()
     up = own if inherits is None else namespaces.where(inherits).select(F.col("namespace").alias("ns")).distinct()
@@ -89,5 +91,10 @@ def enforcement_fanout(namespaces: DataFrame, rules: DataFrame, links: DataFrame
     sources = sources.unionByName(up.select("ns", F.posexplode(ancestors(F.col("ns"))).alias("step", "namespace")).select("ns", "namespace", F.lit("ancestor").alias("way"), (F.col("step") + 1).alias("step")))
     linked = links.select(F.col("src_ns").alias("ns"), F.col("dst_ns").alias("namespace")).distinct().join(own, "ns")
     sources = sources.unionByName(linked.select("ns", "namespace", F.lit("link").alias("way"), F.lit(1_000).alias("step")))
-    hits = sources.join(rules.withColumnRenamed("namespace", "rule_ns"), F.col("namespace") == F.col("rule_ns"))
+    # of several ways from one namespace to another only the first counts
+    sources = sources.groupBy("ns", F.col("namespace").alias("rule_ns")).agg(F.min(F.struct("step", "way")).alias("f")).select("ns", "rule_ns", "f.step", "f.way")
+    held = rules.select("rule_id", "level", F.col("namespace").alias("rule_ns"))
+    if sources.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES:
+        held, sources = spread(held, made_rows(held, sources, "rule_ns"), "rule_id"), F.broadcast(sources)
+    hits = held.join(sources, "rule_ns")
     return rank_in(hits, ["ns", "rule_id"], [F.col("step"), F.col("rule_ns")], 1, "__n").select(F.col("ns").alias("namespace"), "rule_id", "level", "rule_ns", "way")
