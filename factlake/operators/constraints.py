@@ -57,12 +57,15 @@ def pinned_constraints(asked: DataFrame, rows: DataFrame, overrides: DataFrame,
     """The constraints that each query is shown, and those that precedence suppressed.
 
     ``asked(query_id, namespace)`` lists the namespaces a query reads. Of equal contents the oldest stays;
-    an ancestor beats its descendants on one subject (see :func:`resolve_precedence`) before ``cap`` cuts.
+    an ancestor beats its descendants on one subject (see :func:`resolve_precedence`) before ``cap`` cuts. Equal
+    contents of a namespace become one before they go to the queries that read it.
     Returns ``(query_id, kind, id, namespace, content, position)`` and ``(query_id, kind, id, namespace, beaten_by)``.
     """
     live = rows.where("retired_at is null and not sourced")
-    found = asked.select("query_id", "namespace").distinct().join(live, "namespace")
-    single = rank_in(found, ["query_id", "content"], [F.col("ts"), F.col("kind"), F.col("id")], 1, "__n").drop("__n")
+    oldest = [F.col("ts"), F.col("kind"), F.col("id")]
+    read = rank_in(live, ["namespace", "content"], oldest, 1, "__n").drop("__n")
+    found = asked.select("query_id", "namespace").distinct().join(read, "namespace")
+    single = rank_in(found, ["query_id", "content"], oldest, 1, "__n").drop("__n")
     # precedence within each query: its number is part of the subject
     keyed = single.withColumn("subject", F.when(F.coalesce("constraint_subject", F.lit("")) != "", F.concat_ws("|", "query_id", "constraint_subject")))
     judged = resolve_precedence(keyed, overrides)

@@ -84,3 +84,12 @@ def test_fanout_is_made_in_many_tasks(spark, monkeypatch):
     want = {(f"a:{k}", i): ("a:1", "own") if k == 1 else ("a", "ancestor") for i in range(40) for k in range(20)}
     assert len(rows) == 800
     assert {(r["namespace"], r["rule_id"]): (r["rule_ns"], r["way"]) for r in rows} == want
+
+
+def test_equal_contents_are_one_before_queries_read_them(spark):
+    pins = spark.range(400).selectExpr("'turn' as kind", "id", "'a' as namespace", "concat('must ', id % 3) as content", "400 - id as ts", "cast(null as string) as constraint_subject", "cast(null as int) as retired_at", "false as sourced")
+    asked = spark.range(50).selectExpr("id as query_id", "'a' as namespace")
+    none = spark.sql("select 'a' as child_namespace, 'b' as parent_namespace where false")
+    got, most = joined_rows(spark, lambda: constraints.pinned_constraints(asked, pins, none)[0])
+    assert most <= 400
+    assert sorted((r["query_id"], r["position"], r["id"]) for r in got) == [(q, p, i) for q in range(50) for p, i in ((1, 399), (2, 398), (3, 397))]
