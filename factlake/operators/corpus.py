@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.text import content_words, polarity
+from factlake.sources.shared import spread
 
+#: Words of constraints that are broadcast to hunks.
+BROADCAST_WORDS = 200_000
 #: Words that make a sentence a constraint.
 NORMATIVE = r"(?<![\p{L}\p{N}_])(SHALL|MUST|SHOULD|REQUIRED|PROHIBITED|FORBIDDEN|MAY NOT)(?![\p{L}\p{N}_])"
 
@@ -49,13 +52,19 @@ def check_diffs(hunks: DataFrame, constraints: DataFrame, overlap: int = 2) -> D
 
     A hunk that adds ``overlap`` content words of a prohibition, or removes those of a requirement,
     violates it; the other way round satisfies it; a smaller overlap leaves it uncovered. A violation in
-    any hunk decides. Constraints and hunks meet by their words, not in all pairs.
+    any hunk decides. Constraints and hunks meet by their words, not in all pairs. Common words join very many, so
+    diffs are dealt to tasks by how many pairs there can be, and each is judged in its task if the constraints' words
+    can be broadcast.
     """
-    terms = lambda df, keys, col: df.select(*keys, F.explode(content_words(F.col(col))).alias("word"))
-    rules = terms(constraints, ["constraint_id"], "statement")
-    sides = terms(hunks, ["diff_id", "hunk"], "added").withColumn("side", F.lit("added")).unionByName(terms(hunks, ["diff_id", "hunk"], "removed").withColumn("side", F.lit("removed")))
+    terms = lambda c, side: F.transform(F.coalesce(content_words(F.col(c)), F.array().cast("array<string>")), lambda w: F.struct(w.alias("word"), F.lit(side).alias("side")))
+    rules = constraints.select("constraint_id", F.explode(content_words(F.col("statement"))).alias("word"))
+    kinds = constraints.select("constraint_id", polarity(F.col("statement")).alias("polarity"))
+    if rules.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        hunks = spread(hunks, hunks.count() * constraints.count(), "diff_id")
+        rules, kinds = F.broadcast(rules), F.broadcast(kinds)
+    sides = hunks.select("diff_id", "hunk", F.explode(F.concat(terms("added", "added"), terms("removed", "removed"))).alias("x")).select("diff_id", "hunk", "x.*")
     shared = sides.join(rules, "word").groupBy("diff_id", "hunk", "constraint_id").agg(F.count_if(F.col("side") == "added").alias("a"), F.count_if(F.col("side") == "removed").alias("r"))
-    votes = shared.join(constraints.select("constraint_id", polarity(F.col("statement")).alias("polarity")), "constraint_id")
+    votes = shared.join(kinds, "constraint_id")
     enough = F.greatest("a", "r") >= overlap
     adds = F.col("a") >= F.col("r")
     vote = F.when(~enough, 0).when(adds == (F.col("polarity") == "prohibition"), 2).otherwise(1)
