@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.text import canonical_entity, extract_entities, valid_entity_name
-from factlake.sources.shared import stored
+from factlake.sources.shared import spread, stored
 
 #: Entities of an episode that meet in one task, about.
 BLOCK = 200
@@ -27,14 +27,16 @@ def comention_edges(mentions: DataFrame) -> DataFrame:
     """Entities that share an episode, once for each: ``mentions(episode, entity)``.
 
     An episode's entities are dealt to blocks of about :data:`BLOCK`, and each two blocks meet by themselves, so that
-    an episode with very many is compared in many tasks.
+    an episode with very many is compared in many tasks. Tasks are dealt by how many pairs there are.
     """
     own = mentions.where("episode is not null and entity is not null").distinct()
+    met = mentions.groupBy("episode").agg(F.count("entity").alias("n")).where("episode is not null").agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
     sizes = own.groupBy("episode").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = own.join(sizes, "episode").withColumn("block", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = dealt.select("episode", F.col("entity").alias("src"), F.col("block").alias("i"), others.alias("j"))
     right = dealt.select("episode", F.col("entity").alias("dst"), others.alias("i"), F.col("block").alias("j"))
+    left, right = (spread(df, met, "episode", "i", "j") for df in (left, right))
     pairs = left.join(right, ["episode", "i", "j"]).where("src < dst")
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
