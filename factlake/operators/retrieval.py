@@ -27,6 +27,8 @@ RRF, K1, B = 60, 1.5, 0.75
 BROADCAST_QUERIES = 2_000
 #: Postings of a term that bound a query's scores from below.
 FIRSTS = 128
+#: Facts that share a word of a namespace and go to one task, about; more of them are split.
+HOT_ROWS = 200_000
 #: Parts of a namespace that many queries are sent to.
 SPLITS = 64
 
@@ -356,7 +358,8 @@ def timeline(queries: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
     """The latest facts about a query's entities: ``queries(query_id, namespace, entities)``; subject equal or named in the statement.
 
     Names of several words meet the places where their first word stands, and are then compared whole. Each name
-    has one list of its latest facts, ``limit`` long, which all queries that name it share.
+    has one list of its latest facts, ``limit`` long, which all queries that name it share. Words in more than
+    :data:`HOT_ROWS` facts, which are few, go to several tasks if a name begins with them, else to none.
     """
     parts = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     asked = queries.select("query_id", "namespace", F.explode("entities").alias("entity")).select("query_id", "namespace", parts("entity").alias("parts"))
@@ -366,7 +369,16 @@ def timeline(queries: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
     sized = lambda df: F.broadcast(df) if few else df
     said = facts.select("namespace", "id", "observed_at", parts("statement").alias("said"), F.array_join(parts("subject"), " ").alias("subject"))
     places = said.select("namespace", "id", "observed_at", "said", F.posexplode(F.when(F.size("said") > 0, F.col("said"))).alias("pos", "word"))
-    named = places.join(sized(wanted), ["namespace", "word"]).where((F.col("n") == 1) | (F.array_join(F.slice("said", F.col("pos") + 1, F.col("n")), " ") == F.col("name")))
+    begun = sized(wanted)
+    if not few:
+        counts = places.groupBy("namespace", "word").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT_ROWS)
+        known = wanted.select("namespace", "word").distinct().withColumn("known", F.lit(True))
+        hot = counts.join(known, ["namespace", "word"], "left").select("namespace", "word", F.when(F.col("known"), F.ceil(F.col("rows") / HOT_ROWS).cast("int")).otherwise(0).alias("splits"))
+        hot = F.broadcast(stored(hot))
+        splits = F.coalesce("splits", F.lit(1))
+        places = places.join(hot, ["namespace", "word"], "left").where(splits > 0).withColumn("part", F.pmod(F.xxhash64("id"), splits).cast("int")).drop("splits")
+        begun = wanted.join(hot, ["namespace", "word"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), splits - 1))).drop("splits")
+    named = places.join(begun, ["namespace", "word"] if few else ["namespace", "word", "part"]).where((F.col("n") == 1) | (F.array_join(F.slice("said", F.col("pos") + 1, F.col("n")), " ") == F.col("name")))
     subject = said.join(sized(wanted.select("namespace", F.col("name").alias("subject"))), ["namespace", "subject"]).withColumnRenamed("subject", "name")
     hits = named.select("namespace", "name", "id", "observed_at").unionByName(subject.select("namespace", "name", "id", "observed_at")).distinct()
     lists = rank_in(hits, ["namespace", "name"], [F.desc("observed_at"), F.desc("id")], limit).drop("rank")
