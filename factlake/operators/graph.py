@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.text import canonical_entity, extract_entities, valid_entity_name
+from factlake.operators.governance import made_rows
 from factlake.sources.shared import spread, stored
 
 #: Entities of an episode that meet in one task, about.
 BLOCK = 200
+#: Pairs of seed and mentioned node that are broadcast to facts.
+BROADCAST_NEAR = 200_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -147,9 +150,20 @@ def mentions_of(facts: DataFrame) -> DataFrame:
 
 
 def expand_facts(reached: DataFrame, mentions: DataFrame, facts: DataFrame) -> DataFrame:
-    """The live facts that mention what :func:`expand` reached: ``(seed, id, hop)``, each by its nearest hop."""
+    """The live facts that mention what :func:`expand` reached: ``(seed, id, hop)``, each by its nearest hop.
+
+    A fact comes once for each seed near it. Where the nodes that both are reached and mentioned can be broadcast,
+    facts are dealt by their id alone, before they are multiplied, and their nearest hops are found in place.
+    """
     live = facts.where("valid_to is null and expired_at is null").select("id")
-    hits = reached.join(mentions.select(F.col("key").alias("node"), "id"), "node").join(live, "id")
+    named = mentions.select(F.col("key").alias("node"), "id")
+    near = stored(reached.select("seed", "node", "hop").join(named.select("node").distinct(), "node", "left_semi"))
+    if near.limit(BROADCAST_NEAR + 1).count() <= BROADCAST_NEAR:
+        rows = made_rows(named, near, "node")
+        named, live, near = spread(named, rows, "id"), spread(live, rows, "id"), F.broadcast(near)
+        hits = named.join(live, "id").join(near, "node")
+    else:
+        hits = near.join(named, "node").join(live, "id")
     return hits.groupBy("seed", "id").agg(F.min("hop").alias("hop"))
 
 

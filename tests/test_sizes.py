@@ -5,7 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from factlake.operators import constraints, governance, recall
+from factlake.operators import constraints, corpus, governance, graph, recall, retrieval
 from factlake.sources import shared
 
 
@@ -93,3 +93,48 @@ def test_equal_contents_are_one_before_queries_read_them(spark):
     got, most = joined_rows(spark, lambda: constraints.pinned_constraints(asked, pins, none)[0])
     assert most <= 400
     assert sorted((r["query_id"], r["position"], r["id"]) for r in got) == [(q, p, i) for q in range(50) for p, i in ((1, 399), (2, 398), (3, 397))]
+
+
+def test_comentions_are_paired_in_many_tasks(spark, monkeypatch):
+    rows = spark.range(60).selectExpr("id % 3 as episode", "id as entity")
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    assert plan_of(graph.comention_edges(rows)).count(", 24), REPARTITION_BY_NUM") == 2
+    got = {tuple(r) for r in graph.comention_edges(rows).collect()}
+    assert got == {(a, b, 1.0) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3}
+
+
+def test_diffs_are_judged_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    hunks = spark.range(100).selectExpr("id as diff_id", "1 as hunk", "'alpha beta gamma' as added", "case when id % 2 = 0 then 'alpha' end as removed")
+    rules = spark.range(10).selectExpr("id as constraint_id", "'It MUST NOT alpha beta' as statement")
+    rows = corpus.check_diffs(hunks, rules).withColumn("task", F.spark_partition_id()).collect()
+    assert max(Counter(r["task"] for r in rows).values()) <= 200
+    assert {(r["diff_id"], r["constraint_id"], r["verdict"], r["added_words"], r["removed_words"]) for r in rows} == {(d, c, "violated", 2, int(d % 2 == 0)) for d in range(100) for c in range(10)}
+
+
+def test_hot_words_of_a_timeline_are_split_or_left_out(spark, monkeypatch):
+    facts = spark.range(200).selectExpr("id", "'a' as namespace", "concat('s', id % 5) as subject", "concat('team red', id % 4, ' is up') as statement", "id as observed_at")
+    queries = spark.sql("select concat('q', id) as query_id, 'a' as namespace, array(concat('Team Red', id % 4), concat('s', id)) as entities from range(8)")
+    asked = lambda: sorted((r["query_id"], r["id"], r["rank"]) for r in retrieval.timeline(queries, facts, 6).collect())
+    plain = asked()
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 2)
+    monkeypatch.setattr(retrieval, "HOT_ROWS", 30)
+    assert asked() == plain
+    want = {(f"q{q}", i, n + 1) for q in range(8) for n, i in enumerate(sorted((i for i in range(200) if i % 4 == q % 4 or i % 5 == q), reverse=True)[:6])}
+    assert {*plain} == want
+
+
+def test_facts_near_seeds_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    reached = spark.sql("select concat('s', a.id) as seed, concat('n', b.id) as node, cast(pmod(a.id + b.id, 3) as int) as hop from range(6) a, range(10) b")
+    facts = spark.range(100).selectExpr("id", "cast(null as timestamp) as valid_to", "case when id % 9 = 0 then timestamp'2024-01-01 00:00:00' end as expired_at")
+    mentions = spark.range(100).selectExpr("id", "explode(array(concat('n', id % 4), concat('n', id % 20))) as key")
+    make = lambda: graph.expand_facts(reached, mentions, facts)
+    assert "hashpartitioning(seed" not in plan_of(make())
+    want = {}
+    for i in (i for i in range(100) if i % 9):
+        for s in range(6):
+            want[f"s{s}", i] = min((s + k) % 3 for k in (i % 4, i % 20) if k < 10)
+    assert {(r["seed"], r["id"]): r["hop"] for r in make().collect()} == want
+    monkeypatch.setattr(graph, "BROADCAST_NEAR", 3)
+    assert {(r["seed"], r["id"]): r["hop"] for r in make().collect()} == want
