@@ -69,8 +69,8 @@ def neighbours(seeds: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
 def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """Nodes within so many hops of each seed, with the hop at which they are first reached.
 
-    Each hop joins only the frontier and drops what was reached before. Frontiers are written, so a hop reads
-    tables and the plan grows by one scan each.
+    Each hop joins only the frontier and drops what was reached before. Frontiers that a hop goes on from are
+    written, so a hop reads tables and the plan grows by one scan each; the last and largest is not.
     """
     step = both_ways(edges).select("node", "other").distinct()
     step = stored(step) if hops > 1 else step
@@ -78,7 +78,8 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     frontier = reached
     for hop in range(1, hops + 1):
         found = frontier.select("seed", "node").join(step, "node").select("seed", F.col("other").alias("node")).distinct()
-        frontier = stored(found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = stored(frontier) if hop < hops else frontier
         reached = reached.unionByName(frontier)
     return reached
 

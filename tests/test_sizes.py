@@ -138,3 +138,12 @@ def test_facts_near_seeds_are_dealt_once(spark, monkeypatch):
     assert {(r["seed"], r["id"]): r["hop"] for r in make().collect()} == want
     monkeypatch.setattr(graph, "BROADCAST_NEAR", 3)
     assert {(r["seed"], r["id"]): r["hop"] for r in make().collect()} == want
+
+
+def test_the_last_frontier_is_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda df: written.append(1) or shared.stored(df))
+    edges = spark.range(30).selectExpr("concat('a', id) as src", "concat('a', id + 1) as dst", "1.0d as weight")
+    got = graph.expand(spark.sql("select 'a5' as node"), edges, 3)
+    assert len(written) == 4
+    assert {(r["node"], r["hop"]) for r in got.collect()} == {(f"a{5 + d}", abs(d)) for d in range(-3, 4)}
