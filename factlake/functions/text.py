@@ -27,6 +27,9 @@ LEX_STOP = (
     "a an and are as at be by can for from has have how i if in is it its me my of on or our so that the their then there these this to up use used uses using "
     "want was we what when where which while who will with you your do does not any all also into out over such than them they"
 ).split()
+_STOP = frozenset(LEX_STOP)
+#: Endings that search tokens lose.
+LEX_SUFFIXES = ("s", "ed", "es", "ing")
 DIFF_STOP = (
     "shall", "must", "should", "required", "prohibited", "forbidden", "this", "that", "these", "those", "with", "from", "into", "have", "has", "had", "will",
     "would", "could", "when", "then", "than", "were", "been", "being", "there", "their", "which", "what", "where", "while", "about", "after", "before", "between",
@@ -406,12 +409,18 @@ def lex_tokens(text: Column) -> Column:
 
 def lex_stem(word: Column) -> Column:
     stem = word
-    for suffix in ("s", "ed", "es", "ing"):  # the last one that fits decides
+    for suffix in LEX_SUFFIXES:  # the last one that fits decides
         fits = word.endswith(suffix) & (F.length(word) - len(suffix) >= 3)
         stem = F.when(fits, F.substr(word, F.lit(1), F.length(word) - len(suffix))).otherwise(stem)
     return stem
 
 
+def lex_term(word: str) -> str | None:
+    """In Python the stem of a word of :func:`lex_words`; None where :func:`is_lex_word` leaves it out."""
+    fits = [suffix for suffix in LEX_SUFFIXES if word.endswith(suffix) and len(word) - len(suffix) >= 3]
+    return None if len(word) < 2 or word in _STOP else word[: -len(fits[-1])] if fits else word
+
+
 def repo_key(url: Column) -> Column:
     """A remote's address without scheme, user, suffix and case."""
     u = F.trim(url)

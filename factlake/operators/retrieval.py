@@ -7,24 +7,33 @@ shuffles, and wide columns are joined to the few survivors.
 from __future__ import annotations
 
 import functools
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factlake.functions.text import is_lex_word, lex_stem, lex_tokens, lex_words
+from factlake.functions.text import lex_term, lex_tokens
 from factlake.operators.components import connected_components
 from factlake.operators.nearness import near_pairs
-from factlake.sources.shared import stored
+from factlake.sources.shared import spread, stored
 
 #: Rank constant of reciprocal-rank fusion, and BM25's two.
 RRF, K1, B = 60, 1.5, 0.75
 #: Queries up to this many are broadcast to the memories; more are joined by namespace through a shuffle.
 BROADCAST_QUERIES = 2_000
+#: Words of a lower-cased text (see ``lex_words``), for tasks.
+LEX_WORD = re.compile("[a-z0-9]+")
+#: Postings that a task holds, about, and terms of queries that all tasks are told.
+SEGMENT, WANTED = 1_000_000, 100_000
+#: Candidates and weak terms that are broadcast to postings.
+BROADCAST_PAIRS = 200_000
 #: Postings of a term that bound a query's scores from below.
 FIRSTS = 128
 #: Facts that share a word of a namespace and go to one task, about; more of them are split.
@@ -205,45 +214,142 @@ def vector_topk_codes(queries: DataFrame, codes: DataFrame, vectors: DataFrame,
     return _ranked(exact, k)
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``(namespace, id, term, tf)``."""
-    return _terms(docs).groupBy("namespace", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(docs: DataFrame, wanted: dict[str, set[str]] | None = None) -> DataFrame:
+    """Postings in lists ``(namespace, term, ids, tfs, lens, said)``; ``said`` is how often the term stands in all of them.
+
+    A text is read once: its terms, how often each stands there and its length come out together, so that nothing is
+    shuffled for them. A task gathers about :data:`SEGMENT` postings before it gives out a list for each term, and a row without term
+    whose ``said`` is the length of all texts. With ``wanted`` only those terms of a namespace get lists. Rows are one for each id (see :func:`_once`).
+    """
+    kind = dict(docs.dtypes)["id"]
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[tuple[str, str | None], int] = {}
+        known: dict[str, dict[str, int | None]] = {}
+        ids, at, code, tf, lengths = [], [], [], [], []
+
+        def code_of(ns: str, word: str) -> int | None:
+            """None for what is no word, the code of the row without term for what nobody wants."""
+            term = lex_term(word)
+            if term is None:
+                return None
+            return codes.setdefault((ns, term if wanted is None or term in wanted.get(ns, ()) else None), len(codes))
+
+        def segment() -> pa.RecordBatch:
+            order = np.argsort(np.array(code, np.int64), kind="stable")
+            own, docs_of, tfs = (np.array(v, np.int64)[order] for v in (code, at, tf))
+            ends = np.concatenate([[0], np.bincount(own, minlength=len(codes)).cumsum()])
+            total = np.bincount(own, weights=tfs, minlength=len(codes)).astype(np.int64)
+            unnamed = [n for (_, term), n in codes.items() if term is None]
+            total[unnamed] = [said[ns] for ns, term in codes if term is None]
+            names = pa.concat_arrays([i.cast(ids[0].type) for i in ids])
+            parts = (names.take(pa.array(docs_of)), pa.array(tfs.astype(np.int32)), pa.array(np.array(lengths, np.int32)[docs_of]))
+            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), v) for v in parts]
+            return pa.RecordBatch.from_arrays([pa.array([ns for ns, _ in codes], pa.string()), pa.array([t for _, t in codes], pa.string()), *lists, pa.array(total)], ["namespace", "term", "ids", "tfs", "lens", "said"])
+
+        said: dict[str, int] = {}
+        for batch in batches:
+            start, begun = len(lengths), 0  # the number of the batch's first text, and where the segment begins in the batch
+            ids.append(batch.column("id"))
+            for n, (ns, text) in enumerate(zip(batch.column("namespace").to_pylist(), batch.column("text").to_pylist())):
+                words = known.setdefault(ns, {})
+                nobody = codes.setdefault((ns, None), len(codes))
+                own: dict[int, int] = {}
+                length = 0
+                for word, times in Counter(LEX_WORD.findall(text)).items():
+                    c = words.get(word, -1)
+                    if c == -1:
+                        c = words[word] = code_of(ns, word)
+                    if c is not None:
+                        length += times
+                        if c != nobody:
+                            own[c] = own.get(c, 0) + times
+                lengths.append(length)
+                said[ns] = said.get(ns, 0) + length
+                at += [start + n] * len(own)
+                code += own
+                tf += own.values()
+                if len(code) >= SEGMENT:
+                    ids[-1] = batch.column("id").slice(begun, n + 1 - begun)
+                    yield segment()
+                    for held in (codes, known, said, at, code, tf, lengths):
+                        held.clear()
+                    begun = n + 1
+                    ids, start = [batch.column("id").slice(begun)], -begun
+        if codes:
+            yield segment()
+
+    texts = docs.where("namespace is not null").select("namespace", "id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return texts.mapInArrow(gathered, f"namespace string, term string, ids array<{kind}>, tfs array<int>, lens array<int>, said long")
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs(namespace, id, text)`` with one row for each id of a namespace: texts of equal ids are one text."""
+    twice = docs.groupBy("namespace", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return docs.groupBy("namespace", "id").agg(F.array_join(F.collect_list("text"), " ").alias("text")) if twice else docs.select("namespace", "id", "text")
+
+
+def _weighed(lists: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(namespace, term, df, idf, avg)`` of written lists."""
+    corpus = docs.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
+    mean = lists.where("term is null").groupBy("namespace").agg(F.sum("said").alias("__sum")).join(corpus, "namespace").select("namespace", "n", (F.col("__sum") / F.col("n")).alias("avg"))
+    df = lists.where("term is not null").groupBy("namespace", "term").agg(F.sum(F.size("ids")).alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return df.join(F.broadcast(mean), "namespace").select("namespace", "term", "df", idf.alias("idf"), "avg")
 
 
-def _terms(docs: DataFrame) -> DataFrame:
-    words = docs.select("namespace", "id", F.explode(lex_words(F.col("text"))).alias("word")).where(is_lex_word(F.col("word")))
-    return words.select("namespace", "id", lex_stem(F.col("word")).alias("term"))
+def _impacts(lists: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """``(namespace, term, id, impact)`` of the terms asked for, which come with their weights; an impact is the term's share of a document's score."""
+    terms = asked.select("namespace", "term", "idf", "avg").distinct()
+    rows = lists.join(F.broadcast(terms) if few else terms, ["namespace", "term"])
+    rows = rows.select("namespace", "term", "idf", "avg", F.inline(F.arrays_zip("ids", "tfs", "lens"))).where("ids is not null")
+    weight = F.col("idf") * F.col("tfs") * (K1 + 1) / (F.col("tfs") + K1 * (1 - B + B * F.col("lens") / F.col("avg")))
+    return rows.select("namespace", "term", F.col("ids").alias("id"), weight.alias("impact"))
+
+
+def _scores(impacts: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """``(query_id, namespace, id, score)``: sums of impacts over the terms ``asked(query_id, namespace, term, df)``.
+
+    A document's postings are brought to one task before queries multiply them, so that sums are not shuffled again.
+    """
+    made = asked.agg(F.sum("df")).first()[0] or 0
+    terms = asked.select("query_id", "namespace", "term")
+    hits = spread(impacts, made, "namespace", "id").join(F.broadcast(terms) if few else terms, ["namespace", "term"])
+    return hits.groupBy("query_id", "namespace", "id").agg(F.sum("impact").alias("score"))
+
+
+def _asked_terms(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """``(query_id, namespace, term)``, and whether queries are few."""
+    asked = queries.select("query_id", "namespace", F.explode(F.array_distinct(lex_tokens(F.col("text")))).alias("term"))
+    return asked, queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
 
 
 def lexical_topk(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """BM25 within a query's namespace, any of its terms: ``(query_id, id, score, rank)``; ties by id."""
-    lengths = docs.select("namespace", "id", F.size(F.filter(lex_words(F.col("text")), is_lex_word)).cast("long").alias("len"))
-    corpus = docs.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
-    mean = lengths.groupBy("namespace").agg(F.sum("len").alias("__sum")).join(corpus, "namespace").select("namespace", "n", (F.col("__sum") / F.col("n")).alias("avg"))
-    terms = queries.select("query_id", "namespace", F.explode(F.array_distinct(lex_tokens(F.col("text")))).alias("term"))
-    # only the terms that are asked for are counted and shuffled
-    wanted = terms.select("namespace", "term").distinct()
-    few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    asked = _terms(docs).join(F.broadcast(wanted) if few else wanted, ["namespace", "term"], "left_semi").groupBy("namespace", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = asked.groupBy("namespace", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(mean, "namespace").select("namespace", "term", "avg", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = asked.join(terms, ["namespace", "term"]).join(idf, ["namespace", "term"]).join(lengths, ["namespace", "id"])
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return rank_in(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
+    asked, few = _asked_terms(queries)
+    named = asked.select("namespace", "term").distinct()
+    names = named.limit(WANTED + 1).collect() if few else []
+    wanted = None
+    if few and len(names) <= WANTED:  # only the terms that are asked for get postings
+        wanted = {}
+        for r in names:
+            wanted.setdefault(r["namespace"], set()).add(r["term"])
+    rows = _once(docs.join(F.broadcast(queries.select("namespace").distinct()) if few else queries.select("namespace").distinct(), "namespace", "left_semi"))
+    lists = stored(postings(rows, wanted))
+    asked = stored(asked.join(_weighed(lists, docs), ["namespace", "term"]))
+    scored = _scores(_impacts(lists, asked, few), asked, few)
+    return rank_in(scored.select("query_id", "id", F.round("score", 6).alias("score")), ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
     """What many sets of queries ask of one corpus, as written tables.
 
-    ``postings(namespace, term, id, impact)`` by namespace and term, so that Parquet skips what is not asked for;
-    ``firsts`` are the :data:`FIRSTS` postings of a term with the largest impact, and ``terms(namespace, term, top)``
-    has that largest one. An impact is the term's share of a document's BM25 score.
+    ``postings`` are the lists of :func:`postings` by namespace and term, so that Parquet skips what is not asked for;
+    ``terms(namespace, term, df, idf, avg)`` has what weighs them.
     """
 
     postings: DataFrame
-    firsts: DataFrame
     terms: DataFrame
 
     def topk(self, queries: DataFrame, k: int) -> DataFrame:
@@ -251,38 +357,43 @@ class LexicalIndex:
 
         The first postings of a query's terms give at least ``k`` documents a score that bounds the ``k``-th best from
         below. Terms whose largest impacts together stay under it can't bring a document up by themselves: only
-        documents of the other terms are candidates, and the postings of the weak ones are looked up for those.
+        documents of the other terms are candidates. Their scores by those terms give a closer bound; the postings of weak
+        terms are looked up for candidates only that all weak terms together could lift to it.
         """
-        asked = queries.select("query_id", "namespace", F.explode(F.array_distinct(lex_tokens(F.col("text")))).alias("term"))
+        asked, few = _asked_terms(queries)
         asked = stored(asked.join(self.terms, ["namespace", "term"]))
-        few = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
         sized = lambda df: F.broadcast(df) if few else df
-        begun = self.firsts.join(sized(asked.select("query_id", "namespace", "term")), ["namespace", "term"]).groupBy("query_id", "id").agg(F.sum("impact").alias("score"))
+        names = [r["term"] for r in asked.select("term").distinct().limit(WANTED + 1).collect()]
+        lists = self.postings.where(F.col("term").isin(names)) if len(names) <= WANTED else self.postings
+        rows = stored(_impacts(lists, asked, few))
+        firsts = stored(rank_in(rows, ["namespace", "term"], [F.desc("impact"), F.col("id")], FIRSTS))
+        asked = asked.join(sized(firsts.where("rank = 1").select("namespace", "term", F.col("impact").alias("top"))), ["namespace", "term"])
+        begun = firsts.join(sized(asked.select("query_id", "namespace", "term")), ["namespace", "term"]).groupBy("query_id", "id").agg(F.sum("impact").alias("score"))
         bound = rank_in(begun, ["query_id"], [F.desc("score")], k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
         weak_first = Window.partitionBy("query_id").orderBy("top", "term").rowsBetween(Window.unboundedPreceding, 0)
         judged = asked.withColumn("so_far", F.sum("top").over(weak_first)).join(bound, "query_id", "left")
-        judged = stored(judged.select("query_id", "namespace", "term", (F.col("so_far") < F.coalesce("bound", F.lit(0.0)) - 1e-5).alias("weak")))
-        strong, weak = sized(judged.where("not weak").drop("weak")), judged.where("weak").drop("weak")
-        names = [r["term"] for r in judged.select("term").distinct().limit(BROADCAST_QUERIES + 1).collect()]
-        rows = self.postings.where(F.col("term").isin(names)) if len(names) <= BROADCAST_QUERIES else self.postings
-        found = stored(rows.join(strong, ["namespace", "term"]).groupBy("query_id", "namespace", "id").agg(F.sum("impact").alias("score")))
-        more = rows.join(found.join(weak, ["query_id", "namespace"]), ["namespace", "term", "id"]).select("query_id", "id", F.col("impact").alias("score"))
+        judged = stored(judged.withColumn("weak", F.col("so_far") < F.coalesce("bound", F.lit(0.0)) - 1e-5))
+        lift = judged.groupBy("query_id").agg(F.first("bound").alias("bound"), F.coalesce(F.max(F.when(F.col("weak"), F.col("so_far"))), F.lit(0.0)).alias("lift"))
+        strong, weak = judged.where("not weak"), judged.where("weak").select("query_id", "namespace", "term")
+        scored = _scores(rows.join(sized(strong.select("namespace", "term").distinct()), ["namespace", "term"], "left_semi"), strong, few)
+        found = stored(scored.join(sized(lift), "query_id").where("bound is null or score >= bound - lift - 1e-5").drop("bound"))
+        # what strong terms alone give the k-th best is a closer bound
+        closer = rank_in(found, ["query_id"], [F.desc("score")], k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+        found = stored(found.join(sized(closer), "query_id", "left").where("bound is null or score >= bound - lift - 1e-5"))
+        candidates = found.select("query_id", "namespace", "id").join(sized(weak), ["query_id", "namespace"])
+        candidates = F.broadcast(candidates) if candidates.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else candidates
+        more = rows.join(candidates, ["namespace", "term", "id"]).select("query_id", "id", F.col("impact").alias("score"))
         both = found.select("query_id", "id", "score").unionByName(more).groupBy("query_id", "id").agg(F.round(F.sum("score"), 6).alias("score"))
         return rank_in(both, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
 def lexical_index(docs: DataFrame) -> LexicalIndex:
     """The index of ``docs(namespace, id, text)``."""
-    lengths = docs.select("namespace", "id", F.size(F.filter(lex_words(F.col("text")), is_lex_word)).cast("long").alias("len"))
-    mean = lengths.groupBy("namespace").agg(F.count(F.lit(1)).alias("n"), (F.sum("len") / F.count(F.lit(1))).alias("avg"))
-    counted = stored(postings(docs))
-    df = counted.groupBy("namespace", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = stored(df.join(mean, "namespace").select("namespace", "term", "avg", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    rows = counted.join(lengths, ["namespace", "id"]).join(idf, ["namespace", "term"]).select("namespace", "term", "id", weight.alias("impact"))
-    rows = stored(rows.repartitionByRange("namespace", "term", "id").sortWithinPartitions("namespace", "term", "id"))
-    firsts = stored(rank_in(rows, ["namespace", "term"], [F.desc("impact"), F.col("id")], FIRSTS).drop("rank"))
-    return LexicalIndex(rows, firsts, stored(firsts.groupBy("namespace", "term").agg(F.max("impact").alias("top"))))
+    lists = stored(postings(_once(docs)))
+    terms = stored(_weighed(lists, docs))
+    by_term = ["namespace", "term", F.get("ids", F.lit(0))]
+    rows = lists.where("term is not null").repartitionByRange(*by_term).sortWithinPartitions(*by_term)
+    return LexicalIndex(stored(rows), terms)
 
 
 def parse_terms(queries: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """What joins broadcast, and how many rows they make."""
 
 import fnmatch
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -147,3 +148,28 @@ def test_the_last_frontier_is_not_written(spark, monkeypatch):
     got = graph.expand(spark.sql("select 'a5' as node"), edges, 3)
     assert len(written) == 4
     assert {(r["node"], r["hop"]) for r in got.collect()} == {(f"a{5 + d}", abs(d)) for d in range(-3, 4)}
+
+
+def test_a_text_is_read_once_for_its_postings(spark, monkeypatch):
+    """Segments end inside batches; equal ids are one text, and nothing but ids is shuffled for them."""
+    monkeypatch.setattr(retrieval, "SEGMENT", 40)
+    rng = random.Random(11)
+    texts = [(i, rng.choice(["a", "b", None]), " ".join(rng.choices(["Gates", "gate", "lamps", "lamp", "the", "stored", "x", "K9"], k=rng.randrange(30))) or None) for i in range(200)]
+    docs = spark.createDataFrame([*texts, (5, "a", "gate again"), (5, "a", "lamp"), (None, "b", "gate")], "id long, namespace string, text string").coalesce(1)
+    want = {}
+    for r in docs.where("namespace is not null").collect():
+        for w in (r["text"] or "").lower().split():
+            term = {"gates": "gat", "lamps": "lamp", "stored": "stor"}.get(w, w)
+            if w not in ("the", "x"):
+                want[r["namespace"], r["id"], term] = want.get((r["namespace"], r["id"], term), 0) + 1
+    size = Counter()
+    for (ns, i, _), n in want.items():
+        size[ns, i] += n
+    lists = retrieval.postings(retrieval._once(docs))
+    assert "Exchange" not in plan_of(retrieval.postings(docs))
+    got = lists.where("term is not null").selectExpr("namespace", "term", "inline(arrays_zip(ids, tfs, lens))").collect()
+    assert {(r["namespace"], r["ids"], r["term"]): (r["tfs"], r["lens"]) for r in got} == {k: (n, size[k[:2]]) for k, n in want.items()} and len(got) == len(want)
+    assert {(r["namespace"], r["n"]) for r in lists.where("term is null").groupBy("namespace").agg(F.sum("said").alias("n")).collect()} == {(ns, sum(n for k, n in size.items() if k[0] == ns)) for ns in "ab"}
+    queries = spark.createDataFrame([(1, "a", "gates lamp"), (2, "b", "gate k9 lamp"), (3, "c", "gate")], "query_id long, namespace string, text string")
+    ranks = [sorted(map(tuple, found.collect())) for found in (retrieval.lexical_topk(queries, docs, 6), retrieval.lexical_index(docs).topk(queries, 6))]
+    assert ranks[0] == ranks[1] and [r[0] for r in ranks[0]] == [1] * 6 + [2] * 6 and all(r[1] is not None for r in ranks[0])
