@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -413,17 +413,55 @@ def parse_terms(queries: DataFrame) -> DataFrame:
 
 def word_sequence(text: Column) -> Column:
     """The words of a text in order, lower-cased: runs of letters, marks and digits of any script; Han and kana letters each by itself."""
-    apart = F.regexp_replace(F.lower(text), r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", " $1 ")
+    lower = F.lower(text)
+    # scripts are slow to tell, and none of these begins below U+2E80
+    apart = F.when(lower.rlike(r"[\x{2E80}-\x{10FFFF}]"), F.regexp_replace(lower, r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", " $1 ")).otherwise(lower)
     return F.regexp_extract_all(apart, F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
 
 
+def _phrases_in(docs: DataFrame, wanted: list[Row]) -> DataFrame:
+    """``(namespace, id, phrase)`` of the phrases that are ``wanted(namespace, phrase, words)``, in one pass over the texts.
+
+    A phrase is looked for only in texts that have its first word.
+    """
+    begun: dict[str, dict[str, list[str]]] = {}
+    for r in wanted:
+        begun.setdefault(r["namespace"], {}).setdefault(r["words"][0], []).append(r["phrase"])
+
+    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, hits = [], []
+            for n, (ns, said) in enumerate(zip(batch.column("namespace").to_pylist(), batch.column("said").to_pylist())):
+                own, whole = begun.get(ns, {}), f" {said} "
+                here = [p for word in own.keys() & {*said.split(" ")} for p in own[word] if p == word or f" {p} " in whole]
+                at += [n] * len(here)
+                hits += here
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("namespace").take(rows), batch.column("id").take(rows), pa.array(hits, pa.string())], ["namespace", "id", "phrase"])
+
+    texts = docs.where(F.col("namespace").isin([*begun])).select("namespace", "id", F.array_join(word_sequence(F.col("text")), " ").alias("said")).where("said <> ''")
+    return texts.mapInArrow(looked, f"namespace string, id {dict(docs.dtypes)['id']}, phrase string")
+
+
+def _phrases_joined(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """As :func:`_phrases_in`, for more phrases than each task can be told."""
+    texts = docs.select("namespace", "id", word_sequence(F.col("text")).alias("words"))
+    one = texts.select("namespace", "id", F.explode(F.array_distinct("words")).alias("phrase"))
+    single = one.join(wanted.where(F.size("words") == 1).select("namespace", "phrase"), ["namespace", "phrase"])
+    several = wanted.where(F.size("words") > 1).select("namespace", "phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "word"))
+    places = texts.select("namespace", "id", F.posexplode("words").alias("pos", "word")).join(several, ["namespace", "word"])
+    whole = places.groupBy("namespace", "id", "phrase", "n", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("got")).where("got = n")
+    return single.select("namespace", "id", "phrase").unionByName(whole.select("namespace", "id", "phrase").distinct())
+
+
 def boolean_match(terms: DataFrame, docs: DataFrame, scope: DataFrame) -> DataFrame:
     """Documents ``(query_id, id)`` of a query's namespaces that have a term of each wanted group and none that is forbidden.
 
     ``scope(query_id, namespace)``. A term is a sequence of words (see :func:`word_sequence`) that stand one after
     another; one without words asks for nothing. Different terms are looked for once, however many queries have
-    them: single words among a text's distinct words, phrases by positional postings of their words, whose
-    ``position - offset`` must agree. Only queries that forbid and want nothing go through all documents of
+    them. A few are looked for in each text when it is read (see :func:`_phrases_in`). Of more, single words are found
+    among a text's distinct words, phrases by positional postings of their words, whose ``position - offset`` must
+    agree. Only queries that forbid and want nothing go through all documents of
     their namespaces, which are their result but for a few.
     """
     asked = terms.withColumn("words", word_sequence(F.col("term"))).where(F.size("words") > 0)
@@ -431,16 +469,11 @@ def boolean_match(terms: DataFrame, docs: DataFrame, scope: DataFrame) -> DataFr
     wanted = asked.select("namespace", "phrase", "words").distinct()
     few = wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     sized = lambda df: F.broadcast(df) if few else df
-    texts = docs.select("namespace", "id", word_sequence(F.col("text")).alias("words"))
-    one = texts.select("namespace", "id", F.explode(F.array_distinct("words")).alias("phrase"))
-    single = one.join(sized(wanted.where(F.size("words") == 1).select("namespace", "phrase")), ["namespace", "phrase"])
-    several = wanted.where(F.size("words") > 1).select("namespace", "phrase", F.size("words").alias("n"), F.posexplode("words").alias("offset", "word"))
-    places = texts.select("namespace", "id", F.posexplode("words").alias("pos", "word")).join(sized(several), ["namespace", "word"])
-    whole = places.groupBy("namespace", "id", "phrase", "n", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("got")).where("got = n")
-    found = single.select("namespace", "id", "phrase").unionByName(whole.select("namespace", "id", "phrase").distinct())
+    found = _phrases_in(docs, wanted.collect()) if few else _phrases_joined(docs, wanted)
     found = found.join(sized(asked.select("query_id", "grp", "role", "namespace", "phrase")), ["namespace", "phrase"])
     need = asked.groupBy("query_id").agg(F.countDistinct(F.when(F.col("role") == "want", F.col("grp"))).alias("__need"))
     sums = found.groupBy("query_id", "id").agg(F.countDistinct(F.when(F.col("role") == "want", F.col("grp"))).alias("__got"), F.count_if(F.col("role") == "not").alias("__bad"))
+    sums = stored(sums)
     matched = sums.join(need, "query_id").where("__need > 0 and __got = __need and __bad = 0").select("query_id", "id")
     negative = need.where("__need = 0").join(scope, "query_id").join(docs.select("namespace", "id"), "namespace").select("query_id", "id")
     return matched.unionByName(negative.join(sums.where("__bad > 0").select("query_id", "id"), ["query_id", "id"], "left_anti"))

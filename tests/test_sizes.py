@@ -173,3 +173,26 @@ def test_a_text_is_read_once_for_its_postings(spark, monkeypatch):
     queries = spark.createDataFrame([(1, "a", "gates lamp"), (2, "b", "gate k9 lamp"), (3, "c", "gate")], "query_id long, namespace string, text string")
     ranks = [sorted(map(tuple, found.collect())) for found in (retrieval.lexical_topk(queries, docs, 6), retrieval.lexical_index(docs).topk(queries, 6))]
     assert ranks[0] == ranks[1] and [r[0] for r in ranks[0]] == [1] * 6 + [2] * 6 and all(r[1] is not None for r in ranks[0])
+
+
+def test_texts_are_read_once_for_words_and_phrases(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    rng = random.Random(12)
+    texts = [(i, rng.choice(["a", "b", None]), " ".join(rng.choices(["of", "the", "Big", "cat,", "category"], k=rng.randrange(9))) if i % 9 else None) for i in range(120)]
+    docs = spark.createDataFrame(texts, "id long, namespace string, text string").withColumn("text", F.udf(counted, "string")("text"))
+    asked = {1: '"of the"', 2: "cat -the", 3: '-"big cat"', 4: '"the the" OR "cat of"', 5: "the big", 6: "??"}
+    queries = spark.createDataFrame([*asked.items()], "query_id long, text string")
+    scope = queries.select("query_id", F.explode(F.array(F.lit("a"), F.lit("c"))).alias("namespace"))
+    found = lambda: sorted(map(tuple, retrieval.boolean_match(retrieval.parse_terms(queries), docs, scope).collect()))
+    got = found()
+    assert read.value <= 120
+    held = {i: f" {(t or '').lower().replace(',', '')} " for i, ns, t in texts if ns == "a"}
+    holds = {1: lambda t: " of the " in t, 2: lambda t: " cat " in t and " the " not in t, 3: lambda t: " big cat " not in t, 4: lambda t: " the the " in t or " cat of " in t, 5: lambda t: " the " in t and " big " in t}
+    assert got == sorted((q, i) for q, fits in holds.items() for i, t in held.items() if fits(t))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 0)
+    assert found() == got
