@@ -17,8 +17,7 @@ BROADCAST_NEAR = 200_000
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge seen from either end: ``(node, other, weight)``; self-loops are left out."""
-    there = edges.selectExpr("src as node", "dst as other", "weight")
-    return there.unionAll(edges.selectExpr("dst", "src", "weight")).where("node <> other")
+    return edges.where("src <> dst").selectExpr("inline(array(named_struct('node', src, 'other', dst, 'weight', weight), named_struct('node', dst, 'other', src, 'weight', weight)))")
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -60,8 +59,10 @@ def orphan_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def neighbours(seeds: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """The heaviest direct neighbours of each ``seeds(node)``."""
-    found = both_ways(edges).join(seeds.select("node").distinct(), "node").groupBy("node", "other").agg(F.max("weight").alias("weight"))
+    """The heaviest direct neighbours of each ``seeds(node)``. Edges are written and dealt to tasks by how many there are."""
+    edges = stored(edges.select("src", "dst", "weight"))
+    ends = both_ways(edges).join(seeds.select("node").distinct(), "node")
+    found = spread(ends, 2 * edges.count(), "node", "other").groupBy("node", "other").agg(F.max("weight").alias("weight"))
     order = Window.partitionBy("node").orderBy(F.desc("weight"), "other")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
@@ -88,15 +89,22 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, max_nodes: int, hub: int =
     """Up to two hops around each seed without passing through hubs: ranked by hop, then weight, then name.
 
     Nodes of a degree over ``hub`` are reached but not passed. Of the first hop the ``frontier``
-    heaviest go on. ``good_name`` filters the nodes shown and passed (a condition on ``node``).
+    heaviest go on. ``good_name`` filters the nodes shown and passed (a condition on ``node``). All edges are dealt
+    to tasks by how many there are, once; then only those of the first hop's nodes count.
     """
+    edges = stored(edges.select("src", "dst", "weight"))
     ends = both_ways(edges)
     fine = good_name if good_name is not None else F.lit(True)
     order = Window.partitionBy("seed").orderBy(F.desc("weight"), "node")
     first = ends.join(seeds.select(F.col("node").alias("seed")).distinct(), F.col("node") == F.col("seed")).groupBy("seed", F.col("other").alias("node")).agg(F.max("weight").alias("weight")).where(fine)
-    small = degree(edges).where(F.col("degree") <= hub).select("node")
-    passing = first.join(small, "node").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= frontier).select("seed", "node")
-    second = passing.join(ends, "node").groupBy("seed", F.col("other").alias("node")).agg(F.max("weight").alias("weight")).where(fine & (F.col("node") != F.col("seed")))
+    first = stored(first)
+    near = stored(spread(ends, 2 * edges.count(), "node").join(first.select("node").distinct(), "node", "left_semi"))
+    dealt = spread(near, near.count(), "node")
+    small = dealt.groupBy("node").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") <= hub)
+    passing = stored(first.join(small, "node").withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= frontier).select("seed", "node", "degree"))
+    made = passing.agg(F.sum("degree")).first()[0] or 0
+    reached = dealt.join(passing.select("seed", "node"), "node").select("seed", "other", "weight")
+    second = spread(reached, made, "seed", "other").groupBy("seed", F.col("other").alias("node")).agg(F.max("weight").alias("weight")).where(fine & (F.col("node") != F.col("seed")))
     second = second.join(first.select("seed", "node"), ["seed", "node"], "left_anti")
     both = first.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2)))
     rank = Window.partitionBy("seed").orderBy("hop", F.desc("weight"), "node")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factlake.sources.shared import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,7 +71,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part and supplier as an undirected graph; the weight counts line items."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").count().selectExpr("concat('p', l_partkey) as src", "concat('s', l_suppkey) as dst", "cast(count as double) as weight")
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    return spread(lines, lines.count(), "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").count().selectExpr("concat('p', l_partkey) as src", "concat('s', l_suppkey) as dst", "cast(count as double) as weight")
 
 
 #: The same tables in DuckDB.

@@ -10,6 +10,7 @@ from factlake.operators import graph
 from factlake.plans import adapters as t
 from factlake.plans.adapters import oracle
 from factlake.registry import query
+from factlake.sources.shared import spread
 
 # grants and roles derived from customers: a principal for each customer, a role for each nation
 _GRANTS = """SELECT c_custkey AS principal_id, CASE c_custkey % 4 WHEN 0 THEN 'src:src' || (c_custkey % 20) || ':*' WHEN 1 THEN 'src:src' || (c_custkey % 20) || ':en' WHEN 2 THEN 'src:*' ELSE '*' END AS namespace,
@@ -204,8 +205,10 @@ SELECT seed, node, weight, hop, CAST(row_number() OVER (PARTITION BY seed ORDER
 )
 def n5_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and orders as a graph, whose degrees suit the default bounds; one part in a hundred asks."""
-    t.table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return graph.neighbourhood(_sql(spark, sf_dir, "SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey % 100 = 0"), spark.sql(_ORDERED), 200)
+    seeds = _sql(spark, sf_dir, "SELECT 'p' || p_partkey AS node FROM part WHERE p_partkey % 100 = 0")
+    lines = t.table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey")
+    spread(lines, lines.count(), "l_partkey", "l_orderkey").createOrReplaceTempView("lineitem")
+    return graph.neighbourhood(seeds, spark.sql(_ORDERED), 200)
 
 
 @query(

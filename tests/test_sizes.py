@@ -196,3 +196,26 @@ def test_texts_are_read_once_for_words_and_phrases(spark, monkeypatch):
     assert got == sorted((q, i) for q, fits in holds.items() for i, t in held.items() if fits(t))
     monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 0)
     assert found() == got
+
+
+def test_neighbours_are_found_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Edges of a few hubs and repeated pairs; tasks are dealt by how many edges there are."""
+    rng = random.Random(13)
+    rows = [(f"n{rng.randrange(4)}", f"m{rng.randrange(60)}", float(rng.randrange(9))) for _ in range(600)] + [("n1", "n1", 99.0), ("n1", "n2", 5.0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("n1",), ("m3",), ("n9",)], "node string")
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    dealt = []
+    monkeypatch.setattr(graph, "spread", lambda df, n, *keys: (dealt.append((n, keys)), shared.spread(df, n, *keys))[1])
+    near = graph.neighbours(seeds, edges, 5)
+    assert dealt == [(1204, ("node", "other"))]
+    best = {}
+    for a, b, w in rows:
+        for x, y in ((a, b), (b, a)):
+            if x in ("n1", "m3") and x != y:
+                best[x, y] = max(best.get((x, y), 0), w)
+    want = {(x, y, w) for n in ("n1", "m3") for (x, y), w in sorted(((k, w) for k, w in best.items() if k[0] == n), key=lambda z: (-z[1], z[0]))[:5]}
+    assert {(r["node"], r["other"], r["weight"]) for r in near.collect()} == want
+    dealt.clear()
+    around = graph.neighbourhood(seeds, edges, 8, hub=200, frontier=3).collect()
+    assert dealt[0] == (1204, ("node",)) and dealt[1][0] < 1204 and {r["seed"] for r in around} == {"n1", "m3"} and len(around) == 16
