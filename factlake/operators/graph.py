@@ -11,6 +11,8 @@ from factlake.sources.shared import spread, stored
 
 #: Entities of an episode that meet in one task, about.
 BLOCK = 200
+#: Tasks that share the neighbours of a node; each passes on its heaviest only.
+PARTS = 8
 #: Pairs of seed and mentioned node that are broadcast to facts.
 BROADCAST_NEAR = 200_000
 
@@ -61,8 +63,8 @@ def orphan_entities(entities: DataFrame, edges: DataFrame) -> DataFrame:
 def neighbours(seeds: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     """The heaviest direct neighbours of each ``seeds(node)``. Edges are written and dealt to tasks by how many there are."""
     edges = stored(edges.select("src", "dst", "weight"))
-    ends = both_ways(edges).join(seeds.select("node").distinct(), "node")
-    found = spread(ends, 2 * edges.count(), "node", "other").groupBy("node", "other").agg(F.max("weight").alias("weight"))
+    ends = both_ways(edges).join(seeds.select("node").distinct(), "node").withColumn("part", F.pmod(F.xxhash64("other"), F.lit(PARTS)))
+    found = spread(ends, 2 * edges.count(), "node", "part").groupBy("node", "part", "other").agg(F.max("weight").alias("weight")).drop("part")
     order = Window.partitionBy("node").orderBy(F.desc("weight"), "other")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

@@ -208,7 +208,7 @@ def test_neighbours_are_found_in_tasks_of_bounded_size(spark, monkeypatch):
     dealt = []
     monkeypatch.setattr(graph, "spread", lambda df, n, *keys: (dealt.append((n, keys)), shared.spread(df, n, *keys))[1])
     near = graph.neighbours(seeds, edges, 5)
-    assert dealt == [(1204, ("node", "other"))]
+    assert dealt == [(1204, ("node", "part"))]
     best = {}
     for a, b, w in rows:
         for x, y in ((a, b), (b, a)):
