@@ -20,6 +20,8 @@ from factlake.sources.shared import sorted_groups, stored
 
 #: Rows of a cell, about, and of a block at most on the average; pivots of a group at most; rows that are placed together.
 CELL, BLOCK, PIVOTS, DEALT = 2048, 512, 256, 20_000
+#: Rows in cells that a task gives out together.
+PLACED = 10_000
 #: What floating point may add to a distance.
 SLACK = 1e-6
 
@@ -70,7 +72,9 @@ def _placed(rows: DataFrame, sizes: DataFrame, radius: float) -> DataFrame:
                     home = apart.argmin(axis=1)
                     reach = apart.min(axis=1, keepdims=True) + 2 * radius + SLACK
                     at, cell = np.nonzero((apart <= reach) & (np.arange(len(held)) <= home[:, None]))
-                    yield part.iloc[at][columns].assign(cell=cell, home=cell == home[at])
+                    for k in range(0, len(at), PLACED):
+                        some, its = at[k : k + PLACED], cell[k : k + PLACED]
+                        yield part.iloc[some][columns].assign(cell=its, home=its == home[some])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return dealt.mapInPandas(place, f"{schema}, cell int, home boolean")
@@ -84,8 +88,9 @@ def tiles(rows: DataFrame, radius: float) -> DataFrame:
     a left side only.
     """
     sizes = stored(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if("lead").alias("leads"), F.min("id").alias("first")).where("leads > 0 and n > 1"))
-    small = rows.join(sizes.where(F.col("n") <= CELL).select("grp"), "grp").withColumns({"cell": F.lit(0), "home": F.lit(True)})
-    placed = stored(small.unionByName(_placed(rows, sizes.where(F.col("n") > CELL), radius)))
+    cut = F.col("n") > CELL if radius < 1 else F.lit(False)  # unit vectors lie within 2: from a radius of 1 on all rows would visit all cells
+    small = rows.join(sizes.where(~cut).select("grp"), "grp").withColumns({"cell": F.lit(0), "home": F.lit(True)})
+    placed = stored(small.unionByName(_placed(rows, sizes.where(cut), radius)) if radius < 1 else small)
     number = lambda home, lead: F.ceil(F.count_if((F.col("home") == home) & (F.col("lead") == lead)) / BLOCK).cast("int")
     counts = placed.groupBy("grp", "cell").agg(number(True, True).alias("lh"), number(True, False).alias("oh"), number(False, True).alias("lv"), number(False, False).alias("ov"))
     counts = stored(counts.where("lh + lv > 0"))

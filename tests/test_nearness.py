@@ -92,3 +92,13 @@ def test_no_task_is_hot_and_cells_prune(spark, monkeypatch):
 def test_an_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert similarity.near_duplicate_pairs(empty, 0.1).count() == 0 == similarity.dedupe_older(empty).count()
+
+
+def test_wide_thresholds_copy_no_rows_into_cells(spark, sizes):
+    """Where every cell would be visited, each row is placed once, and pairs are those of all."""
+    rows = facts(400, 6)
+    frame = spark.createDataFrame(rows, SCHEMA).where("namespace is not null")
+    grouped = frame.select(F.col("namespace").alias("grp"), "id", F.col("observed_at").alias("seq"), F.lit(True).alias("lead"), "embedding")
+    assert {r["cell"] for r in nearness.tiles(nearness._unit(grouped), 1.2).select("cell").distinct().collect()} == {0}
+    got = sorted((r["older"], r["newer"]) for r in nearness.near_pairs(grouped, 0.8, 0.6).collect())
+    assert got and got == sorted(p[:2] for p in brute([(*r[:2], None, *r[3:]) for r in rows], 0.8, 0.6))
