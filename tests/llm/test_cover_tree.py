@@ -109,3 +109,49 @@ def test_empty_and_null_ids(spark):
     rows = [(None, [1.0], 1, ""), (4, [1.0], 1, ""), (None, [2.0], 1, "")]
     found = sorted((tuple(r) for r in ct.near_pairs(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert found == [(4, 0, 4, True), (None, 0, None, False), (None, 0, None, False)]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_members_are_shuffled_to_their_centres_where_these_are_many(spark, monkeypatch, kind):
+    """Without told centres, with chunks of a few vectors, tiles dealt by hash and blocks that are not broadcast."""
+    for name, value in {"BLOCK": 12, "CENTRES": 3, "DEALT": 20, "TOLD_BYTES": 400, "CHUNK_BYTES": 800, "TILES": 3, "BROADCAST_BLOCKS": 0}.items():
+        monkeypatch.setattr(ct, name, value)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(4, 4))
+    rows = [(i, (centres[rng.integers(4)] + rng.normal(size=4) * rng.choice([1e-4, 0.05, 1.0])).astype(np.float32).tolist(), int(rng.integers(2)), None) for i in range(200)]
+    rows += [(500 + i, [3 * c for c in rows[i][1]], rows[i][2], None) for i in range(0, 40, 2)]
+    found = ct.near_pairs(spark.createDataFrame(rows, SCHEMA.replace("float", kind)), 0.98).collect()
+    if kind == "float":
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == brute(rows, 0.98)
+    else:
+        monkeypatch.setattr(np, "float32", np.float64)
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == brute(rows, 0.98)
+
+
+def test_a_vector_is_not_copied_for_each_pair_of_blocks(spark, monkeypatch):
+    """Loose vectors, of which no two blocks are told apart: what any step shuffles grows with chunks, not with pairs."""
+    monkeypatch.setattr(ct, "BLOCK", 8)
+    most = []
+
+    def records(node):
+        kids, own = node.children(), node.metrics().get("shuffleRecordsWritten")
+        return max([own.get().value() if own.isDefined() else 0, *(records(kids.apply(k)) for k in range(kids.size()))])
+
+    def stored(df):
+        df.collect()
+        most.append(records(df._jdf.queryExecution().executedPlan()))
+        return plain(df)
+
+    plain = ct.stored
+    monkeypatch.setattr(ct, "stored", stored)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=32).astype(np.float32).tolist(), 0, None) for i in range(300)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = ct.near_pairs(spark.createDataFrame(rows, SCHEMA), 0.98)
+        # chunks of a fourth of the vectors (four tasks), and a header for each block of a tile
+        assert 300 < max(most) < 300 * 4 + 300 * 4
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found.collect()) == brute(rows, 0.98)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
