@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlake.functions.text import canonical_entity, extract_entities, valid_entity_name
 from factlake.operators.governance import made_rows
-from factlake.sources.shared import spread, stored
+from factlake.sources.shared import one_scan, spread, stored
 
 #: Entities of an episode that meet in one task, about.
 BLOCK = 200
 #: Tasks that share the neighbours of a node; each passes on its heaviest only.
 PARTS = 8
+#: Bytes of pairs of seed and node that are broadcast together to the edges of a hop, about; of so many broadcasts at most, and to nodes that are that many.
+FRONTIER_BYTES, FRONTIERS, FRONTIER_NODES = 1 << 27, 8, 1_000_000
 #: Pairs of seed and mentioned node that are broadcast to facts.
 BROADCAST_NEAR = 200_000
 
@@ -72,19 +76,48 @@ def neighbours(seeds: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
 def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """Nodes within so many hops of each seed, with the hop at which they are first reached.
 
-    Each hop joins only the frontier and drops what was reached before. Frontiers that a hop goes on from are
-    written, so a hop reads tables and the plan grows by one scan each; the last and largest is not.
+    Each hop goes on from the frontier and drops what was reached a hop or two before: no end of an edge is nearer.
+    Edges and frontiers that a hop goes on from are written, so a hop reads tables and the plan grows by one scan
+    each; the last and largest frontier is not, and where :func:`_beyond` can tell tasks the frontier it is not
+    shuffled either. Edges that come more than once do no harm.
     """
-    step = both_ways(edges).select("node", "other").distinct()
-    step = stored(step) if hops > 1 else step
+    step = stored(edges.where("src <> dst").select("src", "dst")) if hops else edges
     reached = stored(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hop", F.lit(0)))
-    frontier = reached
+    frontiers = [reached]
     for hop in range(1, hops + 1):
-        found = frontier.select("seed", "node").join(step, "node").select("seed", F.col("other").alias("node")).distinct()
-        frontier = found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop))
-        frontier = stored(frontier) if hop < hops else frontier
-        reached = reached.unionByName(frontier)
-    return reached
+        found = _beyond(frontiers[-1], frontiers[-2:], step, hop).withColumn("hop", F.lit(hop))
+        frontiers.append(stored(found) if hop < hops else found)
+    return reduce(DataFrame.unionByName, frontiers)
+
+
+def _beyond(frontier: DataFrame, known: list[DataFrame], edges: DataFrame, hop: int) -> DataFrame:
+    """The pairs ``(seed, node)`` of this ``hop`` from the ``frontier(seed, node, hop)``, without those ``known``: the frontier and what was reached before it.
+
+    Edges are dealt to tasks by where they end, and tasks are told which seeds have reached which node, so a task finds
+    all seeds of a node and what they reach is never shuffled. A node that is known comes as an edge to itself.
+    If there are too many pairs for one broadcast, seeds are dealt to a few, over the same edges.
+    """
+    told = one_scan(*known).where("node is not null")
+    weight = F.octet_length("seed") + F.octet_length("node") + 48
+    blocks = max(1, -(-(told.agg(F.sum(weight)).first()[0] or 0) // FRONTIER_BYTES))
+    block = F.pmod(F.xxhash64("seed"), F.lit(blocks))
+    largest = told.groupBy(block).agg(F.sum(weight).alias("n")).agg(F.max("n")).first()[0] if blocks > 1 else 0
+    ends = both_ways(edges.withColumn("weight", F.lit(False))).withColumnRenamed("weight", "known")
+    if blocks > FRONTIERS or largest > 2 * FRONTIER_BYTES:
+        found = frontier.select("seed", "node").join(ends, "node").select("seed", F.col("other").alias("node")).distinct()
+        return found.join(told.select("seed", "node"), ["seed", "node"], "left_anti")
+    sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    few = sizes.limit(FRONTIER_NODES + 1).count() <= FRONTIER_NODES
+    made = ends.join(F.broadcast(sizes), "node").agg(F.sum("n")).first()[0] if few else made_rows(ends, frontier, "node")
+    ends = ends.join(F.broadcast(sizes), "node", "left_semi") if few else ends
+    own = told.select("node").distinct().select("node", F.col("node").alias("other"), F.lit(True).alias("known"))
+    dealt = spread(ends.union(own), (made or 0) // blocks, "other")
+    now, found = F.col("hop") == hop - 1, []
+    for k in range(blocks):
+        seeds = (told.where(block == k) if blocks > 1 else told).groupBy("node").agg(F.collect_list(F.when(now, F.col("seed"))).alias("now"), F.collect_list(F.when(~now, F.col("seed"))).alias("old"))
+        hits = dealt.join(F.broadcast(seeds), "node").select("other", "known", F.explode(F.expr("if(known, concat(now, old), now)")).alias("seed"))
+        found.append(hits.groupBy("seed", F.col("other").alias("node")).agg(F.bool_or("known").alias("known")).where("not known").drop("known"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def neighbourhood(seeds: DataFrame, edges: DataFrame, max_nodes: int, hub: int = 100, frontier: int = 50, good_name: Column | None = None) -> DataFrame:

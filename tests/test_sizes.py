@@ -150,6 +150,33 @@ def test_the_last_frontier_is_not_written(spark, monkeypatch):
     assert {(r["node"], r["hop"]) for r in got.collect()} == {(f"a{5 + d}", abs(d)) for d in range(-3, 4)}
 
 
+def test_what_the_last_hop_reaches_is_not_shuffled(spark, monkeypatch):
+    rng = random.Random(9)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(90)] + [("n1", "n1"), ("n2", None), ("x1", "x2")]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([(f"n{i}",) for i in (*range(0, 60, 4), 4)] + [("x1",), ("alone",), (None,)], "node string")
+    near = {}
+    for a, b in pairs:
+        if b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for (seed,) in seeds.distinct().collect():
+        level, seen = {seed}, {seed}
+        for hop in range(4):
+            want |= {(seed, node): hop for node in level}
+            level = {m for n in level for m in near.get(n, ())} - seen
+            seen |= level
+    # as it is; without those that go on told first; seeds in a few broadcasts; too many of them
+    for told in ({}, {"FRONTIER_NODES": 0}, {"FRONTIER_BYTES": 4_000, "FRONTIERS": 50}, {"FRONTIERS": 0}):
+        for name, value in told.items():
+            monkeypatch.setattr(graph, name, value)
+        got = graph.expand(seeds, edges, 3)
+        assert (plan_of(got).count("Generate explode") > 1) == ("FRONTIER_BYTES" in told)
+        assert ("hashpartitioning(seed" in plan_of(got)) == ("FRONTIERS" in told and not told["FRONTIERS"])
+        assert sorted(map(str, got.collect())) == sorted(f"Row(seed={s!r}, node={n!r}, hop={h})" for (s, n), h in want.items())
+
+
 def test_a_text_is_read_once_for_its_postings(spark, monkeypatch):
     """Segments end inside batches; equal ids are one text, and nothing but ids is shuffled for them."""
     monkeypatch.setattr(retrieval, "SEGMENT", 40)
