@@ -17,6 +17,8 @@ BLOCK = 200
 PARTS = 8
 #: Bytes of pairs of seed and node that are broadcast together to the edges of a hop, about; of so many broadcasts at most, and to nodes that are that many.
 FRONTIER_BYTES, FRONTIERS, FRONTIER_NODES = 1 << 27, 8, 1_000_000
+#: Pairs that edges into one node make in one task, about.
+HUB_ROWS = 2_000_000
 #: Pairs of seed and mentioned node that are broadcast to facts.
 BROADCAST_NEAR = 200_000
 
@@ -95,7 +97,8 @@ def _beyond(frontier: DataFrame, known: list[DataFrame], edges: DataFrame, hop:
 
     Edges are dealt to tasks by where they end, and tasks are told which seeds have reached which node, so a task finds
     all seeds of a node and what they reach is never shuffled. A node that is known comes as an edge to itself.
-    If there are too many pairs for one broadcast, seeds are dealt to a few, over the same edges.
+    If there are too many pairs for one broadcast, seeds are dealt to a few, over the same edges. Edges into a node that
+    makes very many pairs go to several tasks, each of which looks at its share of the seeds.
     """
     told = one_scan(*known).where("node is not null")
     weight = F.octet_length("seed") + F.octet_length("node") + 48
@@ -108,15 +111,23 @@ def _beyond(frontier: DataFrame, known: list[DataFrame], edges: DataFrame, hop:
         return found.join(told.select("seed", "node"), ["seed", "node"], "left_anti")
     sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     few = sizes.limit(FRONTIER_NODES + 1).count() <= FRONTIER_NODES
-    made = ends.join(F.broadcast(sizes), "node").agg(F.sum("n")).first()[0] if few else made_rows(ends, frontier, "node")
+    load = ends.join(F.broadcast(sizes) if few else sizes, "node").groupBy("other").agg(F.sum("n").alias("load"))
+    made, most = load.agg(F.sum("load"), F.max("load")).first()
     ends = ends.join(F.broadcast(sizes), "node", "left_semi") if few else ends
     own = told.select("node").distinct().select("node", F.col("node").alias("other"), F.lit(True).alias("known"))
-    dealt = spread(ends.union(own), (made or 0) // blocks, "other")
+    dealt, keys, mine = ends.union(own), ["other"], F.lit(True)
+    if (most or 0) > HUB_ROWS:
+        hubs = load.where(F.col("load") > HUB_ROWS).select("other", F.ceil(F.col("load") / HUB_ROWS).cast("int").alias("parts"))
+        dealt = dealt.join(F.broadcast(hubs), "other", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        keys, mine = ["other", "part"], F.pmod(F.xxhash64("seed", F.lit(1)), F.col("parts")) == F.col("part")
+    dealt = spread(dealt, (made or 0) // blocks, *keys)
     now, found = F.col("hop") == hop - 1, []
     for k in range(blocks):
         seeds = (told.where(block == k) if blocks > 1 else told).groupBy("node").agg(F.collect_list(F.when(now, F.col("seed"))).alias("now"), F.collect_list(F.when(~now, F.col("seed"))).alias("old"))
-        hits = dealt.join(F.broadcast(seeds), "node").select("other", "known", F.explode(F.expr("if(known, concat(now, old), now)")).alias("seed"))
-        found.append(hits.groupBy("seed", F.col("other").alias("node")).agg(F.bool_or("known").alias("known")).where("not known").drop("known"))
+        hits = dealt.join(F.broadcast(seeds), "node").select("*", F.explode(F.expr("if(known, concat(now, old), now)")).alias("seed")).where(mine)
+        pairs = hits.groupBy("seed", *keys).agg(F.bool_or("known").alias("known")).where("not known")
+        found.append(pairs.select("seed", F.col("other").alias("node")))
     return reduce(DataFrame.unionByName, found)
 
 

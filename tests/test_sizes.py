@@ -177,6 +177,20 @@ def test_what_the_last_hop_reaches_is_not_shuffled(spark, monkeypatch):
         assert sorted(map(str, got.collect())) == sorted(f"Row(seed={s!r}, node={n!r}, hop={h})" for (s, n), h in want.items())
 
 
+def test_edges_into_a_hub_are_dealt_to_several_tasks(spark, monkeypatch):
+    """Forty seeds reach a hub by way of forty nodes each; no task gets all of that."""
+    monkeypatch.setattr(graph, "HUB_ROWS", 100)
+    monkeypatch.setattr(shared, "TASK_ROWS", 100)
+    pairs = [(f"s{i}", f"m{j}") for i in range(40) for j in range(40)] + [(f"m{j}", "hub") for j in range(40)]
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src string, dst string, weight double")
+    got = graph.expand(spark.sql("select concat('s', id) as node from range(40)"), edges, 2)
+    tasks = got.withColumn("task", F.spark_partition_id()).where("node = 'hub' and hop = 2")
+    assert tasks.select("task").distinct().count() > 4
+    want = {(f"s{i}", n): h for i in range(40) for n, h in [("hub", 2), *((f"m{j}", 1) for j in range(40)), *((f"s{j}", 0 if i == j else 2) for j in range(40))]}
+    rows = got.collect()
+    assert {(r["seed"], r["node"]): r["hop"] for r in rows} == want and len(rows) == len(want)
+
+
 def test_a_text_is_read_once_for_its_postings(spark, monkeypatch):
     """Segments end inside batches; equal ids are one text, and nothing but ids is shuffled for them."""
     monkeypatch.setattr(retrieval, "SEGMENT", 40)
